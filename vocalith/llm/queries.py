@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from vocalith.llm.ann import op5_posting_list_search
+from vocalith.llm.bagminhash import op10_bagminhash_dedup
+from vocalith.llm.embedding_dedup import op6_multi_index_dedup
+from vocalith.llm.html_text import op9_template_text
 from vocalith.llm.mixing import op4_pivotal_mixing
+from vocalith.llm.pieces import op8_piece_encoding
+from vocalith.llm.quality import op7_neighbour_quality
 from vocalith.llm.sharding import op1_rendezvous_sharding
 from vocalith.llm.url_filter import op2_url_ratio_filter
 from vocalith.llm.warc import op3_warc_chunk_table
 
 QUERIES = {
-    "op1_rendezvous_sharding": op1_rendezvous_sharding,
-    "op2_url_ratio_filter": op2_url_ratio_filter,
-    "op3_warc_chunk_table": op3_warc_chunk_table,
-    "op4_pivotal_mixing": op4_pivotal_mixing,
+    f.__name__: f
+    for f in (
+        op1_rendezvous_sharding,
+        op2_url_ratio_filter,
+        op3_warc_chunk_table,
+        op4_pivotal_mixing,
+        op5_posting_list_search,
+        op6_multi_index_dedup,
+        op7_neighbour_quality,
+        op8_piece_encoding,
+        op9_template_text,
+        op10_bagminhash_dedup,
+    )
 }
 
 ORACLE: dict[str, str] = {}
