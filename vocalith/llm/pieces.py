@@ -8,7 +8,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -24,7 +24,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks whose ids a worker keeps, and ids after which a batch is passed on.
-CACHE, BATCH_IDS = 150_000, 2_000_000
+CACHE, BATCH_IDS = 500_000, 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -141,7 +141,7 @@ class Codec:
         return [c[1:] for c in re.findall(r" *[^ ]+| +\Z", " " + text)]
 
     def learn(self, new: list[str]) -> None:
-        mine = [e.ids for e in self.own.encode_batch(new, add_special_tokens=False)]
+        mine = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
         theirs = self.theirs.encode(new, num_threads=self.threads)
         self.odd.update(c for c, a, b in zip(new, mine, theirs) if a != b)
         self.memo.update(zip(new, theirs))
@@ -149,9 +149,10 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool]]:
         """Each text's ids, and whether the two libraries agreed on all its chunks."""
         cut = [self.chunks(t or "") for t in texts]
-        if len(self.memo) > CACHE:
-            self.memo.clear()
-            self.odd.clear()
+        if len(self.memo) > CACHE:  # the older half goes
+            for c in list(islice(self.memo, CACHE // 2)):
+                del self.memo[c]
+            self.odd &= self.memo.keys()
         if new := set(chain.from_iterable(cut)) - self.memo.keys():
             self.learn(sorted(new))
         get = self.memo.__getitem__
