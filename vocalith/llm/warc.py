@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import shared_dir, table
+from vocalith.llm.common import cut, shared_dir, small_enough, table
 
 #: Bytes of payload that one record, and so one row, holds; longer payloads go on in continuation records.
 CHUNK = 1 << 20
+#: Tables of shared digests up to this many rows are broadcast.
+BROADCAST_DIGESTS = 100_000
 END = "\r\n\r\n"
 SCHEMA = "page_id bigint, record_id string, chunk int, start long, data binary, last boolean, payload_bytes long, payload_digest string, record_type string, refers_to bigint, digest_ok boolean"
 
@@ -31,8 +33,8 @@ def records(pages: DataFrame, chunk: int = CHUNK, least: int = 0, key: str = "pa
     """The text of every WARC record, one row a record (column ``value``).
 
     Of the rows whose payloads of at least ``least`` bytes are equal, those with the largest page_id are responses and
-    the others revisit it. Only digests and ids are grouped for that; rows meet their digest's largest id in a join on
-    the digest, where a digest that many rows share may be split. A row whose page_id is null revisits if any equal
+    the others revisit it. Only digests and ids are grouped for that. Digests that several rows
+    share are broadcast if few, else joined by shuffle, where a digest of many rows may be split. A row whose page_id is null revisits if any equal
     payload has an id, and is a response else; repeated rows of the largest id are responses all. Payloads longer than
     ``chunk`` bytes become a first record and continuation records with segment numbers, in order and in one file.
     """
@@ -41,8 +43,10 @@ def records(pages: DataFrame, chunk: int = CHUNK, least: int = 0, key: str = "pa
         F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", "").alias("url"),
         F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload")))
-    top = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("top")).withColumnRenamed("digest", "_digest")
-    rows = rows.join(top, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    top = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("_n"))
+    top = cut(top.where("_n > 1").select(F.col("digest").alias("_digest"), "top"), "warc-shared")
+    side = F.broadcast(top) if small_enough(top, BROADCAST_DIGESTS) else top
+    rows = rows.join(side, F.col("digest") == F.col("_digest"), "left").drop("_digest")
     rows = rows.withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("top")) & F.col("top").isNotNull(), F.lit(False)))
     size, ident = F.octet_length("payload"), lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = lambda n: F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit(END))
