@@ -76,7 +76,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str]], set[str]]:
     """The page's blocks in order, each (path, kind, text), and the paths of the elements that hold them.
 
     Kinds: ``in`` main, ``heading`` a heading in main's header, ``head`` a header's, ``out`` outside, ``""`` undecided. Markup may be broken: an end tag
-    closes what is open inside it, one without a start is passed over, and a main element that opens in an unclosed
+    closes what is open inside it, one without a start only ends the block, and a main element that opens in an unclosed
     menu or advert is main all the same.
     """
     out: list[tuple[str, str, str]] = []

@@ -84,7 +84,7 @@ class Model:
     @cached_property
     def splits(self) -> bool:
         """Whether a text may be cut before each run of markers: no piece has a marker behind another character."""
-        return not self.charsmap and self.escape and self.dummy_prefix and not self.squeeze and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER))
+        return not self.charsmap and self.escape and self.dummy_prefix and not self.squeeze and any(p == MARK for p, _, _ in self.pieces) and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER))
 
     def tokenizer(self):
         """The tokenizers library's model: normaliser, metaspace marker, scores or merges, byte fallback and decoder."""
@@ -124,11 +124,13 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
 
-        self.model, self.threads, self.memo, self.odd = Model.parse(data), threads, {}, set()
+        self.model, self.threads, self.odd = Model.parse(data), threads, set()
         self.own = self.model.tokenizer()
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.bytes[self.model.unknown] = " ⁇ ".encode()
+        self.lone = {"": [i] for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK} if self.model.splits else {"": []}
+        self.memo: dict[str, list[int]] = dict(self.lone)
 
     def chunks(self, text: str) -> list[str]:
         """The text cut before each run of blanks, its leading marker left out."""
@@ -153,6 +155,7 @@ class Codec:
             for c in list(islice(self.memo, CACHE // 2)):
                 del self.memo[c]
             self.odd &= self.memo.keys()
+            self.memo |= self.lone  # a trailing blank is a marker and nothing else
         if new := set(chain.from_iterable(cut)) - self.memo.keys():
             self.learn(sorted(new))
         get = self.memo.__getitem__
