@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks whose ids a worker keeps, and ids after which a batch is passed on.
-CACHE, BATCH_IDS = 500_000, 2_000_000
+CACHE, BATCH_IDS = 300_000, 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -129,8 +131,8 @@ class Codec:
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.bytes[self.model.unknown] = " ⁇ ".encode()
-        self.lone = {"": [i] for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK} if self.model.splits else {"": []}
-        self.memo: dict[str, list[int]] = dict(self.lone)
+        self.lone = {"": array("i", [i]).tobytes() for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK} if self.model.splits else {"": b""}
+        self.memo: dict[str, bytes] = dict(self.lone)
 
     def chunks(self, text: str) -> list[str]:
         """The text cut before each run of blanks, its leading marker left out."""
@@ -146,9 +148,9 @@ class Codec:
         mine = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
         theirs = self.theirs.encode(new, num_threads=self.threads)
         self.odd.update(c for c, a, b in zip(new, mine, theirs) if a != b)
-        self.memo.update(zip(new, theirs))
+        self.memo.update((c, array("i", ids).tobytes()) for c, ids in zip(new, theirs))
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool]]:
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
         """Each text's ids, and whether the two libraries agreed on all its chunks."""
         cut = [self.chunks(t or "") for t in texts]
         if len(self.memo) > CACHE:  # the older half goes
@@ -159,11 +161,11 @@ class Codec:
         if new := set(chain.from_iterable(cut)) - self.memo.keys():
             self.learn(sorted(new))
         get = self.memo.__getitem__
-        return [(list(chain.from_iterable(map(get, c))), not self.odd or self.odd.isdisjoint(c)) for c in cut]
+        return [(np.frombuffer(b"".join(map(get, c)), np.int32), not self.odd or self.odd.isdisjoint(c)) for c in cut]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """Bytes of the pieces in order, less the marker that encoding put in front; broken UTF-8 becomes U+FFFD."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
@@ -203,7 +205,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, kept: tuple[st
                 done = codec.encode(texts)
                 restored = [codec.decode(ids) == (t or "") for (ids, _), t in zip(done, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:n], pa.array([i for i, _ in done], pa.list_(pa.int32())), pa.array(restored, pa.bool_()), pa.array([p for _, p in done], pa.bool_())], [*kept, *names]
+                    [*part.columns[:n], pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _ in done)], dtype=np.int32), np.concatenate([i for i, _ in done])), pa.array(restored, pa.bool_()), pa.array([p for _, p in done], pa.bool_())], [*kept, *names]
                 )
                 a = z
 
