@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import components, cut, small_enough, spare_name, table
+from vocalith.llm.common import components, cut, small_enough, spare_name, table, tidy
 
 #: Words a shingle, the least similarity of a link, and bands x rows of the signature.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 26, 5
@@ -20,7 +20,7 @@ FIRST = 3
 #: Members of a bucket's part on average, two of which a task compares at most.
 BLOCK = 256
 #: Shingles that are hashed at once, and words whose hashes a worker keeps.
-BATCH, MEMO = 600_000, 300_000
+BATCH, MEMO = 300_000, 100_000
 #: Tables of ids up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -147,7 +147,7 @@ def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
         if ids:
             yield done(ids, nodes, bags)
 
-    return source.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
+    return source.mapInArrow(lambda batches: tidy(run(batches)), "doc_id bigint, node binary, bands array<bigint>")
 
 
 def _buckets(held: DataFrame, block: int) -> DataFrame:

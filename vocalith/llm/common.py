@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(batches):
+    """The batches; once they end, memory that a Python worker's task no longer needs goes back, as workers outlive tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def unit_interval(*cols: Column) -> Column:
     """A hash of ``cols`` as a double in (0, 1)."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + 0.5) / float(2**52)

@@ -15,6 +15,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Fractional documents that one reduction step combines, on average.
 FAN = 64
+#: Plans up to this many rows are broadcast to the documents, larger ones joined by shuffle.
+BROADCAST_PLAN = 200_000
 #: A table of sources up to this many rows is broadcast, a larger one is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 NEAR = 1e-9
@@ -153,7 +155,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, s
     d = decided.toDF("_m_source", "_m_doc", "_m_size", "_m_n", "_m_total")
     sized = docs.withColumn(size, words(F.col("text")))
     on = sized["doc_id"].cast("long").eqNullSafe(d["_m_doc"]) & sized["source"].eqNullSafe(d["_m_source"]) & (sized[size] == d["_m_size"])
-    both = sized.join(d, on)
+    both = sized.join(F.broadcast(d) if small_enough(decided, BROADCAST_PLAN) else d, on)
     once = both.where("_m_n = 1").withColumn("_m_copies", F.col("_m_total"))
     i = F.row_number().over(Window.partitionBy("_m_source", "_m_doc", "_m_size").orderBy(F.xxhash64("text")))
     many = both.where("_m_n > 1").withColumn("_m_i", i).withColumn("_m_copies", (F.floor(F.col("_m_total") / F.col("_m_n")) + F.when(F.col("_m_i") <= F.col("_m_total") % F.col("_m_n"), 1).otherwise(0)).cast("long")).drop("_m_i")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from vocalith.llm.common import spare_name, table
+from vocalith.llm.common import spare_name, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -144,6 +144,11 @@ class Codec:
             return text.split(" ")
         return [c[1:] for c in re.findall(r" *[^ ]+| +\Z", " " + text)]
 
+    def forget(self) -> None:
+        """Empty the memo at a task's end: workers go on to other stages."""
+        self.memo = dict(self.lone)
+        self.odd.clear()
+
     def learn(self, new: list[str]) -> None:
         mine = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
         theirs = self.theirs.encode(new, num_threads=self.threads)
@@ -208,9 +213,10 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, kept: tuple[st
                     [*part.columns[:n], pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _ in done)], dtype=np.int32), np.concatenate([i for i, _ in done])), pa.array(restored, pa.bool_()), pa.array([p for _, p in done], pa.bool_())], [*kept, *names]
                 )
                 a = z
+        codec.forget()
 
     schema = StructType([*keep.schema.fields, StructField(names[0], ArrayType(IntegerType())), StructField(names[1], BooleanType()), StructField(names[2], BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
