@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import components, cut, small_enough, spare_name, table, tidy
+from vocalith.llm.common import components, cut, small_enough, spare_name, table, text_batches, tidy
 
 #: Words a shingle, the least similarity of a link, and bands x rows of the signature.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 26, 5
@@ -120,6 +120,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """(doc_id, node, bands) of every document: its text's digest and its band keys.
     Texts without words have a null node and nothing else."""
+    text_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +249,7 @@ def _bags(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
                 bags = [shingler.bag(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g, _ in bags], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in bags], pa.binary())], ["node", "grams", "counts"])
 
-    bags = rows.mapInArrow(run, "node binary, grams binary, counts binary")
+    bags = rows.mapInArrow(lambda batches: tidy(run(batches)), "node binary, grams binary, counts binary")
     return cut(bags.dropDuplicates(["node"]), "bag-texts")
 
 

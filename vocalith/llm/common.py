@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -37,10 +39,26 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python in small batches: the default of 10,000 rows is for narrow ones. Another setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def tidy(batches):
     """The batches; once they end, memory that a Python worker's task no longer needs goes back, as workers outlive tasks."""
     yield from batches
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: freed memory stays with the process
+        pass
 
 
 def unit_interval(*cols: Column) -> Column:

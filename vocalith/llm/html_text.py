@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import cut, small_enough, table
+from vocalith.llm.common import cut, small_enough, table, text_batches
 from vocalith.llm.url_filter import host
 
 #: Share of a host's pages on which a class's tokens stand, and pages a host must have, for its texts to be template.
@@ -219,6 +219,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, least: int = PAGES, key:
     templates are broadcast if few, else joined on the host, where a host with many pages may be split. An empty table
     gives no rows; other columns are left out.
     """
+    text_batches(pages.sparkSession)
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(body).alias("html"), host(F.col(url)).alias("host"))
     made = templates(named.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), support, least)
     made = cut(made.where(F.size("texts") > 0).select(F.col("host").alias("_host"), "texts"), "html-templates")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from vocalith.llm.common import spare_name, table, tidy
+from vocalith.llm.common import spare_name, table, text_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -187,6 +187,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, kept: tuple[st
     no ids and are restored as empty. Rows are encoded one by one: repeated rows agree. Names that ``kept`` has already
     get an underscore. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     spark.sparkContext.addFile(model)
     name = os.path.basename(model)
