@@ -52,8 +52,8 @@ class Spark:
     def split(self, s: str, pattern: str) -> str:
         return f"split({s}, {self.lit(pattern)})"
 
-    def slice(self, array: str, n: int) -> str:
-        return f"slice({array}, 1, {n})"
+    def struct(self, **fields: str) -> str:
+        return "struct(" + ", ".join(f"{v} AS {k}" for k, v in fields.items()) + ")"
 
     def hex_int(self, s: str, digits: int) -> str:
         return f"cast(conv(substr(md5({s}), 1, {digits}), 16, 10) AS BIGINT)"
@@ -80,7 +80,8 @@ class Spark:
         return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
 
     def char(self, n: str) -> str:
-        return f"char(cast({n} AS INT))"
+        """The n-th character from U+4E01 on: ``char`` wraps at 256."""
+        return f"decode(unhex(lpad(hex(19968 + {n}), 4, '0')), 'UTF-16BE')"
 
 
 class Duck(Spark):
@@ -130,8 +131,8 @@ class Duck(Spark):
     def split(self, s: str, pattern: str) -> str:
         return f"string_split_regex({s}, {self.lit(pattern)})"
 
-    def slice(self, array: str, n: int) -> str:
-        return f"list_slice({array}, 1, {n})"
+    def struct(self, **fields: str) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
 
     def hex_int(self, s: str, digits: int) -> str:
         return f"('0x' || substr(md5({s}), 1, {digits}))::BIGINT"
@@ -158,4 +159,4 @@ class Duck(Spark):
         return f"epoch_us({ts})"
 
     def char(self, n: str) -> str:
-        return f"chr(cast({n} AS INT))"
+        return f"chr(cast(32 + {n} AS INT))"
