@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vocalith.functions.arrow import arrow
+
 CELLS = 4_000_000
 CHUNK = "struct<op:string,ref_start:int,ref_end:int,hyp_start:int,hyp_end:int>"
 SCORE = f"struct<substitutions:int,deletions:int,insertions:int,hits:int,chunks:array<{CHUNK}>>"
@@ -71,7 +73,7 @@ def align(ref: Sequence[str], hyp: Sequence[str]) -> dict:
     return {"substitutions": steps.count("s"), "deletions": steps.count("d"), "insertions": steps.count("i"), "hits": steps.count("e"), "chunks": chunks}
 
 
-@F.pandas_udf(SCORE)
+@arrow(SCORE)
 def alignment(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """``align`` of two columns of word arrays; null counts as empty."""
     return pd.DataFrame([align([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(ref, hyp)], columns=["substitutions", "deletions", "insertions", "hits", "chunks"])

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from vocalith.sources import schemas as S
 
-_file = F.col("_metadata.file_path")
+
+def _file() -> Column:
+    return F.col("_metadata.file_path")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -33,12 +35,12 @@ def write_sorted_json(df: DataFrame, path: str, key: str = "utt_id", files: int
 
 def read_runs(spark: SparkSession, root: str, mode: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(runs, rows) of every ``*/run.json`` and ``*/results.parquet`` below ``root``; ``mode`` keeps runs of one kind."""
-    name = F.element_at(F.split(_file, "/"), -2)
+    name = F.element_at(F.split(_file(), "/"), -2)
     runs = spark.read.schema(S.RUN).option("multiLine", "true").option("mode", "FAILFAST").json(f"{root}/*/run.json").select("*", name.alias("folder"))
     if mode:
         runs = runs.filter(F.col("mode") == mode)
     rows = spark.read.schema(S.RESULT).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
-    part = F.regexp_extract(_file, r"/([^/]+)/results\.parquet", 1)
+    part = F.regexp_extract(_file(), r"/([^/]+)/results\.parquet", 1)
     rows = rows.select("*", part.alias("folder"))
     return runs, rows.join(F.broadcast(runs.select("folder")), "folder", "left_semi") if mode else rows
 
@@ -70,7 +72,7 @@ def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     A full trace hides a slim copy of the same name.
     """
     text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path)
-    text = text.select(F.regexp_replace(_file, r"\.gz$", "").alias("file"), _file.endswith(".gz").cast("int").alias("slim"), "value")
+    text = text.select(F.regexp_replace(_file(), r"\.gz$", "").alias("file"), _file().endswith(".gz").cast("int").alias("slim"), "value")
     first = text.groupBy("file").agg(F.min_by("value", "slim").alias("value"))
     lines = first.select("file", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     fail = {"mode": "FAILFAST"}
@@ -96,7 +98,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def read_librispeech(spark: SparkSession, root: str) -> DataFrame:
     """Utterances of every ``*.trans.txt``; ``bad`` tells lines whose key isn't that of their folders."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.trans.txt").text(root).select(_file.alias("file"), "value").filter(F.trim("value") != "")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.trans.txt").text(root).select(_file().alias("file"), "value").filter(F.trim("value") != "")
     key = F.regexp_extract("value", r"^(\d+-\d+-\d+) ", 1)
     part, speaker, chapter = (F.regexp_extract("file", r"/([^/]+)/([^/]+)/([^/]+)/[^/]+$", i) for i in (1, 2, 3))
     return lines.select(
