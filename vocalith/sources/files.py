@@ -71,7 +71,7 @@ def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A full trace hides a slim copy of the same name.
     """
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path, wholetext=True)
     text = text.select(F.regexp_replace(_file(), r"\.gz$", "").alias("file"), _file().endswith(".gz").cast("int").alias("slim"), "value")
     first = text.groupBy("file").agg(F.min_by("value", "slim").alias("value"))
     lines = first.select("file", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))

@@ -90,11 +90,11 @@ def advance(state: dict, row: dict) -> dict:
     return out
 
 
-def stream_flags(p: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+def stream_flags(p: DataFrame, timeout_ms: int | None = 600_000) -> DataFrame:
     """``flags`` for a stream: messages wait in the session's state until those before them have come.
 
     A session without news for ``timeout_ms`` of processing time is closed: its waiting messages go out in order, the missing
-    ones left out.
+    ones left out. Without a timeout nothing is given up and states stay, which suits replays that end (``availableNow``).
     """
     out = f"{INPUT}, {FLAGS}"
     names = [f.split()[0] for f in out.split(", ")]
@@ -116,11 +116,12 @@ def stream_flags(p: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
             state.remove()
         else:
             state.update((json.dumps(s),))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=names)
 
     flat = p.select("session", "seq", "t_ns", "provider", "message", "sent", *_CARRIED)
-    done = flat.groupBy("session").applyInPandasWithState(step, out, "state STRING", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    done = flat.groupBy("session").applyInPandasWithState(step, out, "state STRING", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     return done.withColumn("m", F.when(F.col("sent").isNull(), F.from_json("message", MESSAGE)))
 
 
@@ -182,7 +183,7 @@ def batch_events(messages: DataFrame, expect_formatted: bool = True) -> DataFram
     return events(flags(parsed(messages, expect_formatted)))
 
 
-def stream_events(spark: SparkSession, path: str, expect_formatted: bool = True, files_per_trigger: int = 100) -> DataFrame:
+def stream_events(spark: SparkSession, path: str, expect_formatted: bool = True, files_per_trigger: int = 100, timeout_ms: int | None = 600_000) -> DataFrame:
     """Events of a folder of JSON-lines messages, as its files arrive."""
     source = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return events(stream_flags(parsed(source, expect_formatted)))
+    return events(stream_flags(parsed(source, expect_formatted), timeout_ms))
