@@ -127,6 +127,21 @@ def test_template_texts_go_and_slots_stay(spark):
     assert len(made) == 1 and len(made[0].texts) == 1 and any(c.parent is not None or c.tokens > 1 for c in made[0].classes)
 
 
+def test_layouts_of_a_host_have_their_own_templates_and_copies_none(spark):
+    own = lambda i: f"Own text of page {i}, " + "which goes on for a while " * 3 + str(i)
+    notice = "This long notice stands on every page of the shop, whatever else it may say there, and is no text of any page"
+    shop = lambda text: f"<body><div class='shop'><div class='x'><p>{notice}</p></div><p>{text}</p></div></body>"
+    post = lambda i: f"<body><div class='post'><p>{own(i)}</p></div></body>"
+    rows = [(i, "http://h.com/a", shop(own(i))) for i in range(7)] + [(7, "http://h.com/a", shop("Sold out"))] + [(10 + i, "http://h.com/b", post(i)) for i in range(8)]
+    story = "".join(f"<p>Paragraph {i} of a story that is copied from page to page</p>" for i in range(6))
+    rows += [(20 + i, "http://copy.com/a", f"<body><div class='story'>{story}<p>Seen {i} times</p></div></body>") for i in range(8)]
+    rows += [(30 + i, "http://same.com/a", f"<body>{story}</body>") for i in range(8)] + [(40, "http://same.com/b", f"<body><p>{own(40)}</p></body>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [*(own(i) for i in range(7)), "Sold out"]
+    assert [got[10 + i] for i in range(8)] == [own(i) for i in range(8)]
+    assert all(got[20 + i].count("\n") == 6 and got[30 + i].count("\n") == 5 for i in range(8)) and got[40] == own(40)
+
+
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no model file here")
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline

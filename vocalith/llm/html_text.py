@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from vocalith.llm.common import cut, small_enough, table, text_batches
 from vocalith.llm.url_filter import host
 
-#: Share of a host's pages on which a class's tokens stand, and pages a host must have, for its texts to be template.
+#: Share of the different pages with an element on which a text in it stands, and pages the element must have, for the text to be template.
 SUPPORT, PAGES = 0.9, 4
+#: Pages with less than this share of their text in slots are copies of one text, which is no template.
+SLOTS = 0.25
 #: Tables of hosts up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -72,14 +76,14 @@ def _kind(tag: str, attrs: str, above: str) -> tuple[str, str]:
     return above, names
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, str, str]], set[str]]:
-    """The page's blocks in order, each (path, kind, text), and the paths of the elements that hold them.
+def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]:
+    """The page's blocks in order, each (path, kind, text, path of the element that holds it), and the paths of all such elements.
 
     Kinds: ``in`` main, ``heading`` a heading in main's header, ``head`` a header's, ``out`` outside, ``""`` undecided. Markup may be broken: an end tag
     closes what is open inside it, one without a start only ends the block, and a main element that opens in an unclosed
     menu or advert is main all the same.
     """
-    out: list[tuple[str, str, str]] = []
+    out: list[tuple[str, str, str, str]] = []
     stack = [_Holder("", "", "")]
     paths: set[str] = set()
     pieces: list[str] = []
@@ -93,7 +97,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str]], set[str]]:
             kind = "out" if top.kind == "readers" else top.kind
             if kind == "head" and inside:
                 kind = "heading" if _HEADING.match(leaf) else "out"
-            out.append((top.path + "/" + leaf if leaf != top.tag else top.path, kind, text))
+            out.append((top.path + "/" + leaf if leaf != top.tag else top.path, kind, text, top.path))
 
     at = 0
     page = page or ""
@@ -144,72 +148,102 @@ def _token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(path + "\0" + text) - (1 << 63)
 
 
+def _chosen(found: list[tuple[str, str, str, str]]) -> list[tuple[str, str, str, str]]:
+    """The blocks of main elements if there are any, else all that stand in no menu, advert or the like."""
+    kinds = ("in", "heading") if any(x[1] == "in" for x in found) else ("", "heading")
+    return [x for x in found if x[1] in kinds]
+
+
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, text, page, count): on every page, each element path (text 0) and each block (a hash of path and text) with its count."""
+    """(host, path, text, page, count, chars) of pages (host, html): each element path (text 0) and each block (a hash of its path
+    and text, with the path of the element that holds it) with its count. ``page`` is a hash of all the page's blocks, so copies are
+    one page. ``chars`` are those that the token's blocks have in the main text; an element has all the page's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, len(b), 256):
-                rows = []
+                rows: dict[tuple[str, str, int, int], tuple[int, int]] = {}
                 part = b.slice(a, 256)
-                for h, page, body in zip(*(part.column(i).to_pylist() for i in range(3))):
+                for h, body in zip(*(part.column(i).to_pylist() for i in range(2))):
                     found, paths = blocks(body)
-                    count: dict[tuple[str, int], int] = {(p, 0): 1 for p in paths}
-                    count["", 0] = 1
-                    for path, _, text in found:
-                        t = (path, _token(path, text))
-                        count[t] = count.get(t, 0) + 1
-                    rows += [(h, p, t, page, n) for (p, t), n in count.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()))], ["host", "path", "text", "page", "count"])
+                    marks = [_token(path, text) for path, _, text, _ in found]
+                    page = xxhash.xxh64_intdigest(array("q", marks).tobytes()) - (1 << 63)
+                    if (h, "", 0, page) in rows:
+                        continue
+                    main = set(map(id, chosen := _chosen(found)))
+                    total = sum(len(x[2]) for x in chosen)
+                    rows |= {(h, p, 0, page): (1, total) for p in (*paths, "")}
+                    for x, t in zip(found, marks):
+                        n, chars = rows.get((h, x[3], t, page), (0, 0))
+                        rows[h, x[3], t, page] = n + 1, chars + len(x[2]) * (id(x) in main)
+                flat = [(*key, *value) for key, value in rows.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["host", "path", "text", "page", "count", "chars"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, path string, text bigint, page bigint, count int, chars bigint")
+
 
-    return pages.mapInArrow(run, "host string, path string, text bigint, page bigint, count int")
+def _within(path: str, above: str) -> bool:
+    return not above or path == above or path.startswith(above + "/")
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = PAGES) -> DataFrame:
-    """(host, classes, texts): each host's template.
-
-    A token's occurrence vector is how often each page of its host has it, kept as the page count and a sum of the pages'
-    hashes times the counts, which partial sums build up before any shuffle: tokens of one host that share it form an equivalence
-    class. A class is valid if it stands on ``support`` of at least ``least`` pages. Valid classes nest by their elements'
-    paths: ``classes`` lists (path, parent, tokens), the parent being the valid class with the longest path that holds it.
-    ``texts`` has the tokens of valid classes that are texts. What valid classes leave between them are the slots.
-    Hosts' groups have no more tokens than a page holds, over ``support``.
+    """(host, classes, texts): each host's template, from pages (host, html).
+
+    A token's occurrence vector is how often each different page of its host has it, kept as the page count and a sum of the pages'
+    hashes times the counts, which partial sums build up before the second shuffle: tokens of one host that share it form an equivalence
+    class. Elements on at least ``least`` pages are a layout; a text nests in the layout of the element that holds it and is
+    valid if it stands on ``support`` of that layout's pages, however few of the host's they are. ``classes`` lists (path,
+    parent, tokens), the parent being the class with the longest path that holds it. What valid texts leave of a page are
+    its slots; where a layout's pages have less than SLOTS of their text there, they are copies of one text, and the
+    layout's texts are left out. ``texts`` has the valid texts. Hosts' groups have the layouts and valid texts.
     """
-    t = tokens(pages).groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.col("page"), F.lit(1 << 40)) * F.col("count")).alias("vector"))
-    t = cut(t.where("n > 1"), "html-tokens")
-    size = t.where("path = '' AND text = 0").select("host", F.col("n").alias("pages")).where(F.col("pages") >= least)
-    valid = t.join(size, "host").where(F.col("n") >= F.ceil(F.col("pages") * support))
-    classes = valid.groupBy("host", "n", "vector").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.collect_list("text").alias("tokens"))
-    nested = classes.select("host", F.element_at("paths", 1).alias("path"), "tokens")
+    seen = tokens(pages).groupBy("host", "path", "text", "page").agg(F.first("count").alias("count"), F.first("chars").alias("chars"))
+    t = seen.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.col("page"), F.lit(1 << 40)) * F.col("count")).alias("vector"), F.sum("chars").alias("chars"))
+    t = cut(t.where(F.col("n") >= math.ceil(least * support)), "html-tokens")
+    layouts = t.where((F.col("text") == 0) & (F.col("n") >= least))
+    texts = t.where("text != 0").join(layouts.select("host", "path", F.col("n").alias("pages")), ["host", "path"])
+    texts = cut(texts.where(F.col("n") >= F.ceil(F.col("pages") * support)).drop("pages"), "html-texts")
+    used = layouts.join(texts.select("host").distinct(), "host", "left_semi")
 
     def nest(group: pa.Table) -> pa.Table:
-        found = sorted(zip(group.column("path").to_pylist(), group.column("tokens").to_pylist()))
-        tops = [p for p, _ in found]
-        parent = [max((q for q in tops if q != p and p.startswith(q)), key=len, default=None) for p in tops]
-        texts = sorted({t for _, ts in found for t in ts if t})
-        rows = [{"path": p, "parent": q, "tokens": len(ts)} for (p, ts), q in zip(found, parent)]
+        rows = group.select(["path", "text", "n", "vector", "chars"]).to_pylist()
+        layout = {r["path"]: r for r in rows if not r["text"]}
+        valid = [r for r in rows if r["text"]]
+        vector = lambda r: (r["n"], r["vector"])
+
+        def copies(e: dict) -> bool:
+            fixed = 0.0
+            for r in valid:
+                if _within(r["path"], e["path"]) or vector(r) == vector(e):
+                    fixed += r["chars"]
+                elif _within(e["path"], r["path"]):
+                    fixed += r["chars"] * min(1, e["n"] / r["n"])
+            return e["chars"] - fixed < SLOTS * e["chars"]
+
+        copied = {p for p in {r["path"] for r in valid} if copies(layout[p])}
+        valid = [r for r in valid if r["path"] not in copied]
+        classes: dict[tuple[int, int], list[str]] = {}
+        for r in (*layout.values(), *valid):
+            classes.setdefault(vector(r), []).append(r["path"])
+        found = sorted((min(ps, key=lambda p: (len(p), p)), len(ps)) for ps in classes.values())
+        tops = {p for p, _ in found}
+        out = []
+        for p, n in found:
+            q = max((q for q in tops if q != p and _within(p, q)), key=len, default=None)
+            out.append({"path": p, "parent": q, "tokens": n})
         kind = pa.list_(pa.struct([("path", pa.string()), ("parent", pa.string()), ("tokens", pa.int32())]))
-        return pa.table({"host": [group.column("host")[0].as_py()], "classes": pa.array([rows], kind), "texts": pa.array([texts], pa.list_(pa.int64()))})
+        return pa.table({"host": [group.column("host")[0].as_py()], "classes": pa.array([out], kind), "texts": pa.array([sorted({r["text"] for r in valid})], pa.list_(pa.int64()))})
 
-    return nested.groupBy("host").applyInArrow(nest, "host string, classes array<struct<path: string, parent: string, tokens: int>>, texts array<bigint>")
+    return texts.union(used.select(*texts.columns)).groupBy("host").applyInArrow(nest, "host string, classes array<struct<path: string, parent: string, tokens: int>>, texts array<bigint>")
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of the page's main slots, a block a line.
 
     If the page has main elements, their blocks are main; else all blocks are that stand in no menu, advert or the like.
-    Texts of the host's template go, unless they make up half of what is there: then the pages are copies of one text.
+    Texts of the host's template go.
     """
-    found, _ = blocks(page)
-    if any(kind == "in" for _, kind, _ in found):
-        found = [x for x in found if x[1] in ("in", "heading")]
-    else:
-        found = [x for x in found if x[1] in ("", "heading")]
-    if template:
-        left = [x for x in found if _token(x[0], x[2]) not in template]
-        if 2 * sum(len(x[2]) for x in left) > sum(len(x[2]) for x in found):
-            found = left
-    return "\n".join(text for _, _, text in found)
+    return "\n".join(x[2] for x in _chosen(blocks(page)[0]) if not template or _token(x[0], x[2]) not in template)
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, least: int = PAGES, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
@@ -221,7 +255,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, least: int = PAGES, key:
     """
     text_batches(pages.sparkSession)
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(body).alias("html"), host(F.col(url)).alias("host"))
-    made = templates(named.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), support, least)
+    made = templates(named.select("host", "html"), support, least)
     made = cut(made.where(F.size("texts") > 0).select(F.col("host").alias("_host"), "texts"), "html-templates")
     side = F.broadcast(made) if small_enough(made, BROADCAST_HOSTS) else made
     rows = named.join(side, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "texts")
