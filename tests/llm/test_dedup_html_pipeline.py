@@ -111,6 +111,29 @@ def test_main_text_of_a_page():
     assert html_text.main_text("<p>" + "word " * 300_000) == ("word " * 300_000).strip()
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='single has-sidebar'><article><p>kept</p></article></body>", "kept"),
+        ("<body class='comments-open sidebar'><p>kept</p></body>", "kept"),
+        ("<div class='layout-sidebar-right'><article><p>kept</p></article></div>", "kept"),
+        ("<div class='content-sidebar-wrap'><main><p>kept</p></main><div class='sidebar'><p>no</p></div></div>", "kept"),
+        ("<div class='sidebar'><div class='related'><article><p>kept</p></article></div></div>", "kept"),
+        ("<div class='sidebar'>" * 20 + "<main><p>kept</p></main>", "kept"),
+        ("<div class='post'><p>kept</p></div><section class='comments'><article><p>a longer comment</p></article></section>", "kept"),
+        ("<article><p>kept</p></article><section class='post-comments'><article><p>a longer comment</p></article></section>", "kept"),
+        ("<article><p>kept</p></article><div class='sidebar'><article><p>no</p></article></div>", "kept"),
+        ("<p>one</p><svg class='a'/><p>two</p><math/><p>three</p>", "one\ntwo\nthree"),
+        ("<p>one</p><template-card><p>two</p></template-card><object-x></object-x><p>three</p>", "one\ntwo\nthree"),
+        ("<p>one</p><object data='a'><canvas><svg><p>two</p>", "one\ntwo"),
+        ("<p>one</p><svg><title>no</title></svg><canvas>no</canvas><template>no</template><p>two</p>", "one\ntwo"),
+        ("<p>one</p>" + "<canvas>" * 100_000 + "<p>two</p>", "one\ntwo"),
+    ],
+)
+def test_names_and_unclosed_elements_swallow_no_article(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_template_texts_go_and_slots_stay(spark):
     page = lambda i: f"<html><body><div class='post'><p>Subscribe to our letter</p><p>Own text of page {i} goes here at length</p></div></body>"
     rows = [(i, f"http://h.com/{i}", page(i)) for i in range(8)] + [(20 + i, f"http://copy.com/{i}", "<p>same on all pages</p>") for i in range(6)] + [(40, "http://few.com/", page(40)), (41, None, None), (42, "u", ""), (None, "http://h.com/x", page(42)), (0, "http://h.com/0", page(0))]

@@ -24,7 +24,7 @@ SLOTS = 0.25
 BROADCAST_HOSTS = 20_000
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|iframe|svg|object|canvas|math)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|iframe)(?=[\s/>]|\Z).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -32,6 +32,8 @@ _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _set = lambda s: frozenset(s.split())
+#: Elements whose content goes up to their end tag, if there is one; the first two may close themselves.
+CLOSED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("svg", "math", "object", "canvas")}
 #: Elements that begin and end a block of text.
 BLOCKS = _set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul")
 #: Elements that never have an end tag.
@@ -43,19 +45,42 @@ OUTSIDE = _set("head title nav footer aside form menu select button dialog field
 OUTSIDE_NAMES = _set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall comment comments commentlist disqus respond replies reply sidebar rail widget widgets menu nav navbar navigation navigationbar breadcrumb breadcrumbs pagination pager share sharing social related recommended toolbar footer copyright login complementary contentinfo search skip")
 HEADS = _set("header masthead")
 READERS = _set("comment comments commentlist disqus respond replies reply aside sidebar related")
+#: Words before one of these names in a class that make it tell what a page or wrapper has, not what the element is.
+HAS = _set("has with without no layout")
+#: Rounds in which elements that hold the main text are found under each other.
+DEPTH = 8
 _HEADING = re.compile(r"h[1-6]$")
 
 
 class _Holder:
-    __slots__ = ("tag", "path", "kind")
+    __slots__ = ("tag", "path", "kind", "reader")
 
-    def __init__(self, tag: str, path: str, kind: str):
-        self.tag, self.path, self.kind = tag, path, kind  # kind: "" neutral, "in" main, "head" header, "out" outside, "readers" outside for good
+    def __init__(self, tag: str, path: str, kind: str, reader: _Reader | None = None):
+        self.tag, self.path, self.kind, self.reader = tag, path, kind, reader  # kind: "" neutral, "in" main, "head" header, "out" outside, "readers" outside for good
 
 
-def _kind(tag: str, attrs: str, above: str) -> tuple[str, str]:
-    """What an element with these attributes holds within ``above``, and its names."""
-    names, role = "", ""
+class _Reader:
+    """An element that is outside for good by its names alone: the place of its tag, whether a name begins so, and what it holds."""
+
+    __slots__ = ("at", "first", "main", "article", "chars")
+
+    def __init__(self, at: int, first: bool):
+        self.at, self.first, self.main, self.article, self.chars = at, first, False, False, 0
+
+
+def _words(value: str) -> list[list[str]]:
+    """The words of each name, less those that tell what the element has, as in ``has-sidebar``."""
+    names = []
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        names.append([w for i, w in enumerate(words) if not HAS.intersection(words[:i])])
+    return names
+
+
+def _kind(tag: str, attrs: str, above: str, named: bool = True) -> tuple[str, str, bool | None]:
+    """What an element with these attributes holds within ``above``, its names, and, if it is readers' by a name alone, whether
+    one begins so. Names of the whole page don't count, nor those of readers if not ``named``."""
+    names, role, first = "", "", False
     words: set[str] = set()
     if attrs.strip():
         for m in _NAMES.finditer(attrs):
@@ -64,16 +89,21 @@ def _kind(tag: str, attrs: str, above: str) -> tuple[str, str]:
                 role = value.lower()
             elif m[1].lower() == "class":
                 names = "." + ".".join(value.lower().split())
-            words.update(w.lower() for w in _WORDS.findall(value))
-    if above == "readers" or words & READERS or tag == "aside":
-        return "readers", names
+            if tag not in ("html", "body"):
+                for name in _words(value):
+                    words.update(name)
+                    first |= bool(name) and name[0] in READERS
+    if above == "readers" or tag == "aside":
+        return "readers", names, None
+    if named and words & READERS:
+        return "readers", names, first
     if attrs and _HIDDEN.search(attrs) or tag in OUTSIDE or words & OUTSIDE_NAMES:
-        return "out", names
+        return "out", names, None
     if tag in ("article", "main") or role in ("main", "article"):
-        return "in", names
+        return "in", names, None
     if tag == "header" or words & HEADS:
-        return ("out" if above == "out" else "head"), names
-    return above, names
+        return ("out" if above == "out" else "head"), names, None
+    return above, names, None
 
 
 def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]:
@@ -81,13 +111,31 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]
 
     Kinds: ``in`` main, ``heading`` a heading in main's header, ``head`` a header's, ``out`` outside, ``""`` undecided. Markup may be broken: an end tag
     closes what is open inside it, one without a start only ends the block, and a main element that opens in an unclosed
-    menu or advert is main all the same.
+    menu or advert is main all the same. An element is readers' by its names only if it doesn't hold the main text: not if it
+    has a main element, nor if the page's only articles are inside and they are all there is, or, unless a name begins so, the most.
     """
+    free: set[int] = set()
+    for _ in range(DEPTH):
+        out, paths, readers, inside = _parse(page, free)
+        open_ = sum(len(x[2]) for x in out if x[1] in ("", "in"))
+        held = {r.at for r in readers if r.main or r.article and not inside and (not open_ if r.first else r.chars > open_)}
+        if not held:
+            return out, paths
+        free |= held
+    return _parse(page, None)[:2]
+
+
+def _parse(page: str | None, free: set[int] | None) -> tuple[list[tuple[str, str, str, str]], set[str], list[_Reader], bool]:
+    """The page's blocks and paths, the elements that are readers' by names, and whether main elements stand outside of them.
+    Elements whose tags are at ``free`` aren't readers', and none by its names if it is None."""
     out: list[tuple[str, str, str, str]] = []
     stack = [_Holder("", "", "")]
     paths: set[str] = set()
     pieces: list[str] = []
     leaf, inside = "", 0
+    readers: list[_Reader] = []
+    mains = False
+    closed = dict(CLOSED)
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(pieces)).split()) if pieces else ""
@@ -95,13 +143,15 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]
         if text:
             top = stack[-1]
             kind = "out" if top.kind == "readers" else top.kind
+            if top.reader:
+                top.reader.chars += len(text)
             if kind == "head" and inside:
                 kind = "heading" if _HEADING.match(leaf) else "out"
             out.append((top.path + "/" + leaf if leaf != top.tag else top.path, kind, text, top.path))
 
     at = 0
     page = page or ""
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             pieces.append(page[at : m.start()])
         at = m.end()
@@ -109,6 +159,13 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in closed and not m[2]:
+            if not (tag in ("svg", "math") and m[4].endswith("/")):
+                if end := closed[tag].search(page, at):
+                    at = end.end()
+                else:  # nor does a later one end
+                    del closed[tag]
+            continue
         block = tag in BLOCKS
         holds = tag in HOLDERS and (block or m[4].strip() or m[2])
         if block:
@@ -126,7 +183,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]
                 if tag in ("p", "span") and stack[i].tag not in ("p", "span"):
                     break
         else:
-            kind, names = _kind(tag, m[4], stack[-1].kind)
+            kind, names, first = _kind(tag, m[4], stack[-1].kind, free is not None and m.start() not in free)
             if tag in ("p", "span") and kind == stack[-1].kind:
                 continue
             if not block:
@@ -136,12 +193,20 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]
                     stack.pop()
             path = f"{stack[-1].path}/{tag}{names}"
             inside += kind == "in" and tag in ("article", "main")
-            stack.append(_Holder(tag, path, kind))
+            reader = stack[-1].reader
+            if first is not None:
+                readers.append(reader := _Reader(m.start(), first))
+            if tag in ("article", "main"):
+                mains |= kind == "in"
+                if reader:
+                    reader.main |= tag == "main"
+                    reader.article |= tag == "article"
+            stack.append(_Holder(tag, path, kind, reader))
             paths.add(path)
     if at < len(page) and not re.match(r"<[a-zA-Z/!]", page[at:]):
         pieces.append(page[at:])
     flush()
-    return out, paths
+    return out, paths, readers, mains
 
 
 def _token(path: str, text: str) -> int:
