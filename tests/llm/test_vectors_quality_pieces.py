@@ -56,6 +56,22 @@ def test_search_of_few_vectors_returns_all_candidates(spark):
     assert ann.nearest(frame(spark, vectors()[:1])).collect() == []
 
 
+def test_repeated_rows_take_no_places_from_other_neighbours(spark):
+    x = vectors()[:40]
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T - 9 * np.eye(40)
+    more = [(int(i), [float(v) for v in x[i]], 0) for i in s[[0, 20]].argmax(1) for _ in range(12)]
+    far = int((u @ u[0]).argmin())
+    more += [(far, [float(v) for v in x[0] * 2.0**j], 0) for j in range(12)]  # further vectors of one id, as near as 0
+    s[0, far] = 1
+    s[20, far] = max(s[20, far], s[20, 0])
+    got = ann.nearest(frame(spark, x, more), every=20).collect()
+    for q in (0, 20):
+        want = np.lexsort((np.arange(40), -s[q].round(12)))[:5].tolist()
+        assert [(r["rank"], r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == list(enumerate(want, 1))
+
+
 def brute_links(x, least=0.95):
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)

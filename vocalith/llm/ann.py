@@ -113,10 +113,12 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, key:
     Every vector is indexed, in up to REPLICAS lists. A query reads all lists within the calibrated distance ratio, and
     its block of a list is compared exactly, in double precision; lists of any length are dealt into blocks. Ties go to
     the smaller id. Vectors that can't be compared neither ask nor answer; a row is no candidate for its own id. Rows
-    that repeat an id and vector answer once. An empty table gives no rows, and a single vector's query none.
+    that repeat an id and vector are one, and different vectors of an id answer once, with the best score. An empty table gives no rows, and a single vector's query none.
     """
     rows, dims = valid(vectors, key, vec)
     spark = vectors.sparkSession
+    thin = rows.withColumn("vec", F.col("vec").cast("array<float>")) if _floats(vectors, vec) else rows
+    rows = cut(thin.dropDuplicates(["vec_id", "vec"]), "ann-vectors").withColumn("vec", F.col("vec").cast("array<double>"))
     index = spark.sparkContext.broadcast(Index(fitted, rows.count(), k) if len(fitted := sample(rows, FITTED, dims)) else None)
     held = cut(_with_lists(rows, index, dims, False, "lists"), "ann-lists")
     asked = cut(_with_lists(rows.where(F.col("vec_id") % every == 0), index, dims, True, "lists"), "ann-probes")
@@ -127,17 +129,26 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, key:
         if left.num_rows and right.num_rows:
             ids, v = left.column("vec_id").to_numpy(), matrix(left.column("vec"), dims)
             asks, q = right.column("query_id").to_numpy(), matrix(right.column("vec"), dims)
-            uv = unit(v)
+            by_id = np.argsort(ids, kind="stable")
+            ids, uv, v = ids[by_id], unit(v[by_id]), v[by_id]
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            m = min(k, len(first))
             for a in range(0, len(q), 256):
                 s = unit(q[a : a + 256]) @ uv.T
                 s[asks[a : a + 256, None] == ids] = -np.inf
-                kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+                best = np.maximum.reduceat(s, first, axis=1)
+                kth = -np.partition(-best, m - 1, axis=1)[:, m - 1]
                 i, j = np.nonzero((s >= kth[:, None] - 1e-9) & (s > -np.inf))
                 exact = cosines(q[a + i], v[j])
+                order = np.lexsort((-exact, ids[j], i))  # the best of each id
+                i, j, exact = i[order], j[order], exact[order]
+                fresh = np.ones(len(i), bool)
+                fresh[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
+                i, j, exact = i[fresh], j[fresh], exact[fresh]
                 order = np.lexsort((ids[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]
                 start = np.searchsorted(i, i, "left")
-                keep = np.arange(len(i)) - start < 2 * k  # an id may be there twice
+                keep = np.arange(len(i)) - start < k
                 out["query_id"].append(asks[a + i[keep]])
                 out["vec_id"].append(ids[j[keep]])
                 out["score"].append(exact[keep])
