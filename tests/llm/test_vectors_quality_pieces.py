@@ -99,6 +99,15 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, per_cell):
     assert embedding_dedup.link(frame(spark, x[:0])).collect() == []
 
 
+def test_different_vectors_of_one_id_link_and_count_apart(spark):
+    x = vectors()[:6]
+    near = lambda v, j: [float(a) for a in v + 0.001 * j * np.arange(16, dtype=np.float32)]
+    rows = [(7, near(x[0], 0), 0), (7, near(x[0], 1), 0), (3, near(x[0], 2), 0), (9, near(x[1], 0), 0), (9, near(x[2], 0), 0), (5, near(x[2], 1), 0)]
+    rows.append(rows[0])
+    got = sorted(tuple(r) for r in embedding_dedup.link(spark.createDataFrame(rows, VECS)).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == sorted([(7, 3, 3, False)] * 3 + [(3, 3, 3, True), (9, 0, 9, True), (9, 1, 5, False), (5, 1, 5, True)])
+
+
 def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch):
     import vocalith.llm.vectors as v
 

@@ -84,8 +84,9 @@ def link(vectors: DataFrame, least: float = LEAST, key: str = "vec_id", vec: str
     rows, dims = valid(vectors, key, vec)
     sign = [F.xxhash64(F.lit(s), "vec").alias(f"h{s}") for s in (1, 2)]
     same = rows.withColumn("vec", F.transform("vec", lambda x: x + 0.0)).select("vec_id", "vec", *sign)
-    base = cut(same.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")), "near-vectors")
-    fitted = sample(base.withColumnRenamed("rep", "vec_id"), FITTED, dims)
+    base = same.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
+    base = cut(base.withColumn("rep", F.monotonically_increasing_id()), "near-vectors")  # numbers vectors, as ids may be shared
+    fitted = sample(base.select(F.col("id").alias("vec_id"), "vec"), FITTED, dims)
     index = spark.sparkContext.broadcast(MultiIndex(fitted, base.count(), least) if len(fitted) else None)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +135,10 @@ def link(vectors: DataFrame, least: float = LEAST, key: str = "vec_id", vec: str
     found = cut(stored.groupBy(*by).cogroup(asking.groupBy(*by)).applyInArrow(meet, "a bigint, b bigint, n bigint"), "near-found")
     counts = found.where("n > 0").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("others"))
     roots = components(found.where("n = 0").select("a", "b"), "near-cc").withColumnRenamed("node", "_node")
-    reps = base.select("h1", "h2", "rep", "n").join(counts, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("_node"), "left")
-    reps = reps.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    least_id = roots.join(base.select("rep", "id"), F.col("_node") == F.col("rep")).groupBy(F.col("root").alias("_root")).agg(F.min("id").alias("least_id"))
+    roots = roots.join(least_id, F.col("root") == F.col("_root")).select("_node", "least_id")
+    reps = base.select("h1", "h2", "rep", "id", "n").join(counts, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("_node"), "left")
+    reps = reps.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least_id", "id").alias("component_id"))
     linked = same.select("vec_id", "h1", "h2").join(reps, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     every = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"))
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0) & (F.size("vec") == dims)
