@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -146,8 +147,76 @@ def test_template_texts_go_and_slots_stay(spark):
     assert got[40, "http://few.com/"].text.startswith("Subscribe")
     assert (got[41, None].text, got[41, None].n_chars) == ("", 0)
     assert html_text.extract(pages.where("false")).collect() == []
-    made = html_text.templates(spark.createDataFrame([("h.com", i, page(i)) for i in range(8)], "host string, page bigint, html string")).collect()
-    assert len(made) == 1 and len(made[0].texts) == 1 and any(c.parent is not None or c.tokens > 1 for c in made[0].classes)
+
+
+def parsed(spark, rows):
+    return html_text.tokens(spark.createDataFrame(rows, "page_id bigint, url string, host string, html string"))
+
+
+def test_classes_match_brute_force(spark):
+    rng = random.Random(4)
+    item = lambda i, k: f"<ul class='x'><li>Item {i}-{k}</li></ul>"
+    rows = []
+    for i in range(12):
+        ad = f"<div class='b'><p>Buy thing {i}</p></div>" if i % 3 else ""
+        body = "".join(item(i, k) for k in range(rng.randrange(0, 4)))
+        rows.append((i, "u", "h.com", f"<html><body><div class='a'><p>Read our letter</p></div>{ad}<div class='c'><p>Story {i} {'word ' * 30}</p>{body}</div></body></html>"))
+    rows += [(20, "u", "h.com", rows[0][3]), (21, "u", "other.com", rows[1][3])]
+    bags = {}
+    for _, _, h, body in rows:
+        p = html_text.tokenised(body)
+        bags[h, p["page"]] = {b["id"]: b for b in p["bag"]}
+    vectors, size = defaultdict(list), Counter()
+    for h in ("h.com", "other.com"):
+        pages = sorted(k for k in bags if k[0] == h)
+        ids = {i: b for k in pages for i, b in bags[k].items()}
+        on = {i: sum(i in bags[k] for k in pages) for i in ids}
+        for i, b in ids.items():
+            if b["path"] is not None or (on[b["above"]] >= 4 and on[i] >= 0.9 * on[b["above"]]):
+                vectors[h, tuple(bags[k].get(i, {"count": 0})["count"] for k in pages)].append(i)
+                size[h, tuple(bags[k].get(i, {"count": 0})["count"] for k in pages)] += 1 if b["path"] is None else 2
+    want = {(v[0], frozenset(ids)) for v, ids in vectors.items() if size[v] >= 2}
+    got = defaultdict(set)
+    for r in html_text.classes(parsed(spark, rows)).collect():
+        got[r.host, r.cls].add(r.id)
+        assert r["size"] == size[next(v for v, ids in vectors.items() if v[0] == r.host and r.id in ids)]
+    assert {(h, frozenset(ids)) for (h, _), ids in got.items()} == want
+    assert len(want) >= 4 and any(html_text.text_token("/html/body/div.a/p", "Read our letter") in ids for _, ids in want)
+    nested = {r.path: r.parent for r in html_text.templates(parsed(spark, rows)).where("host = 'h.com' AND path IS NOT NULL").collect()}
+    assert nested["/html/body/div.b"] == "/html/body/div.a" and nested["/html/body/div.c/ul.x"] in ("/html/body/div.c", None) and nested[""] is None
+
+
+def test_classes_out_of_order_or_crossing_are_no_template(spark):
+    one = lambda i: f"<div class='a'>x{i}</div><div class='b'>y{i}</div>"
+    two = lambda i: f"<div class='b'>y{i}</div><div class='a'>x{i}</div>"
+    rows = [(i, "u", "mixed", (one if i % 2 else two)(i)) for i in range(8)] + [(10 + i, "u", "same", one(i)) for i in range(8)]
+    got = {(r.host, r.path) for r in html_text.templates(parsed(spark, rows)).collect()}
+    assert {p for h, p in got if h == "same"} == {"", "/div.a", "/div.b"} and not any(p for h, p in got if h == "mixed")
+    assert html_text.arrangement([1, 2, ~1, ~2], {1: 0, ~1: 0, 2: 1, ~2: 1}, {0: 2, 1: 2})[1][2] is False
+    assert html_text.arrangement([1, 2, ~2, 2, ~2, ~1], {1: 0, ~1: 0, 2: 1, ~2: 1}, {0: 2, 1: 2}) == {0: (html_text.arrangement([1, ~1], {1: 0, ~1: 0}, {0: 2})[0][0], 0, True), 1: (html_text.arrangement([2, ~2], {2: 1, ~2: 1}, {1: 2})[1][0], 1, True)}
+
+
+def test_slots_tell_neutral_elements_apart(spark):
+    words = lambda i, n: " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(n))
+    page = lambda i: (
+        f"<html><body><div class='q1'><a href='/{i}'>{words(i, 3)}</a> <a href='/x'>{words(i + 1, 4)}</a></div><div class='q2'><p>{words(i + 2, 6)}</p></div>"
+        f"<h1>Title {i}</h1><div class='q3'><p>{words(i + 3, 80)}</p><p>{words(i + 4, 60)}</p></div><div class='q4'><p>{words(i + 5, 50)}</p></div><div class='q5'><p>{words(i + 6, 8)}</p></div></body></html>"
+    )
+    rows = [(i, f"http://n.com/{i}", page(i)) for i in range(9)] + [(20, "http://lone.com/", page(20))]
+    linked = lambda i: f"<article><p>{words(i, 40)}</p><div class='r'><a href='/1'>{words(i + 1, 20)}</a></div><div class='s'><p>{words(i + 2, 5)}</p></div></article>"
+    rows += [(30 + i, f"http://l.com/{i}", linked(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i] == "\n".join([f"Title {i}", words(i + 3, 80), words(i + 4, 60), words(i + 5, 50)])
+    assert words(22, 6) in got[20] and words(23, 80) in got[20]  # one page alone has no statistics
+    assert got[31] == f"{words(1, 40)}\n{words(3, 5)}"
+
+
+@pytest.mark.parametrize("tail", ["<a " + "\"" * 10_000, "<a b=\"" * 10_001, "<!" * 100_000, "<script>" * 50_000, "<a b='" * 5001 + "<a c=\"" * 5001])
+def test_broken_tags_take_no_time(tail):
+    start = time.time()
+    assert html_text.main_text("<p>a</p>" + tail) == "a"
+    assert time.time() - start < 0.5
 
 
 def test_layouts_of_a_host_have_their_own_templates_and_copies_none(spark):

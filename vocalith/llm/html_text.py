@@ -1,13 +1,22 @@
-"""Main text of web pages by equivalence-class template deduction over same-host pages."""
+"""Main text of web pages by equivalence-class template deduction over same-host pages.
+
+A page becomes a sequence of tokens: its elements' open and close tags, told apart by their paths, and its blocks of text.
+Tokens of a host that occur equally often on every page, that is with one occurrence vector, form an equivalence class. A
+class is valid if it is large and frequent enough, comes in one order on its pages, and lies in one slot of the class around it.
+Valid classes, nested, are the host's template; what stands between two of its tokens is a slot. Slots' statistics over the host's
+pages tell which of them hold the main text; tags and names of elements decide between blocks that slots don't tell apart.
+"""
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from array import array
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +25,24 @@ from pyspark.sql import functions as F
 from vocalith.llm.common import cut, small_enough, table, text_batches
 from vocalith.llm.url_filter import host
 
-#: Share of the different pages with an element on which a text in it stands, and pages the element must have, for the text to be template.
+#: Share of an element's different pages on which a text in it, or an order of a class, stands to be template, and pages that
+#: statistics need: a text on fewer can't be told from a copy, nor a slot's usual content from one page's.
 SUPPORT, PAGES = 0.9, 4
+#: Share of a host's pages that an element of the template has, and tokens of a class: a single element's two tags are a class, a single text isn't.
+SHARE, SIZE = 0.01, 2
 #: Pages with less than this share of their text in slots are copies of one text, which is no template.
 SLOTS = 0.25
+#: Text a page, as a share of the main slot's, with which a slot elsewhere is main as well, and share of its text in links with which none is.
+RICH, LINKED = 0.25, 0.8
 #: Tables of hosts up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|iframe)(?=[\s/>]|\Z).*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_MARK = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+#: Attributes up to the end of a tag. A quote opens a value behind an equals sign only; nothing is ever tried twice.
+_ATTRS = re.compile(r"((?:[^>\"']++|(?:(?<==)|(?<==\s))(?:\"[^\"]*+\"|'[^']*+')|[\"'])*+)>")
+_ENDS = {"<!--": "-->", "<![CDATA[": "]]>"}
+#: Elements without text of their own; their content goes up to their end tag or the page's end.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe")}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -106,38 +121,54 @@ def _kind(tag: str, attrs: str, above: str, named: bool = True) -> tuple[str, st
     return above, names, None
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, str, str, str]], set[str]]:
-    """The page's blocks in order, each (path, kind, text, path of the element that holds it), and the paths of all such elements.
+class Page:
+    """A page's blocks in order, each (path, kind, text, path of the element that holds it, characters in links), and ``trail``: its tags and
+    blocks in order, as (path, open or close, kind) and places of blocks. Kinds: ``in`` main, ``heading`` a heading in main's header,
+    ``head`` a header's, ``out`` outside, ``""`` undecided."""
 
-    Kinds: ``in`` main, ``heading`` a heading in main's header, ``head`` a header's, ``out`` outside, ``""`` undecided. Markup may be broken: an end tag
-    closes what is open inside it, one without a start only ends the block, and a main element that opens in an unclosed
-    menu or advert is main all the same. An element is readers' by its names only if it doesn't hold the main text: not if it
-    has a main element, nor if the page's only articles are inside and they are all there is, or, unless a name begins so, the most.
-    """
+    __slots__ = ("blocks", "trail", "readers", "mains")
+
+    def __init__(self):
+        self.blocks: list[tuple[str, str, str, str, int]] = []
+        self.trail: list[int | tuple[str, bool, str]] = []
+        self.readers: list[_Reader] = []
+        self.mains = False
+
+    @property
+    def paths(self) -> set[str]:
+        return {x[0] for x in self.trail if isinstance(x, tuple)}
+
+    def chosen(self) -> list[bool]:
+        """Blocks that tags and names leave: those of main elements if there are any, else all that stand in no menu, advert or the like."""
+        kinds = ("in", "heading") if any(x[1] == "in" for x in self.blocks) else ("", "heading")
+        return [x[1] in kinds for x in self.blocks]
+
+
+def parse(page: str | None) -> Page:
+    """Markup may be broken: an end tag closes what is open inside it, one without a start only ends the block, and a main
+    element that opens in an unclosed menu or advert is main all the same. An element is readers' by its names only if it doesn't hold
+    the main text: not if it has a main element, nor if the page's only articles are inside and they are all there is, or, unless
+    a name begins so, the most."""
     free: set[int] = set()
     for _ in range(DEPTH):
-        out, paths, readers, inside = _parse(page, free)
-        open_ = sum(len(x[2]) for x in out if x[1] in ("", "in"))
-        held = {r.at for r in readers if r.main or r.article and not inside and (not open_ if r.first else r.chars > open_)}
+        found = _parse(page or "", free)
+        open_ = sum(len(x[2]) for x in found.blocks if x[1] in ("", "in"))
+        held = {r.at for r in found.readers if r.main or r.article and not found.mains and (not open_ if r.first else r.chars > open_)}
         if not held:
-            return out, paths
+            return found
         free |= held
-    return _parse(page, None)[:2]
+    return _parse(page or "", None)
 
 
-def _parse(page: str | None, free: set[int] | None) -> tuple[list[tuple[str, str, str, str]], set[str], list[_Reader], bool]:
-    """The page's blocks and paths, the elements that are readers' by names, and whether main elements stand outside of them.
-    Elements whose tags are at ``free`` aren't readers', and none by its names if it is None."""
-    out: list[tuple[str, str, str, str]] = []
-    stack = [_Holder("", "", "")]
-    paths: set[str] = set()
+def _parse(page: str, free: set[int] | None) -> Page:
+    """Elements whose tags are at ``free`` aren't readers', and none by its names if it is None. Takes time in proportion to the page."""
+    out, stack = Page(), [_Holder("", "", "")]
     pieces: list[str] = []
-    leaf, inside = "", 0
-    readers: list[_Reader] = []
-    mains = False
-    closed = dict(CLOSED)
+    leaf, inside, linked, link, loose, at = "", 0, 0, False, False, 0
+    closed, raw = dict(CLOSED), dict.fromkeys(RAW, True)
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split()) if pieces else ""
         pieces.clear()
         if text:
@@ -147,192 +178,466 @@ def _parse(page: str | None, free: set[int] | None) -> tuple[list[tuple[str, str
                 top.reader.chars += len(text)
             if kind == "head" and inside:
                 kind = "heading" if _HEADING.match(leaf) else "out"
-            out.append((top.path + "/" + leaf if leaf != top.tag else top.path, kind, text, top.path))
-
-    at = 0
-    page = page or ""
-    while m := _TAG.search(page, at):
+            out.trail.append(len(out.blocks))
+            out.blocks.append((top.path + "/" + leaf if leaf != top.tag else top.path, kind, text, top.path, min(linked, len(text))))
+        linked = 0
+
+    def close(n: int) -> None:
+        for h in reversed(stack[n:]):
+            out.trail.append((h.path, False, h.kind))
+        del stack[n:]
+
+    def said(text: str) -> None:
+        nonlocal linked
+        pieces.append(text)
+        if link:
+            linked += len(text.strip())
+
+    while m := _MARK.search(page, at):
         if m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if not tag:
+            said(page[at : m.start()])
+        if not m[2]:
+            end = _ENDS.get(m[0], ">")
+            at = page.find(end, m.start() + 2)
+            at = len(page) if at < 0 else at + len(end)
             continue
-        tag = tag.lower()
-        if tag in closed and not m[2]:
-            if not (tag in ("svg", "math") and m[4].endswith("/")):
+        a = None if loose else _ATTRS.match(page, m.end())
+        if a:
+            attrs, at = a[1], a.end()
+        else:  # no tag ends from here on if quotes count
+            loose, end = True, page.find(">", m.end())
+            if end < 0:
+                at = len(page)
+                break
+            attrs, at = page[m.end() : end], end + 1
+        tag, ends = m[2].lower(), bool(m[1])
+        if tag in RAW and not ends:
+            end = RAW[tag].search(page, at) if raw[tag] else None
+            raw[tag], at = bool(end), end.end() if end else len(page)
+            continue
+        if tag in closed and not ends:
+            if not (tag in ("svg", "math") and attrs.endswith("/")):
                 if end := closed[tag].search(page, at):
                     at = end.end()
                 else:  # nor does a later one end
                     del closed[tag]
             continue
+        if tag == "a":
+            link = not ends and "href" in attrs
         block = tag in BLOCKS
-        holds = tag in HOLDERS and (block or m[4].strip() or m[2])
+        holds = tag in HOLDERS and (block or attrs.strip() or ends)
         if block:
             flush()
-            leaf = "" if m[2] else tag
+            leaf = "" if ends else tag
         if not holds or tag in VOID:
             continue
-        if m[2]:
+        if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     flush()
                     inside -= sum(h.kind == "in" and h.tag in ("article", "main") for h in stack[i:])
-                    del stack[i:]
+                    close(i)
+                    link = False
                     break
                 if tag in ("p", "span") and stack[i].tag not in ("p", "span"):
                     break
         else:
-            kind, names, first = _kind(tag, m[4], stack[-1].kind, free is not None and m.start() not in free)
+            kind, names, first = _kind(tag, attrs, stack[-1].kind, free is not None and m.start() not in free)
             if tag in ("p", "span") and kind == stack[-1].kind:
                 continue
             if not block:
                 flush()
             if tag == "p":
                 while stack[-1].tag == "p":
-                    stack.pop()
+                    close(len(stack) - 1)
             path = f"{stack[-1].path}/{tag}{names}"
             inside += kind == "in" and tag in ("article", "main")
             reader = stack[-1].reader
             if first is not None:
-                readers.append(reader := _Reader(m.start(), first))
+                out.readers.append(reader := _Reader(m.start(), first))
             if tag in ("article", "main"):
-                mains |= kind == "in"
+                out.mains |= kind == "in"
                 if reader:
                     reader.main |= tag == "main"
                     reader.article |= tag == "article"
             stack.append(_Holder(tag, path, kind, reader))
-            paths.add(path)
-    if at < len(page) and not re.match(r"<[a-zA-Z/!]", page[at:]):
-        pieces.append(page[at:])
+            out.trail.append((path, True, kind))
+    if at < len(page):
+        said(page[at:])
     flush()
-    return out, paths, readers, mains
+    close(1)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The text that tags and names alone leave of a page, a block a line: what ``extract`` starts from."""
+    found = parse(page)
+    return "\n".join(x[2] for x, c in zip(found.blocks, found.chosen()) if c)
+
+
+# ---- tokens
+
+#: What a token is: an element's open tag, its close tag; whether a main element's or a block that tags leave; a heading.
+OPEN, CLOSE, MAIN, HEADING = 1, 2, 4, 8
+
 
+def element(path: str) -> int:
+    """The open tag's token; the close tag's is its complement."""
+    return xxhash.xxh64_intdigest("\1" + path) - (1 << 63)
 
-def _token(path: str, text: str) -> int:
+
+def text_token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(path + "\0" + text) - (1 << 63)
 
 
-def _chosen(found: list[tuple[str, str, str, str]]) -> list[tuple[str, str, str, str]]:
-    """The blocks of main elements if there are any, else all that stand in no menu, advert or the like."""
-    kinds = ("in", "heading") if any(x[1] == "in" for x in found) else ("", "heading")
-    return [x for x in found if x[1] in kinds]
+#: The page itself, which every page has once.
+ROOT = element("")
+
+_PARSED = "page bigint, tok array<bigint>, info array<int>, texts array<string>, chars array<int>, links array<int>, bag array<struct<id: bigint, path: string, above: bigint, count: int, chars: bigint>>"
+_BAG = pa.list_(pa.struct([("id", pa.int64()), ("path", pa.string()), ("above", pa.int64()), ("count", pa.int32()), ("chars", pa.int64())]))
+_TYPES = {"page": pa.int64(), "tok": pa.list_(pa.int64()), "info": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "chars": pa.list_(pa.int32()), "links": pa.list_(pa.int32()), "bag": _BAG}
+
+
+def tokenised(page: str | None) -> dict:
+    """A page as tokens in order with their ``info``, the texts of its blocks, and its bag of different tokens with their counts; an
+    element's ``chars`` are all that tags leave of the page. ``page`` is a hash of all blocks, so copies are one page."""
+    found = parse(page)
+    chosen, ids = found.chosen(), {"": ROOT}
+    tok, info, texts, chars, links = [ROOT], [OPEN], [], [], []
+    bag: dict[int, list] = {}
+    total = sum(len(x[2]) for x, c in zip(found.blocks, chosen) if c)
+    for x in (("", True, ""), *found.trail):
+        if isinstance(x, tuple):
+            path, opens, kind = x
+            t = ids.get(path)
+            if t is None:
+                t = ids[path] = element(path)
+            if path:
+                tok.append(t if opens else ~t)
+                info.append((OPEN if opens else CLOSE) | (MAIN if kind == "in" else 0))
+            if opens:
+                bag.setdefault(t, [t, path, None, 0, total])[3] += 1
+        else:
+            path, _, text, above, linked = found.blocks[x]
+            t = text_token(path, text)
+            tok.append(t)
+            info.append((MAIN if chosen[x] else 0) | (HEADING if _HEADING.match(path.rpartition("/")[2]) else 0))
+            texts.append(text)
+            chars.append(len(text))
+            links.append(linked)
+            entry = bag.setdefault(t, [t, None, ids[above], 0, 0])
+            entry[3] += 1
+            entry[4] += len(text) * chosen[x]
+    marks = array("q", (t for t, i in zip(tok, info) if not i & (OPEN | CLOSE)))
+    tok.append(~ROOT)
+    info.append(CLOSE)
+    page_hash = xxhash.xxh64_intdigest(marks.tobytes()) - (1 << 63)
+    return {"page": page_hash, "tok": tok, "info": info, "texts": texts, "chars": chars, "links": links, "bag": [dict(zip(("id", "path", "above", "count", "chars"), b)) for b in bag.values()]}
+
+
+def _batched(run, columns: int, size: int = 256):
+    """``run`` over slices of at most ``size`` rows, whose first ``columns`` columns come as lists."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, len(b), size):
+                part = b.slice(a, size)
+                yield run(part, *(part.column(i).to_pylist() for i in range(columns)))
+
+    return go
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, text, page, count, chars) of pages (host, html): each element path (text 0) and each block (a hash of its path
-    and text, with the path of the element that holds it) with its count. ``page`` is a hash of all the page's blocks, so copies are
-    one page. ``chars`` are those that the token's blocks have in the main text; an element has all the page's."""
+    """``pages`` (page_id, url, host, html) without html, with the columns of ``tokenised``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, len(b), 256):
-                rows: dict[tuple[str, str, int, int], tuple[int, int]] = {}
-                part = b.slice(a, 256)
-                for h, body in zip(*(part.column(i).to_pylist() for i in range(2))):
-                    found, paths = blocks(body)
-                    marks = [_token(path, text) for path, _, text, _ in found]
-                    page = xxhash.xxh64_intdigest(array("q", marks).tobytes()) - (1 << 63)
-                    if (h, "", 0, page) in rows:
-                        continue
-                    main = set(map(id, chosen := _chosen(found)))
-                    total = sum(len(x[2]) for x in chosen)
-                    rows |= {(h, p, 0, page): (1, total) for p in (*paths, "")}
-                    for x, t in zip(found, marks):
-                        n, chars = rows.get((h, x[3], t, page), (0, 0))
-                        rows[h, x[3], t, page] = n + 1, chars + len(x[2]) * (id(x) in main)
-                flat = [(*key, *value) for key, value in rows.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["host", "path", "text", "page", "count", "chars"])
-
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, text bigint, page bigint, count int, chars bigint")
+    def run(part: pa.RecordBatch, bodies: list) -> pa.RecordBatch:
+        rows = [tokenised(x) for x in bodies]
+        return pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array([r[n] for r in rows], t) for n, t in _TYPES.items())], [*part.schema.names[1:], *_TYPES])
+
+    out = pages.select("page_id", "url", "host").schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out)
+    return pages.select("html", "page_id", "url", "host").mapInArrow(_batched(run, 1), f"{ddl}, {_PARSED}")
+
+
+# ---- equivalence classes
+
+#: A token of a host's classes as it travels with pages: its class, whether it is an element that no page has twice, and the class's size.
+_TOKEN = np.dtype([("id", "<i8"), ("cls", "<i4"), ("size", "<i4"), ("single", "?"), ("text", "?")])
 
 
 def _within(path: str, above: str) -> bool:
     return not above or path == above or path.startswith(above + "/")
 
 
-def templates(pages: DataFrame, support: float = SUPPORT, least: int = PAGES) -> DataFrame:
-    """(host, classes, texts): each host's template, from pages (host, html).
+def classes(parsed: DataFrame, support: float = SUPPORT, least: int = PAGES) -> DataFrame:
+    """(host, cls, id, path, n, single, size): the tokens of each host's equivalence classes, before their order is looked at.
 
-    A token's occurrence vector is how often each different page of its host has it, kept as the page count and a sum of the pages'
-    hashes times the counts, which partial sums build up before the second shuffle: tokens of one host that share it form an equivalence
-    class. Elements on at least ``least`` pages are a layout; a text nests in the layout of the element that holds it and is
-    valid if it stands on ``support`` of that layout's pages, however few of the host's they are. ``classes`` lists (path,
-    parent, tokens), the parent being the class with the longest path that holds it. What valid texts leave of a page are
-    its slots; where a layout's pages have less than SLOTS of their text there, they are copies of one text, and the
-    layout's texts are left out. ``texts`` has the valid texts. Hosts' groups have the layouts and valid texts.
+    A token's occurrence vector is how often each different page of its host has it, kept as its pages, and a hash over (page, count) that
+    partial sums build up. An element counts if SHARE of the host's pages have it, which bounds a host's tokens by a hundred
+    pages' worth; a text counts if its element is on ``least`` pages and it stands on ``support`` of them. Elements
+    count as two tokens, texts as one, and a class of less than SIZE is none. Where less than SLOTS of the text of an element's pages
+    would be left in slots, they are copies of one text, and texts in it are none of the template.
     """
-    seen = tokens(pages).groupBy("host", "path", "text", "page").agg(F.first("count").alias("count"), F.first("chars").alias("chars"))
-    t = seen.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.col("page"), F.lit(1 << 40)) * F.col("count")).alias("vector"), F.sum("chars").alias("chars"))
-    t = cut(t.where(F.col("n") >= math.ceil(least * support)), "html-tokens")
-    layouts = t.where((F.col("text") == 0) & (F.col("n") >= least))
-    texts = t.where("text != 0").join(layouts.select("host", "path", F.col("n").alias("pages")), ["host", "path"])
-    texts = cut(texts.where(F.col("n") >= F.ceil(F.col("pages") * support)).drop("pages"), "html-texts")
-    used = layouts.join(texts.select("host").distinct(), "host", "left_semi")
-
-    def nest(group: pa.Table) -> pa.Table:
-        rows = group.select(["path", "text", "n", "vector", "chars"]).to_pylist()
-        layout = {r["path"]: r for r in rows if not r["text"]}
-        valid = [r for r in rows if r["text"]]
-        vector = lambda r: (r["n"], r["vector"])
+    bag = parsed.select("host", "page", F.explode("bag").alias("b")).select("host", "page", "b.*")
+    seen = bag.groupBy("host", "page", "id").agg(*[F.first(c).alias(c) for c in ("path", "above", "count", "chars")])
+    t = seen.groupBy("host", "id").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.max("count").alias("most"), F.min("path").alias("path"), F.min("above").alias("above"), F.sum("chars").alias("chars")
+    )
+    t = cut(t, "html-tokens")
+    whole = t.where(F.col("id") == ROOT).select("host", F.col("n").alias("pages"))
+    kinds = t.where("path IS NOT NULL").join(whole, "host").where(F.col("n") >= F.col("pages") * SHARE).drop("pages")
+    holds = kinds.where(F.col("n") >= least).select("host", F.col("id").alias("above"), F.col("n").alias("pages"))
+    texts = t.where(F.col("path").isNull()).join(holds, ["host", "above"]).where(F.col("n") >= F.ceil(F.col("pages") * support)).drop("pages")
+    both = cut(kinds.select(*t.columns).union(texts.select(*t.columns)), "html-candidates")
+
+    def group(rows: pa.Table) -> pa.Table:
+        rows = sorted(rows.to_pylist(), key=lambda r: (r["path"] is None, r["path"] or "", r["id"]))
+        paths = {r["id"]: r["path"] for r in rows if r["path"] is not None}
+        texts = [r for r in rows if r["path"] is None]
+        by = lambda r: (r["n"], r["vector"])
 
         def copies(e: dict) -> bool:
             fixed = 0.0
-            for r in valid:
-                if _within(r["path"], e["path"]) or vector(r) == vector(e):
+            for r in texts:
+                if _within(paths[r["above"]], e["path"]) or by(r) == by(e):
                     fixed += r["chars"]
-                elif _within(e["path"], r["path"]):
+                elif _within(e["path"], paths[r["above"]]):
                     fixed += r["chars"] * min(1, e["n"] / r["n"])
             return e["chars"] - fixed < SLOTS * e["chars"]
 
-        copied = {p for p in {r["path"] for r in valid} if copies(layout[p])}
-        valid = [r for r in valid if r["path"] not in copied]
-        classes: dict[tuple[int, int], list[str]] = {}
-        for r in (*layout.values(), *valid):
-            classes.setdefault(vector(r), []).append(r["path"])
-        found = sorted((min(ps, key=lambda p: (len(p), p)), len(ps)) for ps in classes.values())
-        tops = {p for p, _ in found}
-        out = []
-        for p, n in found:
-            q = max((q for q in tops if q != p and _within(p, q)), key=len, default=None)
-            out.append({"path": p, "parent": q, "tokens": n})
-        kind = pa.list_(pa.struct([("path", pa.string()), ("parent", pa.string()), ("tokens", pa.int32())]))
-        return pa.table({"host": [group.column("host")[0].as_py()], "classes": pa.array([out], kind), "texts": pa.array([sorted({r["text"] for r in valid})], pa.list_(pa.int64()))})
+        used = {r["above"] for r in texts}
+        copied = {r["id"] for r in rows if r["id"] in used and copies(r)}
+        rows = [r for r in rows if r["above"] not in copied]
+        sizes = Counter()
+        for r in rows:
+            sizes[by(r)] += 1 if r["path"] is None else 2
+        numbers = {v: i for i, v in enumerate(dict.fromkeys(map(by, rows)))}
+        rows = [r for r in rows if sizes[by(r)] >= SIZE]
+        cols = {"host": [r["host"] for r in rows], "cls": [numbers[by(r)] for r in rows], "id": [r["id"] for r in rows], "path": [r["path"] for r in rows], "n": [r["n"] for r in rows], "single": [r["most"] == 1 for r in rows], "size": [sizes[by(r)] for r in rows]}
+        return pa.table([pa.array(v, t) for v, t in zip(cols.values(), (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int32()))], list(cols))
+
+    return both.groupBy("host").applyInArrow(group, "host string, cls int, id bigint, path string, n bigint, single boolean, size int")
+
+
+def arrangement(tok: list[int], of: dict[int, int], sizes: dict[int, int]) -> dict[int, tuple[int, int, bool]]:
+    """For each class on a page: a hash of its order, the token of the class around it behind which it lies, and whether it fits.
+
+    A class's tokens must come in one order, as often as its first does, and each of its instances between two neighbouring tokens of the
+    instance around it. Of two classes that cross, the one of fewer tokens doesn't fit.
+    """
+    places: dict[int, list[int]] = {}
+    for i, t in enumerate(tok):
+        if (c := of.get(t)) is not None:
+            places.setdefault(c, []).append(i)
+    bad, order, spans, around = set(), {}, [], {}
+    for c, at in places.items():
+        m = sizes[c]
+        seq = [tok[i] for i in at]
+        if len(seq) % m or seq != seq[:m] * (len(seq) // m):
+            bad.add(c)
+        order[c] = xxhash.xxh64_intdigest(array("q", seq[:m]).tobytes()) - (1 << 63)
+        spans += [(at[i], at[min(i + m, len(at)) - 1], c) for i in range(0, len(at), m)]
+    open_: list[tuple[int, int, int]] = []
+    for span in sorted(spans, key=lambda s: (s[0], -s[1])):
+        a, z, c = span
+        while open_ and open_[-1][1] < a:
+            open_.pop()
+        if open_:
+            x, y, p = open_[-1]
+            lo, hi = bisect_left(places[p], a), bisect_right(places[p], z)
+            if p != c and (y < z or hi > lo):
+                bad.add(c if sizes[c] <= sizes[p] else p)
+            if p != c and lo:
+                around.setdefault(c, tok[places[p][lo - 1]])
+            if y < z:
+                continue
+        open_.append(span)
+    return {c: (order[c], around.get(c, 0), c not in bad) for c in places}
+
+
+def _packed(c: pa.Array) -> Iterator[np.ndarray | None]:
+    return (None if x is None else np.frombuffer(x, _TOKEN) for x in c.to_pylist())
+
+
+def pack(found: DataFrame) -> DataFrame:
+    """(host, packed): a host's tokens in one value, for pages to carry."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        a = np.zeros(rows.num_rows, _TOKEN)
+        for n in ("id", "cls", "size", "single"):
+            a[n] = np.asarray(rows.column(n))
+        a["text"] = [p is None for p in rows.column("path").to_pylist()]
+        return pa.table({"_host": [rows.column("host")[0].as_py()], "packed": pa.array([np.sort(a, order="id").tobytes()], pa.binary())})
+
+    return found.groupBy("host").applyInArrow(run, "_host string, packed binary")
+
+
+def _beside(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    side = F.broadcast(hosts) if small_enough(hosts, BROADCAST_HOSTS) else hosts
+    return rows.join(side, F.col("host") == F.col("_host"), "left")
+
+
+class _Memo(dict):
+    """What unpacking made of a host's value, kept for the pages of a batch that share it."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) > 1000:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
 
-    return texts.union(used.select(*texts.columns)).groupBy("host").applyInArrow(nest, "host string, classes array<struct<path: string, parent: string, tokens: int>>, texts array<bigint>")
+def _of(value: bytes | None) -> tuple[dict[int, int], dict[int, int]]:
+    a = np.frombuffer(value or b"", _TOKEN)
+    of = dict(zip(a["id"].tolist(), a["cls"].tolist()))
+    of |= {~i: c for i, c, text in zip(a["id"].tolist(), a["cls"].tolist(), a["text"].tolist()) if not text}
+    return of, dict(zip(a["cls"].tolist(), a["size"].tolist()))
 
 
-def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of the page's main slots, a block a line.
+def templates(parsed: DataFrame, support: float = SUPPORT, least: int = PAGES) -> DataFrame:
+    """``classes`` whose order and place in the class around them are the same on ``support`` of their pages, with ``parent``, the path of
+    the token behind which they lie: each host's template, nested. A text's path is null."""
+    found = cut(classes(parsed, support, least), "html-classes")
+    rows = _beside(parsed.select("host", "tok"), cut(pack(found), "html-packed")).select("packed", "host", "tok")
+    memo = _Memo(_of)
 
-    If the page has main elements, their blocks are main; else all blocks are that stand in no menu, advert or the like.
-    Texts of the host's template go.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for value, h, tok in zip(*(b.column(i).to_pylist() for i in range(3))):
+                of, sizes = memo[value]
+                for c, (order, parent, fits) in arrangement(tok, of, sizes).items():
+                    seen[h, c, order if fits else 0, parent if fits else 0, fits] += 1
+            cols = [*zip(*seen)] if seen else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*cols, list(seen.values())), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], ["host", "cls", "order", "parent", "fits", "k"])
+
+    seen = rows.mapInArrow(run, "host string, cls int, order bigint, parent bigint, fits boolean, k bigint")
+    seen = seen.groupBy("host", "cls", "order", "parent", "fits").agg(F.sum("k").alias("k"))
+    best = seen.groupBy("host", "cls").agg(F.sum("k").alias("all"), F.max(F.when(F.col("fits"), F.struct("k", "parent"))).alias("best"))
+    good = best.where(F.col("best.k") >= F.col("all") * support).select("host", "cls", F.col("best.parent").alias("_p"))
+    names = found.where("path IS NOT NULL").select("host", F.explode(F.array("id", F.bitwise_not("id"))).alias("_p"), F.col("path").alias("parent"))
+    return found.join(good, ["host", "cls"]).join(names, ["host", "_p"], "left").drop("_p")
+
+
+# ---- slots
+
+_SLOT = np.dtype([("id", "<i8"), ("pages", "<i8"), ("free", "<i8"), ("left", "<i8"), ("linked", "<i8"), ("chars", "<i8")])
+
+
+def places(tok: list[int], info: list[int], valid: dict[int, tuple[bool, bool]]) -> list[tuple[int, tuple[int, ...]] | None]:
+    """For each block its slot, told by the last token of the template before it, and the single elements of the template around it;
+    None for a text of the template."""
+    out: list[tuple[int, tuple[int, ...]] | None] = []
+    slot, around = ROOT, ()
+    for t, i in zip(tok, info):
+        if i & (OPEN | CLOSE):
+            known = valid.get(t if i & OPEN else ~t)
+            if known is not None:
+                slot = t
+                if known[0]:
+                    around = (*around, t) if i & OPEN else around[:-1]
+        elif (known := valid.get(t)) is not None and known[1]:
+            slot = t
+            out.append(None)
+        else:
+            out.append((slot, around))
+    return out
+
+
+def _valid(value: bytes | None) -> dict[int, tuple[bool, bool]]:
+    a = np.frombuffer(value or b"", _TOKEN)
+    return {i: (s and not x, x) for i, s, x in zip(a["id"].tolist(), a["single"].tolist(), a["text"].tolist())}
+
+
+def slots(parsed: DataFrame, packed: DataFrame) -> DataFrame:
+    """(_host, slots): for each slot of a host its pages, and its characters: outside of links and left by tags, left by tags, in links, and all."""
+    rows = _beside(parsed.select("host", "tok", "info", "chars", "links"), packed).select("packed", "host", "tok", "info", "chars", "links")
+    memo = _Memo(_valid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[str, int], list[int]] = {}
+            for value, h, tok, info, chars, links in zip(*(b.column(i).to_pylist() for i in range(6))):
+                at, seen = places(tok, info, memo[value]), set()
+                kinds = [i for i in info if not i & (OPEN | CLOSE)]
+                for p, kind, n, k in zip(at, kinds, chars, links):
+                    if p is not None:
+                        s = sums.setdefault((h, p[0]), [0] * 5)
+                        s[0] += p[0] not in seen
+                        seen.add(p[0])
+                        left = bool(kind & MAIN)
+                        for j, v in enumerate((left * (n - k), left * n, k, n), 1):
+                            s[j] += v
+            cols = [[h for h, _ in sums], [i for _, i in sums], *([v[j] for v in sums.values()] for j in range(5))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j else pa.string()) for j, c in enumerate(cols)], ["host", *_SLOT.names])
+
+    sums = rows.mapInArrow(run, "host string, " + ", ".join(f"{n} bigint" for n in _SLOT.names))
+    sums = sums.groupBy("host", "id").agg(*[F.sum(n).alias(n) for n in _SLOT.names[1:]])
+
+    def group(rows: pa.Table) -> pa.Table:
+        a = np.zeros(rows.num_rows, _SLOT)
+        for n in _SLOT.names:
+            a[n] = np.asarray(rows.column(n))
+        return pa.table({"_host": [rows.column("host")[0].as_py()], "slots": pa.array([np.sort(a, order="id").tobytes()], pa.binary())})
+
+    return sums.groupBy("host").applyInArrow(group, "_host string, slots binary")
+
+
+def main_blocks(tok: list[int], info: list[int], valid: dict, stats: dict[int, tuple], least: int = PAGES) -> list[bool]:
+    """Which of a page's blocks are main.
+
+    The main slot is the one with most text a page outside of links, of those of whose text tags leave the most. Its element is the innermost single one of the
+    template around it. A block is main if tags leave it and its slot is: one in that element, or elsewhere one with RICH of the main slot's text, a
+    heading before it, or one in a main element. Slots of links aren't, but for the main one. Slots that stand on less than
+    ``least`` pages are left to tags.
     """
-    return "\n".join(x[2] for x in _chosen(blocks(page)[0]) if not template or _token(x[0], x[2]) not in template)
+    at = places(tok, info, valid)
+    kinds = [i for i in info if not i & (OPEN | CLOSE)]
+    mean = {s: stats[s][1] / stats[s][0] for p in at if p is not None for s in [p[0]] if 2 * stats[s][2] > stats[s][4]}
+    if not mean:
+        return [p is not None and bool(k & MAIN) for p, k in zip(at, kinds)]
+    top = max(mean.values())
+    first = next(i for i, p in enumerate(at) if p is not None and mean.get(p[0]) == top)
+    main, around = at[first]
+    inner = around[-1] if around else ROOT
+    held = {t for t, i in zip(tok, info) if i & OPEN and i & MAIN}
+
+    def fits(i: int) -> bool:
+        slot, outer = at[i]
+        if slot == main or stats[slot][0] < least:
+            return True
+        if stats[slot][3] >= LINKED * stats[slot][4]:
+            return False
+        return inner == ROOT or inner in outer or mean.get(slot, 0.0) >= RICH * top or bool(kinds[i] & HEADING) and i < first or not held.isdisjoint(outer)
+
+    return [p is not None and bool(kinds[i] & MAIN) and fits(i) for i, p in enumerate(at)]
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, least: int = PAGES, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page; text is empty for a null or empty page or one without main text.
 
     Pages whose URL is null or has no host form a host of their own. Repeated rows are pages of their own and agree. Hosts'
-    templates are broadcast if few, else joined on the host, where a host with many pages may be split. An empty table
-    gives no rows; other columns are left out.
+    templates are broadcast if few, else joined on the host, where a host with many pages may be split. Very long pages are
+    parsed whole, in time in proportion to their length. An empty table gives no rows; other columns are left out, whatever their names.
     """
     text_batches(pages.sparkSession)
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(body).alias("html"), host(F.col(url)).alias("host"))
-    made = templates(named.select("host", "html"), support, least)
-    made = cut(made.where(F.size("texts") > 0).select(F.col("host").alias("_host"), "texts"), "html-templates")
-    side = F.broadcast(made) if small_enough(made, BROADCAST_HOSTS) else made
-    rows = named.join(side, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "texts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, len(b), 256):
-                part = b.slice(a, 256)
-                texts = [main_text(p, frozenset(t or ())) for p, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return rows.mapInArrow(run, f"page_id {named.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    parsed = cut(tokens(named), "html-parsed")
+    packed = cut(pack(templates(parsed, support, least)), "html-template")
+    known = cut(slots(parsed, packed).join(packed, "_host", "left"), "html-slots")
+    rows = _beside(parsed, known).select("packed", "slots", "tok", "info", "texts", "page_id", "url")
+    memo = _Memo(_valid)
+    stats = _Memo(lambda v: {r[0]: r[1:] for r in np.frombuffer(v or b"", _SLOT).tolist()})
+
+    def run(part: pa.RecordBatch, *cols: list) -> pa.RecordBatch:
+        texts = ["\n".join(t for t, x in zip(own, main_blocks(tok, info, memo[value], stats[known], least)) if x) for value, known, tok, info, own in zip(*cols)]
+        return pa.RecordBatch.from_arrays([part.column(5), part.column(6), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return rows.mapInArrow(_batched(run, 5), f"page_id {named.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
 
 
 def op9_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
