@@ -94,6 +94,14 @@ def test_components_of_long_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(100 + i, 100) for i in range(1, 90)] + [(300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(71)}, **{100 + i: 100 for i in range(90)}}
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000, 1000 + i) for i in range(400)]
+    up = list(range(1500))
+    for _ in range(40):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {n: up[n] for e in edges for n in e if any(n in f and f[0] != f[1] for f in edges)}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>

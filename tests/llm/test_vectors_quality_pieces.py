@@ -190,3 +190,36 @@ def test_memo_forgets_and_stays_right(monkeypatch):
         ((ids, same),) = codec.encode([text])
         assert ids.tolist() == codec.theirs.encode(text) and same and codec.decode(ids) == text
     assert codec.own.decode(codec.theirs.encode("Hello wörld ☃")) == "Hello wörld ☃"
+
+
+def test_the_graph_finds_near_centroids_and_compares_few():
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal((900, 12)) * 0.3 + np.repeat(rng.standard_normal((30, 12)) * 3, 30, axis=0)
+    x = c[rng.choice(900, 400)] + 0.1 * rng.standard_normal((400, 12))
+    g = ann.Graph(c)
+    true = np.linalg.norm(x[:, None] - c[None], axis=2)
+    node, d = g.closest(x, 16)
+    assert g.compared < 0.4 * true.size and (node[:, 0] == true.argmin(1)).mean() > 0.97
+    assert np.allclose(d, np.take_along_axis(true, node, 1), atol=1e-2) and (np.diff(d, axis=1) >= 0).all()
+    g.compared = 0
+    r, n, d = g.within(x, 1.3, 2)
+    assert g.compared < 0.4 * true.size and (np.bincount(r, minlength=400) >= 2).all()
+    wanted = true <= 1.29 * true.min(1)[:, None]
+    got = np.zeros_like(wanted)
+    got[r, n] = True
+    assert (got & wanted).sum() / wanted.sum() > 0.95
+
+
+def test_the_multi_sequence_walk_visits_cells_in_order_up_to_its_bound():
+    x = vectors(900).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    m = embedding_dedup.MultiIndex(x, 7)
+    own, r, c = m.cells(x)
+    one, two = m.parts(x)
+    sums = (one[:, :, None] + two[:, None, :]).reshape(len(x), -1)
+    got = np.zeros_like(sums, bool)
+    got[r, c] = True
+    assert (got == (sums <= (one.min(1) + two.min(1) + m.slack)[:, None])).all() and len(r) == got.sum()
+    for i in range(0, 900, 50):
+        walk = c[r == i]
+        assert walk[0] == own[i] == sums[i].argmin() and (np.diff(sums[i, walk]) >= -1e-12).all()

@@ -10,101 +10,158 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.llm.common import cut, table
-from vocalith.llm.vectors import cosines, dealt, k_means, lists_of, matrix, sample, unit, valid
+from vocalith.llm.vectors import FITTED, PER_CENTROID, cosines, dealt, k_means, lists_of, matrix, packed, sample, unit, valid
 
-#: Vectors that the index is fitted on at most, vectors a list, and lists at most.
-FITTED, PER_LIST, MOST_LISTS = 16_384, 160, 1024
+#: Lists as a multiple of the square root of the rows, so that finding lists and reading them grow alike.
+LISTS = 1.4
 #: Lists that hold a vector at most, how much farther than its nearest centroid theirs may be, and the share of
 #: true neighbours in the fitted sample that the ratio for queries is calibrated to.
 REPLICAS, BOUNDARY, RECALL = 4, 1.25, 0.97
+#: Links of a centroid to others, centroids from which a search starts, and how many of the nearest a vector's search follows.
+LINKS, ENTRIES, BEAM = 12, 8, 16
 QUERY_EVERY, NEAREST = 50, 5
 
 
 class Graph:
-    """Centroids with links to their nearest ones both ways and to a few entries, searched outward from the entries."""
-
-    def __init__(self, centroids: np.ndarray, links: int = 12):
-        self.c = centroids
-        k = len(centroids)
-        d = self.distances(centroids, np.ones((k, k), bool))
-        near = np.argsort(d, axis=1)[:, : links + 1]
-        self.next = np.zeros((k, k), np.float32)
-        self.next[np.arange(k)[:, None], near] = 1
-        self.next = np.maximum(self.next, self.next.T)
-        self.entry = np.zeros(k, bool)
-        self.entry[:: max(1, k // 8)] = True
-        reached = self.entry.copy()
-        while not reached.all():  # what no link leads to becomes an entry
-            more = reached | (reached.astype(np.float32) @ self.next > 0)
-            if (more == reached).all():
-                self.entry[np.flatnonzero(~reached)[0]] = more[np.flatnonzero(~reached)[0]] = True
-            reached = more
-
-    def distances(self, x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Euclidean distances where ``wanted``, else infinity."""
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (self.c * self.c).sum(1) - 2 * x @ self.c.T, 0))
-        return np.where(wanted, d, np.inf)
-
-    def search(self, x: np.ndarray, ratio: float, least: int, most: int | None = None) -> np.ndarray:
-        """For each row of ``x`` the lists within ``ratio`` of the nearest centroid's distance, its ``least`` nearest at any
-        rate and its ``most`` nearest at most, as booleans. A step looks at the neighbours of all centroids that are
-        within bounds so far, and the search ends when none is left to look from."""
-        k, rows = len(self.c), len(x)
-        seen = np.repeat(self.entry[None], rows, 0)
-        done = np.zeros((rows, k), bool)
-        least = min(least, k)
+    """Centroids with links to their nearest ones both ways, searched outward from a few entries. Only centroids that a search comes to
+    are compared with its vector; ``compared`` counts them."""
+
+    def __init__(self, centroids: np.ndarray, links: int = LINKS):
+        self.c = np.ascontiguousarray(centroids, dtype=np.float32)
+        self.half = (self.c.astype(np.float64) ** 2).sum(1) / 2
+        self.compared, k = 0, len(centroids)
+        self.next: list[set[int]] = [set() for _ in range(k)]
+        for i in range(k):
+            far = self.half - self.c @ self.c[i]
+            for j in np.argpartition(far, min(links, k - 1))[: links + 1].tolist():
+                if j != i:
+                    self.next[i].add(j)
+                    self.next[j].add(i)
+        self.entries = list(range(0, k, max(1, k // ENTRIES)))
+        seen, todo = set(), list(self.entries)
+        while len(seen) < k:
+            while todo:
+                i = todo.pop()
+                if i not in seen:
+                    seen.add(i)
+                    todo += self.next[i] - seen
+            if len(seen) < k:  # what no link leads to becomes an entry
+                todo = [next(i for i in range(k) if i not in seen)]
+                self.entries += todo
+        self.links = np.concatenate([np.fromiter(sorted(n), np.int64, len(n)) for n in self.next])
+        self.start = np.concatenate([[0], np.cumsum([len(n) for n in self.next])])
+
+    def _distances(self, x: np.ndarray, own: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Distances of pairs, each pair by itself."""
+        self.compared += len(rows)
+        out = np.empty(len(rows), np.float32)
+        for a in range(0, len(rows), 65_536):
+            r, c = rows[a : a + 65_536], nodes[a : a + 65_536]
+            out[a : a + 65_536] = np.sqrt(np.maximum(own[r] + 2 * (self.half[c] - np.einsum("ij,ij->i", x[r], self.c[c])), 0))
+        return out
+
+    def _neighbours(self, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.start[nodes + 1] - self.start[nodes]
+        at = np.repeat(self.start[nodes] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        return np.repeat(rows, counts), self.links[at]
+
+    def closest(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances) of each row of ``x``, nearest first: the ``beam`` nearest found. Each step looks at the links
+        of the nearest centroid not yet looked from, until that is none of these."""
+        n, k = len(x), len(self.c)
+        x, own, beam = x.astype(np.float32), (x.astype(np.float64) ** 2).sum(1), min(beam, k)
+        seen = np.zeros((n, k), bool)
+        node, best, fresh = np.zeros((n, beam), np.int64), np.full((n, beam), np.inf, np.float32), np.zeros((n, beam), bool)
+        rows, nodes = np.repeat(np.arange(n), len(self.entries)), np.tile(np.array(self.entries), n)
         while True:
-            d = self.distances(x, seen)
-            bound = np.maximum(d.min(1) * ratio, np.partition(d, least - 1, axis=1)[:, least - 1])
-            inside = seen & (d <= bound[:, None])
-            fresh = inside & ~done
-            if not fresh.any():
+            new = ~seen[rows, nodes]
+            rows, nodes = rows[new], nodes[new]
+            seen[rows, nodes] = True
+            d = self._distances(x, own, rows, nodes)
+            some, first, counts = np.unique(rows, return_index=True, return_counts=True)
+            if len(some):
+                wide = int(counts.max())
+                at = (np.repeat(np.arange(len(some)), counts), np.arange(len(rows)) - np.repeat(first, counts))
+                more_d, more_n = np.full((len(some), wide), np.inf, np.float32), np.zeros((len(some), wide), np.int64)
+                more_d[at], more_n[at] = d, nodes
+                all_d, all_n, all_f = np.hstack([best[some], more_d]), np.hstack([node[some], more_n]), np.hstack([fresh[some], np.ones(more_d.shape, bool)])
+                keep = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+                best[some], node[some], fresh[some] = (np.take_along_axis(y, keep, 1) for y in (all_d, all_n, all_f))
+            j = np.where(fresh, best, np.inf).argmin(1)
+            rows = np.flatnonzero(fresh[np.arange(n), j] & np.isfinite(best[np.arange(n), j]))
+            if not len(rows):
                 break
-            done |= fresh
-            seen |= fresh.astype(np.float32) @ self.next > 0
-        if most is not None and most < k:
-            far = np.partition(np.where(inside, d, np.inf), most - 1, axis=1)[:, most - 1]
-            inside &= d <= far[:, None]
-        return inside
+            fresh[rows, j[rows]] = False
+            rows, nodes = self._neighbours(rows, node[rows, j[rows]])
+        order = np.lexsort((node, best))
+        return np.take_along_axis(node, order, 1), np.take_along_axis(best, order, 1)
+
+    def within(self, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, centroid, distance), ordered: each row's centroids found within ``ratio`` of its nearest one's distance, and its ``least``
+        nearest at any rate. A step looks at the links of all centroids within these bounds, and it ends when none is left."""
+        k, n = len(self.c), len(x)
+        x, own, least = x.astype(np.float32), (x.astype(np.float64) ** 2).sum(1), min(least, k)
+        d, done = np.full((n, k), np.inf, np.float32), np.zeros((n, k), bool)
+        rows, nodes = np.repeat(np.arange(n), len(self.entries)), np.tile(np.array(self.entries), n)
+        while True:
+            d[rows, nodes] = self._distances(x, own, rows, nodes)
+            bound = np.maximum(d.min(1) * ratio, np.partition(d, least - 1, axis=1)[:, least - 1])
+            r, c = np.nonzero((d <= bound[:, None]) & (d < np.inf))
+            new = ~done[r, c]
+            if not new.any():
+                return r, c, d[r, c]
+            done[r[new], c[new]] = True
+            rows, nodes = self._neighbours(r[new], c[new])
+            rows, nodes = np.divmod(np.unique(rows * k + nodes), k)
+            unseen = np.isinf(d[rows, nodes])
+            rows, nodes = rows[unseen], nodes[unseen]
 
 
 class Index:
     """Centroids, their graph, and the distance ratio up to which a query's lists are read."""
 
-    def __init__(self, fitted: np.ndarray, rows: int, nearest: int = NEAREST):
+    def __init__(self, fitted: np.ndarray, k: int, nearest: int = NEAREST):
         x = unit(fitted)
-        k = int(min(MOST_LISTS, max(1, rows // PER_LIST), max(1, len(x) // 8)))
-        self.graph = Graph(k_means(x, k))
-        self.ratio = self.calibrate(x, nearest) if k > 1 else np.inf
+        self.graph = Graph(k_means(x, max(1, min(k, len(x) // 8))))
+        self.ratio = self.calibrate(x, nearest) if len(self.graph.c) > 1 else float("inf")
 
-    def lists(self, x: np.ndarray) -> np.ndarray:
-        return self.graph.search(x, BOUNDARY, 1, REPLICAS)
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that hold each row: that of its nearest centroid found and those nearly as near, REPLICAS at most."""
+        c, d = self.graph.closest(x)
+        r, j = np.nonzero(d[:, :REPLICAS] <= d[:, :1] * BOUNDARY)
+        return r, c[r, j]
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        return self.graph.search(x, self.ratio, 4)
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r, c, _ = self.graph.within(x, self.ratio, 4)
+        return r, c
 
     def calibrate(self, x: np.ndarray, nearest: int) -> float:
-        """The least of a row of ratios whose lists hold RECALL of the nearest vectors of 256 of the fitted ones."""
+        """The least ratio whose lists hold RECALL of the nearest vectors of 256 of the fitted ones: for each neighbour, the ratio
+        at which the first of its lists is reached, and of these the quantile."""
         q = x[:: max(1, len(x) // 256)][:256]
-        near = np.argsort(-(q @ x.T), axis=1)[:, 1 : nearest + 1]
-        held = self.lists(x)
-        for ratio in np.arange(1.0, 2.0, 0.01):
-            read = self.graph.search(q, ratio, 4)
-            if (held[near] & read[:, None, :]).any(2).mean() >= RECALL:
-                return float(ratio)
-        return float("inf")
+        near = np.argpartition(-(q @ x.T), min(nearest, len(x) - 1), axis=1)[:, : nearest + 1]
+        d = np.full((len(q), len(self.graph.c)), np.inf)
+        r, c, dist = self.graph.within(q, float("inf"), 1)
+        d[r, c] = dist
+        wanted, which = np.unique(near, return_inverse=True)
+        at, lists = self.lists(x[wanted])
+        held = np.zeros((len(wanted), d.shape[1]), bool)
+        held[at, lists] = True
+        reach = np.where(held[which.reshape(near.shape)], d[:, None, :], np.inf).min(2) / np.maximum(d.min(1), 1e-9)[:, None]
+        return float(np.quantile(reach, RECALL, method="higher"))
 
 
 def _with_lists(rows: DataFrame, index, dims: int, probes: bool, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, len(b), 2048):
-                part = b.slice(a, 2048)
+            step = max(64, min(1024, 4_000_000 // len(index.value.graph.c)))
+            for a in range(0, len(b), step):
+                part = b.slice(a, step)
                 x = unit(matrix(part.column(1), dims))
-                member = index.value.probes(x) if probes else index.value.lists(x)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists_of(member)], [*part.schema.names, name])
+                found = index.value.probes(x) if probes else index.value.lists(x)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists_of(*found, len(part))], [*part.schema.names, name])
 
-    return rows.mapInArrow(run, f"vec_id bigint, vec array<double>, {name} array<int>")
+    return rows.mapInArrow(run, f"vec_id bigint, vec binary, {name} array<int>")
 
 
 def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -112,17 +169,19 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, key:
 
     Every vector is indexed, in up to REPLICAS lists. A query reads all lists within the calibrated distance ratio, and
     its block of a list is compared exactly, in double precision; lists of any length are dealt into blocks. Ties go to
-    the smaller id. Vectors that can't be compared neither ask nor answer; a row is no candidate for its own id. Rows
-    that repeat an id and vector are one, and different vectors of an id answer once, with the best score. An empty table gives no rows, and a single vector's query none.
+    the smaller id. Vectors that can't be compared (null, zero, with null or non-finite components, or of another length than most) neither ask
+    nor answer; a row is no candidate for its own id. Rows that repeat an id and vector are one, and different vectors of an id answer
+    once, with the best score. An empty table gives no rows, and a single vector's query none. Other columns are left out, whatever their names.
     """
     rows, dims = valid(vectors, key, vec)
     spark = vectors.sparkSession
-    thin = rows.withColumn("vec", F.col("vec").cast("array<float>")) if _floats(vectors, vec) else rows
-    rows = cut(thin.dropDuplicates(["vec_id", "vec"]), "ann-vectors").withColumn("vec", F.col("vec").cast("array<double>"))
-    index = spark.sparkContext.broadcast(Index(fitted, rows.count(), k) if len(fitted := sample(rows, FITTED, dims)) else None)
+    rows = cut(packed(rows).dropDuplicates(["vec_id", "vec"]), "ann-vectors")
+    lists = max(1, round(LISTS * rows.count() ** 0.5))
+    fitted = sample(rows, max(FITTED, PER_CENTROID * lists), dims)
+    index = spark.sparkContext.broadcast(Index(fitted, lists, k) if len(fitted) else None)
     held = cut(_with_lists(rows, index, dims, False, "lists"), "ann-lists")
     asked = cut(_with_lists(rows.where(F.col("vec_id") % every == 0), index, dims, True, "lists"), "ann-probes")
-    stored, asking = dealt(held.withColumn("vec", F.col("vec").cast("array<float>")) if _floats(vectors, vec) else held, asked.withColumnRenamed("vec_id", "query_id"), "lists", "vec_id", "query_id")
+    stored, asking = dealt(held, asked.withColumnRenamed("vec_id", "query_id"), "lists", "vec_id", "query_id")
 
     def meet(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {n: [] for n in ("query_id", "vec_id", "score")}
@@ -162,9 +221,5 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, key:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _floats(df: DataFrame, vec: str) -> bool:
-    return df.schema[vec].dataType.simpleString() == "array<float>"
-
-
 def op5_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))

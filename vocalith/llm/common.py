@@ -36,7 +36,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vocalith/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vocalith_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``cut`` after their last reader has written what it made of them."""
+    for df in written:
+        if path := getattr(df, "_vocalith_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 #: Rows of whole texts that go to a Python worker at once.
@@ -79,27 +90,44 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
+#: Parts that a node's neighbours are dealt into, so that a hub's rows meet in as many tasks.
+PARTS = 64
+
+
+def _least_neighbour(rows: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the least v of its u: a minimum for each part of u's rows, and then one of these for u."""
+    part = F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")
+    rows = rows.withColumn("part", part)
+    parts = rows.groupBy("u", "part").agg(F.min("v").alias("m"))
+    low = parts.select("u", "part").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u")
+    return rows.join(low, ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of the graph with ``edges`` (a, b): rows (node, root), root the smallest node.
 
-    Alternates large-star and small-star steps until the edges are stars. Every step is an equi-join against one
-    row a node, so a hub's rows may be split; minima are combined before the shuffle. Nodes without edges are absent.
+    Alternates large-star and small-star steps until the edges are stars. A node's least neighbour comes from minima of parts of its
+    rows, and rows are joined by node and part, so a hub with any number of neighbours is dealt over tasks. Each step's
+    table goes when the next is written. Nodes without edges are absent.
     """
 
     def stamp(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         return tuple(r)
 
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    e = cut(e, tag)
+    def step(e: DataFrame, made: DataFrame) -> DataFrame:
+        out = cut(made, tag)
+        discard(e)
+        return out
+
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), tag)
     seen = stamp(e)
     while seen[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), tag)
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        near = e.join(low, "a").select("a", "b", "m")
-        e = cut(low.select("a", F.col("m").alias("b")).union(near.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), tag)
+        near = _least_neighbour(both).where("v > u")
+        e = step(e, near.select(F.col("v").alias("a"), F.least("u", "m").alias("b")).where("a != b").distinct())
+        near = _least_neighbour(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        e = step(e, near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).distinct())
         now = stamp(e)
         if now == seen:
             break
