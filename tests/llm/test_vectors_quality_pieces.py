@@ -1,4 +1,5 @@
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -187,11 +188,58 @@ def test_memo_forgets_and_stays_right(monkeypatch):
     codec = pieces.Codec(open(pieces.MODEL, "rb").read(), 1)
     for i in range(20):
         text = " ".join(f"word{i}{k}" for k in range(10))
-        ((ids, same),) = codec.encode([text])
-        assert ids.tolist() == codec.theirs.encode(text) and same and codec.decode(ids) == text
+        ((ids, restored, same),) = codec.encode([text])
+        assert ids.tolist() == codec.theirs.encode(text) and restored and same and codec.decode([ids.tolist()]) == [text]
     assert codec.own.decode(codec.theirs.encode("Hello wörld ☃")) == "Hello wörld ☃"
 
 
+def message(*fields):
+    """A protobuf message of (number, value) fields: integers, floats, texts and messages."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for n, v in fields:
+        if isinstance(v, float):
+            out += varint(n << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(n << 3) + varint(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += varint(n << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def unigram(squeeze):
+    words = {"▁": -3.0, "▁the": -2.0, "▁then": -4.5, "n": -4.0, "▁ca": -3.5, "t": -3.0, "cat": -2.5, "s": -3.2, "a": -4.1, "c": -4.2, "▁t": -3.9, "he": -3.0, "e": -4.0, "h": -4.4, "é": -5.0}
+    pieces_ = [message((1, "<unk>"), (2, 0.0), (3, 2)), message((1, "<s>"), (2, 0.0), (3, 3))] + [message((1, f"<0x{i:02X}>"), (2, 0.0), (3, 6)) for i in range(256)] + [message((1, w), (2, v)) for w, v in words.items()]
+    trainer, normaliser = message((3, 1), (35, 1), (40, 0)), message((3, 1), (4, int(squeeze)), (5, 1))
+    return message(*((1, p) for p in pieces_), (2, trainer), (3, normaliser))
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_a_unigram_model_agrees_with_the_library(squeeze):
+    codec = pieces.Codec(unigram(squeeze), 1)
+    assert codec.model.kind == pieces.UNIGRAM and codec.model.splits == (not squeeze)
+    texts = ["the cat", "then the cats ate", "thé ☃ cat", "", None, "the  cat ", " the", "zq" * 50, "cat " * 400 + "cat"]
+    for text, (ids, restored, same) in zip(texts, codec.encode(texts)):
+        assert same and ids.tolist() == codec.theirs.encode(text or "")
+        assert codec.decode([ids.tolist()]) == [codec.theirs.decode(ids.tolist())]
+        assert restored == (codec.theirs.decode(ids.tolist()) == (text or ""))
+
+
+def test_a_wrong_piece_is_told(monkeypatch):
+    codec = pieces.Codec(unigram(False), 1)
+    true = codec.own.encode_batch_fast
+    monkeypatch.setattr(codec, "own", type("Other", (), {"encode_batch_fast": lambda _, new, **k: [type("E", (), {"ids": e.ids[:-1] if c == "cats" else e.ids})() for c, e in zip(new, true(new, **k))], "decode_batch": lambda _, ids, **k: [" ".join(map(str, i)) for i in ids]})())
+    (_, restored, same), (_, _, other) = codec.encode(["the cats", "the cat"])
+    assert not same and not restored and other
+
+
 def test_the_graph_finds_near_centroids_and_compares_few():
     rng = np.random.default_rng(8)
     c = rng.standard_normal((900, 12)) * 0.3 + np.repeat(rng.standard_normal((30, 12)) * 3, 30, axis=0)

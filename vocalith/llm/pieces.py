@@ -111,31 +111,30 @@ class Model:
         if self.escape:
             steps.append(normalizers.Replace(" ", MARK))
         t.normalizer = normalizers.Sequence(steps)
-        t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", int(self.dummy_prefix), 0)])
+        t.decoder = decoders.Sequence([decoders.Replace(self.pieces[self.unknown][0], " ⁇ "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", int(self.dummy_prefix), 0)])
         t.add_special_tokens([AddedToken(p, normalized=False, special=True) for p, _, kind in self.pieces if kind == USER])
         t.encode_special_tokens = True
         return t
 
 
 class Codec:
-    """Encodes and decodes texts with one model. Chunks met before come from a bounded memo; new ones are encoded as one
-    multithreaded batch and compared with the SentencePiece library, whose ids win and count in ``differs`` where they differ."""
+    """Encodes and decodes texts with the rebuilt tokenizer of one model. Chunks met before come from a bounded memo. New ones are encoded
+    as one multithreaded batch and decoded again; those that don't come back are ``lossy``, and those to which the SentencePiece library gives other ids are ``odd``."""
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
 
-        self.model, self.threads, self.odd = Model.parse(data), threads, set()
+        self.model, self.threads, self.odd, self.lossy = Model.parse(data), threads, set(), set()
         self.own = self.model.tokenizer()
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        self.bytes[self.model.unknown] = " ⁇ ".encode()
+        self.silent = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
         self.lone = {"": array("i", [i]).tobytes() for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK} if self.model.splits else {"": b""}
         self.memo: dict[str, bytes] = dict(self.lone)
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut before each run of blanks, its leading marker left out."""
+        """The text cut before each run of blanks, its leading marker left out: markers begin pieces, so chunks are encoded and decoded one by one."""
         if not text:
             return []
         if not self.model.splits:
@@ -148,30 +147,31 @@ class Codec:
         """Empty the memo at a task's end: workers go on to other stages."""
         self.memo = dict(self.lone)
         self.odd.clear()
+        self.lossy.clear()
 
     def learn(self, new: list[str]) -> None:
         mine = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
-        theirs = self.theirs.encode(new, num_threads=self.threads)
-        self.odd.update(c for c, a, b in zip(new, mine, theirs) if a != b)
-        self.memo.update((c, array("i", ids).tobytes()) for c, ids in zip(new, theirs))
+        self.odd.update(c for c, a, b in zip(new, mine, self.theirs.encode(new, num_threads=self.threads)) if a != b)
+        self.lossy.update(c for c, back in zip(new, self.decode(mine)) if c != back)
+        self.memo.update((c, array("i", ids).tobytes()) for c, ids in zip(new, mine))
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
-        """Each text's ids, and whether the two libraries agreed on all its chunks."""
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
+        """Each text's ids, whether they decode to it, and whether the SentencePiece library gives the same."""
         cut = [self.chunks(t or "") for t in texts]
         if len(self.memo) > CACHE:  # the older half goes
             for c in list(islice(self.memo, CACHE // 2)):
                 del self.memo[c]
             self.odd &= self.memo.keys()
+            self.lossy &= self.memo.keys()
             self.memo |= self.lone  # a trailing blank is a marker and nothing else
         if new := set(chain.from_iterable(cut)) - self.memo.keys():
             self.learn(sorted(new))
-        get = self.memo.__getitem__
-        return [(np.frombuffer(b"".join(map(get, c)), np.int32), not self.odd or self.odd.isdisjoint(c)) for c in cut]
+        get, odd, lossy = self.memo.__getitem__, self.odd, self.lossy
+        return [(np.frombuffer(b"".join(map(get, c)), np.int32), not lossy or lossy.isdisjoint(c), not odd or odd.isdisjoint(c)) for c in cut]
 
-    def decode(self, ids: np.ndarray | list[int]) -> str:
-        """Bytes of the pieces in order, less the marker that encoding put in front; broken UTF-8 becomes U+FFFD."""
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of the rebuilt decoder, as one multithreaded batch; control pieces say nothing, and broken UTF-8 becomes U+FFFD."""
+        return self.own.decode_batch([[i for i in x if i not in self.silent] if not self.silent.isdisjoint(x) else x for x in ids], skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
@@ -181,9 +181,9 @@ def _codec(name: str, path: str, threads: int) -> Codec:
 
 
 def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, kept: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``kept`` columns with ``ids``, and whether decoding gives the text back (``restored``) and both libraries agree (``parity``).
+    """``kept`` columns with ``ids``, and whether decoding gives the text back (``restored``) and the SentencePiece library agrees (``parity``).
 
-    The model file is sent to every executor once, as a file of the job. Whole texts are encoded. Null and empty texts have
+    Ids and decoded texts are those of the rebuilt tokenizer. The model file is sent to every executor once, as a file of the job. Whole texts are encoded. Null and empty texts have
     no ids and are restored as empty. Rows are encoded one by one: repeated rows agree. Names that ``kept`` has already
     get an underscore. An empty table gives no rows.
     """
@@ -209,9 +209,8 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, kept: tuple[st
                 part = b.slice(a, z - a)
                 texts = part.column(n).to_pylist()
                 done = codec.encode(texts)
-                restored = [codec.decode(ids) == (t or "") for (ids, _), t in zip(done, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:n], pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _ in done)], dtype=np.int32), np.concatenate([i for i, _ in done])), pa.array(restored, pa.bool_()), pa.array([p for _, p in done], pa.bool_())], [*kept, *names]
+                    [*part.columns[:n], pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _, _ in done)], dtype=np.int32), np.concatenate([i for i, _, _ in done])), pa.array([r for _, r, _ in done], pa.bool_()), pa.array([p for _, _, p in done], pa.bool_())], [*kept, *names]
                 )
                 a = z
         codec.forget()
@@ -229,7 +228,9 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, "", 2)
         for b in batches:
-            texts = [None if i is None else codec.decode(i) for i in b.column(at).to_pylist()]
+            ids = b.column(at).to_pylist()
+            texts = iter(codec.decode([i for i in ids if i is not None]))
+            texts = [None if i is None else next(texts) for i in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out, StringType())]))
