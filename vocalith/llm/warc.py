@@ -56,8 +56,9 @@ def records(pages: DataFrame, chunk: int = CHUNK, least: int = 0, key: str = "pa
         F.lit("\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nContent-Length: "), length.cast("string"),
     )
     visit = F.concat(common("revisit", F.octet_length("http")), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), ident(F.col("top")), F.lit(END), F.col("http"))
-    pieces = F.expr(f"transform(sequence(0L, greatest(ceil(size / {chunk}) - 1, 0L)), i -> named_struct('i', i, 'data', substring(payload, cast(i * {chunk} + 1 as int), {chunk}), 'more', size > (i + 1) * {chunk}))")
-    p = rows.where(~F.col("revisit")).select("page_id", "url", "digest", "http", "size", F.explode(pieces).alias("p")).select("page_id", "url", "digest", "http", "size", "p.*")
+    # only a number of each chunk is listed; its bytes are cut out when its row is made
+    p = rows.where(~F.col("revisit")).select("page_id", "url", "digest", "http", "size", "payload", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / chunk) - 1, F.lit(0).cast("long")))).alias("i"))
+    p = p.withColumns({"data": F.substring("payload", (F.col("i") * chunk + 1).cast("int"), F.lit(chunk)), "more": F.col("size") > (F.col("i") + 1) * chunk}).drop("payload")
     body = F.octet_length("data")
     number = F.when((F.col("i") > 0) | F.col("more"), F.concat(F.lit("\r\nWARC-Segment-Number: "), (F.col("i") + 1).cast("string"))).otherwise(F.lit(""))
     first = F.concat(common("response", F.octet_length("http") + body), number, F.lit(END), F.col("http"))
@@ -93,6 +94,8 @@ class _Reader:
                 if not lines[0].startswith("WARC/"):
                     raise ValueError(f"not the head of a WARC record: {lines[0][:60]!r}")
                 self.head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                if not {"content-length", "warc-type"} <= self.head.keys():
+                    raise ValueError(f"the archive ends within a record, or its head lacks a field: {lines}")
                 self.left, self.kind = int(self.head["content-length"]), self.head["warc-type"]
                 self.state = "http" if self.kind in ("response", "revisit") else "body"
             if self.state == "http":
@@ -120,6 +123,11 @@ class _Reader:
                 raise ValueError("a record doesn't end where its Content-Length says")
             self.state = "head"
 
+    def close(self) -> None:
+        """At the archive's end: fails if it stops within a record, or before the last segment of one."""
+        if self.state != "head" or self.buffer.strip() or self.origin is not None:
+            raise ValueError(f"the archive ends within a record: {(self.origin or [self.buffer[:60]])[0]!r}")
+
     def page(self, ident: str) -> int | None:
         found = re.match(r"<urn:page:(-?\d+)", ident)
         return int(found[1]) if found else None
@@ -143,7 +151,8 @@ class _Reader:
 def read(spark: SparkSession, folder: str, data: bool = True) -> DataFrame:
     """The chunked record table: rows (record_id, chunk) with ``data`` (left empty if not wanted), where the chunk starts,
     the bytes so far, and on the last chunk the digest that was carried along. Compressed archives are read whole by one
-    task, as a stream of pieces: no record is ever in memory at once. A digest that differs from the written one is told in ``digest_ok``.
+    task, as a stream of pieces: no record is ever in memory at once. A digest that differs from the written one is told in ``digest_ok``;
+    an archive that ends within a record fails the query.
     """
     lines = spark.read.option("lineSep", END).text(folder).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
     schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("chunk", pa.int32()), ("start", pa.int64()), ("data", pa.binary()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_())])
@@ -157,10 +166,14 @@ def read(spark: SparkSession, folder: str, data: bool = True) -> DataFrame:
             out: list[tuple] = []
             for piece, name in zip(b.column(0), names):
                 if name != at:
+                    if reader:
+                        reader.close()
                     at, reader = name, _Reader()
                 out += [r if data else (*r[:4], b"", *r[5:]) for r in reader.feed(piece.as_buffer().to_pybytes())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if reader:
+            reader.close()
 
     return lines.mapInArrow(run, SCHEMA)
 
