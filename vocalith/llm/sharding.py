@@ -31,21 +31,23 @@ def gapless(df: DataFrame, group: str, order: Sequence[str], name: str, blocks:
     """Number the rows of each group from 0 without gaps, in (hash block, ``order``) order.
 
     A group is dealt into ``blocks`` blocks by a hash of ``order``; each block is numbered by itself and shifted by the
-    sizes of the blocks before it, so no task holds a group. Blocks' counts are at most groups x ``blocks`` rows.
-    Rows equal in ``order`` are interchangeable. ``df`` should be cheap to read twice.
+    sizes of the blocks before it, so no task holds a group. Rows equal in ``order`` are interchangeable and dealt over
+    the blocks by ``_salt``, a column of any numbers that stay with their rows. Blocks' counts are at most groups x ``blocks``
+    rows, which bounds what is broadcast. ``df`` should be cheap to read twice.
     """
-    df = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    df = df.withColumn("_block", F.pmod(F.xxhash64(*order, "_salt"), F.lit(blocks)))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     start = df.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n")).select(group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     row = F.row_number().over(Window.partitionBy(group, "_block").orderBy(*order))
-    return df.withColumn("_row", row).join(F.broadcast(start), [group, "_block"]).withColumn(name, (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_block", "_start", "_row")
+    return df.withColumn("_row", row).join(F.broadcast(start), [group, "_block"]).withColumn(name, (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_block", "_start", "_row", "_salt")
 
 
 def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's shard, its slot in the shard, and its shard once one of weight ``grown`` is added.
 
     Law ``key``: key and shard count decide, so equal texts with other keys may part and repeated rows stay together.
-    Null text: no bytes, size 1, CRC 0. Null keys share a shard. An empty table gives no rows. Other columns are left out.
+    Null text: no bytes, size 1, CRC 0. Null keys share a shard. Whole texts are measured, however long. An empty table gives
+    no rows. Other columns are left out, whatever their names.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -55,6 +57,7 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float =
         F.lit("key").alias("law"),
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), [*weights, grown]).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("_salt"),
     )
     out = gapless(cut(rows, "shard"), "shard", ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
