@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import components, cut, small_enough, spare_name, table, text_batches, tidy
+from vocalith.llm.common import components, cut, discard, small_enough, spare_name, table, text_batches, tidy
 
 #: Words a shingle, the least similarity of a link, and bands x rows of the signature.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 26, 5
 #: Bands that are compared before the others.
 FIRST = 3
-#: Members of a bucket's part on average, two of which a task compares at most.
-BLOCK = 256
+#: Members of a bucket's part on average, and their shingles with repeats; a task compares two parts at most.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 #: Shingles that are hashed at once, and words whose hashes a worker keeps.
 BATCH, MEMO = 300_000, 100_000
 #: Tables of ids up to this many rows are broadcast, larger ones joined by shuffle.
@@ -118,7 +118,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, node, bands) of every document: its text's digest and its band keys.
+    """(doc_id, node, bands, size) of every document: its text's digest, its band keys and its shingles, repeats counted.
     Texts without words have a null node and nothing else."""
     text_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -128,9 +128,10 @@ def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
 
         def done(ids: list, nodes: list, bags: list) -> pa.RecordBatch:
             sig = signatures(bags, bands * rows)
-            keys = iter(band_keys(sig, bands, rows).tolist())
+            keys, sizes = iter(band_keys(sig, bands, rows).tolist()), iter([int(c.sum()) for _, c in bags])
             keys = [None if n is None else next(keys) for n in nodes]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            sizes = [0 if n is None else next(sizes) for n in nodes]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "node", "bands", "size"])
 
         ids, nodes, bags, size = [], [], [], 0
         for b in batches:
@@ -148,18 +149,18 @@ def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
         if ids:
             yield done(ids, nodes, bags)
 
-    return source.mapInArrow(lambda batches: tidy(run(batches)), "doc_id bigint, node binary, bands array<bigint>")
+    return source.mapInArrow(lambda batches: tidy(run(batches)), "doc_id bigint, node binary, bands array<bigint>, size int")
 
 
-def _buckets(held: DataFrame, block: int) -> DataFrame:
-    """(key, p, q, node, root, part): members of the buckets (node, root, key) that hold texts of several classes, dealt into cells.
+def _buckets(held: DataFrame, block: int, shingles: int) -> DataFrame:
+    """(key, p, q, node, root, part): members of the buckets (node, root, key, size) that hold texts of several classes, dealt into cells.
 
-    Buckets of the same members are kept once. A bucket of more than ``block`` members is dealt into parts, and each pair
-    of parts meets in the cell (p, q), so any number of members is compared whole in cells of bounded size.
+    Buckets of the same members are kept once. A bucket of more than ``block`` members or ``shingles`` is dealt into parts, and each pair
+    of parts meets in the cell (p, q), so any number of members is compared whole in cells of bounded size; a text longer than that stands in a part nearly alone.
     """
     h = F.xxhash64("node")
-    full = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"), F.min("root").alias("low"), F.max("root").alias("high"))
-    once = full.where("low != high").groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    full = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("size").alias("all"))
+    once = full.where("low != high").groupBy("n", "x", "s").agg(F.min("key").alias("key"), F.min("all").alias("all")).select("key", F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / shingles))).cast("int").alias("parts"))
     rows = held.join(once, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "root", "part")
@@ -253,7 +254,7 @@ def _bags(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
     return cut(bags.dropDuplicates(["node"]), "bag-texts")
 
 
-def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Each document's class: (doc_id, node, class_id, n_class, kept, repeats), one row for each row of ``docs`` (doc_id, text).
 
     Equal texts are one node from the start, so copies of any number cost one comparison. Different texts are candidates
@@ -262,22 +263,26 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     whose classes differ; no bucket is capped, and what leaves a cell is a spanning set of its links. A class is a
     connected component of links between texts that overlap by ``least`` or more; its id is its smallest doc_id.
 
+    Whole texts are compared, however long; a part of a bucket has bounded shingles. Other columns are left out, whatever their names.
     Null, empty and blank texts have no shingles, link with nothing and are classes of their own (node null). Null ids
     belong to their text's class and are never its id unless no other is there. ``repeats`` counts the rows that share
     doc_id and text; all of them are ``kept`` together where the class keeps that id. An empty table gives no rows.
     """
     signed = cut(sign(docs, bands=bands, rows=rows, words=words), "bag-signed")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size"))
     nodes = cut(nodes, "bag-nodes")
-    held = cut(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bag-bands")
+    held = cut(nodes.select("node", "size", F.posexplode("bands").alias("band", "key")), "bag-bands")
     several = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    held = cut(held.join(several, "key"), "bag-held")
+    every, held = held, cut(held.join(several, "key"), "bag-held")
+    discard(every)
     bags = _bags(docs, nodes, held.select("node").distinct(), words)
-    first = _buckets(held.where(F.col("band") < FIRST).withColumn("root", F.col("node")), block)
+    first = _buckets(held.where(F.col("band") < FIRST).withColumn("root", F.col("node")), block, shingles)
     links = cut(_links(first, bags, least), "bag-links")
     roots = components(links, "bag-cc").withColumnRenamed("node", "_node")
-    rest = held.where(F.col("band") >= FIRST).join(roots, F.col("node") == F.col("_node"), "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-    links = cut(links.union(_links(_buckets(cut(rest, "bag-rest"), block), bags, least)), "bag-links")
+    rest = held.where(F.col("band") >= FIRST).join(roots, F.col("node") == F.col("_node"), "left").select("node", "key", "size", F.coalesce("root", "node").alias("root"))
+    rest = cut(rest, "bag-rest")
+    first, links = links, cut(links.union(_links(_buckets(rest, block, shingles), bags, least)), "bag-links")
+    discard(first, rest, held, bags)
     roots = components(links, "bag-cc").withColumnRenamed("node", "_node")
     named = nodes.select("node", "doc_id", "n").join(roots, F.col("node") == F.col("_node"), "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
     top = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class"), F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
