@@ -27,7 +27,8 @@ def brute_shard(key, weights):
 def test_shards_match_brute_force_and_only_the_new_shard_gains(spark):
     rows = [(i, f"text {i % 50} é", "a") for i in range(400)] + [(None, None, None), (None, "x", "a"), (7, "text 7 é", "a"), (7, "text 7 é", "a")]
     weights = (1.0, 2.0, 1.0, 0.5)
-    got = sharding.shard(docs(spark, rows), weights, 1.5).collect()
+    rows += [(800, "long " * 500_000, "a")] + [(9, "text 9 é", "a")] * 300
+    got = sharding.shard(docs(spark, rows).withColumn("size", F.lit("mine")).withColumn("_salt", F.lit("mine")), weights, 1.5).collect()
     assert len(got) == len(rows)
     slots = defaultdict(list)
     for r in got:
@@ -155,12 +156,51 @@ def test_urls_match_rules_and_the_models_judge_the_rest(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
 
 
-def test_markov_model_is_a_distribution():
-    m = url_filter.Markov(["abab", "abac"], order=3)
-    chars = sorted({c for t in ["\x02abab\x03", "\x02abac\x03"] for c in t})
-    for context in ("", "a", "ab", "zz", "bab"):
-        assert sum(m.prob(context, c) for c in chars) + (1024 - len(chars)) * m.prob(context, "?") < 1 + 1e-9
-    assert m.prob("a", "b") > m.prob("a", "c") > m.prob("a", "z")
+class Markov:
+    """The model that the counts stand for, in plain Python."""
+
+    def __init__(self, texts, order=5):
+        self.counts = defaultdict(Counter)
+        for t in texts:
+            t = "\x02" + t + "\x03"
+            for i in range(1, len(t)):
+                for k in range(min(order, i) + 1):
+                    self.counts[t[i - k : i]][t[i]] += 1
+
+    def prob(self, context, char):
+        p = 1 / 1024
+        for k in range(len(context) + 1):
+            c = self.counts.get(context[len(context) - k :])
+            if c:
+                p = (c[char] + len(c) * p) / (sum(c.values()) + len(c))
+        return p
+
+
+def test_scores_match_brute_force_models(spark):
+    good = [f"https://blog.fine{i % 7}.com/good/{i}" for i in range(80)] + ["http://é.com/ü", "x://com/" + "long" * 20_000]
+    bad = [f"https://spam{i % 5}.net/es/pills-{i}" for i in range(60)]
+    rest = ["https://blog.fine.org/good/7", "https://spam7.org/es/pills-7", "http://", "☃", "x://org/" + "pills" * 9_000]
+    urls = [*good * 2, *bad, *bad[:1] * 500, *rest, rest[0], None, ""]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3)).collect()
+    labelled = spark.createDataFrame([(u, "allow") for u in good] + [(u, "block") for u in bad], "url string, verdict string")
+    held = {r.url for r in labelled.where(F.pmod(F.xxhash64("url", F.lit("held")), F.lit(5)) == 0).collect()}
+    assert 10 < len(held) < 60
+    a, b = Markov(set(good) - held), Markov(set(bad) - held)
+
+    def score(u):
+        t = "\x02" + u + "\x03"
+        return sum(math.log(a.prob(t[max(0, i - 5) : i], t[i])) - math.log(b.prob(t[max(0, i - 5) : i], t[i])) for i in range(1, len(t))) / (len(t) - 1)
+
+    at = url_filter.calibrate([round(score(u), 9) for u in good if u in held], [round(score(u), 9) for u in bad if u in held])
+    assert len(got) == len(urls)
+    for r in got:
+        u = urls[r.page_id] or ""
+        assert (r.rule is None) == (r.score is not None)
+        if r.rule is None:
+            assert abs(r.score - (score(u) if u else 0.0)) < 1e-8 and r.verdict == ("allow" if r.score >= at else "block")
+    chars = {c for t in good for c in t} | {"\x03"}
+    for context in ("", "h", "htt", "zz"):
+        assert 0.5 < sum(a.prob(context, c) for c in chars) < 1 + 1e-9
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -187,6 +227,28 @@ def test_warc_round_trip(spark, tmp_path):
         assert [c for c, _ in parts] == list(range(len(parts)))
 
 
+def test_cut_off_archives_fail(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    pages = spark.createDataFrame([(1, "u", "<p>" + "x" * 3000), (2, "v", "<p>two")], "page_id bigint, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"), chunk=1000)
+    whole = b"".join(gzip.open(f).read() for f in sorted((tmp_path / "w").glob("part-*")))
+    starts = [m.start() for m in re.finditer(rb"WARC/1.1\r\n", whole)]
+    assert len(starts) == 5
+    for n in (starts[1], starts[1] + 30, starts[2] - 200, len(whole) - 6, len(whole)):
+        folder = tmp_path / f"cut{n}"
+        folder.mkdir()
+        with gzip.open(folder / "a.gz", "wb") as f:
+            f.write(whole[:n])
+        if n == len(whole):
+            assert warc.read(spark, str(folder)).where("last").count() == 2
+        else:
+            with pytest.raises(Exception, match="ends within a record|doesn't end where"):
+                warc.read(spark, str(folder)).collect()
+
+
 def test_warc_of_an_empty_table(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id bigint, url string, html string"), str(tmp_path / "w"))
     assert warc.read(spark, str(tmp_path / "w")).collect() == []
