@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import cut, small_enough, table, text_batches
+from vocalith.llm.common import cut, discard, small_enough, table, text_batches
 from vocalith.llm.url_filter import host
 
 #: Share of an element's different pages on which a text in it, or an order of a class, stands to be template, and pages that
@@ -293,9 +293,9 @@ def text_token(path: str, text: str) -> int:
 #: The page itself, which every page has once.
 ROOT = element("")
 
-_PARSED = "page bigint, tok array<bigint>, info array<int>, texts array<string>, chars array<int>, links array<int>, bag array<struct<id: bigint, path: string, above: bigint, count: int, chars: bigint>>"
+_PARSED = "page bigint, tok array<bigint>, info array<int>, chars array<int>, links array<int>, bag array<struct<id: bigint, path: string, above: bigint, count: int, chars: bigint>>"
 _BAG = pa.list_(pa.struct([("id", pa.int64()), ("path", pa.string()), ("above", pa.int64()), ("count", pa.int32()), ("chars", pa.int64())]))
-_TYPES = {"page": pa.int64(), "tok": pa.list_(pa.int64()), "info": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "chars": pa.list_(pa.int32()), "links": pa.list_(pa.int32()), "bag": _BAG}
+_TYPES = {"page": pa.int64(), "tok": pa.list_(pa.int64()), "info": pa.list_(pa.int32()), "chars": pa.list_(pa.int32()), "links": pa.list_(pa.int32()), "bag": _BAG}
 
 
 def tokenised(page: str | None) -> dict:
@@ -348,15 +348,13 @@ def _batched(run, columns: int, size: int = 256):
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, host, html) without html, with the columns of ``tokenised``."""
+    """(host, ...) of ``pages`` (host, html) with the columns of ``tokenised`` but the texts."""
 
     def run(part: pa.RecordBatch, bodies: list) -> pa.RecordBatch:
         rows = [tokenised(x) for x in bodies]
-        return pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array([r[n] for r in rows], t) for n, t in _TYPES.items())], [*part.schema.names[1:], *_TYPES])
+        return pa.RecordBatch.from_arrays([part.column(1), *(pa.array([r[n] for r in rows], t) for n, t in _TYPES.items())], ["host", *_TYPES])
 
-    out = pages.select("page_id", "url", "host").schema
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out)
-    return pages.select("html", "page_id", "url", "host").mapInArrow(_batched(run, 1), f"{ddl}, {_PARSED}")
+    return pages.select("html", "host").mapInArrow(_batched(run, 1), f"host string, {_PARSED}")
 
 
 # ---- equivalence classes
@@ -389,6 +387,7 @@ def classes(parsed: DataFrame, support: float = SUPPORT, least: int = PAGES) ->
     holds = kinds.where(F.col("n") >= least).select("host", F.col("id").alias("above"), F.col("n").alias("pages"))
     texts = t.where(F.col("path").isNull()).join(holds, ["host", "above"]).where(F.col("n") >= F.ceil(F.col("pages") * support)).drop("pages")
     both = cut(kinds.select(*t.columns).union(texts.select(*t.columns)), "html-candidates")
+    discard(t)
 
     def group(rows: pa.Table) -> pa.Table:
         rows = sorted(rows.to_pylist(), key=lambda r: (r["path"] is None, r["path"] or "", r["id"]))
@@ -629,15 +628,19 @@ def extract(pages: DataFrame, support: float = SUPPORT, least: int = PAGES, key:
     parsed = cut(tokens(named), "html-parsed")
     packed = cut(pack(templates(parsed, support, least)), "html-template")
     known = cut(slots(parsed, packed).join(packed, "_host", "left"), "html-slots")
-    rows = _beside(parsed, known).select("packed", "slots", "tok", "info", "texts", "page_id", "url")
+    discard(parsed, packed)
+    rows = _beside(named, known).select("packed", "slots", "html", "page_id", "url")  # pages are parsed again, as their texts would take much more disk than time
     memo = _Memo(_valid)
     stats = _Memo(lambda v: {r[0]: r[1:] for r in np.frombuffer(v or b"", _SLOT).tolist()})
 
     def run(part: pa.RecordBatch, *cols: list) -> pa.RecordBatch:
-        texts = ["\n".join(t for t, x in zip(own, main_blocks(tok, info, memo[value], stats[known], least)) if x) for value, known, tok, info, own in zip(*cols)]
-        return pa.RecordBatch.from_arrays([part.column(5), part.column(6), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        texts = []
+        for value, known, body in zip(*cols):
+            page = tokenised(body)
+            texts.append("\n".join(t for t, x in zip(page["texts"], main_blocks(page["tok"], page["info"], memo[value], stats[known], least)) if x))
+        return pa.RecordBatch.from_arrays([part.column(3), part.column(4), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(_batched(run, 5), f"page_id {named.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    return rows.mapInArrow(_batched(run, 3), f"page_id {named.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
 
 
 def op9_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
