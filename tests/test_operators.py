@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vocalith.functions.audio import decode_mulaw, encode_mulaw, mix, mulaw_decoded, mulaw_encoded, mulaw_level, power, reverberate, wav_decoded
+from vocalith.functions.audio import decode_mulaw, encode_mulaw, mix, mulaw_decoded, mulaw_encoded, mulaw_level, level, bandpass, convolved, noise_part, resampled, reverberate, wav_decoded
 from vocalith.functions.text import normalise
 from vocalith.operators import alignment as al
 from vocalith.operators.entities import Category, outcomes, summary, tag
@@ -150,9 +150,20 @@ def test_wav_noise_and_rooms(session):
     got = session.createDataFrame([(bytearray(buf.getvalue()),)], "b BINARY").select(wav_decoded("b").alias("w")).collect()[0].w
     assert got.rate == 8000 and bytes(got.samples) == speech.tobytes()
     m = mix(speech, noise, 10.0, 100, 3000)
-    assert m["scale"] == 1.0 and abs(10 * np.log10(power(speech[100:3000]) / power(m["gain"] * np.resize(noise, 4000)[100:3000].astype(float))) - 10) < 1e-9
+    assert m["scale"] == 1.0 and abs(20 * np.log10(level(speech, 100, 3000) / level(m["gain"] * np.resize(noise, 4000).astype(float), 100, 3000)) - 10) < 1e-9
     same = reverberate(speech, np.array([0, 1000, 0], "<i2"), 0, 4000)
-    assert same["samples"] == speech.tobytes() and same["gain"] == 1.0
+    assert same["samples"] == speech.tobytes() and same["direct"] == 1
+    loud = mix((speech * 10).astype("<i2"), noise, -10.0, 0, 4000)
+    assert loud["scale"] < 1.0 and np.abs(np.frombuffer(loud["samples"], "<i2").astype(int)).max() == 32767
+    h = rng.standard_normal(700)
+    assert np.allclose(convolved(speech.astype(float), h), np.convolve(speech, h)) and np.allclose(convolved(speech[:5].astype(float), h), np.convolve(speech[:5], h))
+    part, at = noise_part(noise, 100, np.random.default_rng(3))
+    assert (part == noise[at : at + 100]).all() and noise_part(noise, 5000, rng)[1] == 0
+    t = np.arange(8000) / 8000
+    tone = lambda hz: np.rint(8000 * np.sin(2 * np.pi * hz * t)).astype("<i2")
+    kept = [level(bandpass(tone(hz), 8000, 300, 3000), 1000, 7000) / level(tone(hz), 1000, 7000) for hz in (50, 1000, 3900)]
+    assert kept[0] < 0.01 and 0.95 < kept[1] < 1.05 and kept[2] < 0.05
+    assert abs(level(resampled(tone(440), 8000, 16000), 0, 16000) - level(tone(440), 0, 8000)) < 2 and len(resampled(tone(440), 8000, 16000)) == 16000
     with pytest.raises(ValueError):
         mix(np.zeros(10, "<i2"), noise, 10.0, 0, 10)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions.arrow import arrow
 
-MIXED = "struct<samples:binary,gain:double,scale:double>"
+MIXED, ROOM = "struct<samples:binary,gain:double,scale:double>", "struct<samples:binary,direct:int,scale:double>"
 FULL = 32767.0
 
 
@@ -75,51 +75,93 @@ def wav_decoded(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{"rate": None, "samples": None} if b is None else _wav(bytes(b)) for b in data], columns=["rate", "samples"])
 
 
-def power(x: np.ndarray) -> float:
-    return float(np.mean(np.square(x, dtype=np.float64))) if len(x) else 0.0
+def level(x: np.ndarray, start: int, end: int) -> float:
+    """Root mean square of the samples in [start, end); 0 where there are none."""
+    part = x[start:end].astype(np.float64)
+    return float(np.linalg.norm(part) / np.sqrt(part.size)) if part.size else 0.0
+
+
+def limited(wave_: np.ndarray, factor: float = 1.0) -> tuple[bytes, float]:
+    """``wave_`` times ``factor`` as 16-bit samples, the factor made smaller where its peak would pass full scale."""
+    top = float(np.abs(wave_).max(initial=0.0))
+    factor = min(factor, FULL / top) if top else factor
+    return np.rint(factor * wave_).clip(-32768, FULL).astype("<i2").tobytes(), factor
 
 
 def mix(speech: np.ndarray, noise: np.ndarray, snr_db: float, start: int, end: int) -> dict:
-    """Speech with noise (tiled if shorter) at a ratio over [start, end), scaled down if it would clip."""
-    if not len(noise):
-        raise ValueError("empty noise")
-    n, s = np.resize(noise, len(speech)).astype(np.float64), speech.astype(np.float64)
-    ps, pn = power(s[start:end]), power(n[start:end])
-    if ps == 0 or pn == 0:
-        raise ValueError("speech or noise is silent in the region")
-    gain = float(np.sqrt(ps / (pn * 10 ** (snr_db / 10))))
-    out = s + gain * n
-    peak = float(np.abs(out).max())
-    scale = min(1.0, FULL / peak)
-    return {"samples": np.round(out * scale).clip(-32768, 32767).astype("<i2").tobytes(), "gain": gain, "scale": scale}
+    """Speech with noise, repeated as often as needed, ``snr_db`` decibels below the speech's level over [start, end)."""
+    around = np.take(noise, np.arange(speech.size), mode="wrap") if noise.size else noise
+    loud, quiet = level(speech, start, end), level(around, start, end)
+    if not loud or not quiet:
+        raise ValueError("speech or noise is silent or missing where levels are measured")
+    gain = loud / quiet * 10.0 ** (-snr_db / 20)
+    samples, scale = limited(speech + gain * around)
+    return {"samples": samples, "gain": gain, "scale": scale}
+
+
+def noise_part(noise: np.ndarray, length: int, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """A random stretch of ``length`` samples and where it starts; all of a noise that isn't longer."""
+    at = int(rng.integers(0, noise.size - length + 1)) if noise.size > length else 0
+    return noise[at : at + length], at
+
+
+def convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """All of ``x`` filtered by ``h``, block by block: each block's tail is added to the next ones'."""
+    block = 1 << max(12, (2 * h.size - 1).bit_length())
+    step, response = block - h.size + 1, np.fft.rfft(h, block)
+    out = np.zeros(x.size + block)
+    for a in range(0, x.size, step):
+        out[a : a + block] += np.fft.irfft(response * np.fft.rfft(x[a : a + step], block), block)
+    return out[: x.size + h.size - 1]
 
 
 def reverberate(speech: np.ndarray, response: np.ndarray, start: int, end: int) -> dict:
-    """Speech in a room: aligned on the response's direct path, its power over [start, end) kept unless that clips."""
-    if not response.any():
+    """Speech in a room, moved ahead by the time that the strongest path takes, and as loud over [start, end) as before."""
+    direct = int(np.argmax(np.abs(response.astype(np.float64)))) if response.size else 0
+    if not response.size or not response[direct]:
         raise ValueError("empty or silent response")
-    size = len(speech) + len(response) - 1
-    n = 1 << max(size - 1, 0).bit_length()
-    full = np.fft.irfft(np.fft.rfft(speech.astype(np.float64), n) * np.fft.rfft(response.astype(np.float64), n), n)
-    direct = int(np.abs(response.astype(np.int32)).argmax())
-    wet = full[:size][direct : direct + len(speech)]
-    before, after = power(speech[start:end]), power(wet[start:end])
-    scale = float(np.sqrt(before / after)) if after > 0 else 1.0
-    peak = float(np.abs(wet * scale).max()) if len(wet) else 0.0
-    scale *= min(1.0, FULL / peak) if peak > FULL else 1.0
-    return {"samples": np.round(wet * scale).clip(-32768, 32767).astype("<i2").tobytes(), "gain": float(direct), "scale": scale}
-
-
-def _pairwise(f):
-    @arrow(MIXED)
+    wet = convolved(speech.astype(np.float64), response.astype(np.float64))[direct:][: speech.size]
+    heard = level(wet, start, end)
+    samples, scale = limited(wet, level(speech, start, end) / heard if heard else 1.0)
+    return {"samples": samples, "direct": direct, "scale": scale}
+
+
+def bandpass(x: np.ndarray, rate: int, low: float, high: float, sections: int = 2) -> np.ndarray:
+    """Second-order high-pass and low-pass sections, applied ``sections`` times each as products of their frequency responses."""
+    if not 0 < low < high < rate / 2:
+        raise ValueError(f"{low} to {high} Hz is no band at {rate} Hz")
+    size = 1 << (2 * x.size - 1).bit_length() if x.size else 1
+    z = np.exp(-2j * np.pi * np.fft.rfftfreq(size))
+    gain = np.ones(z.size, complex)
+    for hz, sign in ((low, 1), (high, -1)):  # bilinear Butterworth sections
+        k = np.tan(np.pi * hz / rate)
+        a0, a1, a2 = 1 + np.sqrt(2) * k + k * k, 2 * (k * k - 1), 1 - np.sqrt(2) * k + k * k
+        b = 1.0 if sign > 0 else k * k
+        gain *= (b * (1 - sign * 2 * z + z * z) / (a0 + a1 * z + a2 * z * z)) ** sections
+    return np.rint(np.fft.irfft(gain * np.fft.rfft(x.astype(np.float64), size), size)[: x.size]).clip(-32768, 32767).astype("<i2")
+
+
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """The samples at another rate: their spectrum cut or padded."""
+    if rate == to or not x.size:
+        return x.astype("<i2")
+    n = round(x.size * to / rate)
+    spectrum = np.fft.rfft(x.astype(np.float64))[: n // 2 + 1]
+    return np.rint(np.fft.irfft(np.pad(spectrum, (0, n // 2 + 1 - spectrum.size)), n) * n / x.size).clip(-32768, 32767).astype("<i2")
+
+
+def _pairwise(f, schema: str):
+    names = [x.split(":")[0] for x in schema.removeprefix("struct<").removesuffix(">").split(",")]
+
+    @arrow(schema)
     def run(a: pd.Series, b: pd.Series, x: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
-        rows = [f(np.frombuffer(bytes(p), "<i2"), np.frombuffer(bytes(q), "<i2"), v, int(i), int(j)) if p is not None and q is not None else dict.fromkeys(("samples", "gain", "scale")) for p, q, v, i, j in zip(a, b, x, start, end)]
-        return pd.DataFrame(rows, columns=["samples", "gain", "scale"])
+        rows = [f(np.frombuffer(bytes(p), "<i2"), np.frombuffer(bytes(q), "<i2"), v, int(i), int(j)) if p is not None and q is not None else dict.fromkeys(names) for p, q, v, i, j in zip(a, b, x, start, end)]
+        return pd.DataFrame(rows, columns=names)
 
     return run
 
 
 #: (speech, noise, decibels, start, end) -> samples, the noise's gain, the mix's scale.
-mixed = _pairwise(mix)
-#: (speech, response, ignored, start, end) -> samples, the direct path's position, the scale.
-reverberated = _pairwise(lambda s, h, _, i, j: reverberate(s, h, i, j))
+mixed = _pairwise(mix, MIXED)
+#: (speech, response, ignored, start, end) -> samples, the strongest path's place, the scale.
+reverberated = _pairwise(lambda s, h, _, i, j: reverberate(s, h, i, j), ROOM)

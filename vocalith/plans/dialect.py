@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
+
 
 class Spark:
-    def __init__(self, sf_dir: str):
-        self.sf_dir = sf_dir
+    def __init__(self, sf_dir: str, session=None):
+        self.sf_dir, self.session = sf_dir, session
+
+    def once(self, name: str, sql: str) -> str:
+        """``sql``, computed once for a session that asks for it from several queries: its rows stay with the executors, on disk where memory is short."""
+        if self.session is None:
+            return sql
+        view = f"{name}_{zlib.crc32((self.sf_dir + sql).encode())}"
+        if not self.session.catalog.tableExists(view):
+            self.session.sql(sql).persist().createOrReplaceTempView(view)
+        return f"SELECT * FROM {view}"
+
+    def deal(self, sql: str, key: str) -> str:
+        """``sql`` dealt over all tasks by ``key``, whatever row groups its file has."""
+        return f"SELECT /*+ REPARTITION({key}) */ * FROM ({sql}) dealt"
 
     def table(self, name: str) -> str:
         return f"parquet.`{self.sf_dir}/{name}.parquet`"
@@ -61,6 +76,12 @@ class Spark:
     def sha256(self, s: str) -> str:
         return f"sha2({s}, 256)"
 
+    def json_text(self, s: str, key: str) -> str:
+        return f"get_json_object({s}, '$.{key}')"
+
+    def infinity(self) -> str:
+        return "cast('Infinity' AS DOUBLE)"
+
     def json_int(self, s: str, key: str) -> str:
         return f"cast(get_json_object({s}, '$.{key}') AS BIGINT)"
 
@@ -88,6 +109,12 @@ class Duck(Spark):
     def __init__(self):
         super().__init__("")
 
+    def once(self, name: str, sql: str) -> str:
+        return sql
+
+    def deal(self, sql: str, key: str) -> str:
+        return sql
+
     index = "(i - 1)"
     size, join, distinct, position, concat_arrays = "len", "array_to_string", "list_distinct", "list_position", "list_concat"
 
@@ -140,6 +167,9 @@ class Duck(Spark):
     def sha256(self, s: str) -> str:
         return f"sha256({s})"
 
+    def json_text(self, s: str, key: str) -> str:
+        return f"json_extract_string({s}, '$.{key}')"
+
     def json_int(self, s: str, key: str) -> str:
         return f"cast(json_extract_string({s}, '$.{key}') AS BIGINT)"
 
