@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions.audio import mulaw_level
-from vocalith.functions.text import normalised
+from vocalith.functions.text import RULES, normalised
 from vocalith.operators.alignment import alignment, difference, key_term_insertions
 from vocalith.operators.entities import Category, outcomes, summary, tagged
+from vocalith.operators.scripts import check, script
 from vocalith.operators.traces import endpoint_outcomes, session_latency
 from vocalith.plans.dialect import Duck, Spark
-from vocalith.plans.evaluation import hyps, scores
+from vocalith.plans.evaluation import _formatted, hyps, scores
 from vocalith.plans.suites import PROFILE, SUITE, match
 from vocalith.sources.schemas import manifest_rules, violations
+from vocalith.sources.responses import results
 from vocalith.streaming.messages import batch_events
 
 CATEGORIES = [*(Category(n, builtin=n) for n in ("number", "phone", "date", "dosage", "duration")), Category("licence", terms=("license", "apache license", "all rights reserved")), Category("address", pattern=r"\S+ at \S+")]
@@ -27,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spark.sql(hyps(Spark(sf_dir))).select("utt_id", "subset", "sys", F.col("toks").alias("ref"), "hyp")
+    h = spark.sql(hyps(Spark(sf_dir, spark))).select("utt_id", "subset", "sys", F.col("toks").alias("ref"), "hyp")
     return h.withColumn("a", alignment("ref", "hyp"))
 
 
@@ -165,7 +167,54 @@ def suite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(profiles, suites).select("profile_id", "suite_id", "proxy", F.array_join("missing", ",").alias("missing"), F.array_join("covered", ",").alias("covered"))
 
 
-QUERIES = {f.__name__: f for f in (alignment_counts, alignment_diffs, false_key_terms, normalised_documents, tagged_documents, entity_summary, mulaw_levels, provider_events, trace_latency, trace_outcomes, manifest_violations, suite_match)}
+def batch_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of three providers, made of conversations, as result rows; and what is to be asked again."""
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 40), '"\\\n\t', "    ").alias("t"))
+    k = F.col("conv_id") * 31 + F.col("turn")
+    wrap = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    body = (
+        F.when(k % 3 == 0, wrap('{"results": {"channels": [{"alternatives": [{"transcript": "', F.col("t"), '"}]}]}}'))
+        .when(k % 3 == 1, wrap('{"status": "', F.when(k % 5 == 0, "error").when(k % 5 == 1, "processing").otherwise("completed"), '", "error": "bad", "text": "', F.col("t"), '"}'))
+        .otherwise(F.when(k % 7 == 0, "{}").otherwise(wrap('{"text": "', F.col("t"), '"}')))
+    )
+    answers = c.select(
+        F.lit("r").alias("run_id"), F.lit("c").alias("config_id"), F.concat_ws(":", "conv_id", "turn").alias("utt_id"), F.element_at(F.array(*map(F.lit, ("deepgram", "assemblyai", "elevenlabs"))), (k % 3 + 1).cast("int")).alias("provider"),
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), F.when(k % 11 == 0, 503).when(k % 11 == 1, 401).otherwise(200).cast("int").alias("status"), body.alias("body"),
+    ).where((F.col("attempt") == 1) | (k % 2 == 0))
+    return results(answers).select("utt_id", "hyp_text", "error", "suspect_empty", "attempts", "retry")
+
+
+RESPONSES_SQL = """WITH c AS (SELECT conv_id || ':' || turn AS utt_id, conv_id * 31 + turn AS k, translate(substr(coalesce(text, ''), 1, 40), '"' || chr(92) || chr(10) || chr(9), '    ') AS t FROM conversations),
+s AS (SELECT *, CASE k % 3 WHEN 0 THEN 'deepgram' WHEN 1 THEN 'assemblyai' ELSE 'elevenlabs' END AS p FROM c),
+e AS (SELECT *, CASE WHEN k % 11 = 0 THEN p || ': HTTP 503' WHEN k % 11 = 1 THEN p || ': HTTP 401' WHEN k % 3 = 1 AND k % 5 = 1 THEN p || ': not done' WHEN k % 3 = 1 AND k % 5 = 0 THEN p || ': failed: bad' WHEN k % 3 = 2 AND k % 7 = 0 THEN p || ': unexpected response shape' END AS error FROM s)
+SELECT utt_id, CASE WHEN error IS NULL THEN t ELSE '' END AS hyp_text, error, error IS NULL AND trim(t) = '' AS suspect_empty, cast(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts, error IS NOT NULL AND (k % 11 = 0 OR (k % 11 <> 1 AND k % 3 = 1 AND k % 5 = 1)) AS retry FROM e"""
+
+
+def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of two runs without each of the standardiser's rules, and the utterances that the rule helps or hurts.
+
+    Each different text is normalised once for each rule; references and hypotheses are those of the native ablation.
+    """
+    f = spark.sql(_formatted(Spark(sf_dir, spark)))
+    texts = f.select(F.col("ref_text").alias("t")).union(f.select("hyp_text")).distinct()
+    forms = texts.select("t", F.map_from_arrays(F.array(*map(F.lit, ("none", *RULES))), F.array(*[F.split(normalised(F.col("t"), disable=[] if r is None else [r]), " ") for r in (None, *RULES)])).alias("m"))
+    side = lambda n: forms.select(F.col("t").alias(f"{n}_text"), F.col("m").alias(n))
+    rows = f.join(side("ref"), "ref_text").join(side("hyp"), "hyp_text").select("utt_id", "sys", "ref", "hyp", F.explode(F.array(*map(F.lit, ("none", *RULES)))).alias("rule"))
+    rows = rows.select("utt_id", "sys", "rule", F.col("ref")[F.col("rule")].alias("a"), F.col("hyp")[F.col("rule")].alias("b")).withColumn("d", F.array_distinct(F.concat("a", "b")))
+    code = lambda x: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position("d", w) + 19968), 4, "0")), "UTF-16BE")), "")
+    e = rows.select("utt_id", "sys", "rule", F.size("a").alias("n"), F.levenshtein(code("a"), code("b")).alias("e"))
+    e = e.withColumn("e0", F.max(F.when(F.col("rule") == "none", F.col("e"))).over(Window.partitionBy("utt_id", "sys")))
+    return e.groupBy("rule", "sys").agg(F.sum("e").alias("errors"), F.sum("n").alias("n_ref"), F.count_if(F.col("e") > F.col("e0")).alias("helped"), F.count_if(F.col("e") < F.col("e0")).alias("hurt"), F.sum(F.greatest(F.col("e") - F.col("e0"), F.lit(0))).alias("removed"))
+
+
+def script_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated script against the tagger: how many of its entities are found."""
+    templates = ["I take {dosage} since {date}.", "Call me at {phone}, please.", "It costs {number} for {duration}.", "The {licence} ends on {date}."]
+    made = script(spark, "demo", templates, CATEGORIES, [f"tts_{v}:voice{n}:en-US" for v in "ab" for n in (1, 2)], target=25)
+    return check(made, CATEGORIES).groupBy("category").agg(F.count("*").alias("n"), F.count_if("found").alias("found"))
+
+
+QUERIES = {f.__name__: f for f in (alignment_counts, alignment_diffs, false_key_terms, normalised_documents, tagged_documents, entity_summary, mulaw_levels, provider_events, trace_latency, trace_outcomes, manifest_violations, suite_match, batch_responses, standardiser_ablation, script_entities)}
 ORACLE = {
-    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(Duck())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL,
+    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(Duck())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL, "batch_responses": RESPONSES_SQL,
 }

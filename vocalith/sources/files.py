@@ -128,7 +128,7 @@ def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
     text = F.when(wide, F.decode("content", "UTF-16")).otherwise(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
     fine = F.contains(text, F.lit('Object class = "TextGrid"')) & F.contains(text, F.lit("item ["))
     text = F.when(fine, text).otherwise(F.raise_error(F.concat(F.lit("not a long TextGrid: "), F.col("path"))))
-    tiers = files.select(F.col("path").alias("file"), F.explode(F.slice(F.split(text, r"item \[\d+\]:"), 2, 10**6)).alias("body"))
+    tiers = files.select(F.col("path").alias("file"), F.explode(F.slice(F.split(text, r"item \[\d+\]:"), F.lit(2), F.size(F.split(text, r"item \[\d+\]:")) - 1)).alias("body"))
     quoted, number = r'"((?:[^"]|"")*)"', r"(-?[\d.]+(?:[eE][-+]?\d+)?)"
     pattern = rf"intervals \[(\d+)\]:\s*xmin = {number}\s*xmax = {number}\s*text = {quoted}"
     plain = lambda c: F.regexp_replace(c, '""', '"')
