@@ -36,8 +36,9 @@ def scored(session):
             toks = [w for w in re.sub(r"[^\w ]|_", " ", raw.lower()).split(" ") if w]
             utt = f"conv:{c.conv_id}:{c.turn}:{i}"
             for s in ("s1", "s2", "s3", "noisy"):
-                kept = [w for k, w in enumerate(toks) if h(f"drop:{s}{utt}:{k}", 4) % 11]
-                hyp = ["zz" if h(f"sub:{s}{utt}:{k}", 4) % 13 == 0 else w for k, w in enumerate(kept)]
+                drop, sub = (hashlib.md5(f"{x}:{s}{utt}".encode()).hexdigest() for x in ("drop", "sub"))
+                kept = [w for k, w in enumerate(toks) if drop[k % 32] != "0"]
+                hyp = ["zz" if sub[k % 32] == "0" else w for k, w in enumerate(kept)]
                 rows.append((utt, c.conv_id % CLUSTERS, c.role, s, len(toks), len(hyp), distance(toks, hyp)))
     return rows
 

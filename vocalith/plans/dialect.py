@@ -19,8 +19,9 @@ class Spark:
         return f"SELECT * FROM {view}"
 
     def deal(self, sql: str, key: str) -> str:
-        """``sql`` dealt over all tasks by ``key``, whatever row groups its file has."""
-        return f"SELECT /*+ REPARTITION({key}) */ * FROM ({sql}) dealt"
+        """``sql`` dealt over all tasks by ``key``, whatever row groups its file has: as many as the session shuffles to."""
+        n = "" if self.session is None else f"{self.session.conf.get('spark.sql.shuffle.partitions')}, "
+        return f"SELECT /*+ REPARTITION({n}{key}) */ * FROM ({sql}) dealt"
 
     def table(self, name: str) -> str:
         return f"parquet.`{self.sf_dir}/{name}.parquet`"
@@ -101,8 +102,8 @@ class Spark:
         return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
 
     def char(self, n: str) -> str:
-        """The n-th character from U+4E01 on: ``char`` wraps at 256."""
-        return f"decode(unhex(lpad(hex(19968 + {n}), 4, '0')), 'UTF-16BE')"
+        """A character of its own for each n from 1 on: printable ASCII ones first, which are cheap, then those from U+4E5F on."""
+        return f"CASE WHEN {n} < 95 THEN chr(32 + {n}) ELSE decode(unhex(lpad(hex(19968 + {n}), 4, '0')), 'UTF-16BE') END"
 
 
 class Duck(Spark):

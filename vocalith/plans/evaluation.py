@@ -24,11 +24,13 @@ def refs(d) -> str:
 
 
 def hyps(d, systems=("s1", "s2", "s3")) -> str:
-    """References with every system's hypothesis: words go where one hash says so, and become ``zz`` where another does."""
-    kept = d.filter("toks", "x, i", f"{d.hex_int(f"'drop:' || sys || utt_id || ':' || {d.index}", 4)} % 11 <> 0")
-    subbed = d.transform(kept, "x, i", f"CASE WHEN {d.hex_int(f"'sub:' || sys || utt_id || ':' || {d.index}", 4)} % 13 = 0 THEN 'zz' ELSE x END")
+    """References with every system's hypothesis: words go where one hash of the utterance has a 0 at their place, and become ``zz`` where another has."""
+    digit = lambda h: f"substr({h}, cast({d.index} % 32 + 1 AS INT), 1)"
+    kept = d.filter("toks", "x, i", f"{digit('drop_h')} <> '0'")
+    subbed = d.transform(kept, "x, i", f"CASE WHEN {digit('sub_h')} = '0' THEN 'zz' ELSE x END")
     names = d.array(*(f"'{s}'" for s in systems))
-    return f"SELECT *, {subbed} AS hyp FROM (SELECT *, {d.explode(names)} AS sys FROM ({refs(d)}) r0) r1"
+    hashed = f"SELECT *, md5('drop:' || sys || utt_id) AS drop_h, md5('sub:' || sys || utt_id) AS sub_h FROM (SELECT *, {d.explode(names)} AS sys FROM ({refs(d)}) r0) r1"
+    return f"SELECT utt_id, speaker_id, cluster, subset, raw, toks, sys, {subbed} AS hyp FROM ({hashed}) r2"
 
 
 def _distance(d, a: str, b: str) -> str:
@@ -393,11 +395,13 @@ NATIVE_RULES = (("markup", r"</?[A-Za-z_]+ ?/?>", " "), ("okay", r"\bo\.k\.", "o
 VARIANTS = (("word", "<b> word"), ("okay", "o.k."), ("nineth", "ninth"), ("12", "(12)"), ("3", "3rd"), ("1.5", "one.5"), ("plain", "plain"))
 
 
-def _standardised(d, text: str, off: str = "''") -> str:
-    """Words of ``text`` after the rules but the one that ``off`` names."""
-    for name, pattern, by in NATIVE_RULES:
-        text = f"CASE WHEN {off} = '{name}' THEN {text} ELSE {d.replace(text, pattern, by)} END"
-    return d.filter(d.split(text, " +"), "x", "x <> ''")
+def _standardised(d, sql: str, columns: tuple[str, ...], off: str = "''") -> str:
+    """``sql`` with its text ``columns`` after the rules but the one that ``off`` names, a rule a step, and split into words."""
+    for k, (name, pattern, by) in enumerate(NATIVE_RULES):
+        steps = ", ".join(f"CASE WHEN {off} = '{name}' THEN {c}{k or ''} ELSE {d.replace(f'{c}{k or ""}', pattern, by)} END AS {c}{k + 1}" for c in columns)
+        sql = f"SELECT *, {steps} FROM ({sql}) step{k}"
+    words_ = ", ".join(f"{d.filter(d.split(f'{c}{len(NATIVE_RULES)}', ' +'), 'x', "x <> ''")} AS {c}_words" for c in columns)
+    return f"SELECT *, {words_} FROM ({sql}) steps"
 
 
 def _formatted(d) -> str:
@@ -410,7 +414,8 @@ def _formatted(d) -> str:
 def rule_ablation(d) -> str:
     """Errors without each rule, and the utterances that it helps or hurts: what removing the rule adds is what the rule removes."""
     rules = d.array("'none'", *(f"'{r[0]}'" for r in NATIVE_RULES))
-    v = f"SELECT utt_id, sys, rule, {_standardised(d, 'ref_text', 'rule')} AS toks, {_standardised(d, 'hyp_text', 'rule')} AS hyp FROM (SELECT *, {d.explode(rules)} AS rule FROM ({_formatted(d)}) f) r"
+    each = f"SELECT utt_id, sys, ref_text, hyp_text, {d.explode(rules)} AS rule FROM ({d.deal(_formatted(d), 'utt_id')}) f"
+    v = f"SELECT utt_id, sys, rule, ref_text_words AS toks, hyp_text_words AS hyp FROM ({_standardised(d, each, ('ref_text', 'hyp_text'), 'rule')}) r"
     e = f"SELECT utt_id, sys, rule, cast({d.size}(toks) AS BIGINT) AS n, {_distance(d, 'toks', 'hyp')} AS e FROM (SELECT *, {d.distinct}({d.concat_arrays}(toks, hyp)) AS dict FROM ({v}) v0) v1"
     own = f"SELECT sys, rule, n, e, max(CASE WHEN rule = 'none' THEN e END) OVER (PARTITION BY utt_id, sys) AS e0 FROM ({e}) x"
     return f"SELECT rule, sys, cast(sum(e) AS BIGINT) AS errors, cast(sum(n) AS BIGINT) AS n_ref, cast(count_if(e > e0) AS BIGINT) AS helped, cast(count_if(e < e0) AS BIGINT) AS hurt, cast(sum(greatest(e - e0, 0)) AS BIGINT) AS removed, cast(sum(greatest(e0 - e, 0)) AS BIGINT) AS added FROM ({own}) y GROUP BY rule, sys"
@@ -419,7 +424,7 @@ def rule_ablation(d) -> str:
 def leaderboard_wer(d) -> str:
     """The error rate with the rules beside the one without them."""
     bare = lambda t: d.filter(d.split(t, " +"), "x", "x <> ''")
-    v = f"SELECT sys, {_standardised(d, 'ref_text')} AS toks, {_standardised(d, 'hyp_text')} AS hyp, {bare('ref_text')} AS toks0, {bare('hyp_text')} AS hyp0 FROM ({_formatted(d)}) f"
+    v = f"SELECT sys, ref_text_words AS toks, hyp_text_words AS hyp, {bare('ref_text')} AS toks0, {bare('hyp_text')} AS hyp0 FROM ({_standardised(d, _formatted(d), ('ref_text', 'hyp_text'))}) f"
     one = f"SELECT sys, {d.size}(toks) AS n, {_distance(d, 'toks', 'hyp')} AS e, toks0, hyp0, {d.distinct}({d.concat_arrays}(toks0, hyp0)) AS dict0 FROM (SELECT *, {d.distinct}({d.concat_arrays}(toks, hyp)) AS dict FROM ({v}) v0) v1"
     two = f"SELECT sys, n, e, {d.size}(toks) AS n0, {_distance(d, 'toks', 'hyp')} AS e0 FROM (SELECT sys, n, e, toks0 AS toks, hyp0 AS hyp, dict0 AS dict FROM ({one}) v2) v3"
     return f"SELECT sys, round(sum(e) / sum(n), 8) AS wer, round(sum(e0) / sum(n0), 8) AS leaderboard FROM ({two}) v4 GROUP BY sys"

@@ -197,7 +197,7 @@ def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     f = spark.sql(_formatted(Spark(sf_dir, spark)))
     texts = f.select(F.col("ref_text").alias("t")).union(f.select("hyp_text")).distinct()
-    forms = texts.select("t", F.map_from_arrays(F.array(*map(F.lit, ("none", *RULES))), F.array(*[F.split(normalised(F.col("t"), disable=[] if r is None else [r]), " ") for r in (None, *RULES)])).alias("m"))
+    forms = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "t").select("t", F.map_from_arrays(F.array(*map(F.lit, ("none", *RULES))), F.array(*[F.split(normalised(F.col("t"), disable=[] if r is None else [r]), " ") for r in (None, *RULES)])).alias("m"))
     side = lambda n: forms.select(F.col("t").alias(f"{n}_text"), F.col("m").alias(n))
     rows = f.join(side("ref"), "ref_text").join(side("hyp"), "hyp_text").select("utt_id", "sys", "ref", "hyp", F.explode(F.array(*map(F.lit, ("none", *RULES)))).alias("rule"))
     rows = rows.select("utt_id", "sys", "rule", F.col("ref")[F.col("rule")].alias("a"), F.col("hyp")[F.col("rule")].alias("b")).withColumn("d", F.array_distinct(F.concat("a", "b")))
