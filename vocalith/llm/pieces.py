@@ -25,8 +25,10 @@ MARK = "▁"
 #: Kinds of pieces in the model: normal, unknown, control, user-defined, unused, byte.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks whose ids a worker keeps, and ids after which a batch is passed on.
-CACHE, BATCH_IDS = 300_000, 2_000_000
+#: What an unknown piece decodes to.
+SURFACE = " ⁇ "
+#: Chunks whose ids a worker keeps, ids after which a batch is passed on, and new chunks that go through the libraries as one text.
+CACHE, BATCH_IDS, GROUP = 300_000, 2_000_000, 32
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,17 +91,21 @@ class Model:
         return not self.charsmap and self.escape and self.dummy_prefix and not self.squeeze and any(p == MARK for p, _, _ in self.pieces) and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER))
 
     def tokenizer(self):
-        """The tokenizers library's model: normaliser, metaspace marker, scores or merges, byte fallback and decoder."""
-        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+        """The tokenizers library's model: normaliser, metaspace marker, cuts before runs of markers, scores or merges, byte fallback and decoder."""
+        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+        names = [p for p, _, _ in self.pieces]
+        named = self.escape and SURFACE not in names
+        if named:  # no normalised text holds a blank, so the unknown piece can bear the name that it decodes to
+            names[self.unknown] = SURFACE
         if self.kind == UNIGRAM:
-            core = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
+            core = models.Unigram([(p, s) for p, (_, s, _) in zip(names, self.pieces)], self.unknown, self.byte_fallback)
         elif self.kind == BPE:
-            ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
+            ids = {p: i for i, p in enumerate(names)}
             usable = {p for p, _, kind in self.pieces if kind in (NORMAL, USER)}
             rank = sorted((-s, ids[p], p) for p, s, kind in self.pieces if kind == NORMAL and len(p) > 1)
             merges = [(p[:i], p[i:]) for _, _, p in rank for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable]
-            core = models.BPE(ids, merges, unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+            core = models.BPE(ids, merges, unk_token=names[self.unknown], fuse_unk=True, byte_fallback=self.byte_fallback)
         else:
             raise ValueError(f"models of kind {self.kind} have no counterpart")
         t = Tokenizer(core)
@@ -111,7 +117,10 @@ class Model:
         if self.escape:
             steps.append(normalizers.Replace(" ", MARK))
         t.normalizer = normalizers.Sequence(steps)
-        t.decoder = decoders.Sequence([decoders.Replace(self.pieces[self.unknown][0], " ⁇ "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", int(self.dummy_prefix), 0)])
+        if self.splits:
+            t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
+        said = [] if named else [decoders.Replace(names[self.unknown], SURFACE)]
+        t.decoder = decoders.Sequence([*said, decoders.Metaspace(MARK, "never"), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", int(self.dummy_prefix), 0)])
         t.add_special_tokens([AddedToken(p, normalized=False, special=True) for p, _, kind in self.pieces if kind == USER])
         t.encode_special_tokens = True
         return t
@@ -119,7 +128,8 @@ class Model:
 
 class Codec:
     """Encodes and decodes texts with the rebuilt tokenizer of one model. Chunks met before come from a bounded memo. New ones are encoded
-    as one multithreaded batch and decoded again; those that don't come back are ``lossy``, and those to which the SentencePiece library gives other ids are ``odd``."""
+    as one multithreaded batch, in groups of ``GROUP`` as one text or alone, and decoded again; those that don't come back are ``lossy``, and those to
+    which the SentencePiece library gives other ids are ``odd``."""
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -131,6 +141,7 @@ class Codec:
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.silent = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
         self.lone = {"": array("i", [i]).tobytes() for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK} if self.model.splits else {"": b""}
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.memo: dict[str, bytes] = dict(self.lone)
 
     def chunks(self, text: str) -> list[str]:
@@ -150,6 +161,33 @@ class Codec:
         self.lossy.clear()
 
     def learn(self, new: list[str]) -> None:
+        """Put chunks' ids into the memo.
+
+        Chunks without a blank or marker go through both libraries in groups, joined by blanks. If the library gives a group the same ids and its
+        decoded text is the group's, both hold for each chunk: a chunk's ids begin at its only marker, and its text ends at the next blank.
+        All others are learnt one by one.
+        """
+        plain, alone = [], []
+        for c in new:
+            (plain if self.model.splits and " " not in c and MARK not in c else alone).append(c)
+        whole = len(plain) - len(plain) % GROUP
+        alone += plain[whole:]
+        groups = [plain[i : i + GROUP] for i in range(0, whole, GROUP)]
+        said = [" ".join(g) for g in groups]
+        mine = [e.ids for e in self.own.encode_batch_fast(said, add_special_tokens=False)] if said else []
+        theirs, back = (self.theirs.encode(said, num_threads=self.threads), self.decode(mine)) if said else ([], [])
+        for group, text, a, b, t in zip(groups, said, mine, theirs, back):
+            ids = np.array(a, np.int32)
+            starts = np.flatnonzero(self.begins[ids])
+            if a == b and text == t and len(starts) == len(group) and not starts[0]:
+                cuts, data = [*(4 * starts).tolist(), 4 * len(a)], ids.tobytes()
+                self.memo.update((c, data[i:j]) for c, i, j in zip(group, cuts, cuts[1:]))
+            else:
+                alone += group
+        if alone:
+            self.learn_alone(alone)
+
+    def learn_alone(self, new: list[str]) -> None:
         mine = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
         self.odd.update(c for c, a, b in zip(new, mine, self.theirs.encode(new, num_threads=self.threads)) if a != b)
         self.lossy.update(c for c, back in zip(new, self.decode(mine)) if c != back)
