@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from vocalith.llm.ann import op5_posting_list_search
 from vocalith.llm.bagminhash import op10_bagminhash_dedup
 from vocalith.llm.common import table
+from vocalith.llm.decontaminate import WINDOWS_SQL, op13_winnowing
 from vocalith.llm.embedding_dedup import op6_multi_index_dedup
+from vocalith.llm.filter_audit import AUDIT_SQL, op12_filter_audit
 from vocalith.llm.html_text import op9_template_text
 from vocalith.llm.mixing import op4_pivotal_mixing, targets, words
+from vocalith.llm.periodic import op11_periodic_runs
 from vocalith.llm.pieces import op8_piece_encoding
 from vocalith.llm.quality import op7_neighbour_quality
 from vocalith.llm.sharding import op1_rendezvous_sharding, shard
@@ -49,6 +52,9 @@ QUERIES = {
         op8_piece_encoding,
         op9_template_text,
         op10_bagminhash_dedup,
+        op11_periodic_runs,
+        op12_filter_audit,
+        op13_winnowing,
         shards_of_keys,
         mixing_targets,
         url_rules,
@@ -96,4 +102,4 @@ m AS (SELECT a AS d, min(b) AS class_id FROM r GROUP BY a), q AS (SELECT class_i
 SELECT t.doc_id, coalesce(m.class_id, t.doc_id) AS class_id, coalesce(q.n_class, 1) AS n_class, t.doc_id = coalesce(m.class_id, t.doc_id) AS kept
 FROM t LEFT JOIN d ON t.text = d.text AND len(t.w) > 0 LEFT JOIN m ON d.d = m.d LEFT JOIN q ON m.class_id = q.class_id"""
 
-ORACLE: dict[str, str] = {"op3_warc_chunk_table": WARC_SQL, "op6_multi_index_dedup": NEAR_SQL, "op10_bagminhash_dedup": DEDUP_SQL, "shards_of_keys": SHARDS_SQL, "mixing_targets": TARGETS_SQL, "url_rules": RULES_SQL}
+ORACLE: dict[str, str] = {"op3_warc_chunk_table": WARC_SQL, "op6_multi_index_dedup": NEAR_SQL, "op10_bagminhash_dedup": DEDUP_SQL, "op12_filter_audit": AUDIT_SQL, "op13_winnowing": WINDOWS_SQL, "shards_of_keys": SHARDS_SQL, "mixing_targets": TARGETS_SQL, "url_rules": RULES_SQL}
