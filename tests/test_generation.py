@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vocalith.functions.audio import level
 from vocalith.operators import augment, scripts
@@ -15,13 +16,15 @@ TEMPLATES = ["I take {dose} of {drug} since {when}.", "{greet}, my number is {ph
 VOICES = ["tts_a:one:en-US", "tts_b:two:en-GB", "tts_b:three:en-US"]
 
 
-def test_numbers_in_words():
+def test_numbers_in_words(session):
     assert [scripts.words(n) for n in (0, 19, 20, 21, 100, 112, 999, 1000, 12_345, 999_999)] == [
         "zero", "nineteen", "twenty", "twenty one", "one hundred", "one hundred twelve", "nine hundred ninety nine", "one thousand", "twelve thousand three hundred forty five", "nine hundred ninety nine thousand nine hundred ninety nine",
     ]
     assert [scripts.ordinal_words(n) for n in (1, 2, 3, 4, 5, 8, 9, 12, 20, 21, 30, 31)] == ["first", "second", "third", "fourth", "fifth", "eighth", "ninth", "twelfth", "twentieth", "twenty first", "thirtieth", "thirty first"]
     assert [scripts.year_words(y) for y in (1982, 2005, 2000, 1900, 1905, 2010)] == ["nineteen eighty two", "two thousand and five", "two thousand", "nineteen hundred", "nineteen oh five", "twenty ten"]
-    assert scripts.spoken_digits("0077", "zero", True) == "double zero double seven" and scripts.spoken_digits("0077", "oh", True, (1, 3)) == "oh, oh seven, seven"
+    said = scripts.said_digits(F.col("d"), F.col("z"), F.col("two"))
+    rows = session.createDataFrame([("0077", "zero", True), ("0|07|7", "oh", True), ("0077", "oh", False), ("111", "oh", True)], "d STRING, z STRING, two BOOLEAN")
+    assert [r[0] for r in rows.select(said).collect()] == ["double zero double seven", "oh, oh seven, seven", "oh oh seven seven", "double one one"]
     with pytest.raises(ValueError):
         scripts.words(10**6)
 
@@ -39,8 +42,11 @@ def test_scripts_reach_their_targets_and_the_tagger_finds_their_entities(session
     assert not any(r.found for r in scripts.check(lost, CATEGORIES).collect())
     with pytest.raises(ValueError):
         scripts.plan(["no slot"], ["dose"], 3)
-    with pytest.raises(ValueError):
-        scripts.script(session, "x", TEMPLATES, CATEGORIES, ["bad"])
+    for bad in (["bad"], []):
+        with pytest.raises(ValueError):
+            scripts.script(session, "x", TEMPLATES, CATEGORIES, bad, {"greet": ["Hi"]})
+    with pytest.raises(ValueError, match="greet"):
+        scripts.script(session, "x", TEMPLATES, CATEGORIES, VOICES)
 
 
 def test_the_script_is_written_in_order(session, tmp_path):
