@@ -77,7 +77,8 @@ def test_recipes_leave_their_traces_and_repeat(session):
         augment.checked([{"kind": "noise", "snr": 3}])
     with pytest.raises(ValueError):
         augment.augmented(clips, "noise_snr5")
-    assert augment.region_samples(5.0, 9.0, 16000, 4000) == (3999, 4000, "vad")
+    sound = lambda *speech: augment.Sound(np.zeros(4000, "<i2"), 16000, speech)
+    assert [sound(*s).region() for s in ((5.0, 9.0), (None, None), (-1.0, 0.1), (0.1, 0.1))] == [(3999, 4000), (0, 4000), (0, 1600), (1600, 1601)]
 
 
 def test_stored_answers_become_rows_and_tell_what_to_ask_again(session, tmp_path):

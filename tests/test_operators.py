@@ -2,13 +2,14 @@
 
 import io
 import random
+import tracemalloc
 import wave
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vocalith.functions.audio import decode_mulaw, encode_mulaw, mix, mulaw_decoded, mulaw_encoded, mulaw_level, level, bandpass, convolved, noise_part, resampled, reverberate, wav_decoded
+from vocalith.functions.audio import decode_mulaw, encode_mulaw, mix, mulaw_decoded, mulaw_encoded, mulaw_level, level, bandpass, convolved, noise_part, output_blocks, resampled, reverberate, wav_bytes, wav_clip, wav_decoded, wav_part, with_silence
 from vocalith.functions.text import normalise
 from vocalith.operators import alignment as al
 from vocalith.operators.entities import Category, outcomes, summary, tag
@@ -179,3 +180,55 @@ def test_report_cells(session):
     assert (report.percent(0.0742), report.interval(0.0742, 0.068, 0.081), report.points(0.0106), report.milliseconds(float("inf")), report.percent(None)) == ("7.4%", "7.4% [6.8, 8.1]", "+1.06 pp", "timeout", "n/a")
     df = session.createDataFrame([("b|c", 2), ("a", 1)], "k STRING, v INT")
     assert report.table(df, [("k", lambda r: r["k"]), ("v", lambda r: r["v"])], ["k"]) == "| k | v |\n|-|-|\n| a | 1 |\n| b\\|c | 2 |"
+
+
+def _wav(rate, frames):
+    buf = io.BytesIO()
+    with wave.open(buf, "wb") as w:
+        w.setparams((frames.shape[1], 2, rate, 0, "NONE", ""))
+        w.writeframes(frames.astype("<i2").tobytes())
+    return buf.getvalue()
+
+
+def test_clips_take_their_channel_and_samples(session):
+    rng = np.random.default_rng(4)
+    frames = rng.integers(-20000, 20000, (9000, 2)).astype("<i2")
+    data = _wav(16000, frames)
+    rows = [(0, None, None), (1, 0.1, 0.2), (None, 0.55, 9.0), (1, None, 0.2)]
+    df = session.createDataFrame([(bytearray(data), *r, 16000) for r in rows] + [(None, 0, None, None, 16000)], "b BINARY, c INT, s DOUBLE, e DOUBLE, r INT")
+    got = [r.w for r in df.select(wav_clip("b", "c", "s", "e", "r").alias("w")).collect()]
+    pcm = lambda x: np.frombuffer(bytes(x.samples), "<i2")
+    assert np.array_equal(pcm(got[0]), frames[:, 0]) and np.array_equal(pcm(got[1]), frames[1600:3200, 1]) and np.array_equal(pcm(got[3]), frames[:, 1])
+    assert np.array_equal(pcm(got[2]), np.rint(frames[8800:].mean(axis=1))) and got[0].file_rate == 16000 and got[4].samples is None
+    for channel, start in ((2, None), (0, 0.6)):
+        with pytest.raises(ValueError):
+            wav_part(data, channel, start, 1.0, 16000)
+    native = session.createDataFrame([(bytearray(frames.tobytes()),)], "x BINARY").select(wav_bytes(F.col("x"), F.lit(16000), F.lit(2)).alias("w")).first().w
+    assert bytes(native) == data
+    assert bytes(session.createDataFrame([(bytearray(b"ab"),)], "x BINARY").select(with_silence(F.col("x"), F.lit(8000), 3).alias("w")).first().w) == b"ab" + bytes(48)
+
+
+@pytest.mark.parametrize("rates", [(44100, 16000), (16000, 8000), (8000, 16000), (22050, 16000), (11025, 48000)])
+def test_resampling_in_blocks_keeps_tones_and_cuts_the_rest(rates):
+    rate, to = rates
+    t = np.arange(rate) / rate
+    low, high = 0.3 * min(rates), 0.7 * min(rates)
+    x = np.rint(8000 * np.sin(2 * np.pi * low * t) + (6000 * np.sin(2 * np.pi * high * t) if high < rate / 2 else 0)).astype("<i2")
+    y = resampled(x, rate, to)
+    assert y.size == to
+    want = 8000 * np.sin(2 * np.pi * low * np.arange(to) / to)
+    inner = slice(to // 20, -to // 20)
+    assert np.abs(y[inner] - want[inner]).max() < 8000 * 2e-3
+    # a stretch alone has the same samples, wherever its blocks begin
+    part = np.concatenate([*output_blocks(lambda a, z: x[a:z], x.size, rate, to, 777, 6000)])
+    assert np.array_equal(part, y[777:6000])
+
+
+def test_a_cut_from_an_hour_reads_its_own_part_only():
+    rate, seconds = 8000, 3600
+    data = _wav(rate, (np.arange(rate * seconds) % 3000)[:, None])
+    tracemalloc.start()
+    made = wav_part(data, 0, 3000.0, 3002.0, 16000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made["samples"]) == 2 * 32000 and most < 20e6

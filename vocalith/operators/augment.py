@@ -1,13 +1,15 @@
 """Recipes of augmentations: steps over a clip's samples, with what each step drew and measured.
 
-Which noise or room a clip gets follows from its seed, by a join on a number: the sources stay a table, however large. The steps
-themselves run in one Arrow UDF.
+A step is a registered function of the sound and what was drawn for it; it returns the new sound and what it did. Seeds, sources and the bounds of
+speech are columns: which noise or room a clip gets follows from its seed, by a join on a number, so sources stay a table, however large. The
+steps of a recipe run in one Arrow UDF, as their samples needn't leave it in between.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 
 from vocalith.functions.audio import bandpass, decode_mulaw, encode_mulaw, mix, noise_part, resampled, reverberate
 
-#: Kinds of steps and their parameters; opus needs an outside codec and is refused.
-STEPS = {"resample": {"rate"}, "bandpass": {"low_hz", "high_hz", "sections"}, "mulaw": set(), "noise": {"snr_db"}, "reverb": set()}
 _PHONE = [{"kind": "resample", "rate": 8000}, {"kind": "bandpass", "low_hz": 300, "high_hz": 3400, "sections": 2}, {"kind": "mulaw"}]
 #: The recipes that are used by name.
 RECIPES = {
@@ -30,12 +30,99 @@ RECIPES = {
 OUT = "struct<samples:binary,rate:int,augmentation:array<struct<kind:string,params:string,seed:bigint>>>"
 
 
+@dataclass(frozen=True)
+class Sound:
+    """Samples at a rate, and the seconds in which there is speech; both bounds null where nothing is known."""
+
+    samples: np.ndarray
+    rate: int
+    speech: tuple[float | None, float | None] = (None, None)
+
+    def region(self) -> tuple[int, int]:
+        """Speech in samples: within the clip, and never empty."""
+        n = self.samples.size
+        if None in self.speech:
+            return 0, n
+        a, z = (int(v) for v in np.clip(np.rint(np.array(self.speech) * self.rate), (0, 1), (n - 1, n)))
+        return a, max(z, a + 1)
+
+    def said(self) -> dict:
+        """What a step that measures speech tells of the place where it did."""
+        return {"region": "whole_clip" if None in self.speech else "vad", "region_s": [round(i / self.rate, 4) for i in self.region()]}
+
+
+@dataclass(frozen=True)
+class Drawn:
+    """What a step has besides the sound: its parameters, its seed, and a source with its name where it takes one."""
+
+    params: dict
+    seed: int
+    name: str | None = None
+    source: Sound | None = None
+
+
+@dataclass(frozen=True)
+class Step:
+    run: Callable[[Sound, Drawn], tuple[Sound, dict]]
+    params: frozenset[str]
+    sources: str | None
+
+
+STEPS: dict[str, Step] = {}
+
+
+def step(*params: str, sources: str | None = None, name: str | None = None) -> Callable:
+    """Register a step under its function's name or another one; ``sources`` names the table that it draws from."""
+
+    def register(f: Callable) -> Callable:
+        STEPS[name or f.__name__] = Step(f, frozenset(params), sources)
+        return f
+
+    return register
+
+
+@step("rate")
+def resample(sound: Sound, drawn: Drawn) -> tuple[Sound, dict]:
+    to = drawn.params["rate"]
+    return replace(sound, samples=resampled(sound.samples, sound.rate, to), rate=to), {"rate_in": sound.rate, "rate_out": to}
+
+
+@step("low_hz", "high_hz", "sections", name="bandpass")
+def band(sound: Sound, drawn: Drawn) -> tuple[Sound, dict]:
+    p = drawn.params
+    return replace(sound, samples=bandpass(sound.samples, sound.rate, p["low_hz"], p["high_hz"], p.get("sections", 2))), {"rate": sound.rate, **p}
+
+
+@step()
+def mulaw(sound: Sound, drawn: Drawn) -> tuple[Sound, dict]:
+    return replace(sound, samples=decode_mulaw(encode_mulaw(sound.samples))), {"rate": sound.rate}
+
+
+def _made(sound: Sound, drawn: Drawn, made: dict, **told) -> tuple[Sound, dict]:
+    """The sound that a mix or a room made, and how loud."""
+    told |= {k: round(v, 8) if isinstance(v, float) else v for k, v in made.items() if k != "samples"}
+    return replace(sound, samples=np.frombuffer(made["samples"], "<i2")), {"rate": sound.rate, "file": drawn.name, **sound.said(), **told}
+
+
+@step("snr_db", sources="noises")
+def noise(sound: Sound, drawn: Drawn) -> tuple[Sound, dict]:
+    whole = resampled(drawn.source.samples, drawn.source.rate, sound.rate)
+    part, at = noise_part(whole, sound.samples.size, np.random.default_rng(drawn.seed))
+    return _made(sound, drawn, mix(sound.samples, part, drawn.params["snr_db"], *sound.region()), offset=at, tiled=whole.size < sound.samples.size, **drawn.params)
+
+
+@step(sources="rooms")
+def reverb(sound: Sound, drawn: Drawn) -> tuple[Sound, dict]:
+    room = resampled(drawn.source.samples, drawn.source.rate, sound.rate)
+    return _made(sound, drawn, reverberate(sound.samples, room, *sound.region()))
+
+
 def checked(steps: Sequence[dict]) -> list[dict]:
-    """The steps, if all are known and have no other parameters than theirs."""
+    """The steps, if all are registered and have no other parameters than theirs; opus needs an outside codec and isn't."""
     for s in steps:
         if s.get("kind") not in STEPS:
             raise ValueError(f"unknown step: {s.get('kind')}")
-        if odd := set(s) - {"kind"} - STEPS[s["kind"]]:
+        if odd := set(s) - {"kind"} - STEPS[s["kind"]].params:
             raise ValueError(f"{s['kind']} has no {sorted(odd)}")
     return list(steps)
 
@@ -46,77 +133,57 @@ def step_seed(run_seed: int, utt_id: Column, index: int) -> Column:
     return F.shiftrightunsigned(F.conv(F.substring(digest, 1, 16), 16, -10).cast("long"), 1)
 
 
-def region_samples(start_s: float | None, end_s: float | None, rate: int, length: int) -> tuple[int, int, str]:
-    """Where speech is, in samples within the clip and never empty; the whole clip where nothing is known."""
-    if start_s is None or end_s is None or start_s != start_s or end_s != end_s:
-        return 0, length, "whole_clip"
-    a = min(length - 1, max(0, round(start_s * rate)))
-    return a, max(a + 1, min(length, round(end_s * rate))), "vad"
+def applied(sound: Sound, steps: Sequence[dict], drawn: Sequence[tuple[int, str | None, Sound | None]]) -> tuple[Sound, list[dict]]:
+    """The sound after all steps, and their record."""
+    record = []
+    for s, (seed, name, source) in zip(steps, drawn):
+        params = {k: v for k, v in s.items() if k != "kind"}
+        sound, told = STEPS[s["kind"]].run(sound, Drawn(params, seed, name, source))
+        record.append({"kind": s["kind"], "params": json.dumps(told, sort_keys=True), "seed": seed})
+    return sound, record
 
 
-def apply(steps: Sequence[dict], samples: np.ndarray, rate: int, seeds: Sequence[int], sources: Sequence[tuple[str, np.ndarray, int] | None], speech: tuple[float | None, float | None]) -> dict:
-    """The clip after all steps. ``sources`` has (name, samples, rate) for each step that needs one."""
-    record = []
-    for step, seed, source in zip(steps, seeds, sources):
-        kind, told = step["kind"], {"rate": rate}
-        if kind in ("noise", "reverb"):
-            if source is None:
-                raise ValueError(f"{kind} has no source")
-            other = resampled(source[1], source[2], rate)
-            a, z, basis = region_samples(*speech, rate, len(samples))
-            told |= {"file": source[0], "region": basis, "region_s": [round(a / rate, 4), round(z / rate, 4)]}
-        if kind == "resample":
-            samples, told = resampled(samples, rate, step["rate"]), {"rate_in": rate, "rate_out": step["rate"]}
-            rate = step["rate"]
-        elif kind == "bandpass":
-            samples = bandpass(samples, rate, step["low_hz"], step["high_hz"], step.get("sections", 2))
-            told |= {k: step[k] for k in step if k != "kind"}
-        elif kind == "mulaw":
-            samples = decode_mulaw(encode_mulaw(samples))
-        elif kind == "noise":
-            part, at = noise_part(other, len(samples), np.random.default_rng(seed))
-            made = mix(samples, part, step["snr_db"], a, z)
-            samples = np.frombuffer(made["samples"], "<i2")
-            told |= {"snr_db": step["snr_db"], "offset": at, "tiled": len(other) < len(samples), "gain": round(made["gain"], 8), "scale": round(made["scale"], 8)}
-        else:
-            made = reverberate(samples, other, a, z)
-            samples = np.frombuffer(made["samples"], "<i2")
-            told |= {"direct": made["direct"], "scale": round(made["scale"], 8)}
-        record.append({"kind": kind, "params": json.dumps(told, sort_keys=True), "seed": seed})
-    return {"samples": samples.astype("<i2").tobytes(), "rate": rate, "augmentation": record}
+def _with_source(rows: DataFrame, table: DataFrame, seed: str, into: str) -> DataFrame:
+    """``rows`` with the source that their seed says, of those in order of name. Only names are put in order."""
+    names = table.select("name").withColumn("_at", F.row_number().over(Window.orderBy("name")) - 1)
+    n = table.count()
+    if not n:
+        raise ValueError("there are no sources")
+    sources = table.join(names, "name").select("_at", F.struct("name", "samples", "rate").alias(into))
+    return rows.withColumn("_at", F.pmod(F.col(seed), F.lit(n))).join(sources, "_at").drop("_at")
 
 
 def augmented(clips: DataFrame, recipe: str, steps: Sequence[dict] | None = None, run_seed: int = 0, noises: DataFrame | None = None, rooms: DataFrame | None = None) -> DataFrame:
     """Child rows of ``clips`` (utt_id, samples, rate, start_s, end_s): (utt_id, parent_utt_id, samples, rate, augmentation).
 
-    ``noises`` and ``rooms`` are tables (name, samples, rate). They are numbered by name, and a step's seed says which number a clip takes.
+    ``noises`` and ``rooms`` are tables (name, samples, rate) of different names.
     """
     steps = checked(RECIPES[recipe] if steps is None else steps)
-    rows = clips.select("utt_id", "samples", "rate", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
-    columns = []
-    for i, step in enumerate(steps):
+    tables = {"noises": noises, "rooms": rooms}
+    bound = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    known = bound("start_s").isNotNull() & bound("end_s").isNotNull()
+    rows = clips.select("utt_id", "samples", "rate", *[F.when(known, bound(c)).alias(c) for c in ("start_s", "end_s")])
+    for i, s in enumerate(steps):
         rows = rows.withColumn(f"seed{i}", step_seed(run_seed, F.col("utt_id"), i))
-        if step["kind"] in ("noise", "reverb"):
-            table = noises if step["kind"] == "noise" else rooms
-            if table is None or not (n := table.count()):
-                raise ValueError(f"{recipe} needs sources for {step['kind']}")
-            place = F.row_number().over(Window.orderBy("name")) - 1  # names alone are numbered
-            names = table.select("name").withColumn(f"_n{i}", place)
-            numbered = table.join(names, "name").select(F.struct("name", "samples", "rate").alias(f"source{i}"), f"_n{i}")
-            rows = rows.withColumn("_at", F.pmod(F.col(f"seed{i}"), F.lit(n))).join(numbered, F.col("_at") == F.col(f"_n{i}")).drop("_at", f"_n{i}")
-        else:
+        wanted = STEPS[s["kind"]].sources
+        if wanted is None:
             rows = rows.withColumn(f"source{i}", F.lit(None).cast("struct<name:string,samples:binary,rate:int>"))
-        columns += [F.col(f"seed{i}"), F.col(f"source{i}.name"), F.col(f"source{i}.samples"), F.col(f"source{i}.rate")]
+        elif tables[wanted] is None:
+            raise ValueError(f"{recipe} needs {wanted}")
+        else:
+            rows = _with_source(rows, tables[wanted], f"seed{i}", f"source{i}")
+    columns = [c for i in range(len(steps)) for c in (F.col(f"seed{i}"), F.col(f"source{i}.name"), F.col(f"source{i}.samples"), F.col(f"source{i}.rate"))]
+    sound = lambda data, rate, speech=(None, None): Sound(np.frombuffer(bytes(data), "<i2"), int(rate), speech)
 
     @F.pandas_udf(OUT)
     def run(samples: pd.Series, rate: pd.Series, start: pd.Series, end: pd.Series, *drawn: pd.Series) -> pd.DataFrame:
         out = []
-        for row in zip(samples, rate, start, end, *drawn):
-            parts = [row[4 + 4 * i : 8 + 4 * i] for i in range(len(steps))]
-            sources = [None if p[1] is None else (p[1], np.frombuffer(bytes(p[2]), "<i2"), int(p[3])) for p in parts]
-            out.append(apply(steps, np.frombuffer(bytes(row[0]), "<i2"), int(row[1]), [int(p[0]) for p in parts], sources, (row[2], row[3])))
+        for data, hz, a, z, *rest in zip(samples, rate, start, end, *drawn):
+            speech = (None, None) if pd.isna(a) else (float(a), float(z))
+            parts = [(int(seed), name, None if name is None else sound(x, r)) for seed, name, x, r in zip(*[iter(rest)] * 4)]
+            made, record = applied(sound(data, hz, speech), steps, parts)
+            out.append((made.samples.astype("<i2").tobytes(), made.rate, record))
         return pd.DataFrame(out, columns=["samples", "rate", "augmentation"])
 
     made = rows.select("utt_id", run("samples", "rate", "start_s", "end_s", *columns).alias("a"))
     return made.select(F.concat("utt_id", F.lit(f"#{recipe}")).alias("utt_id"), F.col("utt_id").alias("parent_utt_id"), "a.*")
-
