@@ -1,11 +1,13 @@
 """Round trips and small files of every source, and message mapping: stored and streamed forms agree."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from vocalith.sources import files, schemas
+from vocalith.sources import files, providers, responses, schemas
+from vocalith.sources import lines as json_lines
 from vocalith.streaming import messages as M
 
 UTT = {"utt_id": "a", "dataset": "d", "subset": "doctor", "speaker_id": "s", "audio_path": "x/a.wav", "channel": None, "start_s": 0.0, "end_s": 1.5, "ref_text": "hello", "sample_rate": 16000, "license": "l", "synthetic": False, "augmentation": [], "parent_utt_id": None, "exclude_reason": None, "language": "en", "ref_text_original": None}
@@ -189,11 +191,130 @@ def test_stored_messages(session):
     assert M.batch_events(session.createDataFrame([], M.INPUT)).count() == 0
 
 
-def test_streamed_messages_in_any_order(session, tmp_path):
+@pytest.fixture
+def rocks(session):
+    before = {k: session.conf.get(k, None) for k in M.STORE}
+    for k, v in M.STORE.items():
+        session.conf.set(k, v)
+    yield session
+    for k, v in before.items():
+        session.conf.unset(k) if v is None else session.conf.set(k, v)
+
+
+def _append(folder, some, end="\n"):
+    folder.parent.mkdir(parents=True, exist_ok=True)
+    with open(folder, "a") as f:
+        f.write("".join(json.dumps(r) + "\n" for r in some[:-1]) + (json.dumps(some[-1]) + end if some else ""))
+
+
+def _run(df, name, checkpoint):
+    q = df.writeStream.format("parquet").option("path", str(checkpoint / name)).option("checkpointLocation", str(checkpoint / f"{name}-state")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = df.sparkSession.read.schema("session STRING, seq BIGINT, part INT, kind STRING").parquet(str(checkpoint / name)).collect()
+    return {(r.session, r.seq, r.part, r.kind) for r in got}, len(got)
+
+
+def test_streamed_messages_in_any_order(rocks, tmp_path):
     (tmp_path / "in").mkdir()
-    for n, part in enumerate((rows()[1::2], rows()[::2])):  # every message's predecessor comes a batch later
-        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in reversed(part)))
-    q = M.stream_events(session, str(tmp_path / "in"), files_per_trigger=1, timeout_ms=None).writeStream.format("memory").queryName("mapped").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    got = session.table("mapped").collect()
-    assert {(r.session, r.seq, r.part, r.kind) for r in got} == expected() and len(got) == len(expected())
+    for n, part in enumerate((rows()[1::2], rows()[::2], rows()[::3])):  # every message's predecessor comes a batch later, some come twice
+        _append(tmp_path / "in" / f"{n}.json", list(reversed(part)))
+    source = rocks.readStream.schema(M.INPUT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    assert _run(M.stream_events(source, timeout_ms=None), "mapped", tmp_path) == (expected(), len(expected()))
+
+
+def test_a_stream_without_its_store_is_refused(session, tmp_path):
+    assert session.conf.get("spark.sql.streaming.stateStore.providerClass") != list(M.STORE.values())[0]
+    with pytest.raises(ValueError, match="providerClass"):
+        M.stream_events(providers.stream_messages(session, str(tmp_path)))
+
+
+def test_a_log_of_messages_goes_on_after_a_restart(rocks, tmp_path):
+    log = tmp_path / "log"
+    some = rows()
+    shard = lambda r: log / ("a" if r["session"] < "f" else "b")
+    halves = [some[: len(some) // 2], some[len(some) // 2 :]]
+    for r in halves[0]:
+        _append(shard(r) / "001.jsonl", [r])
+    _append(log / "a" / "001.jsonl", [halves[1][0]], end="")  # a line that isn't whole yet
+    stream = lambda **options: M.stream_events(providers.stream_messages(rocks, str(log), part_bytes=100, **options), timeout_ms=None)
+    first, n = _run(stream(), "events", tmp_path)
+    assert first < expected() and n == len(first)
+    assert _run(stream(), "events", tmp_path) == (first, n)  # nothing new, nothing twice
+    with open(log / "a" / "001.jsonl", "a") as f:
+        f.write("\n")
+    for r in halves[1][1:]:
+        _append(shard(r) / "002.jsonl", [r])
+    assert _run(stream(), "events", tmp_path) == (expected(), len(expected()))
+    late = {**some[0], "session": "late", "provider": "nova", "seq": 0}
+    _append(log / "b" / "003.jsonl", [late])
+    everything = _run(stream(delete_done="true"), "events", tmp_path)
+    assert everything[1] == len(expected()) + 1
+
+
+def test_a_log_names_the_file_and_line_of_what_is_wrong(rocks, tmp_path):
+    _append(tmp_path / "log" / "s" / "1.jsonl", rows()[:4] + [{"session": "x"}])
+    with pytest.raises(Exception, match=r"s/1\.jsonl:5: missing fields \['seq'\]"):
+        _run(providers.stream_messages(rocks, str(tmp_path / "log")).selectExpr("session", "seq", "0 AS part", "message AS kind"), "x", tmp_path)
+
+
+def test_a_silent_session_is_closed_by_its_timer(rocks, tmp_path):
+    log = tmp_path / "log" / "s"
+    kept = [r for r in rows() if r["session"] == "nova" and r["seq"] not in (0, 3)]
+    _append(log / "1.jsonl", kept)
+    out = tmp_path / "out"
+    q = M.stream_events(providers.stream_messages(rocks, str(tmp_path / "log")), timeout_ms=1500).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
+    try:
+        seen = lambda: {(r.seq, r.kind) for r in rocks.read.schema("seq BIGINT, kind STRING").parquet(str(out)).collect()} if list(out.glob("*.parquet")) else set()
+        end = time.time() + 60
+        while time.time() < end and len(seen()) < 2:
+            time.sleep(0.5)
+            _append(log / "1.jsonl", [{**rows()[0], "session": f"other{time.time_ns()}"}])  # a trigger needs news of some session
+        want = {(s, k) for p, s, _, k in expected() if p == "nova" and s not in (0, 3)}
+        assert want <= seen()
+        # its state is gone: messages that come now begin anew
+        _append(log / "1.jsonl", [r for r in rows() if r["session"] == "nova" and r["seq"] == 0])
+        while time.time() < end and (0, "partial") not in seen():
+            time.sleep(0.5)
+        assert (0, "partial") in seen()
+    finally:
+        q.stop()
+
+
+def test_answers_are_asked_for_run_by_run(session, tmp_path):
+    deep = lambda t: json.dumps({"results": {"channels": [{"alternatives": [{"transcript": t}]}]}})
+    request = lambda u, *answers, **more: {"config_id": "c", "utt_id": u, "provider": "deepgram", "answers": [dict(zip(("status", "body"), a)) for a in answers]} | more
+    for run in ("r1", "r2"):
+        _append(tmp_path / run / "requests.jsonl", [request(f"{run}u{i}", (200, deep(f"text {i}"))) for i in range(50)] + [request("again", (503, None), (None, None), (200, deep("at last")), settings={"punctuate": True}), request("never", (429, "busy")), request("bad", (401, "no"))])
+    got = providers.read_answers(session, str(tmp_path), part_bytes=700, attempts=4)
+    assert got.rdd.getNumPartitions() > 4
+    rows_ = got.collect()
+    assert sorted((r.attempt, r.status) for r in rows_ if r.run_id == "r1" and r.utt_id == "again") == [(1, 503), (2, None), (3, 200)]
+    assert len([r for r in rows_ if r.utt_id == "never"]) == 8 and len([r for r in rows_ if r.utt_id == "bad"]) == 2 and len(rows_) == 2 * (50 + 3 + 4 + 1)
+    done = {(r.run_id, r.utt_id): (r.hyp_text, r.error, r.retry) for r in responses.results(got).collect()}
+    assert done["r2", "r2u7"] == ("text 7", None, False) and done["r1", "again"] == ("at last", None, False) and done["r1", "never"] == ("", "deepgram: HTTP 429", True)
+    session.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        one = providers.read_answers(session, str(tmp_path)).where("run_id = 'r2'")
+        assert one.rdd.getNumPartitions() == 1 and {r.run_id for r in one.collect()} == {"r2"}
+    finally:
+        session.conf.unset("spark.sql.python.filterPushdown.enabled")
+    _append(tmp_path / "r2" / "requests.jsonl", [request("odd", settings={"keyterm": 1})])
+    with pytest.raises(Exception, match="deepgram has no settings"):
+        providers.read_answers(session, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="unknown adapter"):
+        providers.read_answers(session, str(tmp_path), adapter="live").collect()
+
+
+def test_strict_rows_name_file_and_line(session, tmp_path):
+    good = [{"utt_id": f"u{i}", "channel": i} for i in range(200)]
+    _append(tmp_path / "m" / "a.jsonl", good)
+    (tmp_path / "m" / "b.jsonl").write_text("\n\n" + json.dumps({"utt_id": "last"}))
+    read = lambda part=1000: json_lines.read_strict(session, str(tmp_path / "m"), "utt_id STRING, channel INT", ["utt_id"], part)
+    assert read().count() == 201 and read(37).count() == 201 and read().rdd.getNumPartitions() > 3
+    assert files.read_manifest(session, str(tmp_path / "m"), strict=True).where("utt_id = 'u3' AND channel = 3").count() == 1
+    for bad, said in (('{"utt_id": "x", "chanel": 1}', r"unknown fields \['chanel'\]"), ('{"channel": 1}', r"missing fields \['utt_id'\]"), ('{"utt_id": ', "Expecting value"), ('{"utt_id": "x", "channel": "two"}', "two"), ("[1]", "not an object")):
+        (tmp_path / "m" / "c.jsonl").write_text(json.dumps(good[0]) + "\n\n" + bad + "\n")
+        with pytest.raises(Exception, match=r"m/c\.jsonl:3: .*" + said):
+            read(20).collect()
+    with pytest.raises(Exception, match="nowhere"):
+        json_lines.read_strict(session, str(tmp_path / "nowhere"), "utt_id STRING").collect()

@@ -17,9 +17,11 @@ from vocalith.operators.traces import endpoint_outcomes, session_latency
 from vocalith.plans.dialect import Duck, Spark
 from vocalith.plans.evaluation import _formatted, hyps, scores
 from vocalith.plans.suites import PROFILE, SUITE, match
-from vocalith.sources.schemas import manifest_rules, violations
+from vocalith.sources.files import shared_folder
+from vocalith.sources.providers import read_answers, stream_messages
 from vocalith.sources.responses import results
-from vocalith.streaming.messages import batch_events
+from vocalith.sources.schemas import manifest_rules, violations
+from vocalith.streaming.messages import STORE, batch_events, stream_events
 
 CATEGORIES = [*(Category(n, builtin=n) for n in ("number", "phone", "date", "dosage", "duration")), Category("licence", terms=("license", "apache license", "all rights reserved")), Category("address", pattern=r"\S+ at \S+")]
 
@@ -167,27 +169,55 @@ def suite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(profiles, suites).select("profile_id", "suite_id", "proxy", F.array_join("missing", ",").alias("missing"), F.array_join("covered", ",").alias("covered"))
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(utt_id, provider, k, final, body): an answer of one of three providers for each turn of conversations, with its whole text."""
+    c = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("utt_id"), (F.col("conv_id") * 31 + F.col("turn")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    k, text = F.col("k"), F.col("text")
+    state = F.when(k % 5 == 0, "error").when(k % 5 == 1, "processing").otherwise("completed")
+    deep = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(text.alias("transcript"))).alias("alternatives"))).alias("channels")).alias("results")))
+    polled = F.to_json(F.struct(state.alias("status"), F.lit("bad").alias("error"), text.alias("text")))
+    body = F.when(k % 3 == 0, deep).when(k % 3 == 1, polled).otherwise(F.when(k % 7 == 0, "{}").otherwise(F.to_json(F.struct("text"))))
+    provider = F.element_at(F.array(*map(F.lit, ("deepgram", "assemblyai", "elevenlabs"))), (k % 3 + 1).cast("int"))
+    return c.select("utt_id", provider.alias("provider"), "k", F.when(k % 11 == 0, 503).when(k % 11 == 1, 401).otherwise(200).cast("int").alias("final"), body.alias("body"))
+
+
 def batch_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of three providers, made of conversations, as result rows; and what is to be asked again."""
-    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 40), '"\\\n\t', "    ").alias("t"))
-    k = F.col("conv_id") * 31 + F.col("turn")
-    wrap = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    body = (
-        F.when(k % 3 == 0, wrap('{"results": {"channels": [{"alternatives": [{"transcript": "', F.col("t"), '"}]}]}}'))
-        .when(k % 3 == 1, wrap('{"status": "', F.when(k % 5 == 0, "error").when(k % 5 == 1, "processing").otherwise("completed"), '", "error": "bad", "text": "', F.col("t"), '"}'))
-        .otherwise(F.when(k % 7 == 0, "{}").otherwise(wrap('{"text": "', F.col("t"), '"}')))
-    )
-    answers = c.select(
-        F.lit("r").alias("run_id"), F.lit("c").alias("config_id"), F.concat_ws(":", "conv_id", "turn").alias("utt_id"), F.element_at(F.array(*map(F.lit, ("deepgram", "assemblyai", "elevenlabs"))), (k % 3 + 1).cast("int")).alias("provider"),
-        F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), F.when(k % 11 == 0, 503).when(k % 11 == 1, 401).otherwise(200).cast("int").alias("status"), body.alias("body"),
-    ).where((F.col("attempt") == 1) | (k % 2 == 0))
+    """Stored answers of three providers as result rows; and what is to be asked again."""
+    attempts = F.explode(F.when(F.col("k") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    answers = _bodies(spark, sf_dir).select(F.lit("r").alias("run_id"), F.lit("c").alias("config_id"), "utt_id", "provider", attempts.alias("attempt"), F.col("final").alias("status"), "body")
     return results(answers).select("utt_id", "hyp_text", "error", "suspect_empty", "attempts", "retry")
 
 
-RESPONSES_SQL = """WITH c AS (SELECT conv_id || ':' || turn AS utt_id, conv_id * 31 + turn AS k, translate(substr(coalesce(text, ''), 1, 40), '"' || chr(92) || chr(10) || chr(9), '    ') AS t FROM conversations),
+def answered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers, asked for by the data source from requests of four runs: every fourth request fails once before its answer comes."""
+    first = F.when(F.col("k") % 4 == 0, F.array(F.struct(F.lit(503).alias("status"), F.lit("busy").alias("body")))).otherwise(F.array().cast("array<struct<status:int,body:string>>"))
+    requests = _bodies(spark, sf_dir).select(
+        F.concat(F.lit("r"), (F.col("k") % 4).cast("string")).alias("run"), F.lit("c").alias("config_id"), "utt_id", "provider", F.concat(first, F.array(F.struct(F.col("final").alias("status"), "body"))).alias("answers")
+    )
+    folder = shared_folder(spark, "requests")
+    requests.write.partitionBy("run").json(folder)
+    return results(read_answers(spark, folder, attempts=3)).select("run_id", "utt_id", "hyp_text", "error", "suspect_empty", "attempts", "retry")
+
+
+RESPONSES_SQL = """WITH c AS (SELECT conv_id || ':' || turn AS utt_id, conv_id * 31 + turn AS k, coalesce(text, '') AS t FROM conversations),
 s AS (SELECT *, CASE k % 3 WHEN 0 THEN 'deepgram' WHEN 1 THEN 'assemblyai' ELSE 'elevenlabs' END AS p FROM c),
 e AS (SELECT *, CASE WHEN k % 11 = 0 THEN p || ': HTTP 503' WHEN k % 11 = 1 THEN p || ': HTTP 401' WHEN k % 3 = 1 AND k % 5 = 1 THEN p || ': not done' WHEN k % 3 = 1 AND k % 5 = 0 THEN p || ': failed: bad' WHEN k % 3 = 2 AND k % 7 = 0 THEN p || ': unexpected response shape' END AS error FROM s)
 SELECT utt_id, CASE WHEN error IS NULL THEN t ELSE '' END AS hyp_text, error, error IS NULL AND trim(t) = '' AS suspect_empty, cast(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts, error IS NOT NULL AND (k % 11 = 0 OR (k % 11 <> 1 AND k % 3 = 1 AND k % 5 = 1)) AS retry FROM e"""
+ANSWERED_SQL = RESPONSES_SQL.replace("SELECT utt_id, CASE WHEN error", "SELECT 'run=r' || k % 4 AS run_id, utt_id, CASE WHEN error").replace("CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END", "CASE WHEN k % 11 = 0 THEN 3 WHEN k % 4 = 0 THEN 2 ELSE 1 END")
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``provider_events`` from a stream: the messages as a log of eight shards in any order, read by the data source, in state message by message."""
+    folder = shared_folder(spark, "messages")
+    log = _messages(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("session"), F.lit(8)))
+    log.repartition("shard").write.partitionBy("shard").json(f"{folder}/log")
+    own = spark.newSession()  # what a stream needs is set for it alone
+    for key, value in STORE.items():
+        own.conf.set(key, value)
+    events = stream_events(stream_messages(own, f"{folder}/log"), timeout_ms=None)
+    query = events.select("session", "seq", F.col("part").cast("bigint").alias("part"), "kind", "text").writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("session STRING, seq BIGINT, part BIGINT, kind STRING, text STRING").parquet(f"{folder}/events")
 
 
 def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +244,7 @@ def script_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check(made, CATEGORIES).groupBy("category").agg(F.count("*").alias("n"), F.count_if("found").alias("found"))
 
 
-QUERIES = {f.__name__: f for f in (alignment_counts, alignment_diffs, false_key_terms, normalised_documents, tagged_documents, entity_summary, mulaw_levels, provider_events, trace_latency, trace_outcomes, manifest_violations, suite_match, batch_responses, standardiser_ablation, script_entities)}
+QUERIES = {f.__name__: f for f in (alignment_counts, alignment_diffs, false_key_terms, normalised_documents, tagged_documents, entity_summary, mulaw_levels, provider_events, trace_latency, trace_outcomes, manifest_violations, suite_match, batch_responses, answered_runs, streamed_events, standardiser_ablation, script_entities)}
 ORACLE = {
-    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(Duck())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL, "batch_responses": RESPONSES_SQL,
+    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(Duck())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL, "batch_responses": RESPONSES_SQL, "answered_runs": ANSWERED_SQL, "streamed_events": PROVIDER_SQL,
 }

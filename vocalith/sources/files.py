@@ -5,6 +5,8 @@ All readers are lazy and take explicit schemas; nothing is inferred. Checks are
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -12,14 +14,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.sources import schemas as S
+from vocalith.sources.lines import read_strict
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a session in local mode may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        root = tempfile.mkdtemp(prefix="vocalith-")
+    return f"{root.rstrip('/')}/vocalith/{name}-{uuid.uuid4().hex}"
 
 
 def _file() -> Column:
     return F.col("_metadata.file_path")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One utterance a line; blank lines go, malformed ones fail the query."""
+def read_manifest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """One utterance a line; blank lines go, malformed ones fail the query. If ``strict``, so do unknown fields and rows without an id, and the
+    error names file and line; that reader is Python's."""
+    if strict:
+        return read_strict(spark, path, S.MANIFEST, ["utt_id"])
     return spark.read.schema(S.MANIFEST).option("mode", "FAILFAST").json(path)
 
 

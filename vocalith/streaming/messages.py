@@ -10,13 +10,13 @@ else ``finalize`` or ``close``. Providers: nova, flux, assemblyai, elevenlabs. M
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from vocalith.sources.schemas import WORDS
 
@@ -74,54 +74,107 @@ def flags(p: DataFrame) -> DataFrame:
 
 
 _CARRIED = ["turn", "ends", "finishes", "commits", "committed", "closes", "stops", "stops_if_closing"]
+_WAITING = "t_ns BIGINT, provider STRING, message STRING, sent STRING, turn INT, " + ", ".join(f"{c} BOOLEAN" for c in _CARRIED[1:])
+_FLAGGED = f"{INPUT}, {FLAGS}"
+_NAMES = [f.split()[0] for f in _FLAGGED.split(", ")]
+#: What a stream's session must set: state that is kept message by message needs it.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def advance(state: dict, row: dict) -> dict:
-    """The flags of the session's next message, and its state after that."""
-    out = {"first_end": row["ends"] and row["turn"] not in state["ended"], "final_before": row["turn"] in state["final"], "own": row["committed"] and state["own"] > 0, "over": state["over"]}
-    out["first_final"] = row["finishes"] and not out["final_before"]
-    if row["ends"]:
-        state["ended"] = sorted({*state["ended"], row["turn"]})
-    if row["finishes"]:
-        state["final"] = sorted({*state["final"], row["turn"]})
-    state["over"] = state["over"] or row["stops"] or row["stops_if_closing"] and state["closing"]
-    state["own"] += row["commits"] - out["own"]
-    state["closing"] = state["closing"] or row["closes"]
-    return out
+class Flags(StatefulProcessor):
+    """``flags`` of a session's messages in order of ``seq``, in state that lies message by message and turn by turn.
 
-
-def stream_flags(p: DataFrame, timeout_ms: int | None = 600_000) -> DataFrame:
-    """``flags`` for a stream: messages wait in the session's state until those before them have come.
-
-    A session without news for ``timeout_ms`` of processing time is closed: its waiting messages go out in order, the missing
-    ones left out. Without a timeout nothing is given up and states stay, which suits replays that end (``availableNow``).
+    A message that comes in order is never stored: only those that wait for an earlier one are, each under its own key. The session's counters are
+    one small value, what is known of a turn another. With a timeout, a session without news for that long of processing time is
+    closed by a timer: what waits goes out in order, the missing messages left out, and all its state is deleted.
     """
-    out = f"{INPUT}, {FLAGS}"
-    names = [f.split()[0] for f in out.split(", ")]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else {"next": 0, "ended": [], "final": [], "own": 0, "closing": False, "over": False, "waiting": {}}
-        for b in batches:
+    def __init__(self, timeout_ms: int | None):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next BIGINT, own BIGINT, closing BOOLEAN, over BOOLEAN, due BIGINT")
+        self.waiting = handle.getMapState("waiting", "seq BIGINT", _WAITING)
+        self.turns = handle.getMapState("turns", "turn INT", "ended BOOLEAN, final BOOLEAN")
+
+    def _begin(self) -> None:
+        held = self.at.get() if self.at.exists() else None
+        self.next, self.own, self.closing, self.over, self.due = tuple(held) if held is not None else (0, 0, False, False, None)
+        self.known: dict[int, tuple[bool, bool]] = {}
+
+    def _flag(self, row: dict) -> dict:
+        """The flags of the session's next message, and what is known after it."""
+        turn = row["turn"]
+        if turn not in self.known:
+            self.known[turn] = tuple(map(bool, self.turns.getValue((turn,)))) if self.turns.containsKey((turn,)) else (False, False)
+        ended, final = self.known[turn]
+        own = row["committed"] and self.own > 0
+        out = {"first_end": row["ends"] and not ended, "first_final": row["finishes"] and not final, "final_before": final, "own": own, "over": self.over}
+        now = (ended or row["ends"], final or row["finishes"])
+        if now != (ended, final):
+            self.known[turn] = now
+            self.turns.updateValue((turn,), now)
+        self.over = self.over or row["stops"] or row["stops_if_closing"] and self.closing
+        self.own += row["commits"] - own
+        self.closing = self.closing or row["closes"]
+        self.next = row["seq"] + 1
+        return row | out
+
+    def _stored(self, seq: int) -> dict:
+        row = dict(zip(["t_ns", "provider", "message", "sent", *_CARRIED], self.waiting.getValue((seq,))))
+        self.waiting.removeKey((seq,))
+        return row | {"seq": seq}
+
+    def _out(self, key: tuple, rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame([r | {"session": key[0]} for r in rows], columns=_NAMES)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        self._begin()
+        came: dict[int, dict] = {}
+        for b in rows:
             for row in b.astype(object).where(b.notna(), None).to_dict("records"):
                 row = {k: v.item() if hasattr(v, "item") else v for k, v in row.items()}
-                if row["seq"] >= s["next"]:
-                    s["waiting"].setdefault(str(row["seq"]), row)
-        rows = []
-        while s["waiting"] and (str(s["next"]) in s["waiting"] or state.hasTimedOut):
-            at = s["next"] if str(s["next"]) in s["waiting"] else min(map(int, s["waiting"]))
-            row = s["waiting"].pop(str(at))
-            rows.append(row | advance(s, row))
-            s["next"] = at + 1
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            state.update((json.dumps(s),))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(rows, columns=names)
+                if row["seq"] >= self.next:
+                    came.setdefault(row["seq"], row)
+            ready = []
+            while (new := self.next in came) or self.waiting.containsKey((self.next,)):
+                if new and self.waiting.containsKey((self.next,)):
+                    came[self.next] = self._stored(self.next)  # repeated: the first that came counts
+                ready.append(self._flag(came.pop(self.next) if new else self._stored(self.next)))
+            if ready:
+                yield self._out(key, ready)
+        for seq, row in came.items():
+            if seq > self.next and not self.waiting.containsKey((seq,)):
+                self.waiting.updateValue((seq,), tuple(row[c] for c in ("t_ns", "provider", "message", "sent", *_CARRIED)))
+        if self.timeout_ms is not None:
+            if self.due is not None:
+                self.handle.deleteTimer(self.due)
+            self.due = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            self.handle.registerTimer(self.due)
+        self.at.update((self.next, self.own, self.closing, self.over, self.due))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._begin()
+        late = [self._flag(self._stored(seq)) for seq in sorted(k[0] for k in self.waiting.keys())]
+        for state in (self.at, self.waiting, self.turns):
+            state.clear()
+        yield self._out(key, late)
+
+    def close(self) -> None:
+        pass
+
 
+def stream_flags(p: DataFrame, timeout_ms: int | None = 600_000) -> DataFrame:
+    """``flags`` for a stream: messages wait in the session's state until those before them have come; see ``Flags``.
+
+    Without a timeout nothing is given up and states stay, which suits replays that end (``availableNow``). The stream's session must have ``STORE`` set.
+    """
+    conf = p.sparkSession.conf
+    if odd := {k: v for k, v in STORE.items() if conf.get(k, None) != v}:
+        raise ValueError(f"set {odd} before the stream starts")
     flat = p.select("session", "seq", "t_ns", "provider", "message", "sent", *_CARRIED)
-    done = flat.groupBy("session").applyInPandasWithState(step, out, "state STRING", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    done = flat.groupBy("session").transformWithStateInPandas(Flags(timeout_ms), _FLAGGED, "append", "None" if timeout_ms is None else "processingTime")
     return done.withColumn("m", F.when(F.col("sent").isNull(), F.from_json("message", MESSAGE)))
 
 
@@ -183,7 +236,6 @@ def batch_events(messages: DataFrame, expect_formatted: bool = True) -> DataFram
     return events(flags(parsed(messages, expect_formatted)))
 
 
-def stream_events(spark: SparkSession, path: str, expect_formatted: bool = True, files_per_trigger: int = 100, timeout_ms: int | None = 600_000) -> DataFrame:
-    """Events of a folder of JSON-lines messages, as its files arrive."""
-    source = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return events(stream_flags(parsed(source, expect_formatted), timeout_ms))
+def stream_events(messages: DataFrame, expect_formatted: bool = True, timeout_ms: int | None = 600_000) -> DataFrame:
+    """Events of a stream of messages as they arrive, be they of ``readStream.json`` or of ``providers.stream_messages``."""
+    return events(stream_flags(parsed(messages, expect_formatted), timeout_ms))
