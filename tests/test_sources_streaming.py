@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from vocalith.sources import files, providers, responses, schemas
+from vocalith.sources import files, providers, responses, runs, schemas
 from vocalith.sources import lines as json_lines
 from vocalith.streaming import messages as M
 
@@ -318,3 +318,80 @@ def test_strict_rows_name_file_and_line(session, tmp_path):
             read(20).collect()
     with pytest.raises(Exception, match="nowhere"):
         json_lines.read_strict(session, str(tmp_path / "nowhere"), "utt_id STRING").collect()
+
+
+META = {"run_id": "r", "config_id": "c", "provider": "p", "model_id": "m", "mode": "batch", "settings": '{"a": 1, "b": [2]}', "keyterms": ["x"], "sample": None}
+
+
+def _results(session, *some):
+    return session.createDataFrame([("r", "c", u, text, None, None, None, error, False) for u, text, error in some], schemas.RESULT)
+
+
+def _held(session, root):
+    return {(r.utt_id, r.hyp_text, r.error) for r in runs.rows_of(session, str(root), "r").collect()}
+
+
+def test_a_run_goes_on_and_replaces_what_failed(session, tmp_path):
+    root = str(tmp_path)
+    manifest = session.createDataFrame([(f"u{i}", "noise" if i == 3 else None) for i in range(9)], "utt_id STRING, exclude_reason STRING")
+    ids = lambda **options: sorted(r.utt_id for r in runs.todo(session, root, "r", manifest, **options).collect())
+    assert len(ids()) == 8 and len(ids(include_excluded=True)) == 9
+    runs.merge(session, root, META, _results(session))
+    assert _held(session, root) == set()
+    runs.merge(session, root, META, _results(session, ("u0", "zero", None), ("u1", "", "p: HTTP 503"), ("u2", "two", None)))
+    assert ids() == ["u4", "u5", "u6", "u7", "u8"] and ids(retry_failed=True) == ["u1", "u4", "u5", "u6", "u7", "u8"] and ids(limit=4) == ["u4"]
+    more = _results(session, ("u0", "changed", None), ("u1", "one", None), ("u4", "four", None))
+    runs.merge(session, root, META, more)
+    assert _held(session, root) == {("u0", "zero", None), ("u1", "", "p: HTTP 503"), ("u2", "two", None), ("u4", "four", None)}
+    for _ in range(2):
+        runs.merge(session, root, dict(META, settings='{"b": [2], "a": 1}'), more, retry_failed=True)
+        assert _held(session, root) == {("u0", "zero", None), ("u1", "one", None), ("u2", "two", None), ("u4", "four", None)}
+    meta, rows_ = files.read_runs(session, root)
+    assert meta.first().config_id == "c" and meta.first().keyterms == ["x"] and rows_.count() == 4
+    assert files.run_violations(meta, rows_).count() == 0
+
+
+@pytest.mark.parametrize("field, value", [("config_id", "d"), ("provider", "q"), ("model_id", "n"), ("mode", "streaming"), ("settings", '{"a": 1}'), ("keyterms", None), ("sample", '{"n": 5}')])
+def test_a_run_refuses_to_go_on_differently(session, tmp_path, field, value):
+    runs.begin(session, str(tmp_path), META)
+    with pytest.raises(runs.RunConflict, match=f"other {field};"):
+        runs.merge(session, str(tmp_path), META | {field: value}, _results(session))
+    assert runs.begin(session, str(tmp_path), META) == META | {f: None for f in ("created_at", "git_sha", "manifest")}
+
+
+def test_a_merge_refuses_rows_that_are_not_its_own(session, tmp_path):
+    twice = _results(session, ("u", "a", None), ("u", "b", None))
+    other = _results(session, ("u", "a", None)).withColumn("run_id", F.lit("s"))
+    for bad, said in ((twice, "utterance comes twice: u"), (other, "row of another run: s c")):
+        with pytest.raises(Exception, match=said):
+            runs.merge(session, str(tmp_path), META, bad)
+    assert _held(session, tmp_path) == set()
+
+
+def test_a_merge_that_is_killed_is_finished_by_the_next(session, tmp_path, monkeypatch):
+    first = _results(session, *[(f"u{i}", f"text {i}", None) for i in range(40)])
+    second = _results(session, *[(f"u{i}", f"text {i}", None) for i in range(40, 80)])
+    want = {(f"u{i}", f"text {i}", None) for i in range(80)}
+    whole = runs._overwrite
+    for at in ("before staging ends", "before", "after half", "after all"):
+        root = tmp_path / at.replace(" ", "_")
+        runs.merge(session, str(root), META, first)
+
+        def killed(staged, path, at=at):
+            if at == "after half":
+                whole(staged.where("bucket < 8"), path)
+            if at == "after all":
+                whole(staged, path)
+            raise KeyboardInterrupt
+
+        monkeypatch.setattr(runs, "_overwrite", killed)
+        with pytest.raises(KeyboardInterrupt):
+            runs.merge(session, str(root), META, second)
+        if at == "before staging ends":
+            (root / "r" / "staged.parquet" / "_SUCCESS").unlink()
+        monkeypatch.setattr(runs, "_overwrite", whole)
+        if at != "before staging ends":
+            runs.begin(session, str(root), META)
+            assert _held(session, root) == want
+        runs.merge(session, str(root), META, second)
+        assert _held(session, root) == want and not (root / "r" / "staged.parquet").exists()
