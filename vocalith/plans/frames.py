@@ -5,7 +5,7 @@ As in ``evaluation``, views of the tables at hand stand in for speech data: each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions.audio import mulaw_level
@@ -15,11 +15,13 @@ from vocalith.operators.entities import Category, outcomes, summary, tagged
 from vocalith.operators.scripts import check, script
 from vocalith.operators.traces import endpoint_outcomes, session_latency
 from vocalith.plans.dialect import Duck, Spark
-from vocalith.plans.evaluation import _formatted, hyps, scores
+from vocalith.operators.resampling import latency_intervals
+from vocalith.plans.evaluation import _formatted, hyps, latency_values, scores
 from vocalith.plans.suites import PROFILE, SUITE, match
 from vocalith.sources.files import shared_folder
 from vocalith.sources.providers import read_answers, stream_messages
 from vocalith.sources.responses import results
+from vocalith.sources.runs import merge, rows_of
 from vocalith.sources.schemas import manifest_rules, violations
 from vocalith.streaming.messages import STORE, batch_events, stream_events
 
@@ -220,6 +222,60 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("session STRING, seq BIGINT, part BIGINT, kind STRING, text STRING").parquet(f"{folder}/events")
 
 
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of conversations made in two goes, of which the second replaces what failed in the first."""
+    c = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("utt_id"), (F.col("conv_id") * 31 + F.col("turn")).alias("k"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+
+    def rows(go: str, taken: Column, failed: Column) -> DataFrame:
+        text, error = F.when(failed, "").otherwise(F.concat(F.lit(go), "utt_id")), F.when(failed, F.lit(f"{go}: HTTP 503"))
+        times = [none(n, k) for n, k in (("raw_response_path", "string"), ("started_at", "timestamp"), ("finished_at", "timestamp"))]
+        return c.where(taken).select(F.lit("r").alias("run_id"), F.lit("c").alias("config_id"), "utt_id", text.alias("hyp_text"), *times, error.alias("error"), F.lit(False).alias("suspect_empty"))
+
+    k, root = F.col("k"), shared_folder(spark, "runs")
+    meta = {"run_id": "r", "config_id": "c", "provider": "p", "model_id": "m", "mode": "batch", "settings": "{}"}
+    merge(spark, root, meta, rows("a", k % 3 != 0, k % 5 == 0))
+    merge(spark, root, meta, rows("b", k % 2 == 0, k % 7 == 0), retry_failed=True)
+    return rows_of(spark, root, "r").select("utt_id", "hyp_text", "error")
+
+
+RESUMED_SQL = """WITH c AS (SELECT conv_id || ':' || turn AS utt_id, conv_id * 31 + turn AS k FROM conversations),
+g AS (SELECT utt_id, CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN 'a' WHEN k % 2 = 0 THEN 'b' WHEN k % 3 <> 0 THEN 'a' END AS go, k FROM c)
+SELECT utt_id, CASE WHEN failed THEN '' ELSE go || utt_id END AS hyp_text, CASE WHEN failed THEN go || ': HTTP 503' END AS error
+FROM (SELECT *, CASE go WHEN 'a' THEN k % 5 = 0 ELSE k % 7 = 0 END AS failed FROM g WHERE go IS NOT NULL) x"""
+
+
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of sessions' latencies, a timeout being infinite, with intervals over resampled speakers; what was left out; and
+    how much wider the median's interval is than one over resampled sessions. Sessions' values are written once and read by each part."""
+    folder = shared_folder(spark, "latency")
+    spark.sql(latency_values(Spark(sf_dir))).write.parquet(folder)
+    values = spark.read.schema("cluster BIGINT, v DOUBLE").parquet(folder)
+    counts = values.agg(F.count_if(F.col("v").isNull()).alias("excluded"))
+    return latency_intervals(values.where("v IS NOT NULL")).crossJoin(counts)  # a row each
+
+
+LATENCY_SQL = """WITH e AS (SELECT user_id, event_type AS t, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000e0 AS ms FROM events),
+a AS (SELECT *, min(CASE WHEN t = 'signup' THEN ms END) OVER (PARTITION BY user_id) AS anchor FROM e),
+s AS (SELECT user_id, min(anchor) AS anchor, min(CASE WHEN t = 'purchase' AND ms >= anchor THEN ms END) AS f FROM a GROUP BY user_id),
+v AS (SELECT user_id % 20 AS cluster, coalesce(f - anchor, 'Infinity'::DOUBLE) AS v FROM s WHERE anchor IS NOT NULL),
+b AS (SELECT *, CASE WHEN isinf(v) THEN v ELSE floor(floor(v) / u) * u END AS bin FROM (SELECT *, pow(10e0, greatest(CASE WHEN isinf(v) THEN 0 ELSE length(cast(cast(floor(v) AS BIGINT) AS VARCHAR)) END - 3, 0)) AS u FROM v) x),
+t AS (SELECT i AS mean, list_transform(range(0, 60), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-i + j * ln(i) - lgamma(j + 1e0))))) AS t FROM range(1, 13) r(i)),
+r AS (SELECT i AS b FROM range(0, 200) r(i)),
+w AS (SELECT b, cluster, (SELECT len(list_filter(t, lambda x: (('0x' || substr(md5('8:' || b || ':' || cluster), 1, 8))::BIGINT + 0.5e0) / 4294967296e0 >= x)) FROM t WHERE mean = 1) AS w FROM r, (SELECT DISTINCT cluster FROM b) c),
+m AS (SELECT bin, count(*) AS n, CASE WHEN isinf(bin) THEN 'inf' ELSE cast(cast(bin AS BIGINT) AS VARCHAR) END AS k FROM b GROUP BY bin),
+z AS (SELECT b, bin, CASE WHEN n < 13 THEN len(list_filter(t, lambda x: (('0x' || substr(md5('9:' || b || ':' || k), 1, 8))::BIGINT + 0.5e0) / 4294967296e0 >= x))
+  ELSE greatest(0, floor(n + sqrt(n) * sqrt(-2 * ln((('0x' || substr(md5('9:' || b || ':' || k || ':a'), 1, 8))::BIGINT + 0.5e0) / 4294967296e0)) * cos(2 * pi() * (('0x' || substr(md5('9:' || b || ':' || k || ':b'), 1, 8))::BIGINT + 0.5e0) / 4294967296e0) + 0.5)) END AS w FROM m CROSS JOIN r LEFT JOIN t ON mean = n),
+x AS (SELECT 'wide' AS kind, b, bin, sum(w) AS w FROM b JOIN w ON b.cluster = w.cluster GROUP BY b, bin UNION ALL SELECT 'narrow', b, bin, w FROM z),
+y AS (SELECT kind, b, bin, sum(w) OVER (PARTITION BY kind, b ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY kind, b) AS al FROM x WHERE w > 0),
+q AS (SELECT kind, b, min(CASE WHEN upto * 100 >= al * 50 THEN bin END) AS p50, min(CASE WHEN upto * 100 >= al * 95 THEN bin END) AS p95, min(CASE WHEN upto * 100 >= al * 99 THEN bin END) AS p99 FROM y GROUP BY kind, b),
+i AS (SELECT kind, percentile_disc(0.025) WITHIN GROUP (ORDER BY p50) AS low50, percentile_disc(0.975) WITHIN GROUP (ORDER BY p50) AS high50, percentile_disc(0.025) WITHIN GROUP (ORDER BY p95) AS low95, percentile_disc(0.975) WITHIN GROUP (ORDER BY p95) AS high95,
+  percentile_disc(0.025) WITHIN GROUP (ORDER BY p99) AS low99, percentile_disc(0.975) WITHIN GROUP (ORDER BY p99) AS high99 FROM q GROUP BY kind),
+p AS (SELECT count(*) AS n, cast(count_if(isinf(v)) AS BIGINT) AS timeouts, count(DISTINCT cluster) AS speakers, percentile_disc(0.5) WITHIN GROUP (ORDER BY v) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY v) AS p95, percentile_disc(0.99) WITHIN GROUP (ORDER BY v) AS p99 FROM v)
+SELECT n, timeouts, speakers, p50, i.low50, i.high50, p95, i.low95, i.high95, p99, i.low99, i.high99, CASE WHEN NOT isinf(i.high50) AND NOT isinf(j.high50) AND j.high50 > j.low50 THEN round((i.high50 - i.low50) / (j.high50 - j.low50), 8) END AS cluster_effect,
+  (SELECT cast(count_if(anchor IS NULL) AS BIGINT) FROM s) AS excluded FROM p, i, i j WHERE i.kind = 'wide' AND j.kind = 'narrow'"""
+
+
 def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of two runs without each of the standardiser's rules, and the utterances that the rule helps or hurts.
 
@@ -244,7 +300,7 @@ def script_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check(made, CATEGORIES).groupBy("category").agg(F.count("*").alias("n"), F.count_if("found").alias("found"))
 
 
-QUERIES = {f.__name__: f for f in (alignment_counts, alignment_diffs, false_key_terms, normalised_documents, tagged_documents, entity_summary, mulaw_levels, provider_events, trace_latency, trace_outcomes, manifest_violations, suite_match, batch_responses, answered_runs, streamed_events, standardiser_ablation, script_entities)}
+QUERIES = {f.__name__: f for f in (alignment_counts, alignment_diffs, false_key_terms, normalised_documents, tagged_documents, entity_summary, mulaw_levels, provider_events, trace_latency, trace_outcomes, manifest_violations, suite_match, batch_responses, answered_runs, streamed_events, resumed_run, latency_summary, standardiser_ablation, script_entities)}
 ORACLE = {
-    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(Duck())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL, "batch_responses": RESPONSES_SQL, "answered_runs": ANSWERED_SQL, "streamed_events": PROVIDER_SQL,
+    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(Duck())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL, "batch_responses": RESPONSES_SQL, "answered_runs": ANSWERED_SQL, "streamed_events": PROVIDER_SQL, "resumed_run": RESUMED_SQL, "latency_summary": LATENCY_SQL,
 }
