@@ -30,6 +30,43 @@ def distance(a, b):
     return row[-1]
 
 
+def table_ops(a, b):
+    """The way back through the whole table: diagonal steps first, then deletions."""
+    t = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    i, j, steps = len(a), len(b), ""
+    while i or j:
+        if i and j and t[i][j] == t[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            steps, i, j = ("e" if a[i - 1] == b[j - 1] else "s") + steps, i - 1, j - 1
+        elif i and t[i][j] == t[i - 1][j] + 1:
+            steps, i = "d" + steps, i - 1
+        else:
+            steps, j = "i" + steps, j - 1
+    return steps
+
+
+@pytest.mark.parametrize("longest, letters, pairs", [(9, "ab", 400), (9, "abcd", 400), (90, "abcdefgh", 40), (300, "abc", 4)])
+def test_bit_parallel_steps_are_those_of_the_table(longest, letters, pairs):
+    rng = random.Random(longest)
+    for _ in range(pairs):
+        a, b = ([rng.choice(letters) for _ in range(rng.randrange(longest))] for _ in "xy")
+        assert al._ops(a, b) == table_ops(a, b)
+        assert al._last_row(a, b) == [distance(a, b[:k]) for k in range(len(b) + 1)] if a else True
+
+
+def test_a_long_pair_aligns_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    a = [str(rng.randrange(300)) for _ in range(4000)]
+    b = [w for w in a if rng.random() > 0.1]
+    whole = al.align(a, b)
+    assert whole["deletions"] == len(a) - len(b) and whole["substitutions"] == whole["insertions"] == 0
+    monkeypatch.setattr(al, "CELLS", 1_000_000)
+    pieces = al.align(a, b)
+    assert pieces["deletions"] == whole["deletions"] and pieces["hits"] == whole["hits"]
+
+
 @pytest.mark.parametrize("cells", [4_000_000, 6])
 def test_alignment_is_least_and_covers_both_sides(cells, monkeypatch):
     monkeypatch.setattr(al, "CELLS", cells)

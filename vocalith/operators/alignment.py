@@ -1,75 +1,92 @@
 """Word alignment of a reference and a hypothesis: counts, chunks, hits and a readable difference.
 
-Errors alone never need this: ``plans.evaluation.scores`` counts them with a built-in. Memory is linear in the texts'
-lengths: pairs whose table would pass ``CELLS`` are split at the middle of the reference, which keeps the distance least.
+Errors alone never need this: ``plans.evaluation.scores`` counts them with a built-in. Alignments are bit-parallel: a column of the
+edit distance table is a few whole numbers with a bit for each reference word, of which two are kept for the way back. Pairs whose table
+would pass ``CELLS`` are split at the middle of the reference, which keeps the distance least and memory linear in the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vocalith.functions.arrow import arrow
 
-CELLS = 4_000_000
+#: Bits of a table that are kept for the way back: two for each cell.
+CELLS = 64_000_000
 CHUNK = "struct<op:string,ref_start:int,ref_end:int,hyp_start:int,hyp_end:int>"
 SCORE = f"struct<substitutions:int,deletions:int,insertions:int,hits:int,chunks:array<{CHUNK}>>"
 
 
-def _rows(a: np.ndarray, b: np.ndarray):
-    """Rows of the edit distance table; a row's own left-to-right dependence is a running minimum."""
-    at = np.arange(len(b) + 1, dtype=np.int32)
-    row = at.copy()
-    yield row
-    for x in a:
-        new = row + 1
-        np.minimum(new[1:], row[:-1] + (b != x), out=new[1:])
-        row = np.minimum.accumulate(new - at) + at
-        yield row
+NAMES = {"e": "equal", "s": "substitute", "d": "delete", "i": "insert"}
 
 
-def _ops(a: np.ndarray, b: np.ndarray) -> str:
+def _places(words: Sequence[str]) -> dict[str, int]:
+    """For each word a number whose bits are the places where it stands."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def _columns(places: dict[str, int], size: int, hyp: Sequence[str]) -> Iterator[tuple[int, int, int, int]]:
+    """For each hypothesis word, bits over the reference's words: where a diagonal step costs nothing, where a step down costs one, and
+    where a step to the right costs one or gains one."""
+    full = (1 << size) - 1
+    down, up = full, 0
+    for w in hyp:
+        equal = places.get(w, 0) | up
+        free = ((((equal & down) + down) ^ down) | equal) & full
+        right, left = (up | ~(free | down)) & full, down & free
+        shifted = right << 1 | 1
+        down, up = (left << 1 | ~(free | shifted)) & full, shifted & free & full
+        yield free, down, right, left
+
+
+def _last_row(ref: Sequence[str], hyp: Sequence[str]) -> list[int]:
+    """Distances of the whole reference to each beginning of the hypothesis."""
+    out, top = [len(ref)], len(ref) - 1
+    for _, _, right, left in _columns(_places(ref), len(ref), hyp):
+        out.append(out[-1] + (right >> top & 1) - (left >> top & 1))
+    return out
+
+
+def _ops(ref: Sequence[str], hyp: Sequence[str]) -> str:
     """One letter a step, e(qual) s(ubstitute) d(elete) i(nsert); from the end, diagonal steps first, then deletions."""
-    if len(a) * len(b) > CELLS and len(a) > 1:
-        half = len(a) // 2
-        for down in _rows(a[:half], b):
-            pass
-        for up in _rows(a[half:][::-1], b[::-1]):
-            pass
-        k = int(np.argmin(down + up[::-1]))
-        return _ops(a[:half], b[:k]) + _ops(a[half:], b[k:])
-    t = list(_rows(a, b))
-    i, j, steps = len(a), len(b), []
-    while i or j:
-        if i and j and t[i][j] == t[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            steps.append("e" if a[i - 1] == b[j - 1] else "s")
+    if len(ref) * len(hyp) > CELLS and len(ref) > 1:
+        half = len(ref) // 2
+        down, up = _last_row(ref[:half], hyp), _last_row(ref[half:][::-1], hyp[::-1])[::-1]
+        k = min(range(len(down)), key=lambda j: down[j] + up[j])
+        return _ops(ref[:half], hyp[:k]) + _ops(ref[half:], hyp[k:])
+    table = [(free, down) for free, down, _, _ in _columns(_places(ref), len(ref), hyp)]
+    i, j, steps = len(ref) - 1, len(hyp) - 1, []
+    while i >= 0 and j >= 0:
+        same, (free, down) = ref[i] == hyp[j], table[j]
+        if same or not free >> i & 1:
+            steps.append("e" if same else "s")
             i, j = i - 1, j - 1
-        elif i and t[i][j] == t[i - 1][j] + 1:
+        elif down >> i & 1:
             steps.append("d")
             i -= 1
         else:
             steps.append("i")
             j -= 1
-    return "".join(reversed(steps))
+    return "".join(reversed(steps + ["d"] * (i + 1) + ["i"] * (j + 1)))
 
 
 def align(ref: Sequence[str], hyp: Sequence[str]) -> dict:
     """Counts and maximal chunks of one kind; two empty sides have none."""
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in ref], dtype=np.int32)
-    b = np.array([codes.setdefault(w, len(codes)) for w in hyp], dtype=np.int32)
-    steps = _ops(a, b)
+    steps = _ops(ref, hyp)
     chunks, i, j = [], 0, 0
-    for kind in steps:
-        name = {"e": "equal", "s": "substitute", "d": "delete", "i": "insert"}[kind]
-        if not chunks or chunks[-1]["op"] != name:
-            chunks.append({"op": name, "ref_start": i, "ref_end": i, "hyp_start": j, "hyp_end": j})
-        i, j = i + (kind != "i"), j + (kind != "d")
-        chunks[-1] |= {"ref_end": i, "hyp_end": j}
+    for kind, run in groupby(steps):
+        n = len(list(run))
+        k, m = i + n * (kind != "i"), j + n * (kind != "d")
+        chunks.append({"op": NAMES[kind], "ref_start": i, "ref_end": k, "hyp_start": j, "hyp_end": m})
+        i, j = k, m
     return {"substitutions": steps.count("s"), "deletions": steps.count("d"), "insertions": steps.count("i"), "hits": steps.count("e"), "chunks": chunks}
 
 
