@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import tracemalloc
 import wave
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from vocalith.functions.audio import decode_mulaw, encode_mulaw, mix, mulaw_decoded, mulaw_encoded, mulaw_level, level, bandpass, convolved, noise_part, output_blocks, resampled, reverberate, wav_bytes, wav_clip, wav_decoded, wav_part, with_silence
 from vocalith.functions.text import normalise
 from vocalith.operators import alignment as al
-from vocalith.operators.entities import Category, outcomes, summary, tag
+from vocalith.operators import entities
+from vocalith.operators.entities import Category, Trie, normal_terms, outcomes, summary, tag, tagged
 from vocalith.operators.traces import endpoint_outcomes, session_latency, transcripts
 from vocalith.plans import report
 from vocalith.plans.suites import PROFILE, SUITE, match
@@ -269,3 +271,35 @@ def test_a_cut_from_an_hour_reads_its_own_part_only():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(made["samples"]) == 2 * 32000 and most < 20e6
+
+
+def test_lexicons_of_any_size_are_tagged_in_one_walk(session, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh")
+    few = [Category(f"k{i}", terms=tuple({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(12)})) for i in range(3)] + [Category("n", builtin="number")]
+    texts = [" ".join(rng.choice([word(), "7"]) for _ in range(rng.randrange(20))) for _ in range(300)]
+    found = [(c, c.regex("mdy")) for c in few]
+    df = session.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = {r.i: [tuple(x) for x in r.s] for r in df.select("i", tagged(F.col("t"), few).alias("s")).collect()}
+    assert got == {i: tag(t, found) for i, t in enumerate(texts)}
+    # a hundred thousand terms against a set of all of them
+    terms = [f"{a}{b} {c}{d}" if (a + b) % 3 else f"{a}{b} {c}{d} {a}" for a in range(10) for b in range(10) for c in range(10) for d in range(100)]
+    assert len(set(terms)) == 100_000
+    trie, known = Trie((t, 0) for t in terms), set(terms)
+    draw = [f"{rng.randrange(10)}{rng.randrange(10)}" if rng.random() < 0.5 else f"{rng.randrange(10)}{rng.randrange(100)}" if rng.random() < 0.8 else str(rng.randrange(10)) for _ in range(3000)]
+    want, i = [], 0
+    while i < len(draw):
+        n = next((n for n in (3, 2) if " ".join(draw[i : i + n]) in known and i + n <= len(draw)), 0)
+        want += [(0, i, i + n)] * bool(n)
+        i += n or 1
+    assert trie.spans(draw) == want and len(want) > 100
+    spent = []
+    for some in (terms[:100], terms):
+        t = Trie((x, 0) for x in some)
+        start = time.process_time()
+        for _ in range(20):
+            t.spans(draw)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 6 * spent[0] + 0.2  # a thousand times the terms
+    monkeypatch.setattr(entities, "MANY", 5)
+    assert normal_terms(session, ["Ten mg", "ten  mg", "!", "a b", "c", "d"]) == ["10 mg", "a b", "c", "d"]

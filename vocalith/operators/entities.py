@@ -1,27 +1,29 @@
 """Entities in normalised references, and how hypotheses keep them.
 
-Tagging runs in one Arrow UDF, as spans need token positions; scoring and summaries are column expressions over
-``alignment``'s chunks.
+Tagging runs in one Arrow UDF, as spans need token positions: patterns category by category, the terms of all lexicons in one walk over a
+trie of tokens, whose time doesn't follow the number of terms. Scoring and summaries are column expressions over ``alignment``'s chunks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.functions.text import MONTHS, normalise
+from vocalith.functions.text import MONTHS, normalise, normalised
 from vocalith.operators.alignment import aligned_words, token_hits
 
 SPAN = "struct<category:string,start:int,end:int,text:string>"
 Z95 = 1.959963984540054
 
-# What each built-in category looks like in normalised text.
+# What each built-in category looks like in normalised text, what separates spoken or written digits, where thousands are cut.
+SEPARATORS, THOUSANDS = r"(?<=\d)[\s().-]+(?=\d)", r"(?<=\d),(?=\d{3})"
 _MONTH = f"(?:{'|'.join(MONTHS)})"
 _AMOUNT = r"(?:\d+(?:\.\d+)?|one)"
 BUILTINS = {
@@ -58,14 +60,42 @@ class Category:
         return re.compile(rf"(?<!\S)(?:{'|'.join(map(re.escape, longest))})(?!\S)" if terms else r"(?!)")
 
 
-def tag(text: str, found: Sequence[tuple[Category, re.Pattern]]) -> list[tuple[str, int, int, str]]:
-    """(category, start, end, text), ordered; generic numbers yield to all that overlap them."""
+class Trie:
+    """Terms of several lexicons, token by token: a node maps the next token to a node, and None to the lexicons whose term ends there."""
+
+    def __init__(self, terms: Iterable[tuple[str, int]]):
+        self.root: dict = {}
+        for term, lexicon in terms:
+            node = self.root
+            for token in term.split():
+                node = node.setdefault(token, {})
+            if node is not self.root:
+                node.setdefault(None, set()).add(lexicon)
+
+    def spans(self, tokens: Sequence[str]) -> list[tuple[int, int, int]]:
+        """(lexicon, start, end): for each lexicon the leftmost longest terms that don't overlap. A place is walked from as far as any term goes on."""
+        out, free = [], {}
+        for i, token in enumerate(tokens):
+            node, end, longest = self.root.get(token), i + 1, {}
+            while node is not None:
+                for lexicon in node.get(None, ()):
+                    longest[lexicon] = end
+                node, end = node.get(tokens[end]) if end < len(tokens) else None, end + 1
+            for lexicon, end in longest.items():
+                if free.get(lexicon, 0) <= i:
+                    out.append((lexicon, i, end))
+                    free[lexicon] = end
+        return out
+
+
+def tag(text: str, found: Sequence[tuple[Category, re.Pattern]], lexicons: Sequence[str] = (), trie: Trie | None = None) -> list[tuple[str, int, int, str]]:
+    """(category, start, end, text), ordered; generic numbers yield to all that overlap them. ``trie`` has terms of the categories ``lexicons``."""
     tokens = text.split()
     text, starts, at = " ".join(tokens), [], 0
     for t in tokens:
         starts.append(at)
         at += len(t) + 1
-    generic, specific = [], []
+    generic, specific = [], [(lexicons[c], a, z, " ".join(tokens[a:z])) for c, a, z in (trie.spans(tokens) if trie else ())]
     for category, pattern in found:
         for m in pattern.finditer(text):
             if m.end() > m.start():
@@ -75,20 +105,53 @@ def tag(text: str, found: Sequence[tuple[Category, re.Pattern]]) -> list[tuple[s
     return sorted(specific + [s for s in generic if taken.isdisjoint(range(s[1], s[2]))], key=lambda s: (s[1], s[2], s[0]))
 
 
+#: Terms from which a lexicon is normalised on the executors.
+MANY = 2000
+
+
+def normal_terms(spark: SparkSession, terms: Sequence[str], date_order: str = "mdy") -> list[str]:
+    """A lexicon's different terms as they stand in normalised text."""
+    if len(terms) < MANY:
+        return sorted({normalise(t, date_order) for t in terms} - {""})
+    rows = spark.createDataFrame([(t,) for t in terms], "t STRING").repartition(spark.sparkContext.defaultParallelism)
+    return sorted({r[0] for r in rows.select(normalised(F.col("t"), date_order)).distinct().collect()} - {""})  # as many as the caller gave
+
+
 def tagged(text: Column, categories: Sequence[Category], date_order: str = "mdy") -> Column:
-    """Spans of a column of normalised texts; null has none."""
+    """Spans of a column of normalised texts; null has none.
+
+    Terms of lexicons go to executors once, as a broadcast of the size of the caller's own list; each Python worker keeps one trie of them.
+    """
     names = [c.name for c in categories]
     if len(set(names)) < len(names):
         raise ValueError("categories need different names")
+    spark = SparkSession.active()
+    lexicons = [c for c in categories if c.terms]
+    terms = [(t, i) for i, c in enumerate(lexicons) for t in normal_terms(spark, list(c.terms), date_order)]
+    sent = spark.sparkContext.broadcast(terms) if terms else None
+    others, own = [c for c in categories if not c.terms], uuid.uuid4().hex
 
     @F.pandas_udf(f"array<{SPAN}>")
     def run(s: pd.Series) -> pd.Series:
-        found = [(c, c.regex(date_order)) for c in categories]
-        return pd.Series([[dict(zip(("category", "start", "end", "text"), x)) for x in tag(t or "", found)] for t in s], dtype=object)
+        trie = _kept(own, sent) if sent else None
+        found = [(c, c.regex(date_order)) for c in others]
+        lexicon_names = [c.name for c in lexicons]
+        return pd.Series([[dict(zip(("category", "start", "end", "text"), x)) for x in tag(t or "", found, lexicon_names, trie)] for t in s], dtype=object)
 
     return run(text)
 
 
+_TRIES: dict[str, Trie] = {}
+
+
+def _kept(key: str, sent) -> Trie:
+    """The worker's trie of a broadcast, of which it keeps the last one."""
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = Trie(sent.value)
+    return _TRIES[key]
+
+
 def canonical(number: Column) -> Column:
     """Without leading zeros of the whole part, of which one stays."""
     return F.regexp_replace(number, r"^0+(?=\d)", "")
@@ -96,8 +159,8 @@ def canonical(number: Column) -> Column:
 
 def is_formatted(span: Column, builtin: Column, raw: Column) -> Column:
     """Whether the raw hypothesis has the span's numbers as digits."""
-    plain = F.regexp_replace(raw, r"(?<=\d),(?=\d{3})", "")
-    runs = F.regexp_extract_all(F.regexp_replace(plain, r"(?<=\d)[\s().-]+(?=\d)", ""), F.lit(r"\d+"), 0)
+    plain = F.regexp_replace(raw, THOUSANDS, "")
+    runs = F.regexp_extract_all(F.regexp_replace(plain, SEPARATORS, ""), F.lit(r"\d+"), 0)
     spoken = F.regexp_replace(span, r"(?<!\S)one(?!\S)", "1")
     numbers = lambda s: F.transform(F.regexp_extract_all(s, F.lit(r"\d+(?:\.\d+)?"), 0), canonical)
     wanted = numbers(spoken)
