@@ -310,3 +310,41 @@ def test_the_multi_sequence_walk_visits_cells_in_order_up_to_its_bound():
     for i in range(0, 900, 50):
         walk = c[r == i]
         assert walk[0] == own[i] == sums[i].argmin() and (np.diff(sums[i, walk]) >= -1e-12).all()
+
+
+def test_marks_beside_blanks_get_the_librarys_ids():
+    codec = pieces.Codec(open(pieces.MODEL, "rb").read())
+    texts = ["".join(x) for n in range(1, 6) for x in itertools.product("▁ ax", repeat=n)]
+    theirs = codec.theirs.encode(texts)
+    back = codec.theirs.decode(theirs)
+    for text, (ids, restored, parity), a, b in zip(texts, codec.encode(texts), theirs, back):
+        assert ids.tolist() == a and parity and restored == (b == text)
+    # a library that says something else is told of, marks or not
+    codec.forget()
+    codec.theirs = type("Other", (), {"encode": lambda self, some, num_threads=1: [[1, 2, 3] for _ in some]})()
+    assert not any(parity for _, _, parity in codec.encode(["a▁ x", "plain"]))
+
+
+def test_votes_are_those_of_plain_sums_with_ties():
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefg"), rng.integers(1, 5)))
+    texts = [" ".join(word() for _ in range(rng.integers(1, 40))) for _ in range(120)]
+    learned = texts + texts[:40] * 2  # three of the same text tie
+    labels = rng.integers(0, 2, len(learned)).astype(np.float32)
+    asked = texts[:60] + [" ".join(word() for _ in range(20)) for _ in range(140)] + ["long " * 40_000, "", None, " \n"]
+    model = quality.Model(quality.term_matrix(learned), labels, dims=16, neighbours=7)
+    got = model.scores(asked)
+    vectors = model.vectors.astype(np.float64)
+    tied = 0
+    for text, score in zip(asked, got):
+        if not (text and text.strip()):
+            assert score == pytest.approx(labels.mean())
+            continue
+        v = model.latent(quality.term_matrix([text]))[0].astype(np.float64)
+        sims = [float(sum(x * y for x, y in zip(v, u))) for u in vectors]
+        least = sorted(sims, reverse=True)[6]
+        votes = [(max(s, 0.0) ** 4, label) for s, label in zip(sims, labels) if s >= least - 1e-6]
+        tied += len(votes) > 7
+        total = sum(w for w, _ in votes)
+        assert score == pytest.approx(sum(w * label for w, label in votes) / total if total > 1e-12 else labels.mean(), abs=2e-4)
+    assert tied > 20

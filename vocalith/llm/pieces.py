@@ -145,10 +145,13 @@ class Codec:
         self.memo: dict[str, bytes] = dict(self.lone)
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut before each run of blanks, its leading marker left out: markers begin pieces, so chunks are encoded and decoded one by one."""
+        """The text cut before each run of blanks, its leading marker left out: markers begin pieces, so chunks are encoded and decoded one by one.
+
+        A text with a marker of its own stays whole, as that joins with the markers that blanks become.
+        """
         if not text:
             return []
-        if not self.model.splits:
+        if not self.model.splits or MARK in text:
             return [text]
         if "  " not in text and text[0] != " " and text[-1] != " ":
             return text.split(" ")
