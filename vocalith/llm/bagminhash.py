@@ -23,6 +23,8 @@ BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 BATCH, MEMO = 300_000, 100_000
 #: Tables of ids up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Rows of a text from which its class is broadcast to them, at least; of a table's texts, as many as BROADCAST_IDS at most have more than that share of it.
+MANY_ROWS = 100
 
 _U = np.uint64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
@@ -254,6 +256,21 @@ def _bags(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
     return cut(bags.dropDuplicates(["node"]), "bag-texts")
 
 
+def _with_class(rows: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node, ...) with what ``named`` (_n, n, class_id, n_class, best) has of their node.
+
+    Texts with many rows have their class broadcast: they are as few as their share of all rows allows. The others' rows meet it by shuffle,
+    where those that have found it are dealt out by their ids and meet nothing.
+    """
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    own = ["class_id", "n_class", "best"]
+    many = named.where(F.col("n") > max(MANY_ROWS, total // BROADCAST_IDS)).select("_n", *own).toDF("_m", *(f"_{c}" for c in own))
+    rows = rows.join(F.broadcast(many), F.col("node") == F.col("_m"), "left")
+    key = F.when(F.col("_m").isNotNull() | F.col("node").isNull(), F.unhex(F.sha1(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("row")).cast("binary")))).otherwise(F.col("node"))
+    rows = rows.withColumn("_key", key).join(named.drop("n"), F.col("_key") == F.col("_n"), "left")
+    return rows.select(*[c for c in rows.columns if c not in ("_m", "_n", "_key", *own, *(f"_{c}" for c in own))], *[F.coalesce(f"_{c}", c).alias(c) for c in own])
+
+
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Each document's class: (doc_id, node, class_id, n_class, kept, repeats), one row for each row of ``docs`` (doc_id, text).
 
@@ -286,9 +303,9 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     roots = components(links, "bag-cc").withColumnRenamed("node", "_node")
     named = nodes.select("node", "doc_id", "n").join(roots, F.col("node") == F.col("_node"), "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
     top = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class"), F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
-    named = named.select("node", "root").join(top.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "class_id", "n_class", "best")
+    named = named.join(top.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "n", "class_id", "n_class", "best")
     rows_ = signed.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("repeats"))
-    out = rows_.join(named, F.col("node") == F.col("_n"), "left")
+    out = _with_class(rows_, cut(named, "bag-named"), nodes)
     kept = F.col("node").isNull() | ((F.col("node") == F.col("best")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     out = out.select("doc_id", "node", F.coalesce("class_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"), kept.alias("kept"), "repeats")
     return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).drop("_i")
