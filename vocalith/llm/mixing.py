@@ -237,6 +237,21 @@ def expand(decided: DataFrame) -> DataFrame:
     return d.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def _shared_out(repeated: DataFrame) -> DataFrame:
+    """Rows that are one row of the plan, each with its ``_m_copies``: numbered within the tasks that wrote them, one after the other."""
+    key = ["_m_source", "_m_doc", "_m_size"]
+    rows = cut(repeated.withColumn("_m_task", F.spark_partition_id()), "mix-repeated")
+    counts = rows.groupBy(*key, "_m_task").agg(F.count(F.lit(1)).alias("_m_k"))
+    before = F.sum("_m_k").over(Window.partitionBy(*key).orderBy("_m_task")) - F.col("_m_k")  # a row a task
+    start = counts.select(*[F.col(c).alias(f"{c}_") for c in (*key, "_m_task")], before.alias("_m_before"))
+    i = F.row_number().over(Window.partitionBy(*key, "_m_task").orderBy(F.xxhash64("text")))
+    rows = rows.withColumn("_m_i", i)
+    on = [rows[c].eqNullSafe(start[f"{c}_"]) for c in (*key, "_m_task")]
+    rows = rows.join(F.broadcast(start) if small_enough(start, BROADCAST_PLAN) else start, on)
+    whole, rest = F.floor(F.col("_m_total") / F.col("_m_n")), F.col("_m_total") % F.col("_m_n")
+    return rows.withColumn("_m_copies", (whole + F.when(F.col("_m_before") + F.col("_m_i") <= rest, 1).otherwise(0)).cast("long"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 7) -> DataFrame:
     """The mixed table: the rows of ``docs`` (doc_id, text, source and any other columns), each as often as ``decide`` says."""
     decided = cut(decide(docs, weights, cap, seed).select("source", "doc_id", "size", "n", "total").where("total > 0"), "mix-plan")
@@ -245,12 +260,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, s
     sized = docs.withColumn(size, words(F.col("text")))
     on = sized["doc_id"].cast("long").eqNullSafe(d["_m_doc"]) & sized["source"].eqNullSafe(d["_m_source"]) & (sized[size] == d["_m_size"])
     both = sized.join(F.broadcast(d) if small_enough(decided, BROADCAST_PLAN) else d, on)
-    once = both.where("_m_n = 1").withColumn("_m_copies", F.col("_m_total"))
-    i = F.row_number().over(Window.partitionBy("_m_source", "_m_doc", "_m_size").orderBy(F.xxhash64("text")))
-    many = both.where("_m_n > 1").withColumn("_m_i", i).withColumn("_m_copies", (F.floor(F.col("_m_total") / F.col("_m_n")) + F.when(F.col("_m_i") <= F.col("_m_total") % F.col("_m_n"), 1).otherwise(0)).cast("long")).drop("_m_i")
+    rows = both.where("_m_n = 1").withColumn("_m_copies", F.col("_m_total"))
+    if decided.where("n > 1").limit(1).count():
+        rows = rows.union(_shared_out(both.where("_m_n > 1")).select(*rows.columns))
     names = [F.col(f"`{c}`") for c in docs.columns]
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))
-    return once.union(many).where("_m_copies > 0").select(*names, copies.alias("_m_copy")).drop("_m_copy")
+    return rows.where("_m_copies > 0").select(*names, copies.alias("_m_copy")).drop("_m_copy")
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
