@@ -275,3 +275,45 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in one} and max(Counter(r.doc_id for r in mixed).values()) <= 3
     assert Counter(r.doc_id for r in ids) == Counter(r.doc_id for r in mixed) and all(r.restored and r.parity for r in ids)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids)
+
+
+PROBES = {
+    '<article class="post skip-lazy"><p>Hello</p></article>': "Hello",
+    '<main><p class="alert-level">A</p><p class="comment-free">B</p><section class="search-history">C</section><section class="related-work">D</section></main>': "A\nB\nC\nD",
+    '<main><div class="promotion-to-premier-league">E</div><div id="login">F</div><fieldset class="poem">G</fieldset></main>': "E\nF\nG",
+    '<main><p>x</p><div id="login">Name <input name="a"></div><fieldset>Choose <select></select></fieldset><div class="related-posts">R</div><div class="ad-slot">S</div></main>': "x",
+    '<main><p>x</p><div class="comment-list"><article class="comment">c</article></div><div class="newsletter-signup">Mail <button>go</button></div></main>': "x",
+}
+
+
+@pytest.mark.parametrize("page", PROBES)
+def test_names_count_only_as_a_whole_and_forms_by_their_controls(page):
+    assert html_text.main_text(page) == PROBES[page]
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 60, 400])
+def test_readers_wrappers_of_any_depth(depth):
+    page = '<div class="sidebar">' * depth + "<main><p>text</p></main>" + "</div>" * depth + '<div class="comments"><article>a reader</article></div>'
+    assert html_text.main_text(page) == "text"
+    bare = "<main><p>text</p></main>" + '<div class="comments">' * depth + "<article>a reader</article>"
+    assert html_text.main_text(bare) == "text"
+
+
+def _host_pages(spark, make, n=20):
+    return spark.createDataFrame([(i, f"http://h.org/{i}", make(i)) for i in range(n)], "page_id long, url string, html string")
+
+
+def test_slots_overrule_names(spark):
+    story = lambda i: "".join(f"<p>story {i} part {k} " + f"word{i * k} " * 20 + "</p>" for k in range(1, 4))
+    # the text of every page stands in what a name calls a notice; a real notice is the same on all pages
+    page = lambda i: f'<html><body><div class="top">Site</div><div class="notice">{story(i)}</div><div class="cookie-notice">We use cookies here</div></body></html>'
+    assert html_text.main_text(page(1)).split() == ["Site"]
+    got = html_text.extract(_host_pages(spark, page)).collect()
+    assert all(len(r.text.split("\n")) == 3 and r.text.startswith(f"story {r.page_id} part 1") for r in got)
+    # within the main element a rich slot with such a name is main, a poor one and readers' aren't
+    page = lambda i: f'<body><main><h1>Title {i}</h1>{story(i)}<div class="promo">{story(i + 50)}</div><div class="alert">short {i}</div><div class="comments">{story(i + 90)}</div></main></body>'
+    got = html_text.extract(_host_pages(spark, page)).collect()
+    for r in got:
+        assert f"story {r.page_id + 50} part 2" in r.text and "short" not in r.text and f"story {r.page_id + 90}" not in r.text and r.text.startswith(f"Title {r.page_id}\nstory")
+    # two pages are too few to tell
+    assert all("part 2" in r.text and f"story {r.page_id + 50}" not in r.text for r in html_text.extract(_host_pages(spark, page, 2)).collect())

@@ -55,15 +55,23 @@ BLOCKS = _set("address article aside blockquote body br button caption center dd
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 #: Elements whose nesting is followed; an end tag of these closes all that is open inside.
 HOLDERS = _set("html head body article main section div nav header footer aside form ul ol menu table details dialog fieldset select button title figure search span p")
-#: Elements and names of elements that hold no main text.
-OUTSIDE = _set("head title nav footer aside form menu select button dialog fieldset search")
-OUTSIDE_NAMES = _set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall comment comments commentlist disqus respond replies reply sidebar rail widget widgets menu nav navbar navigation navigationbar breadcrumb breadcrumbs pagination pager share sharing social related recommended toolbar footer copyright login complementary contentinfo search skip")
+#: Elements that hold no main text.
+OUTSIDE = _set("head title nav footer aside form menu select button dialog search")
+#: What names of elements tell, if every word of a name is one of these or says nothing: that there is no main text, a header, readers' comments
+#: or a sidebar, or, if there are controls of a form inside, a form.
+OUTSIDE_NAMES = _set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay rail widget widgets menu nav navbar navigation navigationbar breadcrumb breadcrumbs pagination pager share sharing social recommended toolbar footer copyright complementary contentinfo skip")
 HEADS = _set("header masthead")
-READERS = _set("comment comments commentlist disqus respond replies reply aside sidebar related")
+READERS = _set("comment comments commentlist disqus respond replies reply sidebar related")
+FORMS = _set("login subscribe subscription signup newsletter paywall search")
+NEUTRAL = _set(
+    "list lists item items section sections area box boxes wrapper wrap container content inner outer block blocks group panel module unit units slot holder body text title head heading top bottom left right middle center primary secondary main site page global"
+    " post posts article articles story stories entry entries news link links bar row col column columns grid card cards thread form field buttons button icons icon logo label author meta date time avatar desktop mobile sticky fixed floating inline small large mini"
+    " more view google law info trail reading for you to the on and count counter by user users reader readers visitor visitors"
+)
+#: Elements that a person fills in or presses.
+CONTROLS = _set("input select textarea button form")
 #: Words before one of these names in a class that make it tell what a page or wrapper has, not what the element is.
 HAS = _set("has with without no layout")
-#: Rounds in which elements that hold the main text are found under each other.
-DEPTH = 8
 _HEADING = re.compile(r"h[1-6]$")
 
 
@@ -75,12 +83,13 @@ class _Holder:
 
 
 class _Reader:
-    """An element that is outside for good by its names alone: the place of its tag, whether a name begins so, and what it holds."""
+    """An element that is outside by its names alone if nothing inside says otherwise: the place of its tag, the one around it, whether it is readers'
+    or a form, whether a name begins so, and what it holds."""
 
-    __slots__ = ("at", "first", "main", "article", "chars")
+    __slots__ = ("at", "up", "form", "first", "main", "article", "chars", "controls")
 
-    def __init__(self, at: int, first: bool):
-        self.at, self.first, self.main, self.article, self.chars = at, first, False, False, 0
+    def __init__(self, at: int, up: _Reader | None, form: bool, first: bool):
+        self.at, self.up, self.form, self.first, self.main, self.article, self.chars, self.controls = at, up, form, first, False, False, 0, False
 
 
 def _words(value: str) -> list[list[str]]:
@@ -92,9 +101,13 @@ def _words(value: str) -> list[list[str]]:
     return names
 
 
-def _kind(tag: str, attrs: str, above: str, named: bool = True) -> tuple[str, str, bool | None]:
-    """What an element with these attributes holds within ``above``, its names, and, if it is readers' by a name alone, whether
-    one begins so. Names of the whole page don't count, nor those of readers if not ``named``."""
+_TELLING = OUTSIDE_NAMES | HEADS | READERS | FORMS
+
+
+def _kind(tag: str, attrs: str, above: str, named: bool = True) -> tuple[str, str, str, bool]:
+    """What an element with these attributes holds within ``above``, its names, what it is by its names alone (``readers``, ``form`` or nothing), and
+    whether a name begins so. A name with a word that tells nothing of the kind counts for nothing, nor do names of the whole page; names of main
+    elements tell readers' only. If not ``named``, neither readers' names nor forms' count."""
     names, role, first = "", "", False
     words: set[str] = set()
     if attrs.strip():
@@ -106,25 +119,31 @@ def _kind(tag: str, attrs: str, above: str, named: bool = True) -> tuple[str, st
                 names = "." + ".".join(value.lower().split())
             if tag not in ("html", "body"):
                 for name in _words(value):
-                    words.update(name)
-                    first |= bool(name) and name[0] in READERS
+                    if name and all(w in _TELLING or w in NEUTRAL or len(w) == 1 for w in name) and not _TELLING.isdisjoint(name):
+                        words.update(name)
+                        first |= name[0] in READERS
+    own = tag in ("article", "main") or role in ("main", "article")
     if above == "readers" or tag == "aside":
-        return "readers", names, None
+        return "readers", names, "readers" if words & READERS else "", first
     if named and words & READERS:
-        return "readers", names, first
-    if attrs and _HIDDEN.search(attrs) or tag in OUTSIDE or words & OUTSIDE_NAMES:
-        return "out", names, None
-    if tag in ("article", "main") or role in ("main", "article"):
-        return "in", names, None
+        return "readers", names, "readers", first
+    if attrs and _HIDDEN.search(attrs) or tag in OUTSIDE:
+        return "out", names, "", False
+    if own:
+        return "in", names, "", False
     if tag == "header" or words & HEADS:
-        return ("out" if above == "out" else "head"), names, None
-    return above, names, None
+        return ("out" if above == "out" else "head"), names, "", False
+    if tag == "fieldset" or words & FORMS and not words & OUTSIDE_NAMES:
+        return ("out" if named else above), names, "form", False
+    if words & (OUTSIDE_NAMES | READERS):
+        return {"": "named", "in": "named-in"}.get(above, above), names, "", False
+    return above, names, "", False
 
 
 class Page:
     """A page's blocks in order, each (path, kind, text, path of the element that holds it, characters in links), and ``trail``: its tags and
     blocks in order, as (path, open or close, kind) and places of blocks. Kinds: ``in`` main, ``heading`` a heading in main's header,
-    ``head`` a header's, ``out`` outside, ``""`` undecided."""
+    ``head`` a header's, ``out`` outside, ``named`` and ``named-in`` outside by a name alone where it is undecided or main, ``""`` undecided."""
 
     __slots__ = ("blocks", "trail", "readers", "mains")
 
@@ -148,20 +167,27 @@ def parse(page: str | None) -> Page:
     """Markup may be broken: an end tag closes what is open inside it, one without a start only ends the block, and a main
     element that opens in an unclosed menu or advert is main all the same. An element is readers' by its names only if it doesn't hold
     the main text: not if it has a main element, nor if the page's only articles are inside and they are all there is, or, unless
-    a name begins so, the most."""
+    a name begins so, the most. It is a form by its names only if there are controls inside. Pages are read again until nothing changes."""
     free: set[int] = set()
-    for _ in range(DEPTH):
+    while True:
         found = _parse(page or "", free)
-        open_ = sum(len(x[2]) for x in found.blocks if x[1] in ("", "in"))
-        held = {r.at for r in found.readers if r.main or r.article and not found.mains and (not open_ if r.first else r.chars > open_)}
+        for r in reversed(found.readers):  # those inside come later
+            if r.up:
+                r.up.main |= r.main
+                r.up.article |= r.article
+                r.up.chars += r.chars
+                r.up.controls |= r.controls
+        held = {r.at for r in found.readers if (not r.controls if r.form else r.main)} - free
+        if not held:  # what has a main element is settled before articles are looked at
+            open_ = sum(len(x[2]) for x in found.blocks if x[1] in ("", "in"))
+            held = {r.at for r in found.readers if not r.form and r.article and not found.mains and (not open_ if r.first else r.chars > open_)} - free
         if not held:
             return found
         free |= held
-    return _parse(page or "", None)
 
 
-def _parse(page: str, free: set[int] | None) -> Page:
-    """Elements whose tags are at ``free`` aren't readers', and none by its names if it is None. Takes time in proportion to the page."""
+def _parse(page: str, free: set[int]) -> Page:
+    """Elements whose tags are at ``free`` are neither readers' nor forms by their names. Takes time in proportion to the page."""
     out, stack = Page(), [_Holder("", "", "")]
     pieces: list[str] = []
     leaf, inside, linked, link, loose, at = "", 0, 0, False, False, 0
@@ -211,6 +237,8 @@ def _parse(page: str, free: set[int] | None) -> Page:
                 break
             attrs, at = page[m.end() : end], end + 1
         tag, ends = m[2].lower(), bool(m[1])
+        if tag in CONTROLS and not ends and stack[-1].reader:
+            stack[-1].reader.controls = True
         if tag in RAW and not ends:
             end = RAW[tag].search(page, at) if raw[tag] else None
             raw[tag], at = bool(end), end.end() if end else len(page)
@@ -242,8 +270,8 @@ def _parse(page: str, free: set[int] | None) -> Page:
                 if tag in ("p", "span") and stack[i].tag not in ("p", "span"):
                     break
         else:
-            kind, names, first = _kind(tag, attrs, stack[-1].kind, free is not None and m.start() not in free)
-            if tag in ("p", "span") and kind == stack[-1].kind:
+            kind, names, alone, first = _kind(tag, attrs, stack[-1].kind, m.start() not in free)
+            if tag in ("p", "span") and kind == stack[-1].kind and not alone:
                 continue
             if not block:
                 flush()
@@ -253,8 +281,8 @@ def _parse(page: str, free: set[int] | None) -> Page:
             path = f"{stack[-1].path}/{tag}{names}"
             inside += kind == "in" and tag in ("article", "main")
             reader = stack[-1].reader
-            if first is not None:
-                out.readers.append(reader := _Reader(m.start(), first))
+            if alone:
+                out.readers.append(reader := _Reader(m.start(), reader, alone == "form", first))
             if tag in ("article", "main"):
                 out.mains |= kind == "in"
                 if reader:
@@ -277,8 +305,8 @@ def main_text(page: str | None) -> str:
 
 # ---- tokens
 
-#: What a token is: an element's open tag, its close tag; whether a main element's or a block that tags leave; a heading.
-OPEN, CLOSE, MAIN, HEADING = 1, 2, 4, 8
+#: What a token is: an element's open tag, its close tag; whether a main element's or a block that tags leave; a heading; a block that only a name takes away.
+OPEN, CLOSE, MAIN, HEADING, NAMED = 1, 2, 4, 8, 16
 
 
 def element(path: str) -> int:
@@ -303,6 +331,7 @@ def tokenised(page: str | None) -> dict:
     element's ``chars`` are all that tags leave of the page. ``page`` is a hash of all blocks, so copies are one page."""
     found = parse(page)
     chosen, ids = found.chosen(), {"": ROOT}
+    named = {"named-in"} if any(x[1] == "in" for x in found.blocks) else {"named", "named-in"}
     tok, info, texts, chars, links = [ROOT], [OPEN], [], [], []
     bag: dict[int, list] = {}
     total = sum(len(x[2]) for x, c in zip(found.blocks, chosen) if c)
@@ -318,10 +347,10 @@ def tokenised(page: str | None) -> dict:
             if opens:
                 bag.setdefault(t, [t, path, None, 0, total])[3] += 1
         else:
-            path, _, text, above, linked = found.blocks[x]
+            path, kind, text, above, linked = found.blocks[x]
             t = text_token(path, text)
             tok.append(t)
-            info.append((MAIN if chosen[x] else 0) | (HEADING if _HEADING.match(path.rpartition("/")[2]) else 0))
+            info.append((MAIN if chosen[x] else 0) | (NAMED if kind in named else 0) | (HEADING if _HEADING.match(path.rpartition("/")[2]) else 0))
             texts.append(text)
             chars.append(len(text))
             links.append(linked)
@@ -524,7 +553,7 @@ def templates(parsed: DataFrame, support: float = SUPPORT, least: int = PAGES) -
 
 # ---- slots
 
-_SLOT = np.dtype([("id", "<i8"), ("pages", "<i8"), ("free", "<i8"), ("left", "<i8"), ("linked", "<i8"), ("chars", "<i8")])
+_SLOT = np.dtype([("id", "<i8"), ("pages", "<i8"), ("free", "<i8"), ("left", "<i8"), ("linked", "<i8"), ("chars", "<i8"), ("named", "<i8")])
 
 
 def places(tok: list[int], info: list[int], valid: dict[int, tuple[bool, bool]]) -> list[tuple[int, tuple[int, ...]] | None]:
@@ -553,7 +582,7 @@ def _valid(value: bytes | None) -> dict[int, tuple[bool, bool]]:
 
 
 def slots(parsed: DataFrame, packed: DataFrame) -> DataFrame:
-    """(_host, slots): for each slot of a host its pages, and its characters: outside of links and left by tags, left by tags, in links, and all."""
+    """(_host, slots): for each slot of a host its pages, and its characters: outside of links and left by tags or taken by a name alone, left by tags, in links, all, and taken by a name alone."""
     rows = _beside(parsed.select("host", "tok", "info", "chars", "links"), packed).select("packed", "host", "tok", "info", "chars", "links")
     memo = _Memo(_valid)
 
@@ -565,13 +594,13 @@ def slots(parsed: DataFrame, packed: DataFrame) -> DataFrame:
                 kinds = [i for i in info if not i & (OPEN | CLOSE)]
                 for p, kind, n, k in zip(at, kinds, chars, links):
                     if p is not None:
-                        s = sums.setdefault((h, p[0]), [0] * 5)
+                        s = sums.setdefault((h, p[0]), [0] * 6)
                         s[0] += p[0] not in seen
                         seen.add(p[0])
-                        left = bool(kind & MAIN)
-                        for j, v in enumerate((left * (n - k), left * n, k, n), 1):
+                        left, taken = bool(kind & MAIN), bool(kind & NAMED)
+                        for j, v in enumerate(((left | taken) * (n - k), left * n, k, n, taken * n), 1):
                             s[j] += v
-            cols = [[h for h, _ in sums], [i for _, i in sums], *([v[j] for v in sums.values()] for j in range(5))]
+            cols = [[h for h, _ in sums], [i for _, i in sums], *([v[j] for v in sums.values()] for j in range(6))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j else pa.string()) for j, c in enumerate(cols)], ["host", *_SLOT.names])
 
     sums = rows.mapInArrow(run, "host string, " + ", ".join(f"{n} bigint" for n in _SLOT.names))
@@ -589,14 +618,14 @@ def slots(parsed: DataFrame, packed: DataFrame) -> DataFrame:
 def main_blocks(tok: list[int], info: list[int], valid: dict, stats: dict[int, tuple], least: int = PAGES) -> list[bool]:
     """Which of a page's blocks are main.
 
-    The main slot is the one with most text a page outside of links, of those of whose text tags leave the most. Its element is the innermost single one of the
-    template around it. A block is main if tags leave it and its slot is: one in that element, or elsewhere one with RICH of the main slot's text, a
-    heading before it, or one in a main element. Slots of links aren't, but for the main one. Slots that stand on less than
-    ``least`` pages are left to tags.
+    The main slot is the one with most text a page outside of links, of those of whose text tags leave the most, or would but for names. Its element is the
+    innermost single one of the template around it. A block is main if tags leave it and its slot is: one in that element, or elsewhere one with RICH of the
+    main slot's text, a heading before it, or one in a main element. A block that only a name takes away is main if its slot is the main one or lies in
+    that element and has RICH of its text. Slots of links aren't main, but for the main one. Slots that stand on less than ``least`` pages are left to tags and names.
     """
     at = places(tok, info, valid)
     kinds = [i for i in info if not i & (OPEN | CLOSE)]
-    mean = {s: stats[s][1] / stats[s][0] for p in at if p is not None for s in [p[0]] if 2 * stats[s][2] > stats[s][4]}
+    mean = {s: stats[s][1] / stats[s][0] for p in at if p is not None for s in [p[0]] if 2 * (stats[s][2] + stats[s][5] * (stats[s][0] >= least)) > stats[s][4]}
     if not mean:
         return [p is not None and bool(k & MAIN) for p, k in zip(at, kinds)]
     top = max(mean.values())
@@ -605,15 +634,22 @@ def main_blocks(tok: list[int], info: list[int], valid: dict, stats: dict[int, t
     inner = around[-1] if around else ROOT
     held = {t for t, i in zip(tok, info) if i & OPEN and i & MAIN}
 
+    def linked(slot: int) -> bool:
+        return stats[slot][3] >= LINKED * stats[slot][4]
+
     def fits(i: int) -> bool:
         slot, outer = at[i]
         if slot == main or stats[slot][0] < least:
             return True
-        if stats[slot][3] >= LINKED * stats[slot][4]:
+        if linked(slot):
             return False
         return inner == ROOT or inner in outer or mean.get(slot, 0.0) >= RICH * top or bool(kinds[i] & HEADING) and i < first or not held.isdisjoint(outer)
 
-    return [p is not None and bool(kinds[i] & MAIN) and fits(i) for i, p in enumerate(at)]
+    def kept(i: int) -> bool:
+        slot, outer = at[i]
+        return stats[slot][0] >= least and not linked(slot) and (slot == main or inner in outer and mean.get(slot, 0.0) >= RICH * top)
+
+    return [p is not None and (bool(k & MAIN) and fits(i) or bool(k & NAMED) and kept(i)) for i, (p, k) in enumerate(zip(at, kinds))]
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, least: int = PAGES, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
