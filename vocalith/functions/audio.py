@@ -236,6 +236,19 @@ def wav_bytes(samples: Column, rate: Column, channels: Column) -> Column:
     )
 
 
+def sample_bytes(value: Column) -> Column:
+    """A 16-bit sample of a whole number."""
+    h = F.lpad(F.hex(value.cast("int").bitwiseAND(65535)), 4, "0")
+    return F.unhex(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)))
+
+
+def sample_values(samples: Column) -> Column:
+    """The numbers of 16-bit samples."""
+    value = lambda h: F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("int")
+    signed = lambda v: v - F.when(v > 32767, 65536).otherwise(0)
+    return F.transform(F.regexp_extract_all(F.hex(samples), F.lit("...."), F.lit(0)), lambda h: signed(value(h)))
+
+
 def with_silence(samples: Column, rate: Column, ms: int) -> Column:
     """16-bit samples with ``ms`` milliseconds of silence behind them."""
     return F.concat(samples, F.unhex(F.repeat(F.lit("0000"), F.floor(rate * ms / 1000).cast("int"))))
