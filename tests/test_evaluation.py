@@ -44,3 +44,20 @@ def test_frames_agree(session, name):
         compare(df, frames.ORACLE[name])
     else:
         assert df.count() > 0
+
+
+def test_what_is_computed_once_follows_its_files(session, tmp_path):
+    import pandas as pd
+
+    from vocalith.plans.dialect import Spark
+
+    def asked():
+        d = Spark(str(tmp_path), session)
+        return session.sql(d.once("few", f"SELECT sum(x) AS s FROM {d.table('t')}")).first().s
+
+    pd.DataFrame({"x": [1, 2]}).to_parquet(tmp_path / "t.parquet")
+    assert asked() == 3 and asked() == 3
+    views = [t.name for t in session.catalog.listTables(pattern="few_*")]
+    pd.DataFrame({"x": [1, 2, 40]}).to_parquet(tmp_path / "t.parquet")
+    assert asked() == 43
+    assert len(views) == 1 and len([t for t in session.catalog.listTables(pattern="few_*")]) == 1

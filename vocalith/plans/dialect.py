@@ -9,12 +9,26 @@ class Spark:
     def __init__(self, sf_dir: str, session=None):
         self.sf_dir, self.session = sf_dir, session
 
+    def _stamp(self) -> int:
+        """A number that changes with the files of the folder: their names, sizes and times."""
+        jvm, conf = self.session._jvm, self.session._jsparkSession.sessionState().newHadoopConf()
+        folder = jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        files = folder.getFileSystem(conf).listStatus(folder)
+        return zlib.crc32(repr(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)).encode())
+
     def once(self, name: str, sql: str) -> str:
-        """``sql``, computed once for a session that asks for it from several queries: its rows stay with the executors, on disk where memory is short."""
+        """``sql``, computed once for a session that asks for it from several queries: its rows stay with the executors, on disk where memory is short.
+
+        Where the tables' files have changed since, the old rows are dropped and made anew.
+        """
         if self.session is None:
             return sql
-        view = f"{name}_{zlib.crc32((self.sf_dir + sql).encode())}"
-        if not self.session.catalog.tableExists(view):
+        own = f"{name}_{zlib.crc32((self.sf_dir + sql).encode())}"
+        view, catalog = f"{own}_{self._stamp()}", self.session.catalog
+        if not catalog.tableExists(view):
+            for old in [t.name for t in catalog.listTables(pattern=f"{own}_*") if t.isTemporary]:
+                catalog.uncacheTable(old)
+                catalog.dropTempView(old)
             self.session.sql(sql).persist().createOrReplaceTempView(view)
         return f"SELECT * FROM {view}"
 

@@ -434,7 +434,8 @@ def _runs(d) -> str:
 
 def run_report(d) -> str:
     """Statistics of every run over scorable utterances that all runs cover: real ones apart from synthetic ones, all together and by subset."""
-    r = f"SELECT *, count(*) OVER (PARTITION BY utt_id) AS runs FROM ({_runs(d)}) r0 WHERE exclude_reason IS NULL"
+    first = f"SELECT *, row_number() OVER (PARTITION BY utt_id, sys ORDER BY errors) AS nth FROM ({_runs(d)}) r0 WHERE exclude_reason IS NULL"
+    r = f"SELECT *, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY utt_id) AS runs FROM ({first}) r1"  # different runs, not rows
     return (
         f"SELECT synthetic, coalesce(subset, 'All') AS grp, sys, count(*) AS n, cast(count_if(error IS NOT NULL) AS BIGINT) AS failed, cast(count_if(n_hyp = 0 AND n_ref > 0) AS BIGINT) AS empty_on_speech, cast(count_if(n_ref > 0) AS BIGINT) AS n_speech, "
         f"round(sum(errors) / nullif(sum(n_ref), 0), 8) AS wer, round(avg(errors / nullif(n_ref, 0)), 8) AS mean_utt_wer FROM ({r}) r1 WHERE runs = 3 GROUP BY GROUPING SETS ((synthetic, sys), (synthetic, subset, sys))"
