@@ -216,7 +216,7 @@ def test_suites(session):
 
 
 def test_report_cells(session):
-    assert (report.percent(0.0742), report.interval(0.0742, 0.068, 0.081), report.points(0.0106), report.milliseconds(float("inf")), report.percent(None)) == ("7.4%", "7.4% [6.8, 8.1]", "+1.06 pp", "timeout", "n/a")
+    assert (report.percent(0.0742), report.interval(0.0742, 0.068, 0.081), report.points(0.0106), report.milliseconds(float("inf")), report.percent(None)) == ("7.4%", "7.4% [6.8, 8.1]", "+1.1 pp", "timeout", "n/a")
     df = session.createDataFrame([("b|c", 2), ("a", 1)], "k STRING, v INT")
     assert report.table(df, [("k", lambda r: r["k"]), ("v", lambda r: r["v"])], ["k"]) == "| k | v |\n|-|-|\n| a | 1 |\n| b\\|c | 2 |"
 

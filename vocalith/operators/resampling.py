@@ -62,61 +62,67 @@ def poisson(mean: Column, *key: Column | str) -> Column:
     return F.when(mean < NORMAL, few).otherwise(F.greatest(F.lit(0), F.floor(mean + F.sqrt(mean.cast("double")) * normal + 0.5)).cast("bigint"))
 
 
-def _summed(rows: DataFrame, resamples: int) -> DataFrame:
-    """(b, bin, w) of rows (bin, n, w): sums of ``n * w[b]``, of which each task makes one row a bin first."""
+def _summed(rows: DataFrame, resamples: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, b, bin, w) of rows (keys, bin, n, w): sums of ``n * w[b]``, of which each task makes one row a bin first."""
     sums = [F.expr(f"sum(n * w[{b}]) AS s{b}") for b in range(resamples)]
-    return rows.groupBy("bin").agg(*sums).select("bin", F.posexplode(F.expr("array(" + ", ".join(f"s{b}" for b in range(resamples)) + ")")).alias("b", "w"))
+    return rows.groupBy(*keys, "bin").agg(*sums).select(*keys, "bin", F.posexplode(F.expr("array(" + ", ".join(f"s{b}" for b in range(resamples)) + ")")).alias("b", "w"))
 
 
-def clustered(values: DataFrame, seed: str, resamples: int = RESAMPLES) -> DataFrame:
-    """(b, bin, w) on resamples of clusters, of ``values`` (cluster, v)."""
-    counts = values.groupBy("cluster", bin_of(F.col("v")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    one = counts.groupBy("cluster").agg(F.collect_list(F.struct("bin", "n")).alias("h"))  # as many as there are bins
+def clustered(values: DataFrame, seed: str, resamples: int = RESAMPLES, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, b, bin, w) on resamples of clusters, of ``values`` (keys, cluster, v). All groups share the draws of a cluster."""
+    counts = values.groupBy(*keys, "cluster", bin_of(F.col("v")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    one = counts.groupBy(*keys, "cluster").agg(F.collect_list(F.struct("bin", "n")).alias("h"))  # as many as there are bins
     drawn = one.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: poisson_one(seed, b, F.col("cluster"))))
-    return _summed(drawn.select("w", F.inline("h")), resamples)
+    return _summed(drawn.select(*keys, "w", F.inline("h")), resamples, keys)
 
 
-def alone(values: DataFrame, seed: str, resamples: int = RESAMPLES) -> DataFrame:
-    """(b, bin, w) on resamples of single values."""
-    counts = values.groupBy(bin_of(F.col("v")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("bin", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: poisson(F.col("n"), seed, b, F.when(F.col("bin") == float("inf"), "inf").otherwise(F.col("bin").cast("bigint").cast("string"))))).alias("b", "w"))
+def alone(values: DataFrame, seed: str, resamples: int = RESAMPLES, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, b, bin, w) on resamples of single values."""
+    counts = values.groupBy(*keys, bin_of(F.col("v")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("bin") == float("inf"), "inf").otherwise(F.col("bin").cast("bigint").cast("string"))
+    return counts.select(*keys, "bin", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: poisson(F.col("n"), seed, b, name))).alias("b", "w"))
 
 
-def resampled_percentiles(weighted: DataFrame, percentiles: Sequence[int] = PERCENTILES) -> DataFrame:
-    """(b, p50, ...): on each resample the least bin up to which that share of the weight lies; a resample without weight is absent."""
-    by, whole = Window.partitionBy("b").orderBy("bin"), Window.partitionBy("b")
-    sums = weighted.where("w > 0").select("b", "bin", F.sum("w").over(by).alias("upto"), F.sum("w").over(whole).alias("all"))
-    return sums.groupBy("b").agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("all") * p, F.col("bin"))).alias(f"p{p}") for p in percentiles])
+def resampled_percentiles(weighted: DataFrame, percentiles: Sequence[int] = PERCENTILES, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, b, p50, ...): on each resample the least bin up to which that share of the weight lies; a resample without weight is absent."""
+    by, whole = Window.partitionBy(*keys, "b").orderBy("bin"), Window.partitionBy(*keys, "b")
+    sums = weighted.where("w > 0").select(*keys, "b", "bin", F.sum("w").over(by).alias("upto"), F.sum("w").over(whole).alias("all"))
+    return sums.groupBy(*keys, "b").agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("all") * p, F.col("bin"))).alias(f"p{p}") for p in percentiles])
 
 
-def intervals(per_resample: DataFrame, percentiles: Sequence[int] = PERCENTILES) -> DataFrame:
-    """One row: low and high of each percentile over the resamples; an upper end may be infinite."""
+def intervals(per_resample: DataFrame, percentiles: Sequence[int] = PERCENTILES, keys: Sequence[str] = ()) -> DataFrame:
+    """Low and high of each percentile over the resamples; an upper end may be infinite."""
     q = lambda p, share: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY p{p})")
-    return per_resample.agg(*[c for p in percentiles for c in (q(p, 0.025).alias(f"low{p}"), q(p, 0.975).alias(f"high{p}"))])
+    return per_resample.groupBy(*keys).agg(*[c for p in percentiles for c in (q(p, 0.025).alias(f"low{p}"), q(p, 0.975).alias(f"high{p}"))])
 
 
-def exact_percentiles(values: DataFrame, percentiles: Sequence[int] = PERCENTILES) -> DataFrame:
-    """One row (n, p50, ...): the least value up to which that share of all lies, without sorting all in one task.
+def exact_percentiles(values: DataFrame, percentiles: Sequence[int] = PERCENTILES, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, p50, ...): the least value up to which that share of all lies, without sorting all in one task.
 
     The bins' counts tell in which bin each percentile is; only these bins' values are counted and put in order.
     """
-    binned = values.select(bin_of(F.col("v")).alias("bin"), "v")
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("k"))
-    upto, n = F.sum("k").over(Window.orderBy("bin")), F.sum("k").over(Window.partitionBy(F.lit(1)))  # a row a bin
-    sums = counts.select("bin", "k", upto.alias("upto"), n.alias("n"))
-    wanted = sums.select("bin", (F.col("upto") - F.col("k")).alias("before"), "upto", "n", F.explode(F.array(*map(F.lit, percentiles))).alias("p")).where((F.col("upto") * 100 >= F.col("n") * F.col("p")) & (F.col("before") * 100 < F.col("n") * F.col("p")))
-    near = binned.join(F.broadcast(wanted.select("bin").distinct()), "bin").groupBy("bin", "v").agg(F.count(F.lit(1)).alias("k"))  # as many bins as percentiles
-    placed = near.withColumn("within", F.sum("k").over(Window.partitionBy("bin").orderBy("v")))
-    found = placed.join(F.broadcast(wanted), "bin").where((F.col("before") + F.col("within")) * 100 >= F.col("n") * F.col("p"))
-    return found.groupBy().agg(F.max("n").alias("n"), *[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percentiles])
-
-
-def latency_intervals(values: DataFrame, resamples: int = RESAMPLES, seeds: tuple[str, str] = ("8", "9")) -> DataFrame:
-    """One row of ``values`` (cluster, v): n, timeouts, speakers, percentiles with intervals over clusters, and how much wider the median's interval is
-    than one over single values (null where either has no width or is infinite). ``values`` is read several times."""
-    wide = intervals(resampled_percentiles(clustered(values, seeds[0], resamples)))
-    narrow = intervals(resampled_percentiles(alone(values, seeds[1], resamples), (50,)), (50,)).select(F.col("low50").alias("l"), F.col("high50").alias("h"))
-    counts = values.groupBy("cluster").agg(F.count_if(F.col("v") == float("inf")).alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0)).alias("timeouts"), F.count(F.lit(1)).alias("speakers"))
+    keys = list(keys)
+    binned = values.select(*keys, bin_of(F.col("v")).alias("bin"), "v")
+    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_k"))
+    group = keys or [F.lit(1)]
+    upto, n = F.sum("_k").over(Window.partitionBy(*group).orderBy("bin")), F.sum("_k").over(Window.partitionBy(*group))  # a row a bin
+    sums = counts.select(*keys, "bin", "_k", upto.alias("upto"), n.alias("n"))
+    wanted = sums.select(*keys, "bin", (F.col("upto") - F.col("_k")).alias("before"), "upto", "n", F.explode(F.array(*map(F.lit, percentiles))).alias("p")).where((F.col("upto") * 100 >= F.col("n") * F.col("p")) & (F.col("before") * 100 < F.col("n") * F.col("p")))
+    near = binned.join(F.broadcast(wanted.select(*keys, "bin").distinct()), [*keys, "bin"]).groupBy(*keys, "bin", "v").agg(F.count(F.lit(1)).alias("_k"))  # as many bins as percentiles of groups
+    placed = near.withColumn("within", F.sum("_k").over(Window.partitionBy(*keys, "bin").orderBy("v")))
+    found = placed.join(F.broadcast(wanted), [*keys, "bin"]).where((F.col("before") + F.col("within")) * 100 >= F.col("n") * F.col("p"))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percentiles])
+
+
+def latency_intervals(values: DataFrame, resamples: int = RESAMPLES, seeds: tuple[str, str] = ("8", "9"), keys: Sequence[str] = ()) -> DataFrame:
+    """A row for each group of ``values`` (keys, cluster, v), or one: n, timeouts, speakers, percentiles with intervals over clusters, and how much wider the
+    median's interval is than one over single values (null where either has no width or is infinite). Keys aren't null. ``values`` is read several times."""
+    keys = list(keys)
+    wide = intervals(resampled_percentiles(clustered(values, seeds[0], resamples, keys), keys=keys), keys=keys)
+    narrow = intervals(resampled_percentiles(alone(values, seeds[1], resamples, keys), (50,), keys), (50,), keys).withColumnsRenamed({"low50": "l", "high50": "h"})
+    counts = values.groupBy(*keys, "cluster").agg(F.count_if(F.col("v") == float("inf")).alias("t")).groupBy(*keys).agg(F.coalesce(F.sum("t"), F.lit(0)).alias("timeouts"), F.count(F.lit(1)).alias("speakers"))
     effect = F.when((F.col("high50") < float("inf")) & (F.col("h") < float("inf")) & (F.col("h") > F.col("l")), F.round((F.col("high50") - F.col("low50")) / (F.col("h") - F.col("l")), 8))
-    one = exact_percentiles(values).crossJoin(counts).crossJoin(wide).crossJoin(narrow)  # a row each
-    return one.select("n", "timeouts", "speakers", *[c for p in PERCENTILES for c in (f"p{p}", f"low{p}", f"high{p}")], effect.alias("cluster_effect"))
+    one = exact_percentiles(values, keys=keys)
+    for other in (counts, wide, narrow):  # a row a group each
+        one = one.join(other, keys) if keys else one.crossJoin(other)
+    return one.select(*keys, "n", "timeouts", "speakers", *[c for p in PERCENTILES for c in (f"p{p}", f"low{p}", f"high{p}")], effect.alias("cluster_effect"))
