@@ -180,7 +180,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, cross
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     rows = cut(rows.withColumn("rule", rule).withColumn("verdict", verdict), "url-rows")
     labelled = rows.where("rule IS NOT NULL").select("url", "verdict").distinct().withColumn("part", F.pmod(F.xxhash64("url", F.lit("held")), F.lit(HELD_OUT)).cast("int"))
-    labelled = cut(labelled.withColumn("_row", -F.monotonically_increasing_id() - 1), "url-labelled")
+    # dealt over all cores, as these few bytes are much work
+    labelled = cut(labelled.repartition(2 * pages.sparkSession.sparkContext.defaultParallelism).withColumn("_row", -F.monotonically_increasing_id() - 1), "url-labelled")
     counts = cut(grams(labelled), "url-grams")
     known = labelled if crossed else labelled.where("part = 0")
     asked = rows.where("rule IS NULL AND url <> ''").select("_row", F.lit(HELD_OUT if crossed else 0).alias("part"), "url").union(known.select("_row", "part", "url"))
