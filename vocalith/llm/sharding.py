@@ -27,6 +27,10 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.array(*cost))["shard"]
 
 
+#: Rows of blocks' starts that are broadcast: with many shards each has fewer blocks.
+BROADCAST_STARTS = 400_000
+
+
 def gapless(df: DataFrame, group: str, order: Sequence[str], name: str, blocks: int = 4096) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in (hash block, ``order``) order.
 
@@ -59,7 +63,8 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float =
         rendezvous(F.col(key), [*weights, grown]).alias("grown_shard"),
         F.monotonically_increasing_id().alias("_salt"),
     )
-    out = gapless(cut(rows, "shard"), "shard", ["doc_id", "text_crc32", "size"], "slot")
+    blocks = max(16, min(4096, BROADCAST_STARTS // len(weights)))
+    out = gapless(cut(rows, "shard"), "shard", ["doc_id", "text_crc32", "size"], "slot", blocks)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
