@@ -10,8 +10,8 @@ Z95 = 1.959963984540054
 #: Bootstrap draws of error rates, speakers that the tables at hand are dealt to, and how few are too few for a verdict.
 RESAMPLES, CLUSTERS, FEW = 10_000, 20, 10
 SYSTEMS = ("s1", "s2", "s3", "noisy")
-#: Outcome bounds in ms, the VAD's thresholds, gaps and lengths.
-LATE_MS, ENTER, LEAVE, GAP, LEAST = 3000, 0.5, 0.35, 3, 2
+#: Outcome bounds in ms, the VAD's thresholds, gaps and lengths, and the share of speech below which a clip is flagged.
+LATE_MS, ENTER, LEAVE, GAP, LEAST, LOW_COVERAGE = 3000, 0.5, 0.35, 3, 2, 0.3
 
 
 def refs(d) -> str:
@@ -272,8 +272,11 @@ def speech_segments(d) -> str:
 
 
 def speech_bounds(d) -> str:
+    """Where speech begins and ends in a clip, within it; how much of it there is, and whether that is none or little."""
     clip = f"SELECT user_id, count(*) AS frames FROM {d.table('events')} GROUP BY user_id"
-    return f"SELECT c.user_id, c.frames * 32 AS clip_ms, cast(min(s.first_frame) * 32 AS BIGINT) AS speech_start_ms, cast(least(max(s.end_frame), max(c.frames)) * 32 AS BIGINT) AS speech_end_ms, round(coalesce(sum(s.end_frame - s.first_frame), 0) / max(c.frames), 8) AS coverage FROM ({clip}) c LEFT JOIN ({speech_segments(d)}) s ON c.user_id = s.user_id GROUP BY c.user_id, c.frames"
+    part = "least(1e0, coalesce(sum(s.end_frame - s.first_frame), 0) / max(c.frames))"
+    flag = f"CASE WHEN min(s.first_frame) IS NULL THEN 'no_speech' WHEN {part} < {LOW_COVERAGE}e0 THEN 'low_coverage' ELSE '' END"
+    return f"SELECT c.user_id, c.frames * 32 AS clip_ms, cast(min(s.first_frame) * 32 AS BIGINT) AS speech_start_ms, cast(CASE WHEN min(s.first_frame) IS NOT NULL THEN least(max(s.end_frame), max(c.frames)) * 32 END AS BIGINT) AS speech_end_ms, round({part}, 4) AS coverage, {flag} AS flags FROM ({clip}) c LEFT JOIN ({speech_segments(d)}) s ON c.user_id = s.user_id GROUP BY c.user_id, c.frames"
 
 
 def vad_join(d) -> str:
