@@ -15,7 +15,7 @@ from vocalith.functions.text import normalise
 from vocalith.operators import alignment as al
 from vocalith.operators import entities
 from vocalith.operators.entities import Category, Trie, normal_terms, outcomes, summary, tag, tagged
-from vocalith.operators.traces import endpoint_outcomes, session_latency, transcripts
+from vocalith.operators.traces import endpoint_outcomes, result_rows, session_latency, transcripts
 from vocalith.plans import report
 from vocalith.plans.suites import PROFILE, SUITE, match
 from vocalith.sources.schemas import EVENT, SESSION
@@ -303,3 +303,19 @@ def test_lexicons_of_any_size_are_tagged_in_one_walk(session, monkeypatch):
     assert spent[1] < 6 * spent[0] + 0.2  # a thousand times the terms
     monkeypatch.setattr(entities, "MANY", 5)
     assert normal_terms(session, ["Ten mg", "ten  mg", "!", "a b", "c", "d"]) == ["10 mg", "a b", "c", "d"]
+
+
+def test_traces_become_result_rows(session):
+    sessions = session.createDataFrame([(f, "c", f"d:{f}/x") for f in "abcde"], "file STRING, config_id STRING, utt_id STRING")
+    ev = [
+        ("a", 1, "final", "hello", None), ("a", 2, "final", "you", None), ("b", 1, "final", "lost", None), ("b", 3, "error", None, '{"z": 1, "a": {"d": 2, "c": null}}'), ("b", 2, "error", None, '{"type": "Error", "code": 7}'), ("c", 1, "partial", "x", None),
+        ("d", 1, "error", None, "not json" + "!" * 600), 
+    ]
+    events = session.createDataFrame(ev, "file STRING, seq INT, kind STRING, text STRING, raw STRING")
+    refs = session.createDataFrame([(f"d:{f}/x", "word" if f != "e" else " ") for f in "abcde"], "utt_id STRING, ref_text STRING")
+    got = {r.utt_id: (r.hyp_text, r.raw_response_path, r.error, r.suspect_empty) for r in result_rows(sessions, events, "r", refs).collect()}
+    path = lambda f: f"traces/d__{f}_x.jsonl"
+    assert got == {
+        "d:a/x": ("hello you", path("a"), None, False), "d:b/x": ("", path("b"), 'ProviderError: {"code": 7, "type": "Error"}', False), "d:c/x": ("", path("c"), None, True),
+        "d:d/x": ("", path("d"), "ProviderError: not json" + "!" * 492, False), "d:e/x": ("", path("e"), None, False),
+    }

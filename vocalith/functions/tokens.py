@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from vocalith.functions.text import MONTHS, ONES, RULES, UNITS, standardise
 
 _MONTH = "|".join(MONTHS)
+#: Regions that write the month first.
+MONTH_FIRST = ("US", "PH", "FM", "MH", "PW")
 #: Digits from which a run of groups is one number, single digits from which a run is, months that are words as well.
 RUN_DIGITS, SINGLE_DIGITS, WORD_MONTHS = 7, 3, ("march", "may")
 _SURE = "|".join(m for m in MONTHS if m not in WORD_MONTHS)
@@ -120,3 +122,21 @@ def with_normalised(df: DataFrame, text: Column | str, into: str, date_order: Co
     rows = rows.withColumns({f"_s{i}": standardised(F.col(f"_b{i}")) for i in range(len(kinds))})
     made = [after(F.col(f"_s{kinds.index(tuple(sorted(on & raw)))}"), on) for on in variants]
     return rows.withColumn(into, made[0] if disable is None else F.array(*made)).drop(*[f"_{c}{i}" for c in "bs" for i in range(len(kinds))])
+
+
+def date_order(language: Column) -> Column:
+    """Month first for tags that are null, bare, or of a region that writes so; else day first."""
+    region = F.get(F.filter(F.split(F.upper(language), "-"), lambda x, i: (i > 0) & (F.length(x) == 2)), F.lit(0))
+    return F.when(F.coalesce(region.isin(*MONTH_FIRST), F.lit(True)), "mdy").otherwise("dmy")
+
+
+def normalised_run(rows: DataFrame, manifest: DataFrame, configs: DataFrame) -> DataFrame:
+    """(utt_id, config_id, ref, hyp) of a run's ``rows`` (utt_id, config_id, hyp_text): references in the date order of their language, hypotheses in
+    the one that their config writes (``output_date_order`` of ``configs``), or the reference's where it is null or the config unknown.
+
+    A failed row's null text is empty. Configs are a registry's; each comes once.
+    """
+    order = date_order(F.col("language"))
+    told = rows.join(manifest.select("utt_id", "ref_text", order.alias("_order")), "utt_id").join(configs.select("config_id", "output_date_order"), "config_id", "left")
+    told = with_normalised(told.withColumn("hyp_text", F.coalesce("hyp_text", F.lit(""))), "ref_text", "ref", F.col("_order"))
+    return with_normalised(told, "hyp_text", "hyp", F.coalesce("output_date_order", "_order")).select("utt_id", "config_id", "ref", "hyp")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.sources.files import trace_name
+
 #: How far a last word may end after the true end of speech, and when an endpoint is late.
 TOLERANCE_MS, LATE_MS = 300.0, 3000.0
 
@@ -86,3 +91,37 @@ def transcripts(events: DataFrame) -> DataFrame:
     """(file, text): finals joined by blanks, in order."""
     finals = F.array_sort(F.collect_list(F.when((F.col("kind") == "final") & (F.col("text") != ""), F.struct("seq", "text"))))
     return events.groupBy("file").agg(F.array_join(F.transform(finals, lambda x: x.text), " ").alias("text"))
+
+
+#: Fixed value: characters of a provider's error that are kept.
+ERROR_CHARS = 500
+
+
+def sorted_json(raw: Column) -> Column:
+    """JSON objects with their fields in order of their names, at every depth; other texts as they are."""
+
+    @F.pandas_udf("string")
+    def run(some: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                found = json.loads(t) if t else t
+            except ValueError:
+                return t
+            return json.dumps(found, sort_keys=True) if isinstance(found, (dict, list)) else t
+
+        return some.map(one, na_action="ignore")
+
+    return run.asNondeterministic()(raw)  # a stage of its own, on errors alone
+
+
+def result_rows(sessions: DataFrame, events: DataFrame, run_id: str, refs: DataFrame) -> DataFrame:
+    """Rows of a run (``schemas.RESULT`` without times) of sessions' traces: a session with a provider's error has failed, its first one is told and no text is kept.
+
+    ``events`` have ``raw``; ``refs`` (utt_id, ref_text) tell which empty texts are suspect: those of utterances with words. Sessions without events have an empty text.
+    """
+    first = events.where("kind = 'error'").groupBy("file").agg(F.min_by("raw", "seq").alias("raw"))
+    told = first.select("file", F.concat(F.lit("ProviderError: "), F.substring(F.coalesce(sorted_json(F.col("raw")), F.lit("")), 1, ERROR_CHARS)).alias("error"))
+    rows = sessions.select("file", "config_id", "utt_id").join(transcripts(events), "file", "left").join(told, "file", "left").join(refs.select("utt_id", "ref_text"), "utt_id", "left")
+    text = F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).otherwise("")
+    suspect = F.col("error").isNull() & (F.trim(text) == "") & (F.trim(F.coalesce("ref_text", F.lit(""))) != "")
+    return rows.select(F.lit(run_id).alias("run_id"), "config_id", "utt_id", text.alias("hyp_text"), F.concat(F.lit("traces/"), trace_name(F.col("utt_id"))).alias("raw_response_path"), "error", suspect.alias("suspect_empty"))
