@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from vocalith.llm import bagminhash, html_text, pieces
 from vocalith.llm.common import components
 
+SF = "/root/testdata/sf0.001"
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -317,3 +319,111 @@ def test_slots_overrule_names(spark):
         assert f"story {r.page_id + 50} part 2" in r.text and "short" not in r.text and f"story {r.page_id + 90}" not in r.text and r.text.startswith(f"Title {r.page_id}\nstory")
     # two pages are too few to tell
     assert all("part 2" in r.text and f"story {r.page_id + 50}" not in r.text for r in html_text.extract(_host_pages(spark, page, 2)).collect())
+
+
+def chosen_by_definition(spark, pages):
+    """Texts of pages by the words of ``main_blocks``, host by host, from the host's template alone."""
+    H = html_text
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    named = df.select("page_id", "url", "html", H.host(F.col("url")).alias("host"))
+    template = {}
+    for r in H.templates(H.tokens(named)).collect():
+        template.setdefault(r.host, {})[r.id] = (r.single and r.path is not None, r.path is None)
+    out, hosts = {}, defaultdict(list)
+    for r in named.collect():
+        hosts[r.host].append((r.page_id, H.tokenised(r.html)))
+    for name, found in hosts.items():
+        valid, stats, blocks = template.get(name, {}), defaultdict(lambda: defaultdict(float)), {}
+        for i, page in found:
+            slot, around, mine, k = H.ROOT, [], [], 0
+            for t, info in zip(page["tok"], page["info"]):
+                if info & (H.OPEN | H.CLOSE):
+                    single, text = valid.get(t if info & H.OPEN else ~t, (None, None))
+                    if single is not None:
+                        slot = t
+                        if single and info & H.OPEN:
+                            around.append(t)
+                        elif single:
+                            around.pop()
+                    continue
+                fixed = valid.get(t, (None, False))[1]
+                if fixed:
+                    slot = t
+                mine.append((None if fixed else slot, list(around), info, page["texts"][k], page["links"][k]))
+                k += 1
+            blocks[i] = (mine, {t for t, info in zip(page["tok"], page["info"]) if info & H.OPEN and info & H.MAIN})
+            for s in {b[0] for b in mine} - {None}:
+                stats[s]["pages"] += 1
+            for s, _, info, text, linked in mine:
+                if s is not None:
+                    left, taken = bool(info & H.MAIN), bool(info & H.NAMED)
+                    stats[s]["free"] += (len(text) - linked) * (left or taken)
+                    stats[s]["left"] += len(text) * left
+                    stats[s]["taken"] += len(text) * taken
+                    stats[s]["links"] += linked
+                    stats[s]["all"] += len(text)
+        enough = lambda s: stats[s]["pages"] >= H.PAGES
+        for i, (mine, mains) in blocks.items():
+            rich = {b[0]: stats[b[0]]["free"] / stats[b[0]]["pages"] for b in mine if b[0] is not None and 2 * (stats[b[0]]["left"] + (stats[b[0]]["taken"] if enough(b[0]) else 0)) > stats[b[0]]["all"]}
+            top = max(rich.values(), default=None)
+            at = next((n for n, b in enumerate(mine) if b[0] in rich and rich[b[0]] == top), None)
+            texts = []
+            for n, (s, around, info, text, _) in enumerate(mine):
+                if s is None or not info & (H.MAIN | H.NAMED):
+                    continue
+                if top is None:
+                    keep = bool(info & H.MAIN)
+                else:
+                    main, inner = mine[at][0], (mine[at][1] or [H.ROOT])[-1]
+                    inside = inner == H.ROOT or inner in around
+                    much, links = rich.get(s, 0) >= H.RICH * top, stats[s]["links"] >= H.LINKED * stats[s]["all"]
+                    if info & H.MAIN:
+                        keep = s == main or not enough(s) or not links and (inside or much or info & H.HEADING and n < at or bool(mains & set(around)))
+                    else:
+                        keep = enough(s) and not links and (s == main or (inner in around) and much)
+                if keep:
+                    texts.append(text)
+            out[i] = "\n".join(texts)
+    return out
+
+
+def test_chosen_blocks_are_those_of_the_definition(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(90)) for _ in range(n))
+
+    def page(kind, i):
+        links = "".join(f'<li><a href="/{k}">{words(1)}</a></li>' for k in range(rng.randrange(1, 5)))
+        body = "".join(f"<p>{words(rng.randrange(5, 40))}</p>" for _ in range(rng.randrange(1, 5)))
+        wrap = [f"<article><h1>{words(3)}</h1>{body}</article>", f'<div class="{rng.choice(["body", "promo", "notice"]) if kind == 1 else "promo"}">{body}</div>', f"<main>{body}<div class='alert'>{body if i % 2 else words(2)}</div></main>", f"<div>{body}</div><div class='related'>{words(20)}</div>"][kind]
+        extra = f"<div class='box'><ul>{links}</ul></div>" if rng.random() < 0.7 else ""
+        return f"<html><body><div class='top'>Site {kind}</div>{extra}{wrap}<div class='low'>{'Same words' if i % 3 else words(4)}</div><footer>end</footer></body></html>"
+
+    pages = [(kind * 100 + i, f"http://h{kind}.org/{i}", page(kind, i)) for kind in range(4) for i in range(rng.choice([3, 12, 25]))] + [(900, None, "<p>alone</p>"), (901, None, None)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == chosen_by_definition(spark, pages)
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
+    assert got == chosen_by_definition(spark, given)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, good[0], "en", "s", 1), (2, good[0], "en", "s", 1), (2, good[0], "en", "s", 1), (3, good[1], None, None, None), (None, good[2], "en", "s", 1), (5, None, "en", "s", 0), (6, "", "en", "t", 0), (7, " \n", "en", "t", 2), (8, good[3] + " end", "en", "t", 9), (9, (good[4] + " ") * 60, "en", "t", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, score double, size int"
+    docs = spark.createDataFrame([(*r, "clash", 0.5, 1) for r in rows], schema)
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept.append(stage(spark, kept[-1], SF))
+        assert kept[-1].columns == docs.columns
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    quality, dedup = ids(kept[1]), ids(kept[2])
+    blank = {5, 6, 7} & set(quality)
+    assert set(quality) >= {1, 2, 3, None} and quality[2] == 2
+    # of equal texts the smallest id stays, once; texts without words all stay
+    assert dedup[1] == 1 and 2 not in dedup and set(dedup) >= {3, None} | blank
+    done = corpus_pipeline.STAGES[3][1](spark, kept[3], SF)
+    assert done.columns[:4] == ["doc_id", "lang", "source", "ids"] and done.count() == kept[3].count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
