@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
 columns of ``documents``; the last gives each row's ids.
+
+Other columns go along under any name. Null, empty and blank texts score the share of good labels, are near-duplicates of nothing, have
+no words to mix and no ids. Null ids, langs and sources are values like others. Of repeated rows and of texts that tie the smallest id stays,
+once. Texts of any length are worked on whole. Empty tables stay empty.
 """
 
 from __future__ import annotations
