@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.llm.common import cut, table
-from vocalith.llm.vectors import FITTED, PER_CENTROID, cosines, dealt, k_means, lists_of, matrix, packed, sample, unit, valid
+from vocalith.llm.vectors import FITTED, MOST_CENTROIDS, PER_CENTROID, cosines, dealt, k_means, lists_of, matrix, packed, sample, unit, valid
 
 #: Lists as a multiple of the square root of the rows, so that finding lists and reading them grow alike.
 LISTS = 1.4
@@ -176,7 +176,7 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, key:
     rows, dims = valid(vectors, key, vec)
     spark = vectors.sparkSession
     rows = cut(packed(rows).dropDuplicates(["vec_id", "vec"]), "ann-vectors")
-    lists = max(1, round(LISTS * rows.count() ** 0.5))
+    lists = max(1, min(MOST_CENTROIDS, round(LISTS * rows.count() ** 0.5)))
     fitted = sample(rows, max(FITTED, PER_CENTROID * lists), dims)
     index = spark.sparkContext.broadcast(Index(fitted, lists, k) if len(fitted) else None)
     held = cut(_with_lists(rows, index, dims, False, "lists"), "ann-lists")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.llm.common import components, cut, table
-from vocalith.llm.vectors import FITTED, PER_CENTROID, cosines, dealt, is_valid, k_means, lists_of, matrix, packed, sample, unit, valid
+from vocalith.llm.vectors import FITTED, MOST_CENTROIDS, PER_CENTROID, cosines, dealt, is_valid, k_means, lists_of, matrix, packed, sample, unit, valid
 
 #: Vectors a cell on average: a codebook has as many centroids as the square root of the cells.
 PER_CELL = 400
@@ -106,7 +106,7 @@ def link(vectors: DataFrame, least: float = LEAST, key: str = "vec_id", vec: str
     same = cut(packed(rows).select("vec_id", "vec", *[F.xxhash64(F.lit(s), "vec").alias(f"h{s}") for s in (1, 2)]), "near-same")
     base = same.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
     base = cut(base.withColumn("rep", F.monotonically_increasing_id()), "near-vectors")  # numbers vectors, as ids may be shared
-    k = max(1, round((base.count() / PER_CELL) ** 0.5))
+    k = max(1, min(MOST_CENTROIDS, round((base.count() / PER_CELL) ** 0.5)))
     fitted = sample(base.select(F.col("id").alias("vec_id"), "vec"), max(FITTED, PER_CENTROID * k), dims)
     index = spark.sparkContext.broadcast(MultiIndex(fitted, k, least) if len(fitted) else None)
 

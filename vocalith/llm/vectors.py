@@ -20,6 +20,8 @@ BLOCK = 2048
 BROADCAST_LISTS = 200_000
 #: Vectors that a codebook or index is fitted on: at least so many, and so many a centroid.
 FITTED, PER_CENTROID = 16_384, 16
+#: Centroids of an index or codebook at most, which bounds the sample that is fitted on the driver (262,144 vectors); with more rows lists grow longer and are dealt into more blocks.
+MOST_CENTROIDS = 16_384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
