@@ -154,7 +154,7 @@ def _children(d) -> str:
     both = f"SELECT utt_id, min(cluster) AS cluster, max(n_ref) AS n_ref, max(CASE WHEN sys = 's1' THEN errors END) AS clean, max(CASE WHEN sys = 'noisy' THEN errors END) AS noisy FROM ({scores(d, ('s1', 'noisy'))}) s GROUP BY utt_id"
     children = f"SELECT utt_id || '#mulaw' AS utt_id, utt_id AS parent_utt_id, noisy FROM ({both}) c0 WHERE {covered}"
     parents = f"SELECT utt_id, cluster, n_ref, clean, {excluded} AS excluded FROM ({both}) p0"
-    return f"SELECT p.utt_id AS parent, p.cluster, p.n_ref, p.clean, c.noisy, p.excluded FROM ({parents}) p LEFT JOIN ({children}) c ON c.parent_utt_id = p.utt_id"
+    return d.once("children", f"SELECT p.utt_id AS parent, p.cluster, p.n_ref, p.clean, c.noisy, p.excluded FROM ({parents}) p LEFT JOIN ({children}) c ON c.parent_utt_id = p.utt_id")
 
 
 def degradation(d) -> str:
