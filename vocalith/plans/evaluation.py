@@ -404,21 +404,18 @@ def _without_each(d, sql: str, columns: tuple[str, ...]) -> str:
 def rule_ablation(d) -> str:
     """Errors without each rule, and the utterances that it helps or hurts: what removing the rule adds is what the rule removes.
 
-    A pair is a row until its distance with all rules is known; then a row more for each rule without which a text differs, which are few. Of the other
-    pairs a rule's totals are those with all rules.
+    A pair is a row until its distance with all rules is known; then it has a row a rule, whose texts are null where the rule changes neither. Such rows
+    take over what the pair has with all rules, and only the others are compared again.
     """
     words = lambda c: d.filter(d.split(c, " +"), "x", "x <> ''")
-    changed = d.array(*(d.struct(rule=f"'{r[0]}'", a=f"ref_text_{k}", b=f"hyp_text_{k}") for k, r in enumerate(NATIVE_RULES)))
-    v = f"SELECT sys, {words('ref_text_all')} AS toks, {words('hyp_text_all')} AS hyp, {d.filter(changed, 'x', 'x.a <> ref_text_all OR x.b <> hyp_text_all')} AS changed FROM ({_without_each(d, d.deal(_formatted(d), 'utt_id'), ('ref_text', 'hyp_text'))}) v0"
-    whole = f"SELECT sys, cast({d.size}(toks) AS BIGINT) AS n0, {_distance(d, 'toks', 'hyp')} AS e0, changed FROM (SELECT *, {d.distinct}({d.concat_arrays}(toks, hyp)) AS dict FROM ({v}) v1) v2"
-    rows = d.concat_arrays + f"({d.array(d.struct(rule="'none'", a="''", b="''"))}, changed)"
-    each = f"SELECT sys, n0, e0, x.rule AS rule, {words('x.a')} AS toks, {words('x.b')} AS hyp FROM (SELECT sys, n0, e0, {d.explode(rows)} AS x FROM ({whole}) w0) w1"
-    one = f"SELECT sys, rule, n0, e0, CASE WHEN rule = 'none' THEN n0 ELSE {d.size}(toks) END AS n, CASE WHEN rule = 'none' THEN e0 ELSE {_distance(d, 'toks', 'hyp')} END AS e FROM (SELECT *, {d.distinct}({d.concat_arrays}(toks, hyp)) AS dict FROM ({each}) x0) x1"
-    sums = f"SELECT sys, rule, sum(n0) AS n0, sum(e0) AS e0, sum(n - n0) AS n, sum(e - e0) AS e, count_if(e > e0) AS helped, count_if(e < e0) AS hurt, sum(greatest(e - e0, 0)) AS removed, sum(greatest(e0 - e, 0)) AS added FROM ({one}) x2 GROUP BY sys, rule"
-    rules = d.array("'none'", *(f"'{r[0]}'" for r in NATIVE_RULES))
-    names = f"SELECT sys, n0, e0, {d.explode(rules)} AS rule FROM ({sums}) s0 WHERE rule = 'none'"
-    total = lambda c: f"cast(coalesce(s.{c}, 0) AS BIGINT) AS {c}"
-    return f"SELECT t.rule, t.sys, cast(t.e0 + coalesce(s.e, 0) AS BIGINT) AS errors, cast(t.n0 + coalesce(s.n, 0) AS BIGINT) AS n_ref, {total('helped')}, {total('hurt')}, {total('removed')}, {total('added')} FROM ({names}) t LEFT JOIN ({sums}) s ON t.sys = s.sys AND t.rule = s.rule"
+    differs = lambda k: f"ref_text_{k} <> ref_text_all OR hyp_text_{k} <> hyp_text_all"
+    own = [d.struct(rule=f"'{r[0]}'", a=f"CASE WHEN {differs(k)} THEN ref_text_{k} END", b=f"CASE WHEN {differs(k)} THEN hyp_text_{k} END") for k, r in enumerate(NATIVE_RULES)]
+    each = d.array(d.struct(rule="'none'", a="cast(NULL AS STRING)", b="cast(NULL AS STRING)"), *own)
+    v = f"SELECT sys, {words('ref_text_all')} AS toks, {words('hyp_text_all')} AS hyp, {each} AS rules FROM ({_without_each(d, d.deal(_formatted(d), 'utt_id'), ('ref_text', 'hyp_text'))}) v0"
+    whole = f"SELECT sys, cast({d.size}(toks) AS BIGINT) AS n0, {_distance(d, 'toks', 'hyp')} AS e0, rules FROM (SELECT *, {d.distinct}({d.concat_arrays}(toks, hyp)) AS dict FROM ({v}) v1) v2"
+    rows = f"SELECT sys, n0, e0, x.rule AS rule, x.a IS NULL AS same, {words('x.a')} AS toks, {words('x.b')} AS hyp FROM (SELECT sys, n0, e0, {d.explode('rules')} AS x FROM ({whole}) w0) w1"
+    one = f"SELECT sys, rule, e0, CASE WHEN same THEN n0 ELSE {d.size}(toks) END AS n, CASE WHEN same THEN e0 ELSE {_distance(d, 'toks', 'hyp')} END AS e FROM (SELECT *, CASE WHEN NOT same THEN {d.distinct}({d.concat_arrays}(toks, hyp)) END AS dict FROM ({rows}) x0) x1"
+    return f"SELECT rule, sys, cast(sum(e) AS BIGINT) AS errors, cast(sum(n) AS BIGINT) AS n_ref, cast(count_if(e > e0) AS BIGINT) AS helped, cast(count_if(e < e0) AS BIGINT) AS hurt, cast(sum(greatest(e - e0, 0)) AS BIGINT) AS removed, cast(sum(greatest(e0 - e, 0)) AS BIGINT) AS added FROM ({one}) y GROUP BY rule, sys"
 
 
 def leaderboard_wer(d) -> str:
