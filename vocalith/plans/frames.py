@@ -33,6 +33,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt over all tasks, whatever row groups their file has."""
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = spark.sql(hyps(Spark(sf_dir, spark))).select("utt_id", "subset", "sys", F.col("toks").alias("ref"), "hyp")
     return h.withColumn("a", alignment("ref", "hyp"))
@@ -56,7 +61,7 @@ def false_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", normalised(F.col("text")).alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", normalised(F.col("text")).alias("text"))
 
 
 def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of documents against themselves with every number word gone astray: recall, character errors, formatting."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_hyp"), F.split(normalised(F.col("text")), " ").alias("ref"))
+    d = _documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw_hyp"), F.split(normalised(F.col("text")), " ").alias("ref"))
     d = d.withColumn("hyp", F.transform("ref", lambda x: F.when(F.pmod(F.xxhash64(x), F.lit(7)) == 0, F.concat(x, F.lit("0"))).otherwise(x)))
     d = d.withColumn("chunks", alignment("ref", "hyp").chunks)
     return summary(outcomes(d, CATEGORIES, ["doc_id"]))
@@ -304,7 +309,9 @@ def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda n: forms.select(F.col("t").alias(f"{n}_text"), F.transform("m", lambda x: F.split(x, " ")).alias(n))
     code = lambda x, d: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(d, w) + 19968), 4, "0")), "UTF-16BE")), "")
     pair = lambda a, b: F.transform(F.array(F.array_distinct(F.concat(a, b))), lambda d: F.struct(F.size(a).alias("n"), F.levenshtein(code(a, d), code(b, d)).alias("e")))[0]
-    rows = f.join(side("ref"), "ref_text").join(side("hyp"), "hyp_text").select("sys", F.zip_with("ref", "hyp", pair).alias("x"))
+    rows = f.join(side("ref"), "ref_text").join(side("hyp"), "hyp_text").select("sys", "ref", "hyp", pair(F.col("ref")[0], F.col("hyp")[0]).alias("whole"))
+    same = lambda a, b: (a == F.col("ref")[0]) & (b == F.col("hyp")[0])
+    rows = rows.select("sys", F.zip_with("ref", "hyp", lambda a, b: F.when(same(a, b), F.col("whole")).otherwise(pair(a, b))).alias("x"))
     each = rows.select("sys", F.col("x")[0]["e"].alias("e0"), F.posexplode("x").alias("i", "x"))
     e, e0 = F.col("x.e"), F.col("e0")
     found = each.groupBy("i", "sys").agg(F.sum(e).alias("errors"), F.sum("x.n").alias("n_ref"), F.count_if(e > e0).alias("helped"), F.count_if(e < e0).alias("hurt"), F.sum(F.greatest(e - e0, F.lit(0))).alias("removed"))
