@@ -132,6 +132,44 @@ def test_entity_outcomes(session):
     assert (s["dosage"].n, s["dosage"].recovered, s["dosage"].cer) == (2, 1, 0.1) and s["phone"].recall == 1.0 and s["phone"].recall_high == 1.0
 
 
+def test_texts_without_numbers_are_not_searched_for_them():
+    class Never:
+        def finditer(self, text):
+            raise AssertionError(text)
+
+    builtin = [(Category(n, builtin=n), Never()) for n in entities.BUILTINS]
+    assert tag("nothing here but words and a license", builtin, ["licence"], Trie([("license", 0)])) == [("licence", 6, 7, "license")]
+    with pytest.raises(AssertionError):
+        tag("one tablet", builtin)
+
+
+def test_words_beside_references_are_those_of_each_stretch(session):
+    """Made once a text, they give what ``aligned_words`` searches for; sides that differ in places only are aligned as the whole table has it."""
+    rng = random.Random(11)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randint(1, 9))], [rng.choice("abcdef") for _ in range(rng.randint(0, 9))]) for i in range(300)]
+    df = session.createDataFrame(rows, "i INT, ref ARRAY<STRING>, hyp ARRAY<STRING>").withColumn("a", al.alignment("ref", "hyp"))
+    df = df.withColumn("w", al.bound(al.paired_words, F.col("a.chunks"), F.col("hyp"), F.size("ref"))).withColumn("start", F.col("i") % F.size("ref"))
+    df = df.select("ref", "w", "start", al.aligned_words(F.col("a.chunks"), F.col("hyp"), F.col("start"), F.size("ref")).alias("got"))
+    for r in df.collect():
+        assert len(r.w) == len(r.ref) and "".join(r.got) == "".join(("" if k == 0 else w.before) + w.word for k, w in enumerate(r.w[r.start :]))
+    straight = 0
+    for _, ref, _ in rows:
+        hyp = [w if rng.random() < 0.6 else rng.choice("abcdxyz") for w in ref]
+        straight += (steps := al._straight(ref, hyp)) is not None
+        assert steps in (None, al._ops(ref, hyp), "".join(table_ops(ref, hyp)))
+    assert straight > 100
+
+
+def test_what_a_column_stands_for_is_not_computed_for_each_chunk(session):
+    """2,000 chunks of 6,000 words: hypotheses are made once, not once a chunk."""
+    n = 6000
+    df = session.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("ref"))
+    df = df.withColumn("hyp", F.transform("ref", lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(7)) == 0, F.concat(w, F.lit("0"))).otherwise(w))).withColumn("chunks", al.alignment("ref", "hyp").chunks)
+    begin = time.perf_counter()
+    row = df.select(F.size("chunks").alias("n"), F.length(al.difference(F.col("chunks"), F.col("ref"), F.col("hyp"))).alias("l")).first()
+    assert row.n > 1000 and row.l > 6 * n and time.perf_counter() - begin < 8
+
+
 def trace(finals=((1000, None),), endpoints=(1100,), mode="natural", supported=True, end=750.0):
     ev = [("connect_start", 0), ("connect_ready", 50)] + [("audio_sent", 50 + 100 * k) for k in range(10)] + [("partial", 400)] + [("final", t) for t, _ in finals] + [("endpoint", t) for t in endpoints]
     words = {t: w for t, w in finals}

@@ -7,8 +7,10 @@ would pass ``CELLS`` are split at the middle of the reference, which keeps the d
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
+from operator import ne
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,9 +80,24 @@ def _ops(ref: Sequence[str], hyp: Sequence[str]) -> str:
     return "".join(reversed(steps + ["d"] * (i + 1) + ["i"] * (j + 1)))
 
 
+def _straight(ref: Sequence[str], hyp: Sequence[str]) -> str | None:
+    """``_ops`` of sides of one length that differ in no more places than in words, whatever their order; else null.
+
+    No alignment is shorter then, at no beginning of the sides either, so that from the end each step is a diagonal one.
+    """
+    if len(ref) != len(hyp):
+        return None
+    apart = sum(map(ne, ref, hyp))
+    if apart and apart > (Counter(ref) - Counter(hyp)).total():
+        return None
+    return "".join("e" if r == h else "s" for r, h in zip(ref, hyp))
+
+
 def align(ref: Sequence[str], hyp: Sequence[str]) -> dict:
     """Counts and maximal chunks of one kind; two empty sides have none."""
-    steps = _ops(ref, hyp)
+    steps = _straight(ref, hyp)
+    if steps is None:
+        steps = _ops(ref, hyp)
     chunks, i, j = [], 0, 0
     for kind, run in groupby(steps):
         n = len(list(run))
@@ -96,6 +113,12 @@ def alignment(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(ref, hyp)], columns=["substitutions", "deletions", "insertions", "hits", "chunks"])
 
 
+def bound(f: Callable[..., Column], *columns: Column) -> Column:
+    """``f`` of columns that are computed once a row. Within a function of an array, Spark would compute what a column stands for again for each element."""
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return F.get(F.transform(F.array(row), lambda r: f(*[r[f"c{i}"] for i in range(len(columns))])), F.lit(0))
+
+
 def token_hits(chunks: Column, side: str) -> Column:
     """For each token of ``side`` (``ref`` or ``hyp``), whether it is part of an equal chunk."""
     return F.flatten(F.transform(chunks, lambda c: F.array_repeat(c.op == "equal", c[f"{side}_end"] - c[f"{side}_start"])))
@@ -103,7 +126,10 @@ def token_hits(chunks: Column, side: str) -> Column:
 
 def difference(chunks: Column, ref: Column, hyp: Column) -> Column:
     """Equal words plain, others as ``[ref→hyp]``, ``[-ref]`` or ``[+hyp]``."""
+    return bound(_difference, chunks, ref, hyp)
+
 
+def _difference(chunks: Column, ref: Column, hyp: Column) -> Column:
     def words(c: Column) -> Column:
         r, h = F.slice(ref, c.ref_start + 1, c.ref_end - c.ref_start), F.slice(hyp, c.hyp_start + 1, c.hyp_end - c.hyp_start)
         return (
@@ -132,10 +158,28 @@ def aligned_words(chunks: Column, hyp: Column, start: Column, end: Column) -> Co
     return F.flatten(F.transform(chunks, words))
 
 
+def paired_words(chunks: Column, hyp: Column, size: Column) -> Column:
+    """For each of ``size`` reference words (before, word): the hypothesis word beside it, if any, and the words inserted before it, both as text.
+
+    ``aligned_words`` of a stretch are these words, with what is before them except for the first; made once, it isn't searched for each stretch.
+    """
+    none = F.array().cast("array<string>")
+
+    def of(c: Column, k: Column) -> Column:
+        previous, n = F.get(chunks, k - 1), F.when(c.op == "insert", 0).otherwise(c.ref_end - c.ref_start)
+        inserted = F.when(previous.op == "insert", F.array_join(F.slice(hyp, previous.hyp_start + 1, previous.hyp_end - previous.hyp_start), "")).otherwise("")
+        words = F.when(c.op.isin("equal", "substitute"), F.slice(hyp, c.hyp_start + 1, n)).when(c.op == "delete", F.array_repeat(F.lit(""), n)).otherwise(none)
+        return F.transform(words, lambda w, i: F.struct(F.when(i == 0, inserted).otherwise("").alias("before"), w.alias("word")))
+
+    return F.slice(F.flatten(F.transform(chunks, of)), 1, size)
+
+
 def key_term_insertions(chunks: Column, hyp: Column, terms: Column) -> Column:
     """(term, n) for each term of words: its places in the hypothesis, overlaps included, that aren't wholly equal."""
-    hits = token_hits(chunks, "hyp")
+    return bound(_insertions, token_hits(chunks, "hyp"), hyp, terms)
+
 
+def _insertions(hits: Column, hyp: Column, terms: Column) -> Column:
     def places(t: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(hyp) - F.size(t), F.lit(0)))
         wrong = F.filter(starts, lambda i: (F.slice(hyp, i + 1, F.size(t)) == t) & F.exists(F.slice(hits, i + 1, F.size(t)), lambda x: ~x))

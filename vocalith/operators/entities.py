@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.functions.text import MONTHS, normalise, normalised
-from vocalith.operators.alignment import aligned_words, token_hits
+from vocalith.operators.alignment import bound, paired_words, token_hits
 
 SPAN = "struct<category:string,start:int,end:int,text:string>"
 Z95 = 1.959963984540054
@@ -35,6 +35,10 @@ BUILTINS = {
 }
 
 
+#: What every built-in category holds somewhere.
+_NUMBER = re.compile(r"\d|one")
+
+
 @dataclass(frozen=True)
 class Category:
     """Exactly one of ``builtin``, ``terms`` and ``pattern`` says what the category holds."""
@@ -75,8 +79,8 @@ class Trie:
     def spans(self, tokens: Sequence[str]) -> list[tuple[int, int, int]]:
         """(lexicon, start, end): for each lexicon the leftmost longest terms that don't overlap. A place is walked from as far as any term goes on."""
         out, free = [], {}
-        for i, token in enumerate(tokens):
-            node, end, longest = self.root.get(token), i + 1, {}
+        for i in [i for i, token in enumerate(tokens) if token in self.root]:
+            node, end, longest = self.root[tokens[i]], i + 1, {}
             while node is not None:
                 for lexicon in node.get(None, ()):
                     longest[lexicon] = end
@@ -96,7 +100,10 @@ def tag(text: str, found: Sequence[tuple[Category, re.Pattern]], lexicons: Seque
         starts.append(at)
         at += len(t) + 1
     generic, specific = [], [(lexicons[c], a, z, " ".join(tokens[a:z])) for c, a, z in (trie.spans(tokens) if trie else ())]
+    numbered = _NUMBER.search(text) is not None
     for category, pattern in found:
+        if category.builtin and not numbered:
+            continue
         for m in pattern.finditer(text):
             if m.end() > m.start():
                 a, z = bisect_right(starts, m.start()) - 1, bisect_left(starts, m.end())
@@ -157,32 +164,54 @@ def canonical(number: Column) -> Column:
     return F.regexp_replace(number, r"^0+(?=\d)", "")
 
 
-def is_formatted(span: Column, builtin: Column, raw: Column) -> Column:
-    """Whether the raw hypothesis has the span's numbers as digits."""
+def raw_numbers(raw: Column) -> Column:
+    """(runs, numbers) of a raw hypothesis: its different runs of digits with separators taken out, and its different numbers."""
     plain = F.regexp_replace(raw, THOUSANDS, "")
     runs = F.regexp_extract_all(F.regexp_replace(plain, SEPARATORS, ""), F.lit(r"\d+"), 0)
-    spoken = F.regexp_replace(span, r"(?<!\S)one(?!\S)", "1")
-    numbers = lambda s: F.transform(F.regexp_extract_all(s, F.lit(r"\d+(?:\.\d+)?"), 0), canonical)
-    wanted = numbers(spoken)
-    return F.when(builtin == "phone", F.exists(runs, lambda r: F.contains(r, span))).otherwise((F.size(wanted) > 0) & (F.size(F.array_except(wanted, numbers(plain))) == 0))
+    return F.struct(F.array_distinct(runs).alias("runs"), F.array_distinct(_numbers(plain)).alias("numbers"))
+
+
+def _numbers(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), 0), canonical)
+
+
+def holds(span: Column, builtin: Column, found: Column) -> Column:
+    """Whether the numbers ``found`` of a raw hypothesis have the span's."""
+    wanted = _numbers(F.regexp_replace(span, r"(?<!\S)one(?!\S)", "1"))
+    return F.when(builtin == "phone", F.exists(found.runs, lambda r: F.contains(r, span))).otherwise((F.size(wanted) > 0) & (F.size(F.array_except(wanted, found.numbers)) == 0))
+
+
+def is_formatted(span: Column, builtin: Column, raw: Column) -> Column:
+    """Whether the raw hypothesis has the span's numbers as digits."""
+    return holds(span, builtin, raw_numbers(raw))
 
 
 def outcomes(df: DataFrame, categories: Sequence[Category], keys: Sequence[str]) -> DataFrame:
     """One row a span of ``ref`` (words): recovered, character errors, formatted (null where not numeric or no ``raw_hyp``).
 
-    ``df`` has ``keys``, ``ref``, ``hyp``, ``raw_hyp`` and ``chunks``.
+    ``df`` has ``keys``, ``ref``, ``hyp``, ``raw_hyp`` and ``chunks``. What spans are compared with is made once a text, by words and as different numbers;
+    a span's row has only its own part of it.
     """
     builtin = F.create_map(*[F.lit(x) for c in categories for x in (c.name, c.builtin or "")])
-    spans = df.select(*keys, "ref", "hyp", "raw_hyp", "chunks", token_hits(F.col("chunks"), "ref").alias("hits"), F.explode(tagged(F.array_join("ref", " "), categories)).alias("span"))
-    s = F.col("span")
-    flat = F.regexp_replace(s.text, " ", "")
-    got = F.array_join(aligned_words(F.col("chunks"), F.col("hyp"), s.start, s.end), "")
-    kind = builtin[s.category]
-    return spans.select(
-        *keys, s.category.alias("category"), s.start.alias("start"), s.end.alias("end"), s.text.alias("text"),
-        F.forall(F.slice("hits", s.start + 1, s.end - s.start), lambda x: x).alias("recovered"),
-        F.levenshtein(flat, got).cast("bigint").alias("char_errors"), F.length(flat).cast("bigint").alias("char_total"), kind.alias("builtin"), "raw_hyp",
-    ).withColumn("formatted", F.when((F.col("builtin") != "") & F.col("raw_hyp").isNotNull(), F.col("recovered") & is_formatted(F.col("text"), F.col("builtin"), F.col("raw_hyp")))).drop("builtin", "raw_hyp")
+    texts = df.select(
+        *keys, token_hits(F.col("chunks"), "ref").alias("_hits"), bound(paired_words, F.col("chunks"), F.col("hyp"), F.size("ref")).alias("_words"),
+        raw_numbers(F.col("raw_hyp")).alias("_raw"), F.col("raw_hyp").isNotNull().alias("_told"), tagged(F.array_join("ref", " "), categories).alias("_spans"),
+    )
+
+    def own(s: Column) -> Column:
+        words, kind = F.slice("_words", s.start + 1, s.end - s.start), builtin[s.category]
+        got = F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w.word).otherwise(F.concat(w.before, w.word))), "")
+        return F.struct(
+            s.category.alias("category"), s.start.alias("start"), s.end.alias("end"), s.text.alias("text"),
+            F.forall(F.slice("_hits", s.start + 1, s.end - s.start), lambda x: x).alias("recovered"), got.alias("got"),
+            F.when((kind != "") & F.col("_told"), holds(s.text, kind, F.col("_raw"))).alias("as_digits"),
+        )
+
+    flat = F.regexp_replace("text", " ", "")
+    return texts.select(*keys, F.inline(F.transform("_spans", own))).select(
+        *keys, "category", "start", "end", "text", "recovered", F.levenshtein(flat, F.col("got")).cast("bigint").alias("char_errors"), F.length(flat).cast("bigint").alias("char_total"),
+        F.when(F.col("as_digits").isNotNull(), F.col("recovered") & F.col("as_digits")).alias("formatted"),
+    )
 
 
 def wilson(k: Column, n: Column, upper: bool) -> Column:
