@@ -152,3 +152,17 @@ def test_number_words(session):
 
     for r in run(session, "number_words"):
         assert r.words == words(r.n) and r.digits == " ".join(words(int(c)) for c in str(r.n))
+
+
+def test_errors_of_pairs_with_many_different_words(session, tmp_path):
+    """Beyond 94 different words a pair: the built-in distance and the aligner's agree with plain Python."""
+    from vocalith.plans import frames
+
+    words = [f"w{i}" for i in range(150)]
+    session.createDataFrame([(1, k, "user", " ".join(words[k:] + words[:k])) for k in range(6)], "conv_id LONG, turn LONG, role STRING, text STRING").write.parquet(f"{tmp_path}/conversations.parquet")
+    from vocalith.plans.dialect import Spark
+    from vocalith.plans.evaluation import hyps, scores
+
+    pairs = {(r.utt_id, r.sys): distance(r.toks, r.hyp) for r in session.sql(hyps(Spark(str(tmp_path), session))).collect()}
+    assert {(r.utt_id, r.sys): r.errors for r in session.sql(scores(Spark(str(tmp_path), session))).collect()} == pairs and max(pairs.values()) > 0
+    assert {(r.utt_id, r.sys): r.errors for r in frames.alignment_counts(session, str(tmp_path)).collect()} == pairs
