@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocalith.functions.columns import bound
 from vocalith.functions.text import MONTHS, ONES, RULES, UNITS, standardise
 
 _MONTH = "|".join(MONTHS)
@@ -47,6 +48,10 @@ def leading_zeros(text: Column) -> Column:
 
 def digit_one(tokens: Column) -> Column:
     """``one`` beside a group of digits is 1; neighbours are those of the text as it came."""
+    return bound(_digit_one, tokens)
+
+
+def _digit_one(tokens: Column) -> Column:
     digits = lambda t: F.coalesce(t.rlike(r"^\p{Nd}+$"), F.lit(False))
     return F.transform(tokens, lambda t, i: F.when((t == "one") & (digits(F.get(tokens, i - 1)) | digits(F.get(tokens, i + 1))), "1").otherwise(t))
 
@@ -91,14 +96,15 @@ def after(text: Column, on: set[str]) -> Column:
     return reduce(lambda t, s: s[1](t) if s[0] in on else t, steps, text)
 
 
-def standardised(text: Column) -> Column:
-    """The base standardiser; null stays null. Nothing that is computed of it is computed in its place."""
+def standardised(texts: Column) -> Column:
+    """The base standardiser of a row's texts, of which it does different ones once; null stays null. Nothing that is computed of it is computed in its place."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else standardise(t) for t in s], dtype=object)
+        rows = [{t: None if t is None else standardise(t) for t in dict.fromkeys(x)} for x in s]
+        return pd.Series([[done[t] for t in x] for x, done in zip(s, rows)], dtype=object)
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(texts)
 
 
 def rules_on(disable: Iterable[str] = ()) -> set[str]:
@@ -118,10 +124,9 @@ def with_normalised(df: DataFrame, text: Column | str, into: str, date_order: Co
     order = F.lit(date_order) if isinstance(date_order, str) else date_order
     raw = {"okay", "ninth", "numeric_dates", "paren_digits", "leading_zero"}
     kinds = sorted({tuple(sorted(on & raw)) for on in variants})
-    rows = df.withColumns({f"_b{i}": before(text, order, set(k)) for i, k in enumerate(kinds)})
-    rows = rows.withColumns({f"_s{i}": standardised(F.col(f"_b{i}")) for i in range(len(kinds))})
-    made = [after(F.col(f"_s{kinds.index(tuple(sorted(on & raw)))}"), on) for on in variants]
-    return rows.withColumn(into, made[0] if disable is None else F.array(*made)).drop(*[f"_{c}{i}" for c in "bs" for i in range(len(kinds))])
+    rows = df.withColumn("_s", standardised(F.array(*[before(text, order, set(k)) for k in kinds])))
+    made = [after(F.col("_s")[kinds.index(tuple(sorted(on & raw)))], on) for on in variants]
+    return rows.withColumn(into, made[0] if disable is None else F.array(*made)).drop("_s")
 
 
 def date_order(language: Column) -> Column:

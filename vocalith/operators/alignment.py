@@ -8,7 +8,7 @@ would pass ``CELLS`` are split at the middle of the reference, which keeps the d
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 from operator import ne
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vocalith.functions.arrow import arrow
+from vocalith.functions.columns import bound
 
 #: Bits of a table that are kept for the way back: two for each cell.
 CELLS = 64_000_000
@@ -113,12 +114,6 @@ def alignment(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(ref, hyp)], columns=["substitutions", "deletions", "insertions", "hits", "chunks"])
 
 
-def bound(f: Callable[..., Column], *columns: Column) -> Column:
-    """``f`` of columns that are computed once a row. Within a function of an array, Spark would compute what a column stands for again for each element."""
-    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
-    return F.get(F.transform(F.array(row), lambda r: f(*[r[f"c{i}"] for i in range(len(columns))])), F.lit(0))
-
-
 def token_hits(chunks: Column, side: str) -> Column:
     """For each token of ``side`` (``ref`` or ``hyp``), whether it is part of an equal chunk."""
     return F.flatten(F.transform(chunks, lambda c: F.array_repeat(c.op == "equal", c[f"{side}_end"] - c[f"{side}_start"])))

@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalith.functions.columns import bound
 from vocalith.functions.text import MONTHS, normalise, normalised
-from vocalith.operators.alignment import bound, paired_words, token_hits
+from vocalith.operators.alignment import paired_words, token_hits
 
 SPAN = "struct<category:string,start:int,end:int,text:string>"
 Z95 = 1.959963984540054

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions.audio import mulaw_level, sample_bytes, sample_values, wav_bytes, wav_clip
+from vocalith.functions.columns import bound
 from vocalith.functions.text import RULES, normalised
 from vocalith.functions.tokens import digit_join, digit_one, spoken_dates, with_normalised
 from vocalith.operators.alignment import alignment, difference, key_term_insertions
@@ -298,7 +299,7 @@ def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of two runs without each of the standardiser's rules, and the utterances that the rule helps or hurts.
 
     Each different text is standardised once for each of its forms before the base standardiser; all rules run in the JVM. The texts without each rule lie in
-    one array, so that a pair stays one row.
+    one array, so that a pair stays one row; where a rule changes neither text, it takes over the pair's distance with all rules.
     """
     names = ("none", *RULES)
     f = spark.sql(_formatted(Spark(sf_dir, spark)))
@@ -309,9 +310,9 @@ def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda n: forms.select(F.col("t").alias(f"{n}_text"), F.transform("m", lambda x: F.split(x, " ")).alias(n))
     code = lambda x, d: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(d, w) + 19968), 4, "0")), "UTF-16BE")), "")
     pair = lambda a, b: F.transform(F.array(F.array_distinct(F.concat(a, b))), lambda d: F.struct(F.size(a).alias("n"), F.levenshtein(code(a, d), code(b, d)).alias("e")))[0]
-    rows = f.join(side("ref"), "ref_text").join(side("hyp"), "hyp_text").select("sys", "ref", "hyp", pair(F.col("ref")[0], F.col("hyp")[0]).alias("whole"))
-    same = lambda a, b: (a == F.col("ref")[0]) & (b == F.col("hyp")[0])
-    rows = rows.select("sys", F.zip_with("ref", "hyp", lambda a, b: F.when(same(a, b), F.col("whole")).otherwise(pair(a, b))).alias("x"))
+    rows = f.join(side("ref"), "ref_text").join(side("hyp"), "hyp_text")
+    own = lambda r, h, whole: F.zip_with(r, h, lambda a, b: F.when((a == r[0]) & (b == h[0]), whole).otherwise(pair(a, b)))
+    rows = rows.select("sys", bound(lambda r, h: bound(own, r, h, pair(r[0], h[0])), F.col("ref"), F.col("hyp")).alias("x"))
     each = rows.select("sys", F.col("x")[0]["e"].alias("e0"), F.posexplode("x").alias("i", "x"))
     e, e0 = F.col("x.e"), F.col("e0")
     found = each.groupBy("i", "sys").agg(F.sum(e).alias("errors"), F.sum("x.n").alias("n_ref"), F.count_if(e > e0).alias("helped"), F.count_if(e < e0).alias("hurt"), F.sum(F.greatest(e - e0, F.lit(0))).alias("removed"))
