@@ -80,3 +80,19 @@ def test_bins_and_percentiles_of_odd_values(session):
     assert (r.n, r.p50, r.p70, r.p71) == (10, 5.0, 5.0, math.inf)
     none = R.latency_intervals(df.limit(0)).first()
     assert none.n is None and none.timeouts == 0 and none.low50 is None and none.cluster_effect is None
+
+
+def test_percentiles_of_draws_are_exact(session):
+    """Values that share three digits stay apart; numbers and draws are those of plain Python."""
+    import hashlib
+
+    from vocalith.operators.resampling import drawn, numbered, weighted_percentiles
+
+    keys = sorted({k * k * 37 for k in range(300)})
+    rows = [(k, float("inf") if n % 50 == 0 else 100_000.0 + n * 7.25) for n, k in enumerate(keys)]
+    df = numbered(session.createDataFrame(rows, "key LONG, v DOUBLE"), "key")
+    assert {r.key: (r.i, r.k) for r in df.collect()} == {k: (n, len(keys)) for n, k in enumerate(keys)}
+    found = {r.b: (r.p50, r.p95) for r in weighted_percentiles(drawn(df, "9", 20).select("b", "v", "w"), (50, 95)).collect()}
+    for b in range(20):
+        v = sorted(rows[int(hashlib.md5(f"9:{b}:{j}".encode()).hexdigest()[:8], 16) % len(rows)][1] for j in range(len(rows)))
+        assert found[b] == tuple(next(x for m, x in enumerate(v, 1) if m >= p / 100 * len(v)) for p in (50, 95))

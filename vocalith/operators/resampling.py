@@ -90,6 +90,37 @@ def resampled_percentiles(weighted: DataFrame, percentiles: Sequence[int] = PERC
     return sums.groupBy(*keys, "b").agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("all") * p, F.col("bin"))).alias(f"p{p}") for p in percentiles])
 
 
+def numbered(rows: DataFrame, key: str, width: int = 4096) -> DataFrame:
+    """``rows`` of different whole ``key`` with their place ``i`` in its order, from 0, and ``k``, how many there are. Only stretches' counts are put in order in one task."""
+    rows = rows.withColumn("_part", F.floor(F.col(key) / width))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("k"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return rows.withColumn("_within", within).join(placed, "_part").withColumn("i", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+
+
+def drawn(rows: DataFrame, seed: str, resamples: int = RESAMPLES) -> DataFrame:
+    """(b, ..., w) of ``numbered`` rows: how often resample b draws each of them, as many draws as rows, by hash; rows that it doesn't draw are absent."""
+    slots = rows.select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), "i", "k")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("bigint") % F.col("k")
+    return slots.select("b", draw.alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("w")).join(rows.drop("k"), "i").drop("i")
+
+
+def weighted_percentiles(weighted: DataFrame, percentiles: Sequence[int] = PERCENTILES, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, b, p50, ...) of ``weighted`` (keys, b, v, w), which is read twice: on each resample the least value up to which that share of the weight lies, exactly.
+
+    Bins only tell where it is; of their values those of the bins found are put in order.
+    """
+    by = [*keys, "b"]
+    binned = weighted.select(*by, bin_of(F.col("v")).alias("bin"), "v", "w")
+    sums = binned.groupBy(*by, "bin").agg(F.sum("w").alias("_w")).select(*by, "bin", "_w", F.sum("_w").over(Window.partitionBy(*by).orderBy("bin")).alias("upto"), F.sum("_w").over(Window.partitionBy(*by)).alias("whole"))
+    found = sums.select(*by, "bin", (F.col("upto") - F.col("_w")).alias("before"), "upto", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p / 100) * F.col("whole")).alias("least")) for p in percentiles])).alias("x"))
+    found = found.where((F.col("upto") >= F.col("x.least")) & (F.col("before") < F.col("x.least"))).select(*by, "bin", "before", "x.p", "x.least")
+    near = binned.join(F.broadcast(found.select(*by, "bin").distinct()), [*by, "bin"]).groupBy(*by, "bin", "v").agg(F.sum("w").alias("_w"))  # as many bins as percentiles of resamples
+    placed = near.withColumn("within", F.sum("_w").over(Window.partitionBy(*by, "bin").orderBy("v"))).join(F.broadcast(found), [*by, "bin"]).where(F.col("before") + F.col("within") >= F.col("least"))
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percentiles])
+
+
 def intervals(per_resample: DataFrame, percentiles: Sequence[int] = PERCENTILES, keys: Sequence[str] = ()) -> DataFrame:
     """Low and high of each percentile over the resamples; an upper end may be infinite."""
     q = lambda p, share: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY p{p})")

@@ -9,6 +9,8 @@ from __future__ import annotations
 Z95 = 1.959963984540054
 #: Bootstrap draws of error rates, speakers that the tables at hand are dealt to, and how few are too few for a verdict.
 RESAMPLES, CLUSTERS, FEW = 10_000, 20, 10
+#: Bootstrap draws of percentiles.
+DRAWS = 200
 SYSTEMS = ("s1", "s2", "s3", "noisy")
 #: Outcome bounds in ms, the VAD's thresholds, gaps and lengths, and the share of speech below which a clip is flagged.
 LATE_MS, ENTER, LEAVE, GAP, LEAST, LOW_COVERAGE = 3000, 0.5, 0.35, 3, 2, 0.3
@@ -216,8 +218,36 @@ def _values(d) -> str:
 
 
 def latency_values(d) -> str:
-    """(cluster, v) of every session, v null where there is no anchor."""
-    return f"SELECT user_id % {CLUSTERS} AS cluster, CASE WHEN anchor IS NOT NULL THEN coalesce(cast(first_final - anchor AS DOUBLE), {d.infinity()}) END AS v FROM ({sessions(d)}) s"
+    """(user_id, cluster, v) of every session, v null where there is no anchor."""
+    return f"SELECT user_id, user_id % {CLUSTERS} AS cluster, CASE WHEN anchor IS NOT NULL THEN coalesce(cast(first_final - anchor AS DOUBLE), {d.infinity()}) END AS v FROM ({sessions(d)}) s"
+
+
+def _percentiles(d, values: str, clusters: str, name: str) -> str:
+    """(b, p50, p95, p99) of ``values`` (cluster, v) on resamples of its clusters: the least value up to which that share of the draws lies.
+
+    A draw is a weight of its cluster's values, which are sorted once a resample."""
+    drawn = f"SELECT b, v, sum(w) AS w FROM ({values}) v0 JOIN ({_draws(d, clusters, DRAWS, name)}) r0 ON v0.cluster = r0.cluster GROUP BY b, v"
+    sums = f"SELECT b, v, sum(w) OVER (PARTITION BY b ORDER BY v) AS upto, sum(w) OVER (PARTITION BY b) AS whole FROM ({drawn}) d0"
+    at = ", ".join(f"min(CASE WHEN upto >= {p / 100}e0 * whole THEN v END) AS p{p}" for p in (50, 95, 99))
+    return f"SELECT b, {at} FROM ({sums}) d1 GROUP BY b"
+
+
+def _spread(p: int, b: str) -> str:
+    """The interval of a percentile over its resamples, by the same rule; an upper end may be infinite."""
+    return f"percentile_disc(0.025) WITHIN GROUP (ORDER BY {b}p{p}) AS low{p}, percentile_disc(0.975) WITHIN GROUP (ORDER BY {b}p{p}) AS high{p}"
+
+
+def latency_by_draws(d) -> str:
+    """Percentiles of sessions' latencies, a timeout being infinite, with intervals over resampled speakers; what was left out; and
+    how much wider the median's interval is than one over resampled sessions."""
+    v, alone = _values(d), f"SELECT user_id AS cluster, v FROM ({_values(d)}) a0"
+    q = lambda p: f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY v) AS p{p}"
+    point = f"SELECT count(*) AS n, cast(count_if(v = {d.infinity()}) AS BIGINT) AS timeouts, count(DISTINCT cluster) AS speakers, {', '.join(map(q, (50, 95, 99)))} FROM ({v}) x"
+    missing = f"SELECT cast(count_if(anchor IS NULL) AS BIGINT) AS excluded FROM ({sessions(d)}) s"
+    wide = f"SELECT {', '.join(_spread(p, '') for p in (50, 95, 99))} FROM ({_percentiles(d, v, _numbered(v), '8')}) y"
+    narrow = f"SELECT {_spread(50, '')} FROM ({_percentiles(d, alone, _numbered(alone), '9')}) z"
+    effect = f"CASE WHEN w.high50 < {d.infinity()} AND a.high50 < {d.infinity()} AND a.high50 > a.low50 THEN round((w.high50 - w.low50) / (a.high50 - a.low50), 8) END"
+    return f"SELECT n, timeouts, excluded, speakers, p50, w.low50, w.high50, p95, low95, high95, p99, low99, high99, {effect} AS cluster_effect FROM ({point}) p CROSS JOIN ({missing}) m CROSS JOIN ({wide}) w CROSS JOIN ({narrow}) a"
 
 
 def speaker_latency(d) -> str:

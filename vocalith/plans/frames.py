@@ -17,8 +17,8 @@ from vocalith.operators.entities import Category, outcomes, summary, tagged
 from vocalith.operators.scripts import check, expanded
 from vocalith.operators.traces import endpoint_outcomes, session_latency
 from vocalith.plans.dialect import Duck, Spark
-from vocalith.operators.resampling import latency_intervals
-from vocalith.plans.evaluation import _formatted, hyps, latency_values, scores
+from vocalith.operators.resampling import drawn, exact_percentiles, intervals, numbered, weighted_percentiles
+from vocalith.plans.evaluation import DRAWS, _formatted, hyps, latency_by_draws, latency_values, scores
 from vocalith.plans.suites import PROFILE, SUITE, match
 from vocalith.sources.files import shared_folder
 from vocalith.sources.providers import read_answers, stream_messages
@@ -266,33 +266,25 @@ FROM (SELECT *, CASE go WHEN 'a' THEN k % 5 = 0 ELSE k % 7 = 0 END AS failed FRO
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of sessions' latencies, a timeout being infinite, with intervals over resampled speakers; what was left out; and
-    how much wider the median's interval is than one over resampled sessions. Sessions' values are written once and read by each part."""
+    how much wider the median's interval is than one over resampled sessions. All values count as they are, and every resample draws as many sessions as there are."""
     folder = shared_folder(spark, "latency")
-    spark.sql(latency_values(Spark(sf_dir))).write.parquet(folder)
-    values = spark.read.schema("cluster BIGINT, v DOUBLE").parquet(folder)
-    counts = values.agg(F.count_if(F.col("v").isNull()).alias("excluded"))
-    return latency_intervals(values.where("v IS NOT NULL")).crossJoin(counts)  # a row each
-
-
-LATENCY_SQL = """WITH e AS (SELECT user_id, event_type AS t, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000e0 AS ms FROM events),
-a AS (SELECT *, min(CASE WHEN t = 'signup' THEN ms END) OVER (PARTITION BY user_id) AS anchor FROM e),
-s AS (SELECT user_id, min(anchor) AS anchor, min(CASE WHEN t = 'purchase' AND ms >= anchor THEN ms END) AS f FROM a GROUP BY user_id),
-v AS (SELECT user_id % 20 AS cluster, coalesce(f - anchor, 'Infinity'::DOUBLE) AS v FROM s WHERE anchor IS NOT NULL),
-b AS (SELECT *, CASE WHEN isinf(v) THEN v ELSE floor(floor(v) / u) * u END AS bin FROM (SELECT *, pow(10e0, greatest(CASE WHEN isinf(v) THEN 0 ELSE length(cast(cast(floor(v) AS BIGINT) AS VARCHAR)) END - 3, 0)) AS u FROM v) x),
-t AS (SELECT i AS mean, list_transform(range(0, 60), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-i + j * ln(i) - lgamma(j + 1e0))))) AS t FROM range(1, 13) r(i)),
-r AS (SELECT i AS b FROM range(0, 200) r(i)),
-w AS (SELECT b, cluster, (SELECT len(list_filter(t, lambda x: (('0x' || substr(md5('8:' || b || ':' || cluster), 1, 8))::BIGINT + 0.5e0) / 4294967296e0 >= x)) FROM t WHERE mean = 1) AS w FROM r, (SELECT DISTINCT cluster FROM b) c),
-m AS (SELECT bin, count(*) AS n, CASE WHEN isinf(bin) THEN 'inf' ELSE cast(cast(bin AS BIGINT) AS VARCHAR) END AS k FROM b GROUP BY bin),
-z AS (SELECT b, bin, CASE WHEN n < 13 THEN len(list_filter(t, lambda x: (('0x' || substr(md5('9:' || b || ':' || k), 1, 8))::BIGINT + 0.5e0) / 4294967296e0 >= x))
-  ELSE greatest(0, floor(n + sqrt(n) * sqrt(-2 * ln((('0x' || substr(md5('9:' || b || ':' || k || ':a'), 1, 8))::BIGINT + 0.5e0) / 4294967296e0)) * cos(2 * pi() * (('0x' || substr(md5('9:' || b || ':' || k || ':b'), 1, 8))::BIGINT + 0.5e0) / 4294967296e0) + 0.5)) END AS w FROM m CROSS JOIN r LEFT JOIN t ON mean = n),
-x AS (SELECT 'wide' AS kind, b, bin, sum(w) AS w FROM b JOIN w ON b.cluster = w.cluster GROUP BY b, bin UNION ALL SELECT 'narrow', b, bin, w FROM z),
-y AS (SELECT kind, b, bin, sum(w) OVER (PARTITION BY kind, b ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY kind, b) AS al FROM x WHERE w > 0),
-q AS (SELECT kind, b, min(CASE WHEN upto * 100 >= al * 50 THEN bin END) AS p50, min(CASE WHEN upto * 100 >= al * 95 THEN bin END) AS p95, min(CASE WHEN upto * 100 >= al * 99 THEN bin END) AS p99 FROM y GROUP BY kind, b),
-i AS (SELECT kind, percentile_disc(0.025) WITHIN GROUP (ORDER BY p50) AS low50, percentile_disc(0.975) WITHIN GROUP (ORDER BY p50) AS high50, percentile_disc(0.025) WITHIN GROUP (ORDER BY p95) AS low95, percentile_disc(0.975) WITHIN GROUP (ORDER BY p95) AS high95,
-  percentile_disc(0.025) WITHIN GROUP (ORDER BY p99) AS low99, percentile_disc(0.975) WITHIN GROUP (ORDER BY p99) AS high99 FROM q GROUP BY kind),
-p AS (SELECT count(*) AS n, cast(count_if(isinf(v)) AS BIGINT) AS timeouts, count(DISTINCT cluster) AS speakers, percentile_disc(0.5) WITHIN GROUP (ORDER BY v) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY v) AS p95, percentile_disc(0.99) WITHIN GROUP (ORDER BY v) AS p99 FROM v)
-SELECT n, timeouts, speakers, p50, i.low50, i.high50, p95, i.low95, i.high95, p99, i.low99, i.high99, CASE WHEN NOT isinf(i.high50) AND NOT isinf(j.high50) AND j.high50 > j.low50 THEN round((i.high50 - i.low50) / (j.high50 - j.low50), 8) END AS cluster_effect,
-  (SELECT cast(count_if(anchor IS NULL) AS BIGINT) FROM s) AS excluded FROM p, i, i j WHERE i.kind = 'wide' AND j.kind = 'narrow'"""
+    spark.sql(latency_values(Spark(sf_dir))).write.parquet(f"{folder}/values")
+    every = spark.read.schema("user_id BIGINT, cluster BIGINT, v DOUBLE").parquet(f"{folder}/values")
+    values = every.where("v IS NOT NULL")
+    speakers = drawn(numbered(values.select("cluster").distinct(), "cluster"), "8", DRAWS)
+    wide = values.join(F.broadcast(speakers), "cluster").select(F.lit("wide").alias("kind"), "b", "v", "w")  # a few speakers' weights
+    narrow = drawn(numbered(values.select("user_id", "v"), "user_id"), "9", DRAWS).select(F.lit("narrow").alias("kind"), "b", "v", "w")
+    wide.union(narrow).write.parquet(f"{folder}/drawn")
+    weighted = spark.read.schema("kind STRING, b INT, v DOUBLE, w BIGINT").parquet(f"{folder}/drawn")
+    ends = intervals(weighted_percentiles(weighted, keys=["kind"]), keys=["kind"])
+    other = ends.where("kind = 'narrow'").select(F.col("low50").alias("l"), F.col("high50").alias("h"))
+    counts = every.agg(F.count_if(F.col("v") == float("inf")).alias("timeouts"), F.count_distinct(F.when(F.col("v").isNotNull(), F.col("cluster"))).alias("speakers"), F.count_if(F.col("v").isNull()).alias("excluded"))
+    effect = F.when((F.col("high50") < float("inf")) & (F.col("h") < float("inf")) & (F.col("h") > F.col("l")), F.round((F.col("high50") - F.col("low50")) / (F.col("h") - F.col("l")), 8))
+    one = exact_percentiles(values).crossJoin(counts).crossJoin(ends.where("kind = 'wide'")).crossJoin(other)  # a row each
+    return one.select("n", "timeouts", "speakers", *[c for p in (50, 95, 99) for c in (f"p{p}", f"low{p}", f"high{p}")], effect.alias("cluster_effect"), "excluded")
+
+
+LATENCY_SQL = latency_by_draws(Duck())
 
 
 def standardiser_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
