@@ -1,6 +1,7 @@
 """Round trips and small files of every source, and message mapping: stored and streamed forms agree."""
 
 import json
+import random
 import time
 
 import pytest
@@ -395,3 +396,68 @@ def test_a_merge_that_is_killed_is_finished_by_the_next(session, tmp_path, monke
             assert _held(session, root) == want
         runs.merge(session, str(root), META, second)
         assert _held(session, root) == want and not (root / "r" / "staged.parquet").exists()
+
+
+def test_a_session_asks_for_its_state_a_few_times_whatever_its_messages():
+    calls = []
+
+    class Kept(dict):
+        def exists(self):
+            return calls.append("exists") or bool(self)
+
+        def get(self):
+            return calls.append("get") or self[0]
+
+        def update(self, value):
+            calls.append("update")
+            self[0] = value
+
+        def containsKey(self, key):
+            return calls.append("containsKey") or key in self
+
+        def getValue(self, key):
+            return calls.append("getValue") or self[key]
+
+        def updateValue(self, key, value):
+            calls.append("updateValue")
+            self[key] = value
+
+        def removeKey(self, key):
+            calls.append("removeKey")
+            del self[key]
+
+    class Handle:
+        def getValueState(self, *_):
+            return Kept()
+
+        getMapState = getValueState
+
+    flags = M.Flags(None)
+    flags.init(Handle())
+    item = lambda seq, turn=0, bits=M.ENDS: f"{seq} {turn} {bits} {{}}"
+    go = lambda *items: [i for b in flags.handleInputRows(("s",), iter([M.pd.DataFrame({"item": list(items)})]), None) for i in b["item"]]
+    got = go(*(item(i, i % 20) for i in range(500)))
+    assert got == [f"{i} {M.FIRST_END if i < 20 else 0} {{}}" for i in range(500)]
+    assert len(calls) <= 4  # 502 before: each message was looked for among those that wait
+    assert go(item(502), item(503), item(501)) == [] and flags.held == 3
+    assert go(item(503, bits=0), item(500, 31, M.ENDS | M.FINISHES), item(504, 31)) == [f"500 {M.FIRST_END | M.FIRST_FINAL} {{}}", *(f"{i} 0 {{}}" for i in (501, 502, 503)), f"504 {M.FINAL_BEFORE} {{}}"]
+    assert flags.held == 0 and not flags.waiting and flags.next == 505
+
+
+def test_streamed_turns_beyond_a_block_are_as_stored_ones(rocks, tmp_path):
+    rng = random.Random(4)
+    some = [
+        {"session": s, "seq": i, "t_ns": 2**62 + i, "provider": "assemblyai", "message": json.dumps({"type": "Turn", "turn_order": rng.choice([None, -33, -1, 0, 31, 32, 63, 64, 1000]), "end_of_turn": rng.random() < 0.5, "turn_is_formatted": rng.random() < 0.4, "transcript": 'q " \\ \n é'}, ensure_ascii=rng.random() < 0.5)}
+        for s in ("a b", "", "c") for i in range(60)
+    ]
+    rng.shuffle(some)
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        _append(tmp_path / "in" / f"{n}.json", some[n::3])
+    source = rocks.readStream.schema(M.INPUT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    names = ["session", "seq", "part", "t_ns", "kind", "text", "raw"]
+    q = M.stream_events(source, timeout_ms=None).select(names).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    want = M.batch_events(rocks.createDataFrame([{"sent": None, **r} for r in some], M.INPUT)).select(names)
+    got = rocks.read.schema(want.schema).parquet(str(tmp_path / "out"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == want.count()

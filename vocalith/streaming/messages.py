@@ -73,10 +73,15 @@ def flags(p: DataFrame) -> DataFrame:
     return t.withColumn("over", _true(F.max("last").over(before))).drop("ended", "total", "sum", "least", "closing", "last")
 
 
-_CARRIED = ["turn", "ends", "finishes", "commits", "committed", "closes", "stops", "stops_if_closing"]
-_WAITING = "t_ns BIGINT, provider STRING, message STRING, sent STRING, turn INT, " + ", ".join(f"{c} BOOLEAN" for c in _CARRIED[1:])
-_FLAGGED = f"{INPUT}, {FLAGS}"
-_NAMES = [f.split()[0] for f in _FLAGGED.split(", ")]
+#: What a session's state needs of a message, and what it finds out, as bits. Through the state a message goes as one text: ``seq turn bits rest`` in,
+#: ``seq flags rest`` out, with its fields in ``rest``; pandas' price is by column and session, and a session has few rows.
+_ASKED = ("ends", "finishes", "commits", "committed", "closes", "stops", "stops_if_closing")
+_FOUND = tuple(f.split()[0] for f in FLAGS.split(", "))
+ENDS, FINISHES, COMMITS, COMMITTED, CLOSES, STOPS, STOPS_IF_CLOSING = (1 << i for i in range(len(_ASKED)))
+FIRST_END, FIRST_FINAL, FINAL_BEFORE, OWN, OVER = (1 << i for i in range(len(_FOUND)))
+_REST = "session STRING, t_ns BIGINT, provider STRING, message STRING, sent STRING"
+#: Turns whose marks share a value of the state.
+_TURNS = 32
 #: What a stream's session must set: state that is kept message by message needs it.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -85,8 +90,10 @@ class Flags(StatefulProcessor):
     """``flags`` of a session's messages in order of ``seq``, in state that lies message by message and turn by turn.
 
     A message that comes in order is never stored: only those that wait for an earlier one are, each under its own key. The session's counters are
-    one small value, what is known of a turn another. With a timeout, a session without news for that long of processing time is
+    one small value, what is known of 32 turns another. With a timeout, a session without news for that long of processing time is
     closed by a timer: what waits goes out in order, the missing messages left out, and all its state is deleted.
+
+    Each look at the state is a call to the JVM. So nothing is looked for where the counters say that nothing waits or that the session is new, and turns are written once a batch.
     """
 
     def __init__(self, timeout_ms: int | None):
@@ -94,72 +101,80 @@ class Flags(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next BIGINT, own BIGINT, closing BOOLEAN, over BOOLEAN, due BIGINT")
-        self.waiting = handle.getMapState("waiting", "seq BIGINT", _WAITING)
-        self.turns = handle.getMapState("turns", "turn INT", "ended BOOLEAN, final BOOLEAN")
+        self.at = handle.getValueState("at", "next BIGINT, own BIGINT, closing BOOLEAN, over BOOLEAN, due BIGINT, held BIGINT")
+        self.waiting = handle.getMapState("waiting", "seq BIGINT", "turn INT, bits INT, rest STRING")
+        self.turns = handle.getMapState("turns", "block INT", "ended BIGINT, final BIGINT")
 
     def _begin(self) -> None:
-        held = self.at.get() if self.at.exists() else None
-        self.next, self.own, self.closing, self.over, self.due = tuple(held) if held is not None else (0, 0, False, False, None)
-        self.known: dict[int, tuple[bool, bool]] = {}
-
-    def _flag(self, row: dict) -> dict:
-        """The flags of the session's next message, and what is known after it."""
-        turn = row["turn"]
-        if turn not in self.known:
-            self.known[turn] = tuple(map(bool, self.turns.getValue((turn,)))) if self.turns.containsKey((turn,)) else (False, False)
-        ended, final = self.known[turn]
-        own = row["committed"] and self.own > 0
-        out = {"first_end": row["ends"] and not ended, "first_final": row["finishes"] and not final, "final_before": final, "own": own, "over": self.over}
-        now = (ended or row["ends"], final or row["finishes"])
-        if now != (ended, final):
-            self.known[turn] = now
-            self.turns.updateValue((turn,), now)
-        self.over = self.over or row["stops"] or row["stops_if_closing"] and self.closing
-        self.own += row["commits"] - own
-        self.closing = self.closing or row["closes"]
-        self.next = row["seq"] + 1
-        return row | out
-
-    def _stored(self, seq: int) -> dict:
-        row = dict(zip(["t_ns", "provider", "message", "sent", *_CARRIED], self.waiting.getValue((seq,))))
+        self.new = not self.at.exists()
+        self.next, self.own, self.closing, self.over, self.due, self.held = (0, 0, False, False, None, 0) if self.new else tuple(self.at.get())
+        self.known: dict[int, tuple[int, int]] = {}  # a block's turns that ended, and that are final, as bits
+        self.changed: set[int] = set()
+
+    def _flag(self, seq: int, turn: int, bits: int, rest: str) -> str:
+        """The session's next message with its flags, and what is known after it."""
+        block, mark = turn // _TURNS, 1 << turn % _TURNS
+        if block not in self.known:
+            self.known[block] = tuple(self.turns.getValue((block,))) if not self.new and self.turns.containsKey((block,)) else (0, 0)
+        ended, final = self.known[block]
+        own = bool(bits & COMMITTED) and self.own > 0
+        out = FIRST_END * bool(bits & ENDS and not ended & mark) | FIRST_FINAL * bool(bits & FINISHES and not final & mark) | FINAL_BEFORE * bool(final & mark) | OWN * own | OVER * self.over
+        if out & (FIRST_END | FIRST_FINAL):
+            self.known[block] = (ended | mark * bool(bits & ENDS), final | mark * bool(bits & FINISHES))
+            self.changed.add(block)
+        self.over = self.over or bool(bits & STOPS) or bool(bits & STOPS_IF_CLOSING) and self.closing
+        self.own += bool(bits & COMMITS) - own
+        self.closing = self.closing or bool(bits & CLOSES)
+        self.next = seq + 1
+        return f"{seq} {out} {rest}"
+
+    def _stored(self, seq: int) -> tuple[int, int, int, str] | None:
+        """The message that waits under ``seq``, which waits no longer."""
+        if not self.held or not self.waiting.containsKey((seq,)):
+            return None
+        row = self.waiting.getValue((seq,))
         self.waiting.removeKey((seq,))
-        return row | {"seq": seq}
-
-    def _out(self, key: tuple, rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame([r | {"session": key[0]} for r in rows], columns=_NAMES)
+        self.held -= 1
+        return (seq, *row)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         self._begin()
-        came: dict[int, dict] = {}
+        came: dict[int, tuple] = {}
         for b in rows:
-            for row in b.astype(object).where(b.notna(), None).to_dict("records"):
-                row = {k: v.item() if hasattr(v, "item") else v for k, v in row.items()}
-                if row["seq"] >= self.next:
-                    came.setdefault(row["seq"], row)
+            for item in b["item"].tolist():
+                if item is None:
+                    raise ValueError(f"a message of session {key[0]} has no seq")
+                seq, turn, bits, rest = item.split(" ", 3)
+                if (at := int(seq)) >= self.next:
+                    came.setdefault(at, (at, int(turn), int(bits), rest))
             ready = []
-            while (new := self.next in came) or self.waiting.containsKey((self.next,)):
-                if new and self.waiting.containsKey((self.next,)):
-                    came[self.next] = self._stored(self.next)  # repeated: the first that came counts
-                ready.append(self._flag(came.pop(self.next) if new else self._stored(self.next)))
+            while True:
+                row, stored = came.pop(self.next, None), self._stored(self.next)  # repeated: the first that came counts
+                if not (row := stored or row):
+                    break
+                ready.append(self._flag(*row))
             if ready:
-                yield self._out(key, ready)
+                yield pd.DataFrame({"item": ready})
         for seq, row in came.items():
-            if seq > self.next and not self.waiting.containsKey((seq,)):
-                self.waiting.updateValue((seq,), tuple(row[c] for c in ("t_ns", "provider", "message", "sent", *_CARRIED)))
+            if seq > self.next and not (self.held and self.waiting.containsKey((seq,))):
+                self.waiting.updateValue((seq,), row[1:])
+                self.held += 1
+        for block in self.changed:
+            self.turns.updateValue((block,), self.known[block])
         if self.timeout_ms is not None:
             if self.due is not None:
                 self.handle.deleteTimer(self.due)
             self.due = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
             self.handle.registerTimer(self.due)
-        self.at.update((self.next, self.own, self.closing, self.over, self.due))
+        self.at.update((self.next, self.own, self.closing, self.over, self.due, self.held))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._begin()
-        late = [self._flag(self._stored(seq)) for seq in sorted(k[0] for k in self.waiting.keys())]
+        late = [self._flag(*self._stored(seq)) for seq in sorted(k[0] for k in self.waiting.keys())]
         for state in (self.at, self.waiting, self.turns):
             state.clear()
-        yield self._out(key, late)
+        if late:
+            yield pd.DataFrame({"item": late})
 
     def close(self) -> None:
         pass
@@ -173,8 +188,14 @@ def stream_flags(p: DataFrame, timeout_ms: int | None = 600_000) -> DataFrame:
     conf = p.sparkSession.conf
     if odd := {k: v for k, v in STORE.items() if conf.get(k, None) != v}:
         raise ValueError(f"set {odd} before the stream starts")
-    flat = p.select("session", "seq", "t_ns", "provider", "message", "sent", *_CARRIED)
-    done = flat.groupBy("session").transformWithStateInPandas(Flags(timeout_ms), _FLAGGED, "append", "None" if timeout_ms is None else "processingTime")
+    bits = sum((F.when(_true(c), 1 << i).otherwise(0) for i, c in enumerate(_ASKED)), F.lit(0))
+    item = F.concat("seq", F.lit(" "), "turn", F.lit(" "), bits, F.lit(" "), F.to_json(F.struct("session", "t_ns", "provider", "message", "sent")))
+    flat = p.select("session", item.alias("item"))
+    done = flat.groupBy("session").transformWithStateInPandas(Flags(timeout_ms), "item STRING", "append", "None" if timeout_ms is None else "processingTime")
+    part = F.split("item", " ", 3)
+    done = done.select(part[0].cast("bigint").alias("seq"), part[1].cast("int").alias("flags"), F.from_json(part[2], _REST).alias("rest"))
+    found = [(F.col("flags").bitwiseAND(1 << i) != 0).alias(f) for i, f in enumerate(_FOUND)]
+    done = done.select("rest.session", "seq", "rest.t_ns", "rest.provider", "rest.message", "rest.sent", *found)
     return done.withColumn("m", F.when(F.col("sent").isNull(), F.from_json("message", MESSAGE)))
 
 
