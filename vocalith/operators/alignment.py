@@ -1,6 +1,6 @@
 """Word alignment of a reference and a hypothesis: counts, chunks, hits and a readable difference.
 
-Errors alone never need this: ``plans.evaluation.scores`` counts them with a built-in. Alignments are bit-parallel: a column of the
+Errors alone need no way back: ``distance`` counts them, for whole batches ``distances``. Alignments are bit-parallel: a column of the
 edit distance table is a few whole numbers with a bit for each reference word, of which two are kept for the way back. Pairs whose table
 would pass ``CELLS`` are split at the middle of the reference, which keeps the distance least and memory linear in the texts.
 """
@@ -13,6 +13,7 @@ from itertools import groupby
 from operator import ne
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +59,35 @@ def _last_row(ref: Sequence[str], hyp: Sequence[str]) -> list[int]:
     return out
 
 
+def distance(ref: Sequence, hyp: Sequence) -> int:
+    """The least number of words to change; what both sides begin and end with costs nothing."""
+    begin, end, most = 0, 0, min(len(ref), len(hyp))
+    while begin < most and ref[begin] == hyp[begin]:
+        begin += 1
+    while end < most - begin and ref[-1 - end] == hyp[-1 - end]:
+        end += 1
+    ref, hyp = ref[begin : len(ref) - end], hyp[begin : len(hyp) - end]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    return _last_row(ref, hyp)[-1] if len(ref) >= len(hyp) else _last_row(hyp, ref)[-1]
+
+
+def _lists(a: pa.Array) -> Iterator[tuple[int, int] | None]:
+    """Where each list's values begin and end among those of ``flatten``."""
+    at = 0
+    for n in a.value_lengths().to_pylist():
+        yield None if n is None else (at, at + n)
+        at += n or 0
+
+
+def distances(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """``distance`` of every pair of word lists, null where one is null; words are compared as their numbers in the batch."""
+    words = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy().tolist()
+    shift = len(ref.flatten())
+    pairs = zip(_lists(ref), _lists(hyp))
+    return pa.array([None if r is None or h is None else distance(words[r[0] : r[1]], words[shift + h[0] : shift + h[1]]) for r, h in pairs], pa.int64())
+
+
 def _ops(ref: Sequence[str], hyp: Sequence[str]) -> str:
     """One letter a step, e(qual) s(ubstitute) d(elete) i(nsert); from the end, diagonal steps first, then deletions."""
     if len(ref) * len(hyp) > CELLS and len(ref) > 1:

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from vocalith.operators.alignment import distances
+
 
 class Spark:
     def __init__(self, sf_dir: str, session=None):
@@ -43,6 +48,17 @@ class Spark:
     index = "i"  # of the element in a lambda, from 0
     size, join, distinct, position, concat_arrays = "size", "array_join", "array_distinct", "array_position", "concat"
 
+    def distance(self, a: str, b: str, builtin: str) -> str:
+        """The edit distance of two word arrays, by batches of them; ``builtin`` without a session, which the function is registered in."""
+        if self.session is None:
+            return builtin
+
+        def word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+            return distances(ref, hyp)
+
+        self.session.udf.register("word_distance", F.arrow_udf(word_distance, "bigint"))
+        return f"word_distance({a}, {b})"
+
     def lit(self, pattern: str) -> str:
         return "r'" + pattern + "'"
 
@@ -130,6 +146,9 @@ class Duck(Spark):
     def deal(self, sql: str, key: str) -> str:
         return sql
 
+    def distance(self, a: str, b: str, builtin: str) -> str:
+        return builtin
+
     index = "(i - 1)"
     size, join, distinct, position, concat_arrays = "len", "array_to_string", "list_distinct", "list_position", "list_concat"
 
