@@ -96,3 +96,12 @@ def test_percentiles_of_draws_are_exact(session):
     for b in range(20):
         v = sorted(rows[int(hashlib.md5(f"9:{b}:{j}".encode()).hexdigest()[:8], 16) % len(rows)][1] for j in range(len(rows)))
         assert found[b] == tuple(next(x for m, x in enumerate(v, 1) if m >= p / 100 * len(v)) for p in (50, 95))
+
+
+def test_rows_that_are_drawn_do_not_pass_through_the_driver(session):
+    """Before: the planner took all sessions for small enough to broadcast, twice, and the driver ran out of memory."""
+    df = R.numbered(session.range(10).select(F.col("id").alias("key"), F.col("id").cast("double").alias("v")), "key")
+    out = R.drawn(df, "9", 20)
+    rows = out.collect()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.b for r in rows} == set(range(20)) and sum(r.w for r in rows) == 20 * 10

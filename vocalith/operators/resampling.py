@@ -91,19 +91,27 @@ def resampled_percentiles(weighted: DataFrame, percentiles: Sequence[int] = PERC
 
 
 def numbered(rows: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """``rows`` of different whole ``key`` with their place ``i`` in its order, from 0, and ``k``, how many there are. Only stretches' counts are put in order in one task."""
+    """``rows`` of different whole ``key`` with their place ``i`` in its order, from 0, and ``k``, how many there are. Only stretches' counts are put in order in one task.
+
+    Small as they look to the planner, rows aren't broadcast: all of them would pass through the driver.
+    """
     rows = rows.withColumn("_part", F.floor(F.col(key) / width))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     placed = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("k"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return rows.withColumn("_within", within).join(placed, "_part").withColumn("i", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    return rows.withColumn("_within", within).join(placed.hint("shuffle_hash"), "_part").withColumn("i", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
 
 
 def drawn(rows: DataFrame, seed: str, resamples: int = RESAMPLES) -> DataFrame:
-    """(b, ..., w) of ``numbered`` rows: how often resample b draws each of them, as many draws as rows, by hash; rows that it doesn't draw are absent."""
-    slots = rows.select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), "i", "k")
+    """(b, ..., w) of ``numbered`` rows: how often resample b draws each of them, as many draws as rows, by hash; rows that it doesn't draw are absent.
+
+    Draws are made in all tasks, and each goes to the task of the row that it draws.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = rows.select("i", "k").repartition(parts, "i").select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), "i", "k")
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("bigint") % F.col("k")
-    return slots.select("b", draw.alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("w")).join(rows.drop("k"), "i").drop("i")
+    counts = slots.select("b", draw.alias("i")).repartition(parts, "i").groupBy("b", "i").agg(F.count(F.lit(1)).alias("w"))
+    return counts.join(rows.drop("k").hint("shuffle_hash"), "i").drop("i")
 
 
 def weighted_percentiles(weighted: DataFrame, percentiles: Sequence[int] = PERCENTILES, keys: Sequence[str] = ()) -> DataFrame:
