@@ -12,7 +12,7 @@ import pytest
 
 from vocalith.operators.alignment import distances
 from vocalith.plans.dialect import Spark
-from vocalith.plans.evaluation import CLUSTERS, QUERIES, RESAMPLES, scores
+from vocalith.plans.evaluation import BY_WORDS, CLUSTERS, QUERIES, RESAMPLES, scores
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -181,3 +181,15 @@ def test_distances_of_batches_are_those_of_plain_tables(session):
     assert distances(pa.array([], kind), pa.array([], kind)).to_pylist() == []
     plan = session.sql(scores(Spark(SF, session)))._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan  # before: words coded as characters, two thirds of the time of all queries on scores
+
+
+@pytest.mark.parametrize("name", ["alignment_counts", *BY_WORDS])
+def test_sql_counts_words_of_pairs_with_many_different_ones(session, tmp_path, name):
+    """Before: from the 95th different word on, the SQL counted the bytes that words' codes have in common."""
+    duckdb, entry = pytest.importorskip("duckdb"), __import__("__spark_entry__")
+    words = [f"w{i}" for i in range(260)]
+    session.createDataFrame([(c, k, "user", " ".join(words[k * 7 :] + words[: k * 7 : 2])) for c in range(3) for k in range(6)], "conv_id LONG, turn LONG, role STRING, text STRING").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    rel, df = db.sql(entry.oracle_sql()[name]), entry.queries()[name](session, str(tmp_path))
+    assert sorted(map(tuple, df.select(rel.columns).collect())) == sorted(rel.fetchall()) != []

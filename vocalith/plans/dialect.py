@@ -59,6 +59,10 @@ class Spark:
         self.session.udf.register("word_distance", F.arrow_udf(word_distance, "bigint"))
         return f"word_distance({a}, {b})"
 
+    def words(self, a: str, b: str, builtin: str) -> str:
+        """The edit distance of two word arrays with ``dict`` their different words, ``builtin`` being that of their codes."""
+        return builtin
+
     def lit(self, pattern: str) -> str:
         return "r'" + pattern + "'"
 
@@ -224,3 +228,18 @@ class Duck(Spark):
 
     def char(self, n: str) -> str:
         return f"chr(cast(32 + {n} AS INT))"
+
+
+class DuckWords(Duck):
+    """As ``Duck``, with edit distances of words for pairs of any number of different words.
+
+    ``levenshtein`` counts bytes, so it holds while each word's character is one byte; beyond that the rows of the table are made one by one.
+    """
+
+    def words(self, a: str, b: str, builtin: str) -> str:
+        """The distance of ``a`` and ``b``, whose different words are ``dict``."""
+        at = lambda x: f"list_transform({x}, lambda x: list_position(dict, x))"
+        step = "list_transform(range(1, len(acc) + 1), lambda j: least(acc[j] + 1, CASE WHEN j > 1 THEN acc[j - 1] + CASE WHEN r[j - 1] = w[1] THEN 0 ELSE 1 END END) - j)"
+        row = f"list_transform([{step}], lambda t: list_transform(t, lambda x, j: j + list_min(t[1:j])))[1]"
+        table = f"list_transform([{at(a)}], lambda r: list_reduce(list_transform({b}, lambda x: [cast(list_position(dict, x) AS BIGINT)]), lambda acc, w: {row}, range(0, len(r) + 1))[-1])[1]"
+        return f"CASE WHEN len(dict) <= 94 THEN {builtin} ELSE cast({table} AS BIGINT) END"

@@ -12,6 +12,8 @@ RESAMPLES, CLUSTERS, FEW = 10_000, 20, 10
 #: Bootstrap draws of percentiles.
 DRAWS = 200
 SYSTEMS = ("s1", "s2", "s3", "noisy")
+#: Queries whose SQL counts the words of pairs of any number of different words; that of the others holds for up to 94.
+BY_WORDS = ()
 #: Outcome bounds in ms, the VAD's thresholds, gaps and lengths, and the share of speech below which a clip is flagged.
 LATE_MS, ENTER, LEAVE, GAP, LEAST, LOW_COVERAGE = 3000, 0.5, 0.35, 3, 2, 0.3
 
@@ -38,14 +40,14 @@ def hyps(d, systems=("s1", "s2", "s3")) -> str:
 def _distance(d, a: str, b: str) -> str:
     """The edit distance of two word arrays, with ``dict`` their different words, each mapped to one character."""
     code = lambda x: f"{d.join}({d.transform(x, 'x', d.char(f'{d.position}(dict, x)'))}, '')"
-    return f"cast(levenshtein({code(a)}, {code(b)}) AS BIGINT)"
+    return d.words(a, b, f"cast(levenshtein({code(a)}, {code(b)}) AS BIGINT)")
 
 
 def scores(d, systems=SYSTEMS[:3]) -> str:
     """(utt_id, ..., sys, n_ref, errors): the token edit distance of every system, computed once for all queries of a session.
 
-    The checking engine compares bytes and so holds for up to 94 different words a pair; Spark's side has no such bound, and counts in batches
-    of pairs: coding the words and the built-in distance took two thirds of the time.
+    The checking engine's ``levenshtein`` compares bytes and so holds for up to 94 different words a pair, beyond which ``DuckWords`` makes the table's rows; Spark's side
+    counts in batches of pairs: coding the words and the built-in distance took two thirds of the time.
     """
     sql = (
         f"SELECT utt_id, speaker_id, cluster, subset, sys, cast({d.size}(toks) AS BIGINT) AS n_ref, cast({d.size}(hyp) AS BIGINT) AS n_hyp, {d.distance('toks', 'hyp', _distance(d, 'toks', 'hyp'))} AS errors "

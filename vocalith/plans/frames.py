@@ -16,7 +16,7 @@ from vocalith.operators.alignment import alignment, difference, key_term_inserti
 from vocalith.operators.entities import Category, outcomes, summary, tagged
 from vocalith.operators.scripts import check, expanded
 from vocalith.operators.traces import endpoint_outcomes, session_latency
-from vocalith.plans.dialect import Duck, Spark
+from vocalith.plans.dialect import Duck, DuckWords, Spark
 from vocalith.operators.resampling import drawn, exact_percentiles, intervals, numbered, weighted_percentiles
 from vocalith.plans.evaluation import DRAWS, _formatted, hyps, latency_by_draws, latency_values, scores
 from vocalith.plans.suites import PROFILE, SUITE, match
@@ -396,5 +396,5 @@ def script_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (alignment_counts, alignment_diffs, false_key_terms, normalised_documents, tagged_documents, entity_summary, mulaw_levels, provider_events, trace_latency, trace_outcomes, manifest_violations, suite_match, batch_responses, answered_runs, streamed_events, resumed_run, latency_summary, standardiser_ablation, token_rules, clip_levels, script_lines, script_entities)}
 ORACLE = {
-    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(Duck())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL, "batch_responses": RESPONSES_SQL, "answered_runs": ANSWERED_SQL, "streamed_events": PROVIDER_SQL, "resumed_run": RESUMED_SQL, "latency_summary": LATENCY_SQL, "token_rules": TOKEN_SQL, "clip_levels": CLIP_SQL, "script_lines": LINES_SQL, "suite_match": SUITE_SQL,
+    "alignment_counts": f"SELECT utt_id, sys, n_ref, n_hyp, errors FROM ({scores(DuckWords())}) s", "mulaw_levels": MULAW_SQL, "provider_events": PROVIDER_SQL, "trace_latency": TRACE_SQL, "trace_outcomes": OUTCOME_SQL, "manifest_violations": MANIFEST_SQL, "batch_responses": RESPONSES_SQL, "answered_runs": ANSWERED_SQL, "streamed_events": PROVIDER_SQL, "resumed_run": RESUMED_SQL, "latency_summary": LATENCY_SQL, "token_rules": TOKEN_SQL, "clip_levels": CLIP_SQL, "script_lines": LINES_SQL, "suite_match": SUITE_SQL,
 }
