@@ -13,7 +13,7 @@ RESAMPLES, CLUSTERS, FEW = 10_000, 20, 10
 DRAWS = 200
 SYSTEMS = ("s1", "s2", "s3", "noisy")
 #: Queries whose SQL counts the words of pairs of any number of different words; that of the others holds for up to 94.
-BY_WORDS = ("changed_utterances", "group_stats", "pooled_wer", "rule_ablation", "utt_wer")
+BY_WORDS = ("changed_utterances", "group_stats", "pooled_wer", "rule_ablation", "utt_wer", "worst_utterances")
 #: Outcome bounds in ms, the VAD's thresholds, gaps and lengths, and the share of speech below which a clip is flagged.
 LATE_MS, ENTER, LEAVE, GAP, LEAST, LOW_COVERAGE = 3000, 0.5, 0.35, 3, 2, 0.3
 
