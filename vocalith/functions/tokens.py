@@ -6,8 +6,9 @@ in the text. ``with_normalised`` puts them around the base standardiser, which a
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,27 +76,57 @@ def spoken_dates(text: Column) -> Column:
     return _sub(turned, rf"(?<!\S)({_MONTH}) one(?!\S)", "$1 1")
 
 
-def before(text: Column, order: Column, on: set[str]) -> Column:
-    """Tags and what the raw text's rules rewrite."""
-    text = _sub(text, r"</?[A-Za-z][A-Za-z0-9_-]*\s*/?>", " ")
-    steps = (
+def _raw_steps(order: Column) -> tuple:
+    return (
         ("okay", lambda t: _sub(t, r"(?i)\bo\.\s?k\.?(?![a-z])", "okay")), ("ninth", lambda t: _sub(t, r"(?i)\bninth\b", "nineth")), ("numeric_dates", lambda t: numeric_dates(t, order)),
         ("paren_digits", lambda t: _sub(t, r"\(([0-9][0-9\s.-]*)\)", " $1 ")), ("leading_zero", leading_zeros),
     )
-    return reduce(lambda t, s: s[1](t) if s[0] in on else t, steps, text)
 
 
-def after(text: Column, on: set[str]) -> Column:
-    """What the standardised words' rules rewrite; words are apart by single blanks."""
+def _word_steps() -> tuple:
     units = F.map_from_arrays(F.array(*map(F.lit, UNITS)), F.array(*map(F.lit, UNITS.values())))
-    steps = (
+    return (
         ("units", lambda t: F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(F.try_element_at(units, w), w)), " ")), ("okay", lambda t: _sub(t, r"(?<!\S)ok(?!\S)", "okay")),
         ("ordinals", lambda t: _sub(t, r"(?<!\S)(\p{Nd}+)(?:st|nd|rd|th)(?!\S)", "$1")), ("decimals", lambda t: _sub(_sub(t, r"(?<!\S)one(?=\.\p{Nd}+(?!\S))", "1"), r"(?<!\S)(?=\.\p{Nd}+(?!\S))", "0")),
         ("digit_one", lambda t: F.array_join(digit_one(F.split(t, " ")), " ")), ("digit_join", digit_join), ("spoken_dates", spoken_dates),
     )
+
+
+def _untagged(text: Column) -> Column:
+    return _sub(text, r"</?[A-Za-z][A-Za-z0-9_-]*\s*/?>", " ")
+
+
+def _through(steps: Iterable[tuple], text: Column, on: set[str]) -> Column:
     return reduce(lambda t, s: s[1](t) if s[0] in on else t, steps, text)
 
 
+def before(text: Column, order: Column, on: set[str]) -> Column:
+    """Tags and what the raw text's rules rewrite."""
+    return _through(_raw_steps(order), _untagged(text), on)
+
+
+def after(text: Column, on: set[str]) -> Column:
+    """What the standardised words' rules rewrite; words are apart by single blanks."""
+    return _through(_word_steps(), text, on)
+
+
+def _without_each(df: DataFrame, text: Column, at: str, steps: Sequence[tuple], offs: Iterable[Iterable[str]]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with ``text`` after each step in columns ``at``0, 1, ..., and the text without each of ``offs``: that of all steps, unless one left out
+    changes its text, from which on the others are then done again."""
+    df = df.withColumn(f"{at}0", text)
+    for i, (_, step) in enumerate(steps):
+        df = df.withColumn(f"{at}{i + 1}", step(F.col(f"{at}{i}")))
+
+    def without(off: Iterable[str]) -> Column:
+        whole, left = F.col(f"{at}{len(steps)}"), [i for i, (name, _) in enumerate(steps) if name in off]
+        if not left:
+            return whole
+        changed = reduce(or_, [F.col(f"{at}{i}") != F.col(f"{at}{i + 1}") for i in left])
+        return F.when(changed, _through(steps[left[0] :], F.col(f"{at}{left[0]}"), {name for name, _ in steps} - set(off))).otherwise(whole)
+
+    return df, [without(off) for off in offs]
+
+
 def standardised(texts: Column) -> Column:
     """The base standardiser of a row's texts, of which it does different ones once; null stays null. Nothing that is computed of it is computed in its place."""
 
@@ -117,16 +148,21 @@ def with_normalised(df: DataFrame, text: Column | str, into: str, date_order: Co
     """``df`` with its ``text`` normalised in a column: as ``functions.text.normalised`` does, with all rules in the JVM.
 
     With ``disable``, a list of lists of rules, the column is an array with a text for each list; the base standardiser runs once for each
-    different text before it, whatever the rules after it.
+    different text before it, whatever the rules after it, and of the rules only those again that follow a rule left out which changes the text.
     """
     variants = [rules_on(x) for x in (disable if disable is not None else [()])]
     text = F.col(text) if isinstance(text, str) else text
     order = F.lit(date_order) if isinstance(date_order, str) else date_order
-    raw = {"okay", "ninth", "numeric_dates", "paren_digits", "leading_zero"}
-    kinds = sorted({tuple(sorted(on & raw)) for on in variants})
-    rows = df.withColumn("_s", standardised(F.array(*[before(text, order, set(k)) for k in kinds])))
-    made = [after(F.col("_s")[kinds.index(tuple(sorted(on & raw)))], on) for on in variants]
-    return rows.withColumn(into, made[0] if disable is None else F.array(*made)).drop("_s")
+    if disable is None:
+        return df.withColumn("_s", standardised(F.array(before(text, order, variants[0])))).withColumn(into, after(F.col("_s")[0], variants[0])).drop("_s")
+    raw, offs = _raw_steps(order), [set(RULES) - on for on in variants]
+    kind = lambda off: tuple(sorted(off & {name for name, _ in raw}))
+    kinds = sorted({(), *map(kind, offs)})  # that of all rules is the first
+    rows, texts = _without_each(df, _untagged(text), "_raw", raw, kinds)
+    rows, made = _without_each(rows.withColumn("_s", standardised(F.array(*texts))), F.col("_s")[0], "_words", _word_steps(), offs)
+    base = [F.col("_s")[kinds.index(kind(off))] for off in offs]
+    made = [F.when(b != F.col("_s")[0], after(b, on)).otherwise(m) if kind(off) else m for b, m, off, on in zip(base, made, offs, variants)]
+    return rows.withColumn(into, F.array(*made)).select(*[c for c in df.columns if c != into], into)
 
 
 def date_order(language: Column) -> Column:
